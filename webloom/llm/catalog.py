@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from webloom.llm import media, mixing, quality_rules
+from webloom.llm import bpe, language_id, media, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_language_id": language_id.query,
+    "op3_bpe": bpe.query,
     "op7_media": media.query,
     "op10_mixing": mixing.query,
 }
