@@ -185,10 +185,11 @@ def train(labelled: DataFrame, text_column: str = "text", language_column: str =
                     values, n = np.unique(gram[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i), pa.int32()), pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    tallied = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toPandas()
-    lang, gram = tallied["lang"].to_numpy(np.int64), tallied["gram"].to_numpy(np.int64).view(np.uint64)
-    weight = np.bincount(lang, weights=tallied["n"], minlength=len(languages))
-    share = tallied["n"].to_numpy(float) / np.maximum(weight, 1)[lang]
+    tallied = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toArrow()
+    lang, gram, n = (np.ascontiguousarray(tallied[c].to_numpy(), dtype=np.int64) for c in ("lang", "gram", "n"))
+    gram = gram.view(np.uint64)
+    weight = np.bincount(lang, weights=n, minlength=len(languages))
+    share = n / np.maximum(weight, 1)[lang]
     _, which = np.unique(gram, return_inverse=True)
     most = np.zeros(which.max() + 1 if len(which) else 0)
     np.maximum.at(most, which, share)
