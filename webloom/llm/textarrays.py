@@ -18,6 +18,9 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Runs of ASCII letters and of anything beyond ASCII, for terms without punctuation.
+LETTERS = np.arange(256) >= 0x80
+LETTERS[65:91] = LETTERS[97:123] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
@@ -72,11 +75,11 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """Split each text of a column into words and hash them; ``lower`` lower-cases A-Z first."""
+def words_of(column: pa.Array, lower: bool = False, of: np.ndarray | None = None) -> Words:
+    """Split each text of a column into words and hash them; ``lower`` lower-cases A-Z first, ``of`` tells which bytes make words."""
     data, offsets = utf8_buffers(column)
     n = len(data)
-    inside = ~_IS_SPACE[data]
+    inside = ~_IS_SPACE[data] if of is None else of[data]
     first = np.zeros(n + 1, dtype=bool)
     first[:n] = inside
     first[1:n] &= ~inside[:-1]
