@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, language_id, lm_scoring, media, mixing, pii, quality_rules
+from webloom.llm import bpe, language_id, lm_scoring, media, mixing, pii, quality_mil, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_language_id": language_id.query,
     "op3_bpe": bpe.query,
+    "op4_quality_mil": quality_mil.query,
     "op5_pii": pii.query,
     "op6_lm_scoring": lm_scoring.query,
     "op7_media": media.query,
