@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, language_id, lm_scoring, media, mixing, pii, quality_mil, quality_rules
+from webloom.llm import bpe, language_id, lm_scoring, media, mixing, pii, quality_mil, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.query,
     "op6_lm_scoring": lm_scoring.query,
     "op7_media": media.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op10_mixing": mixing.query,
 }
 
