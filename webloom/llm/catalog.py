@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, language_id, lm_scoring, media, mixing, pii, quality_mil, quality_rules, substring_dedup
+from webloom.llm import bpe, language_id, lm_scoring, media, mixing, ngram_join, pii, quality_mil, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_lm_scoring": lm_scoring.query,
     "op7_media": media.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_mixing": mixing.query,
 }
 

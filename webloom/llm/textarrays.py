@@ -122,7 +122,7 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of ``width`` hashes from each position in ``at``; positions must leave room."""
-    acc = np.full(len(at), U64(seed) * _GOLD + U64(width), dtype=U64)
+    acc = np.full(len(at), U64((seed * int(_GOLD) + width) & 0xFFFFFFFFFFFFFFFF), dtype=U64)
     for k in range(width):
         acc ^= hashes[at + k]
         acc *= U64(0xD6E8FEB86659FD93)
