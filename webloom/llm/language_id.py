@@ -41,6 +41,7 @@ BITS_PER_GRAM = 16
 LEAST_COUNT = 3
 RATIO = 3.0
 MOST_LANGUAGES = 4096
+LEAST_FIT = 0.3
 
 _SPACE = 0x20
 _STOP = 0x0A
@@ -212,6 +213,20 @@ def predicted(docs: DataFrame, model: BitmaskFilter, sizes: tuple[int, ...] = SI
     return rows.mapInArrow(each, f"{schema}, lang_pred string, score double, fit double")
 
 
+def in_known_language(docs: DataFrame, model: BitmaskFilter, least_fit: float = LEAST_FIT, sizes: tuple[int, ...] = SIZES, text_column: str = "text") -> DataFrame:
+    """The whole rows whose text has letters and, of its n-grams, at least the share ``least_fit`` in one language."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    place = docs.columns.index(text_column)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, whole.schema.names[place], 4 << 20):
+                names, _, fit = sent.value.decide([t or "" for t in batch.column(place).to_pylist()], sizes)
+                yield batch.filter(pa.array([x != NONE and y >= least_fit for x, y in zip(names, fit, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     return crc_split(id_column, 4) == 2
 

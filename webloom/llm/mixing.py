@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.llm.tables import documents, narrow
+from webloom.llm.tables import documents, packed
 
 BLOCK_DOCS = 64
 CYCLE = 1000
@@ -81,37 +81,38 @@ def _digest(id_column: str):
     return F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
 
 
-def placed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
-    """The rows with a struct ``_mix`` of block, place, release, deadline and slot."""
-    ids = narrow(docs, id_column, source_column).select(F.substring(_digest(f"`{id_column}`"), 1, DIGITS).alias("_deal"), F.col(f"`{source_column}`").alias("source"))
+def placed(rows: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE) -> DataFrame:
+    """Rows with columns ``_id`` and ``_source`` and a struct ``_mix`` of block, place, release, deadline and slot added."""
+    ids = rows.select(F.substring(_digest("_id"), 1, DIGITS).alias("_deal"), F.col("_source").alias("source"))
     dealt = ids.groupBy("source", "_deal").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.partitionBy("source").orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = dealt.select(F.col("source").alias("_source"), F.col("_deal").alias("_of"), F.coalesce(running, F.lit(0)).alias("_before"))
+    offsets = dealt.select(F.col("source").alias("_from"), F.col("_deal").alias("_of"), F.coalesce(running, F.lit(0)).alias("_before"))
     turns = pattern(shares(dealt.groupBy("source").agg(F.sum("n").alias("n")), weights, cycle))
     per_source = turns.groupBy("source").agg(F.first("parts").alias("parts"), F.first("cycle").alias("cycle"), F.array_sort(F.collect_list(F.struct("turn", "slot", "release", "deadline"))).alias("turns"))
     per_source = per_source.select(F.col("source").alias("_by"), "parts", "cycle", "turns")
 
-    df = docs.withColumn("_key", _digest(f"`{id_column}`")).withColumn("_deal", F.substring("_key", 1, DIGITS))
-    within = F.row_number().over(Window.partitionBy(f"`{source_column}`", "_deal").orderBy("_key", f"`{id_column}`"))
-    df = df.withColumn("_n", within)
-    df = df.join(offsets, F.col(f"`{source_column}`").eqNullSafe(F.col("_source")) & (F.col("_deal") == F.col("_of")))
+    df = rows.withColumn("_digest", _digest("_id")).withColumn("_deal", F.substring("_digest", 1, DIGITS))
+    df = df.withColumn("_n", F.row_number().over(Window.partitionBy("_source", "_deal").orderBy("_digest", "_id")))
+    df = df.join(offsets, F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_deal") == F.col("_of")))
     # as many rows as sources, each with its slots of one cycle
-    df = df.join(F.broadcast(per_source), F.col(f"`{source_column}`").eqNullSafe(F.col("_by")))
+    df = df.join(F.broadcast(per_source), F.col("_source").eqNullSafe(F.col("_by")))
     rank = (F.col("_before") + F.col("_n") - 1).cast("long")
     block = F.floor(rank / block_docs)
     round_, turn = F.floor(block / F.col("parts")), F.get("turns", (block % F.col("parts")).cast("int"))
     mix = F.struct(block.alias("block"), (rank % block_docs).alias("place"), (round_ * F.col("cycle") + turn.release).alias("release"), (round_ * F.col("cycle") + turn.deadline).alias("deadline"), (round_ * F.col("cycle") + turn.slot).alias("slot"))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("_mix"))
+    return df.select(*rows.columns, mix.alias("_mix"))
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
     """Where each document goes: id, source, block, place within it, release, deadline and slot."""
-    return placed(narrow(docs, id_column, source_column), weights, block_docs, cycle, id_column, source_column).select(f"`{id_column}`", f"`{source_column}`", "_mix.*")
+    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{source_column}`").alias("_source"))
+    return placed(rows, weights, block_docs, cycle).select(F.col("_id").alias(id_column), F.col("_source").alias(source_column), "_mix.*")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
     """The whole rows in the order of the schedule, over range partitions; columns as they were."""
-    return placed(docs, weights, block_docs, cycle, id_column, source_column).orderBy("_mix.slot", "_mix.place").drop("_mix")
+    rows = packed(docs, _id=F.col(f"`{id_column}`"), _source=F.col(f"`{source_column}`"))
+    return placed(rows, weights, block_docs, cycle).orderBy("_mix.slot", "_mix.place").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

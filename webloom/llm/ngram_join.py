@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from webloom.llm.components import components
 from webloom.llm.sieve import sieve_of
-from webloom.llm.tables import documents, narrow, stored
+from webloom.llm.tables import documents, narrow, packed, stored
 from webloom.llm.textarrays import Words, as_long, mix, slices, window_hashes, words_of
 
 WORDS = 3
@@ -338,10 +338,10 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_column: s
     """The rows that stand for their component: the one with its smallest id (one of them, if rows share that id). Rows without words all stay."""
     found = joined(docs, n, percent, id_column, text_column)
     stay = found.where(F.col(f"`{id_column}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_column}`").alias("_id"), (F.col("n_shingles") > 0).alias("_some")).distinct()
-    rows = docs.join(stay, F.col(f"`{id_column}`").eqNullSafe(F.col("_id"))).drop("_id")
     some = F.coalesce(F.regexp_like(F.col(f"`{text_column}`"), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
-    rows = rows.where(some == F.col("_some")).drop("_some")
-    return rows.where(some).dropDuplicates([id_column]).unionByName(rows.where(~some))
+    rows = packed(docs, _own=F.col(f"`{id_column}`"), _words=some)
+    rows = rows.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_some")))
+    return rows.where("_words").dropDuplicates(["_own"]).select("_row.*").unionByName(rows.where("NOT _words").select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.tables import documents, narrow, stored
+from webloom.llm.tables import documents, packed, stored
 from webloom.llm.textarrays import LETTERS, as_long, slices, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -247,16 +247,17 @@ def redact(text: str, terms: list[dict]) -> str:
 def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with sanitised texts; all other columns, and null texts, stay as they are."""
     _, terms = _figures(docs, id_column, text_column)
-    columns = docs.columns
     # no pattern matches without a digit or an at sign
     may = F.coalesce(F.col(f"`{text_column}`").rlike("[0-9@]"), F.lit(False))
-    rows = docs.where(may).withColumn("_key", F.xxhash64(f"`{text_column}`")).join(terms, "_key", "left").drop("_key")
+    rows = packed(docs.where(may), _key=F.xxhash64(f"`{text_column}`")).join(terms, "_key", "left").select("_row", "terms")
+    columns = docs.columns
     place = columns.index(text_column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([redact(t, x or []) for t, x in zip(batch.column(place).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:place], texts, *batch.columns[place + 1 : -1]], names=columns)
+            own = batch.column(0).flatten()
+            own[place] = pa.array([redact(t, x or []) for t, x in zip(own[place].to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(own, names=columns)
 
     return rows.mapInArrow(each, docs.schema).unionByName(docs.where(~may))
 

@@ -50,3 +50,8 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
 def crc_split(column: str, parts: int):
     """crc32(doc_id as text) mod parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """Whole rows as one column ``_row`` beside the named ones, so that no column of theirs can clash; ``select("_row.*")`` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[x.alias(name) for name, x in columns.items()])
