@@ -1,7 +1,56 @@
-"""Placeholder."""
-STAGES = []
+"""A corpus from raw documents to token ids, in five stages.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; what it
+returns is written as Parquet and read again as the next one's docs. All but the
+last return the columns of documents.
+
+1. language: documents without a letter, or that fit no known language, go.
+2. near_duplicates: of each group of documents alike (five-word shingles, similarity
+   0.8 or more) the one with the smallest id stays.
+3. personal_data: personal data and terms that give it away are taken out of texts.
+4. mix: rows are put in the order that gives each source its target share at any
+   point. All rows stay; the files and the rows within them are in this order.
+5. tokens: texts become token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.llm import bpe, language_id, mixing, ngram_join, pii
+from webloom.llm.tables import documents, stored
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.in_known_language(docs, language_id.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs, n=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.sanitised(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encoded(docs, ids=True)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("tokens", tokens)]
+
+#: Trained models and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
