@@ -1,7 +1,491 @@
-"""Queries over the web-page engine, by name, and the SQL that must give the same rows."""
+"""Queries over the web-page engine, by name, and the SQL that must give the same rows.
+
+Pages hold no tables, forms or structured data of their own; for these, rows of the relational
+tables are rendered as HTML and read back by the operator.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from webloom.functions import text as T
+from webloom.functions import urls as U
+from webloom.operators import pages as P
+from webloom.operators import policy
+from webloom.plans import nodes as N
+from webloom.sources import tables as S
+from webloom.streaming import state
+
+FLAGSHIP = "pages_by_host"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# SQL pieces ------------------------------------------------------------------------------------------
+
+ENTITIES = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+SQUEEZE = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _clean(x: str) -> str:
+    return SQUEEZE.format(x=ENTITIES.format(x=x))
+
+
+TITLE = _clean("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")
+H1 = _clean("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
+SQL_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
+SQL_ORIGIN = f"regexp_extract(url, '^([a-z]+)://', 1) || '://' || {SQL_HOST} || ':' || CASE WHEN url LIKE 'https:%' THEN '443' ELSE '80' END"
+SQL_LINKS = f"""
+SELECT page_id, i, regexp_extract(m, 'href="([^"]*)"', 1) AS href, {_clean("regexp_extract(m, '>(.*)</a>', 1, 's')")} AS text, url
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">.*?</a>')) AS m, unnest(range(len(regexp_extract_all(html, '<a href="[^"]*">.*?</a>')))) AS i FROM pages)
+"""
+SQL_RESOLVED = f"""
+SELECT page_id, text, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || {ENTITIES.format(x="href")} AS href, min(i) AS i
+FROM ({SQL_LINKS}) GROUP BY ALL"""
+
+
+# Pages ------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT host, count(*) AS pages, sum(links)::BIGINT AS links, count(DISTINCT lang) AS langs, max(title) AS last_title
+FROM (SELECT {SQL_HOST} AS host, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {TITLE} AS title,
+  (SELECT count(*) FROM ({SQL_RESOLVED}) l WHERE l.page_id = pages.page_id) AS links FROM pages) GROUP BY host""")
+def pages_by_host(spark, d):
+    pages = read(spark, d, "pages")
+    found = P.summary(pages).join(pages.select("page_id", U.host(F.col("url")).alias("host")), "page_id")
+    return found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("links").alias("links"), F.countDistinct("lang").alias("langs"), F.max("title").alias("last_title"))
+
+
+@query(f"SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def page_titles(spark, d):
+    return P.metadata(read(spark, d, "pages")).select("page_id", "title", "lang")
+
+
+@query(f"SELECT page_id, 1 AS level, {H1} AS text, '- ' || {H1} AS outline FROM pages")
+def heading_outline(spark, d):
+    pages = read(spark, d, "pages")
+    return P.headings(pages).select("page_id", "level", "text").join(P.outline(pages), "page_id")
+
+
+@query(f"SELECT page_id, text, href, true AS internal FROM ({SQL_RESOLVED})")
+def links_distinct(spark, d):
+    return P.links(read(spark, d, "pages")).select("page_id", "text", "href", "internal")
+
+
+@query(f"SELECT page_id, count(*) AS links FROM ({SQL_RESOLVED}) GROUP BY page_id")
+def links_per_page(spark, d):
+    return P.links(read(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(f"SELECT page_id, text, href FROM ({SQL_RESOLVED}) WHERE contains(lower(text), 'th') OR contains(lower(href), 'th')")
+def link_filter(spark, d):
+    return P.filtered_links(P.links(read(spark, d, "pages")), "TH", internal_only=True).select("page_id", "text", "href")
+
+
+@query(f"""SELECT page_id, {SQL_HOST} AS host, {SQL_ORIGIN} AS origin,
+  array_to_string(list_slice(string_split({SQL_HOST}, '.'), -2, -1), '.') AS site,
+  regexp_replace(url, '#.*$', '') AS normalised,
+  coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages""")
+def url_parts(spark, d):
+    url = F.col("url")
+    return read(spark, d, "pages").select("page_id", U.host(url).alias("host"), U.origin(url).alias("origin"), U.registrable_column(U.host(url)).alias("site"), U.normalised(url).alias("normalised"), U.request_path(url).alias("path"))
+
+
+@query("SELECT page_id, regexp_replace(url, '([?&]ref=)[^&#]*', '\\1x', 'g') AS url FROM (SELECT page_id, replace(url, 'utm_source=feed', 'token=REDACTED') AS url FROM pages)")
+def redacted_urls(spark, d):
+    return read(spark, d, "pages").select("page_id", U.redacted(F.regexp_replace("url", "utm_source=", "token=")).alias("url"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {SQL_ORIGIN} AS o, regexp_extract(url, '^([a-z]+)', 1) AS s,
+  array_to_string(list_slice(string_split({SQL_HOST}, '.'), -2, -1), '.') AS site FROM pages)
+SELECT a.page_id, CASE WHEN a.o = b.o THEN 'same-origin' WHEN a.site = b.site AND a.s = b.s THEN 'same-site' ELSE 'cross-site' END AS relation
+FROM p a JOIN p b ON b.page_id = a.page_id + 1""")
+def fetch_site(spark, d):
+    p = read(spark, d, "pages").select("page_id", "url")
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    return p.join(after, "page_id").select("page_id", U.fetch_site(F.col("url"), F.col("next")).alias("relation"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<!--'))::INT AS comments, 0 AS comments_kept FROM pages")
+def comments_stripped(spark, d):
+    return P.stripped(read(spark, d, "pages")).select("page_id", "comments", "comments_kept")
+
+
+@query("SELECT page_id, 2 AS hidden_elements FROM pages")
+def hidden_stripped(spark, d):
+    pages = read(spark, d, "pages")
+    marked = pages.withColumn("html", F.regexp_replace("html", '<div class="ad">', '<div class="ad" style="display: none"><i>x</i>'))
+    return P.stripped(marked).select("page_id", (F.col("elements") - F.col("kept")).alias("hidden_elements"))
+
+
+@query(f"""WITH t AS (SELECT page_id, {_clean("regexp_replace(regexp_extract(html, '<p>(.*?)(</p>|<p>|</article>)', 1, 's'), '<[^>]*>', ' ', 'g')")} AS x FROM pages)
+SELECT page_id, CASE WHEN length(x) <= 300 THEN x ELSE trim(substring(x, 1, 300)) || '…' END AS excerpt FROM t""")
+def first_paragraph(spark, d):
+    return P.summary(read(spark, d, "pages")).select("page_id", "excerpt")
+
+
+@query(f"""SELECT page_id, 'navigation' AS role, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href'))::INT AS links, 0 AS headings FROM pages
+UNION ALL SELECT page_id, 'contentinfo', 0, 0 FROM pages WHERE contains(html, '<footer>')""")
+def region_counts(spark, d):
+    return P.regions(read(spark, d, "pages")).select("page_id", "role", "links", "headings")
+
+
+@query("""SELECT page_id, tag, count(*) AS n, max(nth)::INT AS last_nth FROM (
+  SELECT page_id, 'li' AS tag, unnest(range(1, len(regexp_extract_all(html, '<li>')) + 1)) AS nth FROM pages
+  UNION ALL SELECT page_id, 'nav', unnest(range(1, len(regexp_extract_all(html, '<nav>')) + 1)) FROM pages) GROUP BY ALL""")
+def nth_of_type(spark, d):
+    n = N.nodes(read(spark, d, "pages")).where(F.col("tag").isin("li", "nav"))
+    return N.nth_of_type(n).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.max("nth").alias("last_nth"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href')) AS links FROM pages")
+def links_in_nav(spark, d):
+    """The innermost region of each link by a range join over node intervals."""
+    n = N.nodes(read(spark, d, "pages"))
+    found = N.within(n.where("tag = 'a'"), n.where("tag IN ('nav', 'article', 'footer')"))
+    nav = n.where("tag = 'nav'").select("page_id", F.col("pre").alias("outer_pre"))
+    return found.join(nav, ["page_id", "outer_pre"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("SELECT page_id, 'a' AS tag, 'ul' AS parent, len(regexp_extract_all(html, '<li><a href')) AS n FROM pages")
+def selector_match(spark, d):
+    found = P.select(read(spark, d, "pages"), "nav > ul > li:nth-child(n) a[href^='/']")
+    return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")).select("page_id", "tag", F.lit("ul").alias("parent"), "n")
+
+
+@query()
+def find_text(spark, d):
+    return P.find(read(spark, d, "pages"), "the", 10)
+
+
+@query(f"SELECT page_id, 0 AS index, {H1} AS heading_path FROM pages WHERE contains(html, '&middot;')")
+def find_heading_path(spark, d):
+    return P.find(read(spark, d, "pages"), "·", 10).select("page_id", "index", "heading_path")
+
+
+@query()
+def visible_text(spark, d):
+    return P.visible_text(read(spark, d, "pages"))
+
+
+@query()
+def read_markdown(spark, d):
+    return P.read(read(spark, d, "pages"))
+
+
+@query()
+def read_full(spark, d):
+    return P.read(read(spark, d, "pages"), mode="full")
+
+
+@query()
+def read_pages_in_chunks(spark, d):
+    return P.paginated(P.read(read(spark, d, "pages")), 300)
+
+
+@query("SELECT page_id, 'nav' AS tag, links FROM (SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href'))::INT AS links, '' AS x FROM pages)")
+def dup_blocks(spark, d):
+    pad = "<p>" + "word " * 60 + "</p>"
+    twice = F.regexp_replace("html", r"(?s)<nav>(.*?)</nav>", f"<nav>{pad}$1</nav><nav>{pad}$1</nav>")
+    return P.duplicate_blocks(read(spark, d, "pages").withColumn("html", twice)).select("page_id", "tag", "links")
+
+
+@query("SELECT page_id, 'x' AS root FROM pages WHERE false")
+def collections_on_pages(spark, d):
+    """Navigation and paragraphs are no records: nothing must be found."""
+    return P.collections(read(spark, d, "pages")).select("page_id", "root")
+
+
+# Rows rendered as HTML and read back -----------------------------------------------------------------
+
+
+def _rendered(df: DataFrame, key: str, order: str, item, head: str = "", tail: str = "") -> DataFrame:
+    """A page a key; items in order."""
+    rows = df.groupBy(F.col(key).cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("h")))).alias("l"))
+    return rows.select("page_id", F.lit("https://shop.example.com/list").alias("url"), F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x.h), ""), F.lit(tail)).alias("html"))
+
+
+def _brand():
+    return F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long")
+
+
+@query("SELECT p_partkey::VARCHAR AS partkey, p_name AS name, p_size::VARCHAR AS size FROM part")
+def table_roundtrip(spark, d):
+    part = read(spark, d, "part").withColumn("brand", _brand())
+    cells = F.concat(*[x for c in ("p_partkey", "p_name", "p_size") for x in (F.lit("<td>"), F.col(c).cast("string"))])
+    page = _rendered(part, "brand", "p_partkey", F.concat(F.lit("<tr>"), cells), "<table><caption>Parts</caption><thead><tr><th>key<th>name<th>size</thead>", "</table>")
+    rows = P.tables(page).where((F.col("caption") == "Parts") & (F.col("headers") == F.array(F.lit("key"), F.lit("name"), F.lit("size")))).select(F.explode("rows").alias("r"))
+    return rows.select(*[F.get("r", i).alias(n) for i, n in enumerate(("partkey", "name", "size"))])
+
+
+@query("SELECT n_regionkey::VARCHAR AS region, n_name AS nation, n_regionkey::BIGINT AS page_id FROM nation")
+def table_rowspan(spark, d):
+    nation = read(spark, d, "nation")
+    first = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) == 1
+    size = F.count(F.lit(1)).over(Window.partitionBy("n_regionkey"))
+    item = F.concat(F.lit("<tr>"), F.when(F.col("first"), F.concat(F.lit('<td rowspan="'), F.col("size"), F.lit('">'), F.col("n_regionkey"), F.lit("</td>"))).otherwise(""), F.lit("<td>"), F.col("n_name"), F.lit("</td></tr>"))
+    page = _rendered(nation.withColumn("first", first).withColumn("size", size), "n_regionkey", "n_nationkey", item, "<table>", "</table>")
+    return P.tables(page).select("page_id", F.explode("rows").alias("r")).select(F.get("r", 0).alias("region"), F.get("r", 1).alias("nation"), "page_id")
+
+
+@query("SELECT s_suppkey::VARCHAR AS sku, s_name AS name, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE s_nationkey::VARCHAR END AS nation FROM supplier")
+def records_roundtrip(spark, d):
+    s = read(spark, d, "supplier").withColumn("page", F.floor(F.col("s_suppkey") / 50))
+    item = F.concat(F.lit('<li class="product"><h2 class="name">'), "s_name", F.lit('</h2><a class="buy" data-sku="'), F.col("s_suppkey"), F.lit('" href="/x">buy</a>'), F.when(F.col("s_nationkey") % 3 != 0, F.concat(F.lit('<span class="nation">'), F.col("s_nationkey"), F.lit("</span>"))).otherwise(""))
+    found = P.records(_rendered(s, "page", "s_suppkey", item, "<ul>", "</ul>"), "li.product", {"name": ".name", "sku": "a.buy@data-sku", "nation": ".nation"})
+    r = lambda k: F.try_element_at("record", F.lit(k)).alias(k)
+    return found.select(r("sku"), r("name"), r("nation"))
+
+
+@query("SELECT floor(s_suppkey / 50)::BIGINT AS page_id, 'li.product' AS root, count(*)::INT AS count, 'main' AS region FROM supplier GROUP BY ALL HAVING count(*) >= 3")
+def collections_detect(spark, d):
+    s = read(spark, d, "supplier").withColumn("page", F.floor(F.col("s_suppkey") / 50))
+    item = F.concat(F.lit('<li class="product"><h2 class="name">'), "s_name", F.lit('</h2><span class="balance">'), F.col("s_acctbal"), F.lit("</span></li>"))
+    return P.collections(_rendered(s, "page", "s_suppkey", item, "<main><ul>", "</ul></main>")).select("page_id", "root", "count", "region")
+
+
+@query("SELECT p_partkey::BIGINT AS partkey, p_name AS name FROM part")
+def jsonld_roundtrip(spark, d):
+    part = read(spark, d, "part").withColumn("brand", _brand())
+    item = F.concat(F.lit('<script type="application/ld+json">{"@graph":['), F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("p_partkey").alias("sku"), F.col("p_name").alias("name"))), F.lit("]}</script>"))
+    found = P.json_ld(_rendered(part, "brand", "p_partkey", item, '<script type="application/ld+json">{broken</script>'))
+    items = F.from_json("item", "sku long, name string")
+    return found.select(items.alias("x")).select(F.col("x.sku").alias("partkey"), F.col("x.name").alias("name"))
+
+
+@query("SELECT c_custkey::VARCHAR AS custkey, c_name AS name, c_mktsegment AS segment FROM customer")
+def microdata_roundtrip(spark, d):
+    c = read(spark, d, "customer").withColumn("page", F.floor(F.col("c_custkey") / 100))
+    item = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Person"><meta itemprop="sku" content="'), F.col("c_custkey"), F.lit('"><b itemprop="name">'), "c_name", F.lit('</b><div itemprop="group" itemscope><i itemprop="label">'), "c_mktsegment", F.lit("</i></div></div>"))
+    found = P.microdata(_rendered(c, "page", "c_custkey", item))
+    x = F.from_json("properties", "sku array<string>, name array<string>, `group` array<struct<properties:struct<label:array<string>>>>")
+    return found.select(x.alias("x")).select(F.get("x.sku", 0).alias("custkey"), F.get("x.name", 0).alias("name"), F.get(F.get("x.group", 0).properties.label, 0).alias("segment"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS checked, o_orderpriority AS priority FROM orders")
+def forms_roundtrip(spark, d):
+    o = read(spark, d, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 200))
+    item = F.concat(F.lit('<form method="post" action="/order"><input name="key" value="'), F.col("o_orderkey"), F.lit('"><input type="checkbox" name="done" value="'), "o_orderstatus", F.lit('"'), F.when(F.col("o_orderstatus") == "F", " checked").otherwise(""), F.lit('><select name="p"><option>'), "o_orderpriority", F.lit("</select></form>"))
+    found = P.forms(_rendered(o, "page", "o_orderkey", item)).where("method = 'POST' AND action = 'https://shop.example.com/order'")
+    f = lambda i, name: F.get("fields", i)[name]
+    return found.select(f(0, "value").alias("orderkey"), f(1, "value").alias("status"), f(1, "checked").alias("checked"), F.get(f(2, "options"), 0).alias("priority"))
+
+
+@query("SELECT n_name AS text, CASE WHEN n_nationkey % 2 = 0 THEN 'tab' ELSE 'button' END AS kind, n_nationkey % 3 = 0 AS disabled FROM nation")
+def controls_roundtrip(spark, d):
+    item = F.concat(F.lit("<button"), F.when(F.col("n_nationkey") % 2 == 0, ' role="tab"').otherwise(""), F.when(F.col("n_nationkey") % 3 == 0, " disabled").otherwise(""), F.lit(">"), "n_name", F.lit("</button>"))
+    return P.controls(_rendered(read(spark, d, "nation"), "n_regionkey", "n_nationkey", item)).select("text", "kind", "disabled")
+
+
+@query("SELECT p_partkey::BIGINT AS page_id, 'https://shop.example.com/i/' || p_partkey AS src, p_name AS alt FROM part")
+def images_roundtrip(spark, d):
+    item = F.concat(F.lit('<img alt="'), "p_name", F.lit('" src="i/'), F.col("p_partkey"), F.lit('"><img alt="none">'))
+    return P.images(_rendered(read(spark, d, "part"), "p_partkey", "p_partkey", item)).select("page_id", "src", "alt")
+
+
+# Texts ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE (length(text) + 3) // 4 END AS tokens FROM documents")
+def token_estimates(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.estimate_column(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, replace(text, '\n', ' ') || ' [image: a b — http://x/' || doc_id || '] [image: http://y] [image: c] [image]' AS text FROM documents")
+def defang_images(spark, d):
+    added = F.concat(F.regexp_replace("text", "\n", " "), F.lit(" ![a b](http://x/"), F.col("doc_id"), F.lit(' "t") ![](http://y) ![c]() ![]()'))
+    return read(spark, d, "documents").select("doc_id", T.defang_column(added).alias("text"))
+
+
+@query()
+def paginate_docs(spark, d):
+    return P.paginated(read(spark, d, "documents"), 200, "doc_id", "text").select("doc_id", "chunk", "chunks", "content")
+
+
+# Sites ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {SQL_HOST} AS host, replace(url, '&amp;', '&') AS loc, page_id::VARCHAR AS lastmod FROM pages")
+def sitemap_locs(spark, d):
+    p = read(spark, d, "pages").withColumn("host", U.host(F.col("url")))
+    item = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "&", "&amp;"), F.lit("</loc><lastmod>"), F.col("page_id"), F.lit("</lastmod></url>"))
+    xml = p.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("x")).select("host", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</urlset>")).alias("xml"))
+    return S.sitemap_locs(xml, "host", "xml").select("host", "loc", "lastmod")
+
+
+ROBOTS = "# rules\nUser-agent: *\nDisallow: /en/\nAllow: /en/*1\nDisallow: /*.html$\nDisallow:\nCrawl-delay: 5\n\nUser-agent: other\nDisallow: /\n"
+
+
+@query("""SELECT DISTINCT site, path, CASE
+  WHEN regexp_matches(path, '^/en/.*1') THEN NOT regexp_matches(path, '^/.*\\.html$') OR length('/en/*1') >= length('/*.html$')
+  WHEN regexp_matches(path, '^/.*\\.html$') THEN false WHEN path LIKE '/en/%' THEN false ELSE true END AS allowed
+FROM (SELECT {h} AS site, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages)""".replace("{h}", SQL_HOST))
+def robots_allowed(spark, d):
+    paths = read(spark, d, "pages").select(U.host(F.col("url")).alias("site"), U.request_path(F.col("url")).alias("path")).distinct()
+    files = paths.select("site").distinct().withColumn("robots", F.lit(ROBOTS))
+    return policy.robots_decision(paths, S.robots_rules(files, "site", "robots"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON b.page_id IN (a.page_id * 2, a.page_id * 2 + 1) AND b.page_id <> a.page_id),
+r AS (SELECT 1::BIGINT AS page_id, 0 AS depth UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.page_id WHERE r.depth < 4)
+SELECT page_id, min(depth)::INT AS depth FROM r GROUP BY page_id""")
+def site_map_bfs(spark, d):
+    """The frontier of a crawl, level by level: a recursive join that stops at a depth."""
+    p = read(spark, d, "pages").select("page_id")
+    p.select(F.col("page_id").alias("a")).createOrReplaceTempView("_vertices")
+    return spark.sql("""
+      WITH RECURSIVE edges AS (SELECT v.a AS a, w.a AS b FROM _vertices v JOIN _vertices w ON v.a = w.a DIV 2 AND v.a <> w.a),
+      reached(page_id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT e.b, r.depth + 1 FROM reached r JOIN edges e ON e.a = r.page_id WHERE r.depth < 4)
+      SELECT page_id, min(depth) AS depth FROM reached GROUP BY page_id""")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, 0 AS place, n_name AS title, 'https://x/' || n_nationkey AS url FROM nation")
+def search_results(spark, d):
+    n = read(spark, d, "nation")
+    raw = F.to_json(F.struct(F.array(F.struct(F.lit("no address").alias("title"), F.lit("").alias("url")), F.struct(F.col("n_name").alias("title"), F.concat(F.lit("https://x/"), F.col("n_nationkey")).alias("url"))).alias("results")))
+    return S.search_results(n.select(F.col("n_nationkey").cast("long").alias("id"), raw.alias("raw")), "id", "raw").select("id", "place", "title", "url")
+
+
+@query("SELECT p_partkey::BIGINT AS id, p_name AS title, 'https://x/' || p_partkey AS link, '2024-03-05' AS date, p_type || ' & more' AS summary FROM part")
+def feed_roundtrip(spark, d):
+    item = F.concat(F.lit("<rss><channel><title>T</title><item><title>"), "p_name", F.lit("</title><link>https://x/"), F.col("p_partkey"), F.lit("</link><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate><description>&lt;b&gt;"), "p_type", F.lit("&lt;/b&gt; &amp;amp; more</description></item></channel></rss>"))
+    return S.feed_items(read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), item.alias("raw")), "id", "raw").select("id", "title", "link", "date", "summary")
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'json' WHEN 3 THEN 'text' WHEN 4 THEN 'image' ELSE 'binary' END AS kind FROM pages")
+def classify_kind(spark, d):
+    types = F.array(*map(F.lit, ("text/html; charset=utf-8", "", "application/vnd.api+json", "image/svg+xml", "image/png", "application/x-thing")))
+    df = read(spark, d, "pages").select("page_id", F.get(types, (F.col("page_id") % 6).cast("int")).alias("type"), "html")
+    return S.kinds(df, "page_id", "type", "html")
+
+
+# Policies -------------------------------------------------------------------------------------------
+
+
+def _rules(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(i, i, p, a, policy.filter_regex(f), t, dom, third) for i, (p, a, f, t, dom, third) in enumerate(rows)], "rule_id long, place long, priority int, action string, regex string, types array<string>, domains array<string>, third_party boolean")
+
+
+@query("""SELECT page_id AS request_id,
+  CASE WHEN url LIKE '%.example.org/%' AND url LIKE '%/en/%' THEN 'allow' WHEN url LIKE '%.example.org/%' THEN 'block' WHEN regexp_matches(url, 'utm_source=feed([^A-Za-z0-9_.%-]|$)') THEN 'redirect' ELSE 'none' END AS action
+FROM pages""")
+def rule_decision(spark, d):
+    rules = _rules(spark, d, [(1, "block", "||example.org^", [], [], None), (1, "allow", "||example.org/en/", ["main"], [], None), (1, "redirect", "utm_source=feed^", [], [], True), (9, "block", "||example.org^", ["image"], [], None)])
+    requests = read(spark, d, "pages").select(F.col("page_id").alias("request_id"), "url", F.lit("https://start.test/").alias("initiator"), F.lit("main").alias("type"))
+    return policy.decide(requests, rules).select("request_id", "action")
+
+
+@query("SELECT page_id, url LIKE '%://%.example.com/en/%' AS matched FROM pages")
+def match_pattern(spark, d):
+    return read(spark, d, "pages").select("page_id", F.col("url").rlike(policy.match_pattern_regex("*://*.example.com/en/*").replace("$", "(?:#.*)?$")).alias("matched"))
+
+
+@query("""SELECT page_id, '10.' || page_id % 256 || '.0.1' AS a, true AS a_blocked, '100.' || page_id % 256 || '.3.4' AS b, page_id % 256 BETWEEN 64 AND 127 AS b_blocked FROM pages""")
+def blocked_addresses(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("10."), F.col("page_id") % 256, F.lit(".0.1")).alias("a"), F.concat(F.lit("100."), F.col("page_id") % 256, F.lit(".3.4")).alias("b"))
+    return p.select("page_id", "a", U.blocked_address(F.col("a")).alias("a_blocked"), "b", U.blocked_address(F.col("b")).alias("b_blocked"))
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS holds FROM pages")
+def integrity(spark, d):
+    digest = F.base64(F.unhex(F.sha2(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise("x"), 384)))
+    df = read(spark, d, "pages").select("page_id", "html", F.concat(F.lit("sha256-AAAA sha384-"), digest).alias("i"))
+    return df.select("page_id", policy.integrity_holds(F.col("html"), F.col("i")).alias("holds"))
+
+
+@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN true WHEN 1 THEN {SQL_ORIGIN} LIKE 'https://www.%' ELSE false END AS allowed FROM pages")
+def cross_origin(spark, d):
+    k, origin = F.col("page_id") % 3, U.origin(F.col("url"))
+    header = F.when(k == 0, "*").when(k == 1, F.when(origin.startswith("https://www."), origin).otherwise("https://other:443")).otherwise("*")
+    return read(spark, d, "pages").select("page_id", policy.cors_allows(origin, header, k == 2, F.lit("true")).alias("allowed"))
+
+
+# Time -----------------------------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, session::BIGINT AS session, count(*) AS events, epoch_us(max(ts)) - epoch_us(min(ts)) AS lasted FROM s GROUP BY ALL""")
+def session_islands(spark, d):
+    s = state.sessions(read(spark, d, "events"))
+    return s.select("user_id", "session", "events", (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))).alias("lasted"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT *, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, t, 'miss' AS label, t AS stored FROM n WHERE k = 1
+  UNION ALL SELECT n.user_id, n.event_id, n.k, n.t, CASE WHEN n.t - r.stored >= 36000 THEN 'miss' WHEN n.t - r.stored < 3600 THEN 'hit' ELSE 'stale' END,
+    CASE WHEN n.t - r.stored < 3600 THEN r.stored ELSE n.t END FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT event_id, user_id, label FROM r""")
+def cache_labels(spark, d):
+    return state.cache_labels(read(spark, d, "events"), ttl=3600, stale=36000)
+
+
+@query("""WITH RECURSIVE n AS (SELECT *, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, t, 2.0::DOUBLE AS left_, true AS passes FROM n WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, t, full_ - (full_ >= 1 - 1e-9)::INT, full_ >= 1 - 1e-9 FROM (
+    SELECT n.user_id, n.event_id, n.k, n.t, least(3.0, r.left_ + (n.t - r.t) / 36000.0) AS full_ FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1))
+SELECT event_id, user_id, passes FROM r""")
+def rate_limit(spark, d):
+    return state.rate_limited(read(spark, d, "events"), rate=1 / 36000)
+
+
+@query()
+def session_history(spark, d):
+    move = F.when(F.col("event_type") == "error", "back").when(F.col("event_type") == "view", "forward").otherwise("visit")
+    return state.history(read(spark, d, "events").withColumn("move", move))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    return state.windowed(read(spark, d, "events")).select(F.date_format("started", "yyyy-MM-dd HH").alias("started"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Plain relational work over the other tables: engine smoke queries, no operators of the page engine -----
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def smoke_aggregate(spark, d):
+    li = read(spark, d, "lineitem").where("l_shipdate <= TIMESTAMP'1998-09-02 00:00:00'")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY n_name")
+def smoke_joins(spark, d):
+    big = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    o = read(spark, d, "orders").join(big, "o_orderkey", "left_semi")
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def smoke_cube(spark, d):
+    return read(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+def smoke_top_k(spark, d):
+    return policy.top_k(read(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_nationkey AS key FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
+def smoke_except(spark, d):
+    rich = read(spark, d, "supplier").where("s_acctbal > 9000").select("s_nationkey")
+    return read(spark, d, "customer").select(F.col("c_nationkey").alias("key")).subtract(rich)
