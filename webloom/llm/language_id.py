@@ -42,6 +42,7 @@ LEAST_COUNT = 3
 RATIO = 3.0
 MOST_LANGUAGES = 4096
 LEAST_FIT = 0.3
+SLICE_BYTES = 512 << 10
 
 _SPACE = 0x20
 _STOP = 0x0A
@@ -178,7 +179,7 @@ def train(labelled: DataFrame, text_column: str = "text", language_column: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 of = np.array([index[x] for x in batch.column(1).to_pylist()])
                 found, docs, _ = grams(batch.column(0).to_pylist(), sizes)
                 gram, lang = np.concatenate(found), of[np.concatenate(docs)]
@@ -205,7 +206,7 @@ def predicted(docs: DataFrame, model: BitmaskFilter, sizes: tuple[int, ...] = SI
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_column, 4 << 20):
+            for batch in slices(whole, text_column, SLICE_BYTES):
                 names, score, fit = sent.value.decide([t or "" for t in batch.column(0).to_pylist()], sizes)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(fit)], names=[*batch.schema.names[1:], "lang_pred", "score", "fit"])
 
@@ -220,7 +221,7 @@ def in_known_language(docs: DataFrame, model: BitmaskFilter, least_fit: float =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[place], 4 << 20):
+            for batch in slices(whole, whole.schema.names[place], SLICE_BYTES):
                 names, _, fit = sent.value.decide([t or "" for t in batch.column(place).to_pylist()], sizes)
                 yield batch.filter(pa.array([x != NONE and y >= least_fit for x, y in zip(names, fit, strict=True)], pa.bool_()))
 
