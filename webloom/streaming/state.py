@@ -65,8 +65,8 @@ def rate_limited(events: DataFrame, key: str = "user_id", ts: str = "ts", rate:
     return events.select("event_id", key, ts).groupBy(key).applyInPandas(fold, f"event_id long, `{key}` {events.schema[key].dataType.simpleString()}, passes boolean")
 
 
-def rate_limited_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 1 / 3600, burst: float = 3, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream: a bucket a key is the state; one that is idle for an hour is full again and goes."""
+def rate_limited_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 1 / 3600, burst: float = 3, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The same over a stream: a bucket a key is the state; one that is idle for an hour is full again and goes (None: all stay)."""
     kind = events.schema[key].dataType.simpleString()
 
     def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -77,15 +77,17 @@ def rate_limited_stream(events: DataFrame, key: str = "user_id", ts: str = "ts",
         frame = pd.concat(list(frames)).sort_values([ts, "event_id"])
         passes = [bucket.take(t.timestamp()) for t in frame[ts]]
         state.update((bucket.tokens, bucket.at))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"event_id": frame["event_id"], key: frame[key], "passes": passes})
 
-    return events.select("event_id", key, ts).groupBy(key).applyInPandasWithState(fold, f"event_id long, `{key}` {kind}, passes boolean", "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select("event_id", key, ts).groupBy(key).applyInPandasWithState(fold, f"event_id long, `{key}` {kind}, passes boolean", "tokens double, at double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed(events: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by tumbling window and type; on a stream, rows later than ``late`` are left out."""
-    dated = events.withWatermark(ts, late) if events.isStreaming else events
+    dated = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    dated = dated.withWatermark(ts, late) if events.isStreaming else dated
     return dated.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("started"), "event_type", "n", "total")
 
 
