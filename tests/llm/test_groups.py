@@ -192,3 +192,17 @@ def test_pipeline(spark):
         else:
             assert sorted(r.doc_id for r in now) == sorted(before)
         at = after
+
+
+def test_packed_sets_and_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 500):
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        assert (ngram_join.unpack_set(ngram_join.pack_set(h)) == h >> np.uint64(16)).all()
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 1 << 48, 120).astype(np.uint64))
+        a, b = (np.sort(rng.permutation(pool)[: rng.integers(90, len(pool) + 1)]) for _ in range(2))
+        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        assert ngram_join.similar(a, b, 80) == (100 * both >= 80 * either)

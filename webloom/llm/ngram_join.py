@@ -41,7 +41,9 @@ WORDS = 3
 PERCENT = 90
 MOST_FREQUENT = 1 << 19
 FLUSH = 2 << 20
-BUCKET_CHARS = 32 << 20
+BUCKET_CHARS = 4 << 20
+SLICE_BYTES = 2 << 20
+END_BITS = 24
 FREQUENCY_BITS = 40
 SUFFIX_BINS = 16
 HUB_GROWTH = 4
@@ -88,7 +90,7 @@ def _fresh_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.
     """(hash, text, vertex, size) of the sets that are new to this task, batch by batch; texts are numbered anew."""
     seen: set = set()
     for whole in batches:
-        for batch in slices(whole, "_text"):
+        for batch in slices(whole, "_text", SLICE_BYTES):
             words = words_of(batch.column(0), lower=True)
             h, d = sets_of(words, n)
             vertex, size = vertex_of(h, d, words.n_docs)
@@ -156,6 +158,22 @@ def frequencies(docs: DataFrame, text_column: str, n: int, buckets: int) -> Data
     return sent.groupBy("bucket").applyInArrow(add, "gram long, df long")
 
 
+def pack_set(h: np.ndarray) -> bytes:
+    """An ascending set, 48 bits a member, as differences of five bytes (eight if one is too large)."""
+    steps = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
+    if len(steps) and steps.max() >= 1 << 40:
+        return b"8" + steps.astype("<u8").tobytes()
+    return b"5" + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"8":
+        return np.cumsum(np.frombuffer(raw, "<u8", offset=1), dtype=np.uint64)
+    wide = np.zeros(((len(raw) - 1) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 5)
+    return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
 class Order:
     """Frequent n-grams and their frequencies; sorts sets rare-first."""
 
@@ -203,14 +221,14 @@ def _prefixes(h: np.ndarray, d: np.ndarray, size: np.ndarray, order: Order, perc
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
-    """Whether two ascending sets reach the similarity; the suffix filter goes first.
+    """Whether two ascending sets of 48-bit members reach the similarity; the suffix filter goes first.
 
     Numbers fall into bins by their first bits; differences of bin sizes add up to a
     bound of how many members the sets do not share.
     """
     total = len(left) + len(right)
     need = -(-percent * total // (100 + percent))  # least intersection
-    bins = np.uint64(1) << np.uint64(60)
+    bins = np.uint64(1) << np.uint64(44)
     edges = np.arange(1, SUFFIX_BINS, dtype=np.uint64) * bins
     sizes = [np.diff(np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))) for s in (left, right)]
     if np.abs(sizes[0] - sizes[1]).sum() > total - 2 * need:
@@ -222,14 +240,22 @@ def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    a = sets.select(F.col("v").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("v").alias("b"), F.col("grams").alias("gb"))
+    """The pairs (a, b) that are similar. Only sets of vertices that may be in a pair are dealt out, each once."""
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b"))
+    sieve = pairs.sparkSession.sparkContext.broadcast(sieve_of(ends, "v", END_BITS))  # of fixed size
+
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+            yield batch.filter(pa.array(sieve.value.passes(v)))
+
+    near = sets.mapInArrow(asked_for, "v long, grams binary").groupBy("v").agg(F.first("grams").alias("grams"))
+    a = near.select(F.col("v").alias("a"), F.col("grams").alias("ga"))
+    b = near.select(F.col("v").alias("b"), F.col("grams").alias("gb"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ga, gb = batch.column(2), batch.column(3)
-            fine = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(ga, gb, strict=True)]
+            fine = [similar(unpack_set(x.as_py()), unpack_set(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(each, "a long, b long")
@@ -279,7 +305,7 @@ def _vertices(docs: DataFrame, n: int, id_column: str, text_column: str) -> Data
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE_BYTES):
                 words = words_of(batch.column(0), lower=True)
                 h, d = sets_of(words, n)
                 vertex, size = vertex_of(h, d, words.n_docs)
@@ -317,15 +343,14 @@ def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_column: s
             cut = pa.array(np.searchsorted(doc[may], np.arange(len(vertex) + 1)), pa.int32())
             bounds = np.concatenate(([0], np.cumsum(size)))
             has = np.diff(cut.to_numpy()) > 0
-            raw = pa.array([h[a:b].tobytes() if k else None for a, b, k in zip(bounds[:-1], bounds[1:], has, strict=True)], pa.binary())
+            raw = pa.array([pack_set(h[a:b]) if k else None for a, b, k in zip(bounds[:-1], bounds[1:], has, strict=True)], pa.binary())
             out = pa.RecordBatch.from_arrays([pa.array(as_long(vertex)), pa.array(size, pa.int64()), raw, pa.ListArray.from_arrays(cut, pa.array(as_long(gram[may]))), pa.ListArray.from_arrays(cut, pa.array(place[may], pa.int64()))], names=["v", "n", "grams", "prefix", "places"])
             yield out.filter(pa.array(has))
 
     found = stored(_texts(docs, text_column).mapInArrow(candidates, "v long, n long, grams binary, prefix array<long>, places array<long>"), "sets")
-    sets = found.select("v", "grams").dropDuplicates(["v"])
     lists = found.select("v", "n", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), "v", "n", F.col("x.places").alias("place"))
     lists = lists.dropDuplicates(["gram", "v"]).join(shared, "gram", "left_semi")
-    linked = links(lists, stored(sets, "distinct-sets"), percent)
+    linked = links(lists, found.select("v", "grams"), percent)
     classes = vertices.where("n_shingles > 0").groupBy("v").agg(F.min(f"`{id_column}`").alias("least")).join(linked, "v", "left").select("v", "least", F.coalesce("c", "v").alias("c"))
     smallest = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "c").select("v", "component_id")
