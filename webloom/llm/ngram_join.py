@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from webloom.llm.components import components
 from webloom.llm.sieve import sieve_of
-from webloom.llm.tables import documents, narrow, packed, stored
+from webloom.llm.tables import documents, narrow, packed, small_batches, stored
 from webloom.llm.textarrays import Words, as_long, mix, slices, window_hashes, words_of
 
 WORDS = 3
@@ -329,7 +329,12 @@ def _tally_prefixes(docs: DataFrame, text_column: str, n: int, percent: int, ord
 
 def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a row: id, n_shingles, component_id."""
-    docs = narrow(docs, id_column, text_column)
+    # sets are rows of a few kilobytes; all Python stages end within
+    with small_batches(docs.sparkSession):
+        return _joined(narrow(docs, id_column, text_column), n, percent, id_column, text_column)
+
+
+def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str) -> DataFrame:
     spark = docs.sparkSession
     vertices = stored(_vertices(docs, n, id_column, text_column), "vertices")
     order = spark.sparkContext.broadcast(order_of(docs, text_column, n))  # at most MOST_FREQUENT entries
