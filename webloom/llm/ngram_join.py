@@ -10,7 +10,7 @@
 4. Candidates. Sets that share a prefix n-gram are compared with hubs of its list: one hub, then 4, 16
    and so on, those with most links first, until all that are left belong together.
    Length and positional filters come before a pair is made, the suffix filter
-   before it is verified, and no pair is verified twice. Pairs that are
+   before its sets are fetched, and no pair is verified twice. Pairs that are
    connected already need no verification, so no group is ever paired in full
    unless its members are all unlike each other.
 5. Components of the verified links.
@@ -268,8 +268,22 @@ def _may_be_similar(percent: int) -> Column:
     return (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (most >= need)
 
 
-def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(v, c) of all vertices that are linked with another. ``lists``: (gram, v, n, place) of shared prefix n-grams."""
+def bins_of(h: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
+    """How many members of each set fall into each bin of their first bits."""
+    return np.bincount(d * SUFFIX_BINS + (h >> np.uint64(60)).astype(np.int64), minlength=n_docs * SUFFIX_BINS).reshape(n_docs, SUFFIX_BINS)
+
+
+def _suffix_filtered(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bins do not differ by more than similar sets' may: what is not shared is at least the sum of the differences."""
+    side = lambda v, n, bins: sizes.select(F.col("v").alias(v), F.col("n").alias(n), F.col("bins").alias(bins))
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    both = pairs.join(side("a", "na", "ba"), "a").join(side("b", "nb", "bb"), "b")
+    return both.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
+
+
+def links(lists: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(v, c) of all vertices that are linked with another. ``lists``: (gram, v, n, place) of shared prefix n-grams; ``sizes``: (v, n, bins)."""
     spark = lists.sparkSession
     labels = spark.createDataFrame([], "v long, c long, links long")
     done = spark.createDataFrame([], "a long, b long")
@@ -286,7 +300,7 @@ def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         hub = stored(lists.withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs).select("gram", F.col("v").alias("hub"), F.col("n").alias("hn"), F.col("place").alias("hplace"), F.col("c").alias("hc"), "k"), "hubs")
         pairs = lists.join(hub.drop("k"), "gram").where((F.col("c") != F.col("hc")) & _may_be_similar(percent))
         pairs = pairs.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(_suffix_filtered(pairs, sizes, percent), "pairs")
         fresh = stored(_verified(pairs, sets, percent), "links")
         done = done.union(pairs)
         lists = lists.join(hub.select("gram", F.col("hub").alias("v")), ["gram", "v"], "left_anti").select("gram", "v", "n", "place")
@@ -349,13 +363,15 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
             bounds = np.concatenate(([0], np.cumsum(size)))
             has = np.diff(cut.to_numpy()) > 0
             raw = pa.array([pack_set(h[a:b]) if k else None for a, b, k in zip(bounds[:-1], bounds[1:], has, strict=True)], pa.binary())
-            out = pa.RecordBatch.from_arrays([pa.array(as_long(vertex)), pa.array(size, pa.int64()), raw, pa.ListArray.from_arrays(cut, pa.array(as_long(gram[may]))), pa.ListArray.from_arrays(cut, pa.array(place[may], pa.int64()))], names=["v", "n", "grams", "prefix", "places"])
+            bins = pa.FixedSizeListArray.from_arrays(pa.array(bins_of(h, d, len(vertex)).reshape(-1), pa.int32()), SUFFIX_BINS).cast(pa.list_(pa.int32()))
+            out = pa.RecordBatch.from_arrays([pa.array(as_long(vertex)), pa.array(size, pa.int64()), raw, bins, pa.ListArray.from_arrays(cut, pa.array(as_long(gram[may]))), pa.ListArray.from_arrays(cut, pa.array(place[may], pa.int64()))], names=["v", "n", "grams", "bins", "prefix", "places"])
             yield out.filter(pa.array(has))
 
-    found = stored(_texts(docs, text_column).mapInArrow(candidates, "v long, n long, grams binary, prefix array<long>, places array<long>"), "sets")
+    found = stored(_texts(docs, text_column).mapInArrow(candidates, "v long, n long, grams binary, bins array<int>, prefix array<long>, places array<long>"), "sets")
+    sizes = stored(found.groupBy("v").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "sizes")
     lists = found.select("v", "n", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), "v", "n", F.col("x.places").alias("place"))
     lists = lists.dropDuplicates(["gram", "v"]).join(shared, "gram", "left_semi")
-    linked = links(lists, found.select("v", "grams"), percent)
+    linked = links(lists, found.select("v", "grams"), sizes, percent)
     classes = vertices.where("n_shingles > 0").groupBy("v").agg(F.min(f"`{id_column}`").alias("least")).join(linked, "v", "left").select("v", "least", F.coalesce("c", "v").alias("c"))
     smallest = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "c").select("v", "component_id")
