@@ -211,6 +211,36 @@ def test_language_model(docs, rows, most_words):
     assert all(r.score < 0 for r in got)
 
 
+def test_language_model_counts_all_words_and_pairs(spark):
+    """Whatever the bounds on what is broadcast, scores are those of all words and pairs, once-seen ones too."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(0, 60)) % 400) for _ in range(120)]
+    train, words, pairs = texts[:100], Counter(), Counter()
+    for x in train:
+        w = [*x.split(), None]
+        words.update(w)
+        pairs.update(zip(w, w[1:]))
+    level = lambda n: 1 + int(np.floor(np.log2(n) * 2 + 1e-9))
+    least = lambda n: float(np.ceil(2 ** ((level(n) - 1) / 2) - 1e-9)) if n else 0.0
+    total = sum(least(n) + 0.1 for n in words.values()) + 0.1
+    want = []
+    for i, x in enumerate(texts):
+        w, s = [*x.split(), None], 0.0
+        for k, v in enumerate(w):
+            p = (least(words[v]) + 0.1) / total
+            if k and words[w[k - 1]]:
+                p = 0.5 * min(least(pairs[w[k - 1], v]) / 2 ** (level(words[w[k - 1]]) / 2), 1) + 0.5 * p
+            s += log10(p)
+        want.append((i, round(s, 5)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for most_words, most_pairs in ((1 << 20, 60), (40, 60), (40, 1 << 21), (0, 0)):
+        model, table = lm_scoring.train(df.where("doc_id < 100"), most_words=most_words, most_pairs=most_pairs)
+        got = sorted((r.doc_id, r.score) for r in lm_scoring.scored(df, model, table).collect())
+        # a false hit of the filter raises a score now and then, nothing lowers one
+        assert all(a[1] >= b[1] - 1e-4 for a, b in zip(got, want, strict=True))
+        assert sum(abs(a[1] - b[1]) < 1e-4 for a, b in zip(got, want, strict=True)) >= 100
+
+
 def test_probabilities_sum_to_one_at_most(docs):
     df = docs.select("doc_id", "text")
     model, words = lm_scoring.train(df)

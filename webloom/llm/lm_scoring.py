@@ -1,14 +1,21 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised on a logarithmic scale; the filter
-holds an entry once for each level up to its count's, so a count comes back by
-probing level after level until a probe fails. The filter is broadcast; its size
-is bounded by ``most_words`` and ``most_pairs``: counts cover the whole training
-corpus, and where there are more entries than that, the least frequent levels
-give way (the cut follows from a histogram over all counts).
+holds a pair once for each level up to its count's, so a count comes back by
+probing level after level until a probe fails. All pairs are in filters, one for
+each shard of the keys, sized by its entries; texts ask a shard for their pairs
+by one shuffle. Frequent words and pairs are broadcast besides, up to
+``most_words`` and ``most_pairs``, and need not be asked for; other words are
+joined. So every word and every pair of the training corpus counts, at any size,
+and the bounds only decide which way a count comes.
 
     P(v | u) = b * pair(u, v) / word(u) + (1 - b) * P(v)
-    P(v)     = word(v) / Z,   words outside the filter share what is left
+    P(v)     = word(v) / Z,   one share is left for all unknown words
+
+A text's score is a sum: log P(v) of each token, log(1 - b) for each that follows
+a known word, and for each pair that was seen the log of what it adds,
+
+    1 + b * pair(u, v) / (word(u) * (1 - b) * P(v)).
 
 Pair counts are rounded down and the count that divides them up, so the
 probabilities after a word never sum to more than one.
@@ -25,10 +32,12 @@ is split over batches never, over tasks never.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +49,7 @@ MOST_WORDS = 1 << 20
 MOST_PAIRS = 1 << 21
 LEVELS_A_DOUBLING = 2
 PAIR_WEIGHT = 0.5
-LEAST_PAIR = 2
+GUARD = 2
 BITS_PER_ENTRY = 12
 PROBES = 6
 FLUSH = 3 << 20
@@ -74,6 +83,13 @@ class LogFrequencyFilter:
         self.probes = probes
         self.highest = 0
 
+    @classmethod
+    def of(cls, bits: bytes, highest: int) -> LogFrequencyFilter:
+        """A filter from its stored bits."""
+        out = cls(0)
+        out.bits, out.size, out.highest = np.frombuffer(bits, np.uint8), len(bits) * 8, highest
+        return out
+
     def _places(self, key: np.ndarray, level: int, k: int) -> np.ndarray:
         h = mix(key + np.uint64(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
         return (h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(self.size - 1)
@@ -111,6 +127,18 @@ def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0xD1342543DE82EF95) + right)
 
 
+def filter_of(pairs: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
+    """A filter with ``GUARD`` levels below each pair's own: an unseen pair needs so many more false hits to count as seen once."""
+    out = LogFrequencyFilter(int((levels + GUARD).sum()))
+    out.add(pairs, levels + GUARD)
+    return out
+
+
+def pair_level(held: LogFrequencyFilter, pairs: np.ndarray) -> np.ndarray:
+    """Levels of pairs in a filter made by ``filter_of``."""
+    return np.maximum(held.level(pairs) - GUARD, 0)
+
+
 def tokens_with_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with an end token after each text's, and each text's first place."""
     starts = words.doc_start[:-1] + np.arange(words.n_docs)
@@ -130,10 +158,12 @@ class Model:
     n_distinct: int
     hot: np.ndarray  # sorted hashes of frequent words
     hot_count: np.ndarray
-    rest: float  # what a word outside the filter counts
     total: float  # of all words' counts, as P(v) uses them
     weight: float
     least_pair: int  # the level that every pair in the filter has at least
+    all_pairs: bool  # whether the filter holds every pair
+    shards: int
+    sharded: DataFrame | None  # (shard, highest, bits): the filters of all pairs; not broadcast
 
     def exact(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of frequent words (0: not among them), and whether each is among them."""
@@ -143,25 +173,40 @@ class Model:
         known = self.hot[at] == hashes
         return np.where(known, self.hot_count[at], 0), known
 
+    def chance(self, level: np.ndarray) -> np.ndarray:
+        """P(v) of words by their level; 0: unknown."""
+        return (least_of(level) + SMOOTHING) / self.total
+
+    def gain(self, pair: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log10 of what a pair adds, by the levels of the pair and of its words."""
+        share = np.where(pair > 0, np.minimum(least_of(pair) / np.maximum(most_of(left), 1), 1.0), 0.0)
+        return np.log10(1 + self.weight * share / ((1 - self.weight) * self.chance(right)))
+
+    def levels(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of tokens and of the pairs that end at them (0 at a text's first); -1: the stored counts have to tell."""
+        count, known = self.exact(tokens)
+        word = np.where(known, level_of(count), 0 if len(self.hot) == self.n_distinct else -1)
+        pair = np.zeros(len(tokens), dtype=np.int64)
+        inner = np.ones(len(tokens), dtype=bool)
+        inner[starts] = False
+        at = np.flatnonzero(inner)
+        # a pair below the least level of all pairs was not put in: only a chain of false hits counts wrongly
+        found = pair_level(self.filter, pair_key(tokens[at - 1], tokens[at]))
+        pair[at] = np.where(found >= self.least_pair, found, 0 if self.all_pairs else -1)
+        pair[at[(word[at - 1] == 0) | (word[at] == 0)]] = 0
+        return word, pair
+
     def log10(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of P(token | token before it, if any) for each token."""
-        level = self.filter.level(tokens)
-        word = np.where(level > 0, least_of(level) + SMOOTHING, self.rest) / self.total
-        pair = np.zeros(len(tokens))
-        if len(tokens) > 1:
-            # a pair below the least level of all pairs was not put in: only a chain of false hits counts wrongly
-            found = self.filter.level(pair_key(tokens[:-1], tokens[1:]))
-            pair[1:] = np.where(found >= self.least_pair, least_of(found), 0.0)
-        first = np.zeros(len(tokens), dtype=bool)
-        first[starts] = True
-        before = np.concatenate(([0.0], most_of(level)[:-1])) if len(tokens) else word
-        known = ~first & (before > 0)
-        share = np.where(known, np.minimum(pair / np.maximum(before, 1), 1.0), 0.0)
-        return np.log10(np.where(known, self.weight * share + (1 - self.weight) * word, word))
-
-
-def _tally(rows: DataFrame, pairs: bool) -> DataFrame:
-    """(kind, key, n) over all texts: kind 0 words and ends, 1 pairs. Tasks add up what they can before the shuffle."""
+        """log10 of P(token | token before it, if any) for each token, of what is broadcast; without a level a summand is left out."""
+        word, pair = self.levels(tokens, starts)
+        before = np.concatenate(([0], word[:-1])) if len(word) else word
+        before[starts] = 0
+        out = np.where(word >= 0, np.log10(self.chance(word)), 0.0) + np.where(before > 0, np.log10(1 - self.weight), 0.0)
+        return out + np.where((pair > 0) & (before > 0) & (word > 0), self.gain(pair, before, word), 0.0)
+
+
+def _tally(rows: DataFrame, shards: int, most_pairs: int) -> DataFrame:
+    """(kind, key, n, highest, bits): kind 0 words and ends, 1 filters (``key`` the shard, ``n`` its pairs that are not of kind 2), 2 frequent pairs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -173,14 +218,14 @@ def _tally(rows: DataFrame, pairs: bool) -> DataFrame:
                     parts.clear()
                     for a in range(0, len(key), 1 << 18):
                         k = key[a : a + (1 << 18)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(as_long(k)), pa.array(n[a : a + (1 << 18)], pa.int64())], names=["kind", "key", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k % np.uint64(shards), pa.int32()), pa.array(as_long(k)), pa.array(n[a : a + (1 << 18)], pa.int64())], names=["kind", "shard", "key", "n"])
 
         size = 0
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 tokens, starts = tokens_with_ends(words_of(batch.column(0), lower=True))
                 held[0].append(tokens)
-                if pairs and len(tokens) > 1:
+                if len(tokens) > 1:
                     inner = np.ones(len(tokens) - 1, dtype=bool)
                     inner[starts[1:] - 1] = False
                     held[1].append(pair_key(tokens[:-1], tokens[1:])[inner])
@@ -190,7 +235,43 @@ def _tally(rows: DataFrame, pairs: bool) -> DataFrame:
                     size = 0
         yield from flush()
 
-    return rows.mapInArrow(each, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def counts(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(key), 1 << 18):
+            k = key[a : a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(as_long(k)), pa.array(n[a : a + (1 << 18)], pa.int64()), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())], names=["kind", "key", "n", "highest", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        for batch in batches:
+            kind, key, n = (_numbers(batch.column(c)) for c in (0, 2, 3))
+            for k in (0, 1):
+                if (kind == k).any():
+                    parts[k].append((key[kind == k].view(np.uint64), n[kind == k].astype(np.int32)))
+        for kind, part in enumerate(parts):
+            if not part:
+                continue
+            key, n = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
+            part.clear()
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            key, n = key[first], np.add.reduceat(n, first, dtype=np.int64)
+            if kind == 0:
+                yield from counts(0, key, n)
+                continue
+            of = (key % np.uint64(shards)).astype(np.int64)
+            for shard in np.unique(of).tolist():
+                k, m = key[of == shard], n[of == shard]
+                level = level_of(m)
+                held = filter_of(k, level)
+                # the most frequent levels that have no more than this shard's part of most_pairs
+                above = np.cumsum(np.bincount(level)[::-1])[::-1]
+                often = level >= int((above > most_pairs // shards).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), pa.array([int((~often).sum())], pa.int64()), pa.array([held.highest], pa.int32()), pa.array([held.bits.tobytes()], pa.binary())], names=["kind", "key", "n", "highest", "bits"])
+                yield from counts(2, k[often], m[often])
+
+    dealt = rows.mapInArrow(each, "kind int, shard int, key long, n long").repartition(shards, "shard")
+    return dealt.mapInArrow(merge, "kind int, key long, n long, highest int, bits binary")
 
 
 def _cut(counts: DataFrame, most: int) -> int:
@@ -206,71 +287,173 @@ def _cut(counts: DataFrame, most: int) -> int:
     return 1 << 62 if cut is None else int(np.ceil(2.0 ** (cut / LEVELS_A_DOUBLING) - 1e-6))
 
 
-def _numbers(column: pa.ChunkedArray) -> np.ndarray:
-    return np.ascontiguousarray(column.to_numpy(), dtype=np.int64)
+def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.ascontiguousarray(np.asarray(column), dtype=np.int64)
 
 
 def train(docs: DataFrame, text_column: str = "text", most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS, weight: float = PAIR_WEIGHT) -> tuple[Model, DataFrame]:
     """Count all rows. Gives the model and the stored table of all words' counts (key, n)."""
     rows = docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    # pairs that occur once are the great majority and carry no count worth a probe
-    all_counts = stored(_tally(rows, True).where((F.col("kind") == 0) | (F.col("n") >= LEAST_PAIR)), "lm-counts")
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    all_counts = stored(_tally(rows, shards, most_pairs), "lm-counts")
     words = all_counts.where("kind = 0").select("key", "n")
-    pairs = all_counts.where("kind = 1").select("key", "n")
+    sharded = all_counts.where("kind = 1").select(F.col("key").cast("int").alias("shard"), "highest", "bits")
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_tokens, n_distinct = int(sums["n"] or 0), int(sums["v"])
     hot = words.where(F.col("n") >= _cut(words, most_words)).toArrow()
-    frequent = pairs.where(F.col("n") >= _cut(pairs, most_pairs)).toArrow()
+    frequent = all_counts.where("kind = 2").select("key", "n").toArrow()
+    all_pairs = not all_counts.where("kind = 1 AND n > 0").count()
     key, count = _numbers(hot["key"]).view(np.uint64), _numbers(hot["n"])
-    pair, pair_count = _numbers(frequent["key"]).view(np.uint64), _numbers(frequent["n"])
-    level, pair_level = level_of(count), level_of(pair_count)
-    held = LogFrequencyFilter(int(level.sum() + pair_level.sum()))
-    held.add(key, level)
-    held.add(pair, pair_level)
-    outside = n_distinct - len(key) + 1  # words outside the filter, and one unknown
-    mass = float(n_tokens - count.sum()) + SMOOTHING * outside
-    total = float((least_of(level) + SMOOTHING).sum()) + mass
+    pair, often = _numbers(frequent["key"]).view(np.uint64), level_of(_numbers(frequent["n"]))
+    held = filter_of(pair, often)
+    # as many rows as levels
+    by_level = words.groupBy(_level(F.col("n")).alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()
+    total = SMOOTHING + sum(r["k"] * (float(least_of(np.int64(r["level"]))) + SMOOTHING) for r in sorted(by_level))
     order = np.argsort(key)
-    least_pair = int(pair_level.min()) if len(pair_level) else 1
-    return Model(held, n_tokens, n_distinct, key[order], count[order], mass / outside, total, weight, least_pair), words
+    least_pair = int(often.min()) if len(often) else 1
+    return Model(held, n_tokens, n_distinct, key[order], count[order], total, weight, least_pair, all_pairs, shards, sharded), words
+
+
+def _level(n: Column) -> Column:
+    """``level_of`` in Spark; 0 for no count."""
+    return F.when(n > 0, 1 + F.floor(F.log2(n) * LEVELS_A_DOUBLING + 1e-9)).otherwise(0)
+
+
+def _least(level: Column) -> Column:
+    return F.when(level > 0, F.ceil(F.pow(F.lit(2.0), (level - 1) / LEVELS_A_DOUBLING) - 1e-9)).otherwise(0)
+
+
+def _gain(model: Model, pair: Column, left: Column, right: Column) -> Column:
+    """``Model.gain`` in Spark."""
+    share = F.least(_least(pair) / F.pow(F.lit(2.0), left / LEVELS_A_DOUBLING), F.lit(1.0))
+    return F.log10(1 + model.weight * share * model.total / ((1 - model.weight) * (_least(right) + SMOOTHING)))
+
+
+def _told(asked: DataFrame, model: Model, schema: str, answer) -> DataFrame:
+    """Rows of ``asked`` (``_shard``, ``_keys`` and more) beside the filter of their shard: ``answer`` makes a batch of each batch and its rows' pair levels."""
+    filters = model.sharded.select(F.col("shard").alias("_shard"), "highest", "bits")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = {}, []  # a shard's part of all texts is as large as the shard's part of the tally
+        for batch in batches:
+            is_filter = batch.column("bits").is_valid()
+            for row in batch.filter(is_filter).select(["_shard", "highest", "bits"]).to_pylist():
+                held[row["_shard"]] = LogFrequencyFilter.of(row["bits"], row["highest"])
+            rest = batch.filter(pa.compute.invert(is_filter)).drop_columns(["highest", "bits"])
+            if rest.num_rows:
+                waiting.append(rest)
+        for batch in waiting:
+            levels = []
+            for shard, keys in zip(batch.column("_shard").to_pylist(), batch.column("_keys").to_pylist(), strict=True):
+                key = np.frombuffer(keys or b"", np.uint64)
+                levels.append(pair_level(held[shard], key) if shard in held and len(key) else np.zeros(len(key), np.int64))
+            yield answer(batch, levels)
+
+    return asked.unionByName(filters, allowMissingColumns=True).repartition(model.shards, "_shard").mapInArrow(each, schema)
 
 
 def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each text's figures: the columns ``keep``, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most MOST_WORDS and MOST_PAIRS entries
+    small = replace(model, sharded=None)
+    sent = spark.sparkContext.broadcast(small)  # at most MOST_WORDS and MOST_PAIRS entries
     keep = keep or (id_column,)
     rows = docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("_text"), *[F.col(f"`{c}`") for c in keep])
     carried = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    floor = SMOOTHING / (model.n_tokens + SMOOTHING * (model.n_distinct + 1))
+    all_words = len(model.hot) == model.n_distinct
+    figures = ["n_tokens", "n_known", "base_score", "score"]
+    names = [*keep, *figures, "_at", "_rare", "_shard", "_base", "_keys", "_rows", "_levels", "_left", "_right"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        shards = np.uint64(m.shards)
+        floor = np.log10(SMOOTHING / (m.n_tokens + SMOOTHING * (m.n_distinct + 1)))
+        at = TaskContext.get().partitionId() << 33  # rows are numbered by task, then by place
         for whole in batches:
             for batch in slices(whole, "_text", SLICE_BYTES):
-                words = words_of(batch.column(0), lower=True)
-                tokens, starts = tokens_with_ends(words)
+                tokens, starts = tokens_with_ends(words_of(batch.column(0), lower=True))
                 n = np.diff(np.append(starts, len(tokens)))
                 count, known = m.exact(tokens)
-                base = np.add.reduceat(np.where(known, np.log10((count + SMOOTHING) / (m.n_tokens + SMOOTHING * (m.n_distinct + 1))), 0.0), starts)
+                sure = np.log10((count + SMOOTHING) / (m.n_tokens + SMOOTHING * (m.n_distinct + 1)))
+                base = np.add.reduceat(np.where(known, sure, floor if all_words else 0.0), starts)
                 n_known = np.add.reduceat(known.astype(np.int64), starts)
                 score = np.add.reduceat(m.log10(tokens, starts), starts)
-                other = np.flatnonzero(~known)
-                lists = np.searchsorted(other, np.append(starts, len(tokens)))
-                rare = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(as_long(tokens[other])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), rare], names=[*keep, "n_tokens", "n_known", "base_score", "score", "_rare"])
-
-    first = rows.mapInArrow(each, f"{carried}, n_tokens long, n_known long, base_score double, score double, _rare array<long>")
-    # the few words of a text that are in no bounded table: count them by a join on the word
-    first = stored(first.withColumn("_text", F.xxhash64("_rare")), "lm-first")
-    some, none = first.where(F.size("_rare") > 0), first.where(F.size("_rare") == 0)
-    lists = some.groupBy("_text").agg(F.first("_rare").alias("_rare"))
-    parts = lists.select("_text", F.explode("_rare").alias("key")).join(words, "key", "left")
-    got = F.coalesce(F.col("n"), F.lit(0))
-    sums = parts.groupBy("_text").agg(F.sum(F.when(F.col("n").isNotNull(), 1).otherwise(0)).cast("long").alias("_k"), F.sum(F.log10((got + SMOOTHING) / SMOOTHING) + F.lit(float(np.log10(floor)))).alias("_b"))
-    done = some.drop("_rare").join(sums, "_text", "left")
-    done = done.unionByName(none.drop("_rare"), allowMissingColumns=True)
-    return done.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("_b", F.lit(0.0))).alias("base_score"), "score")
+                other = np.flatnonzero(~known) if not all_words else np.zeros(0, np.int64)
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, np.append(starts, len(tokens))), pa.int32()), pa.array(as_long(tokens[other])))
+                k = batch.num_rows
+                ids = np.arange(at, at + k)
+                none = [pa.nulls(k, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(ids), rare, pa.array(ids % m.shards, pa.int32()), *none], names=names)
+
+                level, pair = m.levels(tokens, starts)
+                before = np.concatenate(([0], level[:-1]))
+                left = np.concatenate(([END], tokens[:-1]))
+                row = np.repeat(np.arange(k), n).astype(np.uint32)
+                whole_words = (before >= 0) & (level >= 0)
+                for places, is_open in ((np.flatnonzero((pair < 0) & whole_words), False), (np.flatnonzero((pair != 0) & ~whole_words), True)):
+                    key = pair_key(left[places], tokens[places])
+                    of = (key % shards).astype(np.int64)
+                    order = np.argsort(of, kind="stable")
+                    places, key, of = places[order], key[order], of[order]
+                    cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist() if len(of) else []
+                    ends = [*cuts[1:], len(of)]
+                    packed = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())  # noqa: E731, B023
+                    j = len(cuts)
+                    if j:
+                        lr = (packed(left[places]), packed(tokens[places])) if is_open else (pa.nulls(j, pa.binary()), pa.nulls(j, pa.binary()))
+                        both = np.stack([before[places], level[places]], axis=1).astype(np.uint8)
+                        empty = [pa.nulls(j, c.type) for c in batch.columns[1:]] + [pa.nulls(j, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([*empty, pa.array(of[cuts], pa.int32()), pa.array(np.full(j, at), pa.int64()), packed(key), packed(row[places]), packed(both), *lr], names=names)
+                at += k
+
+    result = f"{carried}, n_tokens long, n_known long, base_score double, score double, _at long"
+    first = rows.mapInArrow(each, f"{result}, _rare array<long>, _shard int, _base long, _keys binary, _rows binary, _levels binary, _left binary, _right binary")
+
+    def add(batch: pa.RecordBatch, levels: list[np.ndarray]) -> pa.RecordBatch:
+        """Rows of texts as they are, and one for each text that a row of ``_keys`` asks for."""
+        m = sent.value
+        is_text = batch.column("_keys").is_null()
+        at, gain = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for row, level in zip(batch.select(["_base", "_rows", "_levels"]).to_pylist(), levels, strict=True):
+            if (level > 0).any():
+                both = np.frombuffer(row["_levels"], np.uint8).reshape(-1, 2).astype(np.int64)
+                of, back = np.unique(np.frombuffer(row["_rows"], np.uint32)[level > 0], return_inverse=True)
+                at.append(row["_base"] + of.astype(np.int64))
+                gain.append(np.bincount(back, m.gain(level, both[:, 0], both[:, 1])[level > 0]))
+        texts = batch.filter(is_text).select([*keep, *figures, "_at"])
+        at, gain = np.concatenate(at), np.concatenate(gain)
+        zero = pa.array(np.zeros(len(at), np.int64))
+        more = [*[pa.nulls(len(at), texts.column(c).type) for c in keep], zero, zero, pa.array(np.zeros(len(at))), pa.array(gain), pa.array(at)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(texts.columns, more, strict=True)], names=texts.schema.names)
+
+    def opened(batch: pa.RecordBatch, levels: list[np.ndarray]) -> pa.RecordBatch:
+        parts = [[np.zeros(0, np.int64)] * 4]
+        for row, level in zip(batch.select(["_base", "_rows", "_left", "_right"]).to_pylist(), levels, strict=True):
+            seen = level > 0
+            parts.append([row["_base"] + np.frombuffer(row["_rows"], np.uint32)[seen].astype(np.int64), level[seen], np.frombuffer(row["_left"], np.int64)[seen], np.frombuffer(row["_right"], np.int64)[seen]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["_at", "level", "left", "right"])
+
+    if all_words and model.all_pairs:
+        return first.select(*[F.col(f"`{c}`") for c in keep], *figures)
+    if all_words:
+        found = _told(first, model, result, add)
+    else:
+        # words that are in no bounded table, and pairs with one, are counted by joins on the word
+        first = stored(first, "lm-first")
+        found = _told(first.where("_left IS NULL"), model, result, add)
+        pairs = _told(first.where("_left IS NOT NULL").select("_shard", "_base", "_keys", "_rows", "_left", "_right"), model, "_at long, level long, left long, right long", opened)
+        for side in ("left", "right"):
+            pairs = pairs.join(words.select(F.col("key").alias(side), _level(F.col("n")).alias(f"{side}_level")), side)
+        single = first.where(F.size("_rare") > 0).select("_at", F.explode("_rare").alias("key")).join(words, "key", "left")
+        got, seen = F.coalesce(F.col("n"), F.lit(0)), F.col("n").isNotNull()
+        floor = float(np.log10(SMOOTHING / (model.n_tokens + SMOOTHING * (model.n_distinct + 1))))
+        followed = F.when(seen & (F.col("key") != int(END)), float(np.log10(1 - model.weight))).otherwise(0.0)
+        zero = F.lit(0).cast("long")
+        single = single.select("_at", zero.alias("n_tokens"), seen.cast("long").alias("n_known"), (F.log10((got + SMOOTHING) / SMOOTHING) + floor).alias("base_score"), (F.log10((_least(_level(got)) + SMOOTHING) / model.total) + followed).alias("score"))
+        pairs = pairs.select("_at", zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base_score"), _gain(model, F.col("level"), F.col("left_level"), F.col("right_level")).alias("score"))
+        found = found.unionByName(single, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
+    sums = found.groupBy("_at").agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in keep], *[F.sum(c).alias(c) for c in figures])
+    return sums.select(*[F.col(f"`{c}`") for c in keep], *figures)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
