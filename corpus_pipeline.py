@@ -10,7 +10,9 @@ last return the columns of documents.
 3. personal_data: personal data and terms that give it away are taken out of texts.
 4. mix: rows are put in the order that gives each source its target share at any
    point. All rows stay; the files and the rows within them are in this order.
-5. tokens: texts become token ids.
+5. tokens: texts become token ids. Reading files keeps no order, so this stage
+   works out each row's slot and place again, returns both with the source, and
+   puts its rows in their order.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import bpe, language_id, mixing, ngram_join, pii
-from webloom.llm.tables import documents, stored
+from webloom.llm.tables import documents, packed, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs, ids=True)
+    rows = packed(docs.select("doc_id", "source", "text"), _id=F.col("doc_id"), _source=F.col("source"))
+    placed = mixing.placed(rows).orderBy("_mix.slot", "_mix.place")
+    of = F.struct("_row.doc_id", "_row.source", "_mix.slot", "_mix.place").alias("_of")
+    ids = bpe.encoded(placed.select(of, F.col("_row.text").alias("text")), id_column="_of", ids=True)
+    return ids.select("_of.*", *[c for c in ids.columns if c != "_of"])
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("tokens", tokens)]

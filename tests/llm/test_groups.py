@@ -194,6 +194,17 @@ def test_pipeline(spark):
         at = after
 
 
+def test_pipeline_ends_in_the_order_of_the_mix(spark, tmp_path):
+    """However many files the mix is read from: slot and place are in the result, which is in their order."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10_000))
+    corpus_pipeline.mix(spark, docs, "").repartition(7).write.parquet(str(tmp_path / "mix"))
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mix")), "").collect()
+    want = {r.doc_id: (r.source, r.slot, r.place) for r in mixing.schedule(docs).collect()}
+    assert {r.doc_id: (r.source, r.slot, r.place) for r in got} == want and len(got) == len(want)
+    order = [(r.slot, r.place) for r in got]
+    assert order == sorted(order) and len({r.slot for r in got}) > 3
+
+
 def test_packed_sets_and_similarity():
     import numpy as np
 
