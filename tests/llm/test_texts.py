@@ -196,6 +196,18 @@ def test_terms_that_disclose(spark):
     assert "Zanzibar" not in clean[8] + clean[9] and "<PHONE>" in clean[8] and clean[0] == texts[0]
 
 
+def test_terms_that_disclose_go_wherever_they_stand(spark):
+    """Far from the mention, in texts without any pattern, whatever the case, and short ones too."""
+    far = " and so on" * 30
+    texts = [f"plain words number {w} about nothing" for w in "abcdefghijklmnopqrstuvwxyz"] * 20
+    texts += [f"call Zanzibar or Bo at +1 415 555 0100 now{far} ZANZIBAR é Bo", "write Zanzibar or Bo: +1-415-555-0100 maybe", "nothing but zanzibar, bo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    clean = [r.text.lower() for r in pii.sanitised(df).orderBy("doc_id").collect()]
+    assert not any(re.search(r"\b(zanzibar|bo)\b", t) for t in clean) and clean[:520] == texts[:520]
+    spans = {r.doc_id: (r.spans, r.n_term) for r in pii.detected(df).collect()}
+    assert spans[522] == ("term:12:20,term:22:24", 2) and spans[520][1] == 5  # "or" stands by the number in both texts
+
+
 @pytest.mark.parametrize("most_words", [1 << 20, 100])
 def test_language_model(docs, rows, most_words):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

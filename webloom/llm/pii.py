@@ -10,7 +10,8 @@ the share of documents with term t that have it near c,
 is the part of c's information that t carries (pointwise mutual information over
 information content). From ``remove_from`` on a term is removed, from
 ``generalise_from`` on it is generalised, if at least ``support`` different texts
-tie the two. All figures are counts over the whole corpus.
+tie the two. All figures are counts over the whole corpus, and so is what follows
+from them: a term that reveals any entity goes wherever it stands, in all texts.
 
 Defined results: a null text is as an empty one and has no spans; equal texts
 have equal spans, and repeated rows count as often as they are there, but for
@@ -28,17 +29,18 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm.sieve import sieve_of
 from webloom.llm.tables import documents, packed, stored
 from webloom.llm.textarrays import LETTERS, as_long, slices, words_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = KINDS.index("term")
 AROUND = 8
-LEAST_LETTERS = 4
 SUPPORT = 2
 REMOVE_FROM = 0.9
 GENERALISE_FROM = 0.75
@@ -51,6 +53,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_MARK = re.compile(r"[0-9@]")
 _WORD = re.compile("[A-Za-z\x80-\U0010ffff]+")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -101,8 +104,8 @@ def entity_of(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def nearby(text: str, spans: list[Span], around: int = AROUND) -> list[tuple[int, int, int]]:
-    """(entity, start, end) of each term within ``around`` words of a mention and outside of all spans."""
+def words_and_cover(text: str, spans: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
+    """A text's words, which of them touch a span, and each span's first word and the one after its last."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     covered = np.zeros(len(words), dtype=bool)
     starts = [w[0] for w in words]
@@ -114,11 +117,17 @@ def nearby(text: str, spans: list[Span], around: int = AROUND) -> list[tuple[int
         last = bisect_left(starts, b)
         covered[first:last] = True
         reach.append((first, last))
+    return words, covered, reach
+
+
+def nearby(text: str, spans: list[Span], around: int = AROUND) -> list[tuple[int, int, int]]:
+    """(entity, start, end) of each term within ``around`` words of a mention and outside of all spans."""
+    words, covered, reach = words_and_cover(text, spans)
     out = {}
     for (kind, a, b), (first, last) in zip(spans, reach, strict=True):
         entity = entity_of(kind, text[a:b])
         for k in [*range(max(0, first - around), first), *range(last, min(len(words), last + around))]:
-            if not covered[k] and words[k][1] - words[k][0] >= LEAST_LETTERS:
+            if not covered[k]:
                 out[entity, words[k]] = None
     return [(entity, a, b) for entity, (a, b) in out]
 
@@ -203,18 +212,60 @@ def disclosing(mentions: DataFrame, terms: DataFrame, n_rows: int, support: int
     return joined.withColumn("disclosure", part).where(F.col("disclosure") >= generalise_from).select("entity", "term", "disclosure")
 
 
-def term_spans(mentions: DataFrame, revealing: DataFrame, remove_from: float = REMOVE_FROM) -> DataFrame:
-    """(_key, terms): the spans of revealing terms in each text that has any; ``removed`` else generalised."""
-    texts = mentions.where(F.size("near") > 0).groupBy("_key").agg(F.first("near").alias("near"))
-    places = texts.select("_key", F.explode("near").alias("x")).select("_key", "x.*").join(revealing, ["entity", "term"])
-    once = places.groupBy("_key", "start", "end").agg(F.max("disclosure").alias("d"))
-    return once.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("d") >= remove_from).alias("removed")))).alias("terms"))
+_PLACE = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def places(docs: DataFrame, terms: DataFrame, text_column: str = "text") -> DataFrame:
+    """(_key, places): where terms stand outside of patterns, in each row that may have any of ``terms`` (a sieve lets some others through)."""
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(terms, "term"))  # of a fixed size
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = sent.value
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                words = words_of(batch.column(0), lower=True, of=LETTERS)
+                hits = np.flatnonzero(sieve.passes(words.hashes))
+                doc = words.doc_of()[hits]
+                rows, lists = [], []
+                for d in np.unique(doc).tolist():
+                    text = batch.column(0)[d].as_py()
+                    at, covered, _ = words_and_cover(text, base_spans(text))
+                    of = hits[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+                    first = int(words.doc_start[d])
+                    found = [{"term": term, "start": at[k - first][0], "end": at[k - first][1]} for k, term in zip(of.tolist(), as_long(words.hashes[of]).tolist(), strict=True) if not covered[k - first]]
+                    if found:
+                        rows.append(d)
+                        lists.append(found)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows, pa.int64())), pa.array(lists, pa.list_(_PLACE))], names=["_key", "places"])
+
+    texts = docs.select(F.col(f"`{text_column}`").alias("_text")).where("_text IS NOT NULL").withColumn("_key", F.xxhash64("_text"))
+    return texts.mapInArrow(each, "_key long, places array<struct<term:long,start:int,end:int>>")
+
+
+def term_spans(docs: DataFrame, revealing: DataFrame, text_column: str = "text", remove_from: float = REMOVE_FROM) -> DataFrame:
+    """(_key, terms): the spans of revealing terms in each text that has any, near a mention or not; ``removed`` else generalised."""
+    terms = stored(revealing.groupBy("term").agg(F.max("disclosure").alias("d")), "pii-revealing")
+    once = places(docs, terms, text_column).groupBy("_key").agg(F.first("places").alias("places"))
+    found = once.select("_key", F.explode("places").alias("x")).select("_key", "x.*").join(terms, "term")
+    return found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("d") >= remove_from).alias("removed")))).alias("terms"))
 
 
 def _figures(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     mentions = stored(found(docs, id_column, text_column), "pii-found")
     n = mentions.count()
-    return mentions, term_spans(mentions, disclosing(mentions, term_counts(docs, text_column), n))
+    terms = term_spans(docs, disclosing(mentions, term_counts(docs, text_column), n), text_column)
+    return mentions, stored(terms, "pii-terms")
+
+
+def _in(keys: DataFrame):
+    """Whether a ``_key`` may be one of ``keys``: the others need no join."""
+    sent = keys.sparkSession.sparkContext.broadcast(sieve_of(keys, "_key"))  # of a fixed size
+
+    @F.pandas_udf("boolean")
+    def may(key: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.passes(key.to_numpy(np.int64).view(np.uint64)))
+
+    return may("_key")
 
 
 def _shown(spans):
@@ -226,8 +277,9 @@ def detected(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """Each row's spans: id, figures by kind, base_sha256, spans (as text), n_term."""
     mentions, terms = _figures(docs, id_column, text_column)
     by_start = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
-    with_terms = mentions.where(F.size("near") > 0).join(terms, "_key", "left")
-    without = mentions.where(F.size("near") == 0).withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType))
+    mentions = mentions.drop("near").withColumn("_may", _in(terms))
+    with_terms = mentions.where("_may").join(terms, "_key", "left")
+    without = mentions.where("NOT _may").withColumn("terms", F.lit(None).cast(terms.schema["terms"].dataType))
     added = F.transform(F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)), lambda s: F.struct(s.start.alias("start"), F.lit(TERM).alias("kind"), s.end.alias("end")))
     both = with_terms.select(*without.columns).unionByName(without)
     return both.select(f"`{id_column}`", "n_email", "n_ip", "n_card", "n_phone", F.sha2(_shown(by_start), 256).alias("base_sha256"), _shown(F.concat(by_start, added)).alias("spans"), F.size(added).cast("long").alias("n_term"))
@@ -247,19 +299,21 @@ def redact(text: str, terms: list[dict]) -> str:
 def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with sanitised texts; all other columns, and null texts, stay as they are."""
     _, terms = _figures(docs, id_column, text_column)
-    # no pattern matches without a digit or an at sign
-    may = F.coalesce(F.col(f"`{text_column}`").rlike("[0-9@]"), F.lit(False))
-    rows = packed(docs.where(may), _key=F.xxhash64(f"`{text_column}`")).join(terms, "_key", "left").select("_row", "terms")
+    rows = packed(docs, _text=F.col(f"`{text_column}`")).withColumn("_key", F.xxhash64("_text")).withColumn("_may", F.col("_text").isNotNull() & _in(terms))
+    # without terms, a text has to be looked at only if it has a digit or an at sign: no pattern matches else
+    with_terms = rows.where("_may").join(terms, "_key", "left").select("_row", "terms")
+    without = rows.where("NOT _may").select("_row", F.lit(None).cast(terms.schema["terms"].dataType).alias("terms"))
+    rows = with_terms.unionByName(without)
     columns = docs.columns
     place = columns.index(text_column)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).flatten()
-            own[place] = pa.array([redact(t, x or []) for t, x in zip(own[place].to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())
+            own[place] = pa.array([redact(t, x or []) if t and (x or _MARK.search(t)) else t for t, x in zip(own[place].to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(own, names=columns)
 
-    return rows.mapInArrow(each, docs.schema).unionByName(docs.where(~may))
+    return rows.mapInArrow(each, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
