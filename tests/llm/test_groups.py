@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webloom.llm import mixing, ngram_join, substring_dedup
+from webloom.llm import mixing, ngram_join, substring_dedup, tally
 from webloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,10 +210,12 @@ def test_packed_sets_and_similarity():
 
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 500):
-        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        assert (ngram_join.unpack_set(ngram_join.pack_set(h)) == h >> np.uint64(16)).all()
+        h = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        assert (tally.unpack(tally.pack(h)) == h).all()
+        packed = ngram_join.pack_sets(np.concatenate((h, h)), np.repeat([0, 2], len(h)), 3)
+        assert [ngram_join.unpack(x.as_buffer()).tolist() for x in packed] == [np.unique(h >> np.uint64(8)).tolist(), [], np.unique(h >> np.uint64(8)).tolist()]
     for _ in range(300):
-        pool = np.unique(rng.integers(0, 1 << 48, 120).astype(np.uint64))
+        pool = np.unique(rng.integers(0, 1 << 40, 120).astype(np.uint64))
         a, b = (np.sort(rng.permutation(pool)[: rng.integers(90, len(pool) + 1)]) for _ in range(2))
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         assert ngram_join.similar(a, b, 80) == (100 * both >= 80 * either)

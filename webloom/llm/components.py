@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.tables import stored
+from webloom.llm.tables import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
         # what my label is labelled with is nearer to the smallest; a label is always a vertex
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("further"))
         after = stored(hooked.join(jump, "c", "left").select("v", "old", F.least("c", F.coalesce("further", "c")).alias("c")), "labels")
-        if after.where("old <> c").limit(1).count() == 0:
-            return after.select("v", "c")
-        labels = after.select("v", "c")
+        discard(labels)
+        if after.where("old <> c").isEmpty():
+            discard(both)
+            out = after.drop("old")
+            out._webloom_path = after._webloom_path
+            return out
+        labels = after

@@ -1,25 +1,30 @@
 """Joining documents whose sets of word n-grams are alike, by rare-first prefix filtering.
 
-1. Sets. A document is its set of distinct n-gram hashes. Equal sets are one
-   vertex from here on, so copies cost nothing further.
+1. Sets. A document is its set of distinct n-gram hashes. Texts are read once; sets
+   are stored packed, each set of a task once. Equal sets are one vertex from here on,
+   so copies cost nothing further.
 2. Order. Document frequencies of all n-grams are counted; the most frequent ones (a
-   bounded table) go last in every set, by frequency; all others go first, by hash.
-   Any one order gives the same links; this one keeps frequent n-grams out of prefixes.
+   bounded table) go last in every set, by the level of their frequency; all others
+   go first, by hash. Any one order gives the same links; this one keeps frequent
+   n-grams out of prefixes.
 3. Prefixes. Two sets of similarity t share an n-gram among the first
    n - ceil(t n) + 1 of each. N-grams that are in one prefix only are dropped.
-4. Candidates. Sets that share a prefix n-gram are compared with hubs of its list: one hub, then 4, 16
+4. Candidates. Sets that share a prefix n-gram are compared with hubs of its list: one hub, then 8, 64
    and so on, those with most links first, until all that are left belong together.
-   Length and positional filters come before a pair is made, the suffix filter
-   before its sets are fetched, and no pair is verified twice. Pairs that are
+   Length, positional and suffix filters come before a pair is made; the last bounds
+   what two sets do not share by the parities of their members in 512 ranges of
+   hashes. No pair is verified twice. Pairs that are
    connected already need no verification, so no group is ever paired in full
    unless its members are all unlike each other.
-5. Components of the verified links.
+5. Components of the verified links: those of each round are joined onto the classes
+   of the rounds before.
 
 Defined results: texts without words (null too) are linked with nothing; texts of
-fewer words than n are one n-gram; equal sets are linked, so repeated rows and
-rows with equal ids are; a component's id is the smallest id in it, nulls aside;
-an empty table gives an empty one; other columns are kept by ``representatives``
-and ignored elsewhere. Texts of any length are taken whole.
+fewer words than n are one n-gram; rows are linked by their texts alone, so equal
+sets are linked and equal ids are not; a component's id is the smallest id in it,
+nulls aside; an empty table gives an empty one; other columns are kept by
+``representatives`` and ignored elsewhere. Texts of any length are taken whole.
+Set sizes count n-grams by 48 bits of their hashes, links compare 40.
 """
 
 from __future__ import annotations
@@ -27,185 +32,168 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.llm.components import components
 from webloom.llm.sieve import sieve_of
-from webloom.llm.tables import documents, narrow, packed, small_batches, stored
+from webloom.llm.tables import discard, documents, narrow, packed, release, stored
+from webloom.llm.tally import bucket_count, counted, trim
 from webloom.llm.textarrays import Words, as_long, mix, slices, window_hashes, words_of
 
 WORDS = 3
 PERCENT = 90
 MOST_FREQUENT = 1 << 19
-FLUSH = 2 << 20
-BUCKET_CHARS = 4 << 20
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 1 << 12
 END_BITS = 24
-FREQUENCY_BITS = 40
+COUNT_BITS = 48
+MEMBER_BITS = 40
 SUFFIX_BINS = 16
-HUB_GROWTH = 4
+PARITY_BITS = 512
+HUB_GROWTH = 8
 
-_FREQUENCY_MASK = np.uint64((1 << FREQUENCY_BITS) - 1)
+_MEMBER = np.uint64((1 << MEMBER_BITS) - 1)
+_BYTES = MEMBER_BITS // 8
+_LEVELS = 6
 
 
 def sets_of(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each text, ascending within it: (hash, text)."""
+    """Distinct n-gram hashes of each text, ascending within it: (hash of COUNT_BITS, text)."""
     counts = words.counts
     room = np.maximum(counts - n + 1, 0)
-    doc = np.repeat(np.arange(words.n_docs), room)
-    start = words.doc_start[:-1][doc] + np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room)
-    hashes, docs = [window_hashes(words.hashes, start, n, seed=2)], [doc]
+    doc = np.repeat(np.arange(words.n_docs, dtype=np.uint64), room)
+    start = np.arange(int(room.sum())) + np.repeat(words.doc_start[:-1] - (np.cumsum(room) - room), room)
+    keys = [(doc << np.uint64(COUNT_BITS)) | (window_hashes(words.hashes, start, n, seed=2) >> np.uint64(64 - COUNT_BITS))]
     for few in range(1, n):
         short = np.flatnonzero(counts == few)
-        hashes.append(window_hashes(words.hashes, words.doc_start[:-1][short], few, seed=2))
-        docs.append(short)
-    h, d = np.concatenate(hashes), np.concatenate(docs)
-    order = np.lexsort((h, d))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[new], d[new]
+        keys.append((short.astype(np.uint64) << np.uint64(COUNT_BITS)) | (window_hashes(words.hashes, words.doc_start[:-1][short], few, seed=2) >> np.uint64(64 - COUNT_BITS)))
+    key = np.concatenate(keys)
+    key.sort()
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return key & np.uint64((1 << COUNT_BITS) - 1), (key >> np.uint64(COUNT_BITS)).astype(np.int64)
 
 
 def vertex_of(h: np.ndarray, d: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit key of each text's set, and the set's size."""
     size = np.bincount(d, minlength=n_docs)
     key = np.zeros(n_docs, dtype=np.uint64)
-    np.add.at(key, d, mix(h))
+    has = size > 0
+    if has.any():
+        key[has] = np.add.reduceat(mix(h), (np.cumsum(size) - size)[has])
     return mix(key + size.astype(np.uint64)), size
 
 
-def _fresh(keys: np.ndarray, size: np.ndarray, seen: set) -> np.ndarray:
-    out = np.zeros(len(keys), dtype=bool)
-    for i, k in enumerate(keys.tolist()):
-        out[i] = size[i] > 0 and k not in seen
-        seen.add(k)
-    return out
+def pack_sets(h: np.ndarray, d: np.ndarray, n_docs: int) -> pa.Array:
+    """Sets of COUNT_BITS, ascending, as binary values: their distinct members of MEMBER_BITS, ascending, one after another."""
+    members = h >> np.uint64(COUNT_BITS - MEMBER_BITS)
+    new = np.ones(len(members), dtype=bool)
+    new[1:] = (members[1:] != members[:-1]) | (d[1:] != d[:-1])
+    raw = np.ascontiguousarray(members[new].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(d[new], minlength=n_docs)))) * _BYTES
+    return pa.Array.from_buffers(pa.binary(), n_docs, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+
 
+def unpack(raw: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    """Members from their bytes."""
+    wide = np.zeros((len(raw) // _BYTES, 8), np.uint8)
+    wide[:, :_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _BYTES)
+    return wide.reshape(-1).view("<u8")
 
-def _fresh_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, text, vertex, size) of the sets that are new to this task, batch by batch; texts are numbered anew."""
-    seen: set = set()
-    for whole in batches:
-        for batch in slices(whole, "_text", SLICE_BYTES):
-            words = words_of(batch.column(0), lower=True)
-            h, d = sets_of(words, n)
-            vertex, size = vertex_of(h, d, words.n_docs)
-            new = _fresh(vertex, size, seen)
-            chosen = new[d]
-            number = np.cumsum(new) - 1
-            yield h[chosen], number[d[chosen]], vertex[new], size[new]
-
-
-def _texts(docs: DataFrame, text_column: str) -> DataFrame:
-    return docs.select(F.col(f"`{text_column}`").alias("_text")).where("_text IS NOT NULL")
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Ascending numbers as differences of four bytes, or of eight if one is too large."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    small = not len(steps) or steps.max() < 1 << 32
-    return (b"4" if small else b"8") + steps.astype("<u4" if small else "<u8").tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, "<u4" if raw[:1] == b"4" else "<u8", offset=1), dtype=np.uint64)
-
-
-def frequencies(docs: DataFrame, text_column: str, n: int, buckets: int) -> DataFrame:
-    """(gram, df) of the n-grams that several sets have. Tasks send packed numbers, one of each n-gram that they hold."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush():
-            if held:
-                code, count = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                bucket = (code & np.uint64(buckets - 1)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                code, count, bucket = code[order] // np.uint64(buckets), count[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = [(b, _pack(code[x:y]), np.flatnonzero(count[x:y] > 1).astype("<u4").tobytes(), (count[x:y][count[x:y] > 1]).astype("<u4").tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "at", "more"])
-
-        size = 0
-        for h, _, _, _ in _fresh_sets(batches, n):
-            held.append(h & _FREQUENCY_MASK)
-            size += len(h)
-            if size > FLUSH:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    def add(group: pa.Table) -> pa.Table:
-        codes, counts = [], []
-        for row in range(group.num_rows):
-            code = _unpack(group["codes"][row].as_py())
-            count = np.ones(len(code), dtype=np.int64)
-            count[np.frombuffer(group["at"][row].as_py(), "<u4")] = np.frombuffer(group["more"][row].as_py(), "<u4")
-            codes.append(code)
-            counts.append(count)
-        code, back = np.unique(np.concatenate(codes), return_inverse=True)
-        df = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
-        code = code * np.uint64(buckets) + np.uint64(group["bucket"][0].as_py())
-        return pa.table({"gram": as_long(code[df > 1]), "df": df[df > 1]})
-
-    sent = _texts(docs, text_column).mapInArrow(send, "bucket int, codes binary, at binary, more binary")
-    return sent.groupBy("bucket").applyInArrow(add, "gram long, df long")
-
-
-def pack_set(h: np.ndarray) -> bytes:
-    """An ascending set, 48 bits a member, as differences of five bytes (eight if one is too large)."""
-    steps = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
-    if len(steps) and steps.max() >= 1 << 40:
-        return b"8" + steps.astype("<u8").tobytes()
-    return b"5" + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack_set(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"8":
-        return np.cumsum(np.frombuffer(raw, "<u8", offset=1), dtype=np.uint64)
-    wide = np.zeros(((len(raw) - 1) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, 5)
-    return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
+
+def vertices_of(docs: DataFrame, n: int, id_column: str, text_column: str, row_key: Column | None = None) -> DataFrame:
+    """(id, v, n_shingles, grams, _row_key) of each row; ``grams`` is null where the task has sent that set before."""
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for whole in batches:
+            for batch in slices(whole, "_text", SLICE_BYTES):
+                for a in range(0, batch.num_rows, SLICE_ROWS):
+                    part = batch.slice(a, SLICE_ROWS)
+                    words = words_of(part.column(0), lower=True)
+                    h, d = sets_of(words, n)
+                    vertex, size = vertex_of(h, d, words.n_docs)
+                    new = []
+                    for v, k in zip(vertex.tolist(), size.tolist(), strict=True):
+                        new.append(k > 0 and v not in seen)
+                        seen.add(v)
+                    grams = pc.if_else(pa.array(new, pa.bool_()), pack_sets(h, d, words.n_docs), pa.scalar(None, pa.binary()))
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array(as_long(vertex)), pa.array(size, pa.int64()), grams, part.column(2)], names=[id_column, "v", "n_shingles", "grams", "_row_key"])
+        trim()
+
+    key = F.lit(None).cast("long") if row_key is None else row_key
+    rows = docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("_text"), F.col(f"`{id_column}`").alias(id_column), key.alias("_row_key"))
+    return rows.mapInArrow(each, f"`{id_column}` {kind}, v long, n_shingles long, grams binary, _row_key long")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(member, text, vertex, size) of stored sets (v, grams), some rows at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            part = batch.slice(a, rows)
+            raw = part.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            size = np.diff(ends) // _BYTES
+            vertex = np.ascontiguousarray(part.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+            yield unpack(raw.buffers()[2].slice(ends[0], ends[-1] - ends[0])), np.repeat(np.arange(len(size)), size), vertex, size
 
 
 class Order:
-    """Frequent n-grams and their frequencies; sorts sets rare-first."""
+    """Frequent n-grams and the levels of their frequencies; sorts sets rare-first."""
 
     def __init__(self, gram: np.ndarray, df: np.ndarray):
         order = np.argsort(gram)
-        self.gram, self.df = gram[order], df[order]
-
-    def sort(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        code = h & _FREQUENCY_MASK
-        df = np.zeros(len(h), dtype=np.int64)
+        self.gram = gram[order]
+        self.level = np.minimum(1 + np.floor(np.log2(np.maximum(df[order], 1)) * 2), (1 << _LEVELS) - 1).astype(np.uint64)
+        # most n-grams are told to be infrequent by one look at a small table
+        self.may = np.zeros(1 << 22, dtype=bool)
+        self.may[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), dtype=np.uint64)
         if len(self.gram):
+            maybe = np.flatnonzero(self.may[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            code = h[maybe]
             at = np.minimum(np.searchsorted(self.gram, code), len(self.gram) - 1)
-            df = np.where(self.gram[at] == code, self.df[at], 0)
-        return np.lexsort((h, df, d))
+            out[maybe] = np.where(self.gram[at] == code, self.level[at], 0)
+        return out
 
+    def sort(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The members by text, frequency and hash: one sort of numbers made of the three."""
+        key = (d.astype(np.uint64) << np.uint64(MEMBER_BITS + _LEVELS)) | (self.levels(h) << np.uint64(MEMBER_BITS)) | h
+        key.sort()
+        return key & _MEMBER
 
-def order_of(docs: DataFrame, text_column: str, n: int, most: int = MOST_FREQUENT) -> Order:
-    """Count all n-grams and keep the most frequent, at most ``most`` of them; a histogram finds the cut."""
-    chars = docs.agg(F.sum(F.length(F.col(f"`{text_column}`"))).alias("x")).first()["x"] or 0
-    buckets = 1 << max(5, int(np.ceil(np.log2(max(chars, 1) / BUCKET_CHARS))))
-    counted = stored(frequencies(docs, text_column, n, buckets), "frequencies")
-    level = F.floor(F.log2("df") * 4 + 1e-9)
+
+def order_of(sets: DataFrame, buckets: int, most: int = MOST_FREQUENT) -> Order:
+    """Count all n-grams of stored sets and keep the most frequent, at most ``most`` of them; a histogram finds the cut."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for h, *_ in _sets(batches):
+            yield h
+
+    frequent = stored(counted(sets, codes, buckets, least=2), "frequencies")
+    level = F.floor(F.log2("n") * 4 + 1e-9)
     total, cut = 0, None
-    for row in sorted(counted.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["l"]):
+    for row in sorted(frequent.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["l"]):
         total += row["k"]
         if total > most:
             break
         cut = row["l"]
     if cut is None:
-        return Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    kept = counted.where(level >= cut).toArrow()
-    return Order(np.ascontiguousarray(kept["gram"].to_numpy(), np.int64).view(np.uint64), np.ascontiguousarray(kept["df"].to_numpy(), np.int64))
+        out = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    else:
+        kept = frequent.where(level >= cut).toArrow()
+        out = Order(np.ascontiguousarray(kept["key"].to_numpy(), np.int64).view(np.uint64), np.ascontiguousarray(kept["n"].to_numpy(), np.int64))
+    discard(frequent)
+    return out
 
 
 def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
@@ -214,22 +202,20 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
 
 def _prefixes(h: np.ndarray, d: np.ndarray, size: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix n-grams with their texts and positions."""
-    at = order.sort(h, d)
     place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
     chosen = place < prefix_length(size, percent)[d]
-    return h[at][chosen], d[chosen], place[chosen]
+    return order.sort(h, d)[chosen], d[chosen], place[chosen]
 
 
 def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
-    """Whether two ascending sets of 48-bit members reach the similarity; the suffix filter goes first.
+    """Whether two ascending sets of members reach the similarity; the suffix filter goes first.
 
     Numbers fall into bins by their first bits; differences of bin sizes add up to a
     bound of how many members the sets do not share.
     """
     total = len(left) + len(right)
     need = -(-percent * total // (100 + percent))  # least intersection
-    bins = np.uint64(1) << np.uint64(44)
-    edges = np.arange(1, SUFFIX_BINS, dtype=np.uint64) * bins
+    edges = np.arange(1, SUFFIX_BINS, dtype=np.uint64) << np.uint64(MEMBER_BITS - 4)
     sizes = [np.diff(np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))) for s in (left, right)]
     if np.abs(sizes[0] - sizes[1]).sum() > total - 2 * need:
         return False
@@ -255,139 +241,161 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = [similar(unpack_set(x.as_py()), unpack_set(y.as_py()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            fine = [similar(unpack(x.as_buffer()), unpack(y.as_buffer()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(each, "a long, b long")
 
 
-def _may_be_similar(percent: int) -> Column:
-    """Length and positional filters of a list's member (n, place) against a hub (hn, hplace)."""
-    need = F.ceil(percent * (F.col("n") + F.col("hn")) / F.lit(100 + percent))
-    most = F.least("place", "hplace") + 1 + F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hplace")) - 1
-    return (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (most >= need)
-
-
-def bins_of(h: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
-    """How many members of each set fall into each bin of their first bits."""
-    return np.bincount(d * SUFFIX_BINS + (h >> np.uint64(60)).astype(np.int64), minlength=n_docs * SUFFIX_BINS).reshape(n_docs, SUFFIX_BINS)
-
+def parities(h: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
+    """For each set whether it has an odd number of members in each of PARITY_BITS ranges of hashes: rows of 64-bit words."""
+    count = np.bincount(d * PARITY_BITS + (h >> np.uint64(MEMBER_BITS - 9)).astype(np.int64), minlength=n_docs * PARITY_BITS)
+    return np.packbits((count & 1).astype(bool).reshape(n_docs, PARITY_BITS), axis=1, bitorder="little").view("<i8")
 
-def _suffix_filtered(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bins do not differ by more than similar sets' may: what is not shared is at least the sum of the differences."""
-    side = lambda v, n, bins: sizes.select(F.col("v").alias(v), F.col("n").alias(n), F.col("bins").alias(bins))
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    both = pairs.join(side("a", "na", "ba"), "a").join(side("b", "nb", "bb"), "b")
-    return both.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
 
+_PARITIES = [f"p{k}" for k in range(PARITY_BITS // 64)]
 
-def links(lists: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(v, c) of all vertices that are linked with another. ``lists``: (gram, v, n, place) of shared prefix n-grams; ``sizes``: (v, n, bins)."""
-    spark = lists.sparkSession
-    labels = spark.createDataFrame([], "v long, c long, links long")
-    done = spark.createDataFrame([], "a long, b long")
-    edges = None
-    hubs = 1
-    while True:
-        # lists whose members are not all of one component yet
-        now = lists.join(labels, "v", "left").select("gram", "v", "n", "place", F.coalesce("c", "v").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
-        open_ = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-        lists = stored(now.join(open_, "gram", "left_semi"), "lists")
-        if lists.limit(1).count() == 0:
-            break
-        first = Window.partitionBy("gram").orderBy(F.desc("links"), "c", "v")
-        hub = stored(lists.withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs).select("gram", F.col("v").alias("hub"), F.col("n").alias("hn"), F.col("place").alias("hplace"), F.col("c").alias("hc"), "k"), "hubs")
-        pairs = lists.join(hub.drop("k"), "gram").where((F.col("c") != F.col("hc")) & _may_be_similar(percent))
-        pairs = pairs.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = stored(_suffix_filtered(pairs, sizes, percent), "pairs")
-        fresh = stored(_verified(pairs, sets, percent), "links")
-        done = done.union(pairs)
-        lists = lists.join(hub.select("gram", F.col("hub").alias("v")), ["gram", "v"], "left_anti").select("gram", "v", "n", "place")
-        hubs *= HUB_GROWTH
-        if fresh.limit(1).count() == 0:
-            continue
-        edges = fresh if edges is None else edges.union(fresh)
-        ends = edges.select(F.col("a").alias("v")).union(edges.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
-        labels = stored(components(edges).join(ends, "v"), "components")
-    return labels.select("v", "c")
-
-
-def _vertices(docs: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, v, n_shingles) of each row."""
-    kind = docs.schema[id_column].dataType.simpleString()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "_text", SLICE_BYTES):
-                words = words_of(batch.column(0), lower=True)
-                h, d = sets_of(words, n)
-                vertex, size = vertex_of(h, d, words.n_docs)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(as_long(vertex)), pa.array(size, pa.int64())], names=[id_column, "v", "n_shingles"])
-
-    rows = docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("_text"), F.col(f"`{id_column}`").alias(id_column))
-    return rows.mapInArrow(each, f"`{id_column}` {kind}, v long, n_shingles long")
 
+def _may_be_similar(percent: int) -> Column:
+    """Length, positional and suffix filters of a list's member (n, place, p...) against a hub (hn, hplace, hp...).
 
-def _tally_prefixes(docs: DataFrame, text_column: str, n: int, percent: int, order) -> DataFrame:
-    """(gram) of the prefix n-grams that more than one set's prefix has."""
+    A range in which one set has an odd number of members and the other an even one
+    holds a member that they do not share; the suffix filter adds these up.
+    """
+    need = F.ceil(percent * (F.col("n") + F.col("hn")) / F.lit(100 + percent))
+    most = F.least("place", "hplace") + 1 + F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hplace")) - 1
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"h{p}"))) for p in _PARITIES), F.lit(0))
+    return (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (most >= need) & (apart <= F.col("n") + F.col("hn") - 2 * need)
+
+
+def _classes(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """Labels (v, c, links) with new links (a, b) taken in: only the classes that these connect are labelled anew."""
+    ends = fresh.select(F.col("a").alias("v")).union(fresh.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("more"))
+    if labels is None:
+        return stored(components(fresh).join(ends, "v").select("v", "c", F.col("more").alias("links")), "components")
+    base = stored(labels.join(ends, "v", "full").select("v", F.coalesce("c", "v").alias("c"), (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links")), "classes")
+    of = base.select("v", "c")
+    between = fresh.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    renamed = components(between)
+    out = stored(base.join(renamed.toDF("c", "to"), "c", "left").select("v", F.coalesce("to", "c").alias("c"), "links"), "components")
+    discard(base, renamed)
+    return out
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, d, _, size in _fresh_sets(batches, n):
-            gram, _, _ = _prefixes(h, d, size, order.value, percent)
-            gram, count = np.unique(gram, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(gram)), pa.array(count, pa.int64())], names=["gram", "n"])
 
-    return _texts(docs, text_column).mapInArrow(each, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(v, c) of all vertices that are linked with another. ``lists``: (gram, v, n, place, p...) of shared prefix n-grams."""
+    labels, done = None, []
+    hubs, compared = 1, 0
+    while True:
+        if labels is None:
+            now = lists.withColumn("c", F.col("v")).withColumn("links", F.lit(0).cast("long"))
+        else:
+            now = lists.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")).withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+        # lists whose members are not all of one component yet, nor all compared with each other; sums, so that tasks send one row a list
+        entry = F.struct((-F.col("links")).alias("few"), "c", "v", "n", "place", *_PARITIES)
+        open_ = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"), *([F.min(entry).alias("h")] if hubs == 1 else []))
+        open_ = open_.where((F.col("lo") != F.col("hi")) & (F.col("k") > compared))
+        if hubs > 1:
+            before, lists = lists, stored(now.join(open_.select("gram"), "gram", "left_semi"), "lists")
+            discard(before)
+            if lists.isEmpty():
+                discard(lists, *done)
+                return None if labels is None else labels.select("v", "c")
+            now = lists
+            first = Window.partitionBy("gram").orderBy(F.desc("links"), "c", "v")
+            open_ = now.withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs).select("gram", F.struct("c", "v", "n", "place", *_PARITIES).alias("h"))
+        hub = open_.select("gram", F.col("h.v").alias("hub"), F.col("h.n").alias("hn"), F.col("h.place").alias("hplace"), F.col("h.c").alias("hc"), *[F.col(f"h.{p}").alias(f"h{p}") for p in _PARITIES])
+        pairs = now.join(hub, (now["gram"] == hub["gram"]) & (F.col("c") != F.col("hc")) & _may_be_similar(percent))
+        pairs = pairs.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+        for old in done:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        done.append(pairs)
+        if not pairs.isEmpty():
+            fresh = stored(_verified(pairs, sets, percent), "links")
+            if not fresh.isEmpty():
+                spent, labels = labels, _classes(labels, fresh)
+                discard(spent)
+            discard(fresh)
+        lists = lists.drop("c", "links")
+        compared, hubs = hubs, hubs * HUB_GROWTH
 
 
 def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a row: id, n_shingles, component_id."""
-    # sets are rows of a few kilobytes; all Python stages end within
-    with small_batches(docs.sparkSession):
-        return _joined(narrow(docs, id_column, text_column), n, percent, id_column, text_column)
+    rows, classes = _joined(narrow(docs, id_column, text_column), n, percent, id_column, text_column, None)
+    named = classes.select("v", "component_id")
+    with_words = rows.where("n_shingles > 0").join(named, "v").select(f"`{id_column}`", "n_shingles", "component_id")
+    without = rows.where("n_shingles = 0").select(f"`{id_column}`", "n_shingles", F.col(f"`{id_column}`").alias("component_id"))
+    return with_words.unionByName(without)
 
 
-def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str, row_key: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (id, v, n_shingles, _row_key) and vertices (v, c, component_id, row_key: that of the row which stands for the component)."""
     spark = docs.sparkSession
-    vertices = stored(_vertices(docs, n, id_column, text_column), "vertices")
-    order = spark.sparkContext.broadcast(order_of(docs, text_column, n))  # at most MOST_FREQUENT entries
-    shared = stored(_tally_prefixes(docs, text_column, n, percent, order), "shared")
-    sieve = spark.sparkContext.broadcast(sieve_of(shared, "gram"))  # of fixed size
+    vertices = stored(vertices_of(docs, n, id_column, text_column, row_key), "sets")
+    rows = stored(vertices.drop("grams"), "vertices")
+    sets = vertices.where("grams IS NOT NULL").select("v", "grams")
+    buckets = bucket_count(docs, text_column)
+    order = spark.sparkContext.broadcast(order_of(sets, buckets))  # at most MOST_FREQUENT entries
+
+    def prefix_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for h, d, _, size in _sets(batches):
+            yield _prefixes(h, d, size, order.value, percent)[0]
+
+    shared = stored(counted(sets, prefix_grams, buckets, least=2), "shared")
+    sieve = spark.sparkContext.broadcast(sieve_of(shared, "key"))  # of fixed size
+    discard(shared)
+    release(spark)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, d, vertex, size in _fresh_sets(batches, n):
+        for h, d, vertex, size in _sets(batches):
             gram, doc, place = _prefixes(h, d, size, order.value, percent)
             may = sieve.value.passes(gram)
             cut = pa.array(np.searchsorted(doc[may], np.arange(len(vertex) + 1)), pa.int32())
-            bounds = np.concatenate(([0], np.cumsum(size)))
-            has = np.diff(cut.to_numpy()) > 0
-            raw = pa.array([pack_set(h[a:b]) if k else None for a, b, k in zip(bounds[:-1], bounds[1:], has, strict=True)], pa.binary())
-            bins = pa.FixedSizeListArray.from_arrays(pa.array(bins_of(h, d, len(vertex)).reshape(-1), pa.int32()), SUFFIX_BINS).cast(pa.list_(pa.int32()))
-            out = pa.RecordBatch.from_arrays([pa.array(as_long(vertex)), pa.array(size, pa.int64()), raw, bins, pa.ListArray.from_arrays(cut, pa.array(as_long(gram[may]))), pa.ListArray.from_arrays(cut, pa.array(place[may], pa.int64()))], names=["v", "n", "grams", "bins", "prefix", "places"])
-            yield out.filter(pa.array(has))
-
-    found = stored(_texts(docs, text_column).mapInArrow(candidates, "v long, n long, grams binary, bins array<int>, prefix array<long>, places array<long>"), "sets")
-    sizes = stored(found.groupBy("v").agg(F.first("n").alias("n"), F.first("bins").alias("bins")), "sizes")
-    lists = found.select("v", "n", F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), "v", "n", F.col("x.places").alias("place"))
-    lists = lists.dropDuplicates(["gram", "v"]).join(shared, "gram", "left_semi")
-    linked = links(lists, found.select("v", "grams"), sizes, percent)
-    classes = vertices.where("n_shingles > 0").groupBy("v").agg(F.min(f"`{id_column}`").alias("least")).join(linked, "v", "left").select("v", "least", F.coalesce("c", "v").alias("c"))
-    smallest = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "c").select("v", "component_id")
-    with_words = vertices.where("n_shingles > 0").join(named, "v").select(f"`{id_column}`", "n_shingles", "component_id")
-    without = vertices.where("n_shingles = 0").select(f"`{id_column}`", "n_shingles", F.col(f"`{id_column}`").alias("component_id"))
-    return with_words.unionByName(without)
+            bits = parities(h, d, len(vertex))
+            out = pa.RecordBatch.from_arrays([pa.array(as_long(vertex)), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in bits.T], pa.ListArray.from_arrays(cut, pa.array(as_long(gram[may]))), pa.ListArray.from_arrays(cut, pa.array(place[may], pa.int64()))], names=["v", "n", *_PARITIES, "prefix", "places"])
+            yield out.filter(pa.array(np.diff(cut.to_numpy()) > 0))
+        trim()
+
+    found = sets.mapInArrow(candidates, f"v long, n long, {', '.join(f'{p} long' for p in _PARITIES)}, prefix array<long>, places array<long>")
+    found = stored(found.groupBy("v").agg(F.first(F.struct("n", *_PARITIES, "prefix", "places")).alias("x")).select("v", "x.*"), "prefixes")
+    lists = found.select("v", "n", *_PARITIES, F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), "v", "n", F.col("x.places").alias("place"), *_PARITIES)
+    linked = links(lists, sets, percent)
+    discard(vertices, found)
+    release(spark)
+    # the row of the smallest id stands for a component; null ids come last, then the row's key decides
+    first = F.min(F.struct(F.col(f"`{id_column}`").isNull().alias("none"), F.col(f"`{id_column}`").alias("id"), "_row_key")).alias("first")
+    classes = rows.where("n_shingles > 0").groupBy("v").agg(first)
+    classes = classes.join(linked, "v", "left").select("v", "first", F.coalesce("c", "v").alias("c")) if linked is not None else classes.select("v", "first", F.col("v").alias("c"))
+    least = classes.groupBy("c").agg(F.min("first").alias("least"))
+    return rows, classes.join(least, "c").select("v", "c", F.col("least.id").alias("component_id"), F.col("least._row_key").alias("row_key"))
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that stand for their component: the one with its smallest id (one of them, if rows share that id). Rows without words all stay."""
-    found = joined(docs, n, percent, id_column, text_column)
-    stay = found.where(F.col(f"`{id_column}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_column}`").alias("_id"), (F.col("n_shingles") > 0).alias("_some")).distinct()
-    some = F.coalesce(F.regexp_like(F.col(f"`{text_column}`"), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
-    rows = packed(docs, _own=F.col(f"`{id_column}`"), _words=some)
-    rows = rows.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_some")))
-    return rows.where("_words").dropDuplicates(["_own"]).select("_row.*").unionByName(rows.where("NOT _words").select("_row.*"))
+    """One row of each component, and all rows without words.
+
+    It is the row with the smallest id (nulls last); of several such rows of one
+    component, one text by its key, and one row of those with equal id and text.
+    Rows of different components all stay, whatever their ids. Only rows that may
+    have to go are sent through a shuffle.
+    """
+    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    rows, classes = _joined(narrow(docs, id_column, text_column), n, percent, id_column, text_column, key)
+    stay = classes.select(F.col("row_key").alias("_row_key")).distinct().withColumn("stays", F.lit(True))
+    times = rows.where("n_shingles > 0").groupBy("_row_key").agg(F.count(F.lit(1)).alias("times"))
+    judged = times.join(stay, "_row_key", "left").where("stays IS NULL OR times > 1")
+    judged = stored(judged.select(F.col("_row_key").alias("_judged"), F.coalesce("stays", F.lit(False)).alias("_stays")), "judged")
+    sieve = docs.sparkSession.sparkContext.broadcast(sieve_of(judged, "_judged"))  # of fixed size
+
+    @F.pandas_udf("boolean")
+    def may(own: pd.Series) -> pd.Series:
+        return pd.Series(sieve.value.passes(own.to_numpy(np.int64).view(np.uint64)))
+
+    all_rows = packed(docs, _own=key).withColumn("_may", may("_own"))
+    asked = all_rows.where("_may").join(judged, F.col("_own") == F.col("_judged"), "left")
+    once = asked.where("_stays").groupBy("_own").agg(F.first("_row").alias("_row")).select("_row")
+    return all_rows.where("NOT _may").select("_row").union(asked.where("_stays IS NULL").select("_row")).union(once).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

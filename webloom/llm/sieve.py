@@ -54,15 +54,15 @@ def sieve_of(keys: DataFrame, column: str, log_bits: int = LOG_BITS) -> Sieve:
             values = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
             of = (values & np.uint64(SLICES - 1)).astype(np.int64)
             for s in np.unique(of):
-                flags = held.setdefault(int(s), np.zeros(per_slice // 8, dtype=np.uint8))
+                flags = held.setdefault(int(s), np.zeros(per_slice, dtype=bool))
                 for at in Sieve.places(values[of == s], np.uint64(per_slice)):
-                    np.bitwise_or.at(flags, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+                    flags[at.astype(np.int64)] = True
         for s, flags in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([flags.tobytes()], pa.binary())], names=["slice", "flags"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["slice", "flags"])
 
     dealt = keys.select(F.col(column)).where(F.col(column).isNotNull()).repartition(SLICES, F.col(column).bitwiseAND(F.lit(SLICES - 1)))
     bits = np.zeros((1 << log_bits) // 8, dtype=np.uint8)
     size = per_slice // 8
-    for row in dealt.mapInArrow(each, "slice int, flags binary").toLocalIterator():
+    for row in dealt.mapInArrow(each, "slice int, flags binary").collect():  # 2^log_bits bits at most for each task of a slice
         bits[row["slice"] * size : (row["slice"] + 1) * size] |= np.frombuffer(row["flags"], np.uint8)
     return Sieve(bits)

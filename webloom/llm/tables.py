@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's ``spark.checkpoint.dir`` names it. Only where that is unset
-    (one machine, as in tests) a temporary folder takes its place.
+    The session's ``spark.checkpoint.dir`` names it. Only where that is unset and all
+    runs on one machine, as in tests, a temporary folder takes its place; a cluster
+    without the setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="webloom-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,7 +43,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/webloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._webloom_path = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of stored frames that nothing will read again. What isn't a stored frame is left alone."""
+    for df in frames:
+        path = getattr(df, "_webloom_path", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that are over: it does so when the driver collects their plans as garbage, which else may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
@@ -54,17 +74,6 @@ def crc_split(column: str, parts: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Rows go to Python in batches of at most so many while this holds; plans that run later are not affected."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
 
 def packed(docs: DataFrame, **columns) -> DataFrame:
     """Whole rows as one column ``_row`` beside the named ones, so that no column of theirs can clash; ``select("_row.*")`` gives them back."""

@@ -16,14 +16,9 @@ import pyarrow as pa
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Runs of ASCII letters and of anything beyond ASCII, for terms without punctuation.
 LETTERS = np.arange(256) >= 0x80
 LETTERS[65:91] = LETTERS[97:123] = True
-_SAME = np.arange(256, dtype=np.uint8)
-_LOWER = _SAME.copy()
-_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,6 +33,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * _GOLD)
+_MASKS = U64(0xFFFFFFFFFFFFFFFF) >> ((U64(8) - np.arange(9, dtype=U64)) % U64(8) << U64(3))  # of 1 to 8 bytes
+_FEW_STEPS = 32
 
 
 @dataclass
@@ -79,44 +76,51 @@ def words_of(column: pa.Array, lower: bool = False, of: np.ndarray | None = None
     """Split each text of a column into words and hash them; ``lower`` lower-cases A-Z first, ``of`` tells which bytes make words."""
     data, offsets = utf8_buffers(column)
     n = len(data)
-    inside = ~_IS_SPACE[data] if of is None else of[data]
+    inside = ~((data == 0x20) | ((data - np.uint8(9)) < 5)) if of is None else of[data]
     first = np.zeros(n + 1, dtype=bool)
-    first[:n] = inside
-    first[1:n] &= ~inside[:-1]
+    first[:1] = inside[:1]
+    first[1:n] = inside[1:] > inside[:-1]
     # a text's first byte starts a word even if the text before it ends in one
     cut = offsets[:-1][offsets[:-1] < n]
     first[cut] |= inside[cut] if n else False
     begin = np.flatnonzero(first[:n])
     last = np.zeros(n, dtype=bool)
     if n:
-        last[:-1] = inside[:-1] & (~inside[1:] | first[1:n])
+        last[:-1] = inside[:-1] > inside[1:]
+        last[cut[cut > 0] - 1] = inside[cut[cut > 0] - 1]
         last[-1] = inside[-1]
     end = np.flatnonzero(last) + 1
     hashes = hash_spans(data, begin, end, lower)
     return Words(hashes, np.searchsorted(begin, offsets), begin, end, data)
 
 
-def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each span: the sum of a mixed code of every (byte, place in span).
-
-    Spans must be disjoint and ascending. Work goes by blocks of about ``block``
-    bytes, so that temporary arrays stay small.
-    """
-    out = np.zeros(len(begin), dtype=U64)
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span's bytes and length. Spans are read eight bytes at a time, all spans at once; few are long."""
+    size = end - begin
+    out = size.astype(U64) * _GOLD
     if not len(begin):
         return out
-    fold = _LOWER if lower else _SAME
-    at = 0
-    while at < len(begin):
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + block)))
-        b, e = begin[at:to], end[at:to]
-        size = e - b
-        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(starts, size)
-        source = place + np.repeat(b, size)
-        code = mix(_BYTE_CODE[fold[data[source]]] + place.astype(U64) * _GOLD)
-        out[at:to] = mix(np.add.reduceat(code, starts) + size.astype(U64))
-        at = to
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    if lower:
+        padded += ((padded - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    at, left, of, step = begin, size, None, 0
+    while len(at) and step < _FEW_STEPS:
+        chunk = eight[at] & _MASKS[np.minimum(left, 8)]
+        if of is None:
+            out = mix(out ^ chunk)
+        else:
+            out[of] = mix((out[of] + _GOLD) ^ chunk)
+        more = np.flatnonzero(left > 8)
+        of = more if of is None else of[more]
+        at, left = at[more] + 8, left[more] - 8
+        step += 1
+    of = np.zeros(0, np.int64) if of is None else of
+    # of what is longer still, all bytes in one go, weighed by their places
+    for i, a, n in zip(of.tolist(), at.tolist(), left.tolist(), strict=True):
+        code = mix(_BYTE_CODE[padded[a : a + n]] + np.arange(n, dtype=U64) * _GOLD)
+        out[i] = mix((out[i : i + 1] + _GOLD) ^ code.sum(dtype=U64))[0]
     return out
 
 
