@@ -1,9 +1,11 @@
 """Operators that compare documents or order them, and the pipeline, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,43 +127,71 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 1), 50: 50, 70: 50, 100: 50}
 
 
-def scheduled(counts, weights=None, cycle=mixing.CYCLE):
-    """The slots of one cycle, chosen one after another."""
-    raw = {s: (n**0.5 if weights is None else weights.get(s, 0)) for s, n in counts.items()}
-    parts = {s: max(1, int(round(cycle * r / sum(raw.values()), 6))) for s, r in raw.items()}
-    q, done, order = sum(parts.values()), dict.fromkeys(parts, 0), []
-    names = sorted(parts, key=lambda s: (s is None, s or ""))
-    for t in range(q):
-        ready = [(-(-(done[s] + 1) * q // parts[s]), names.index(s), s) for s in names if done[s] < parts[s] and done[s] * q // parts[s] <= t]
-        pick = min(ready)[2]
-        done[pick] += 1
-        order.append(pick)
-    return parts, q, order
-
-
-@pytest.mark.parametrize("weights", [None, {"a": 0.9, "b": 0.05, "c": 0.05}])
+def earliest_deadline_first(parts, blocks):
+    """(source index, block, slot, release, deadline) of every block, with exact fractions; windows start anew when a source is used up."""
+    done, out, t = [0] * len(parts), [], 0
+    while any(d < b for d, b in zip(done, blocks)):
+        live = [i for i, (d, b) in enumerate(zip(done, blocks)) if d < b]
+        w = {i: parts[i] for i in live} if any(parts[i] for i in live) else dict.fromkeys(live, 1)
+        w = {i: Fraction(p, sum(w.values())) for i, p in w.items() if p}
+        since, count = t, dict.fromkeys(w, 0)
+        while all(done[i] < blocks[i] for i in w):
+            due, i = min((math.ceil((count[i] + 1) / w[i]), i) for i in w if math.floor(count[i] / w[i]) <= t - since)
+            out.append((i, done[i], t, since + math.floor(count[i] / w[i]), since + due))
+            done[i] += 1
+            count[i] += 1
+            t += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 0.9995, "s1": 0.0005, "s2": 0.0}, {"s0": 3, "s1": float("nan"), "s3": 1}, {}])
 def test_mixing(spark, weights):
-    rows = [(i, s) for s, n in (("a", 300), ("b", 40), ("c", 41), (None, 7)) for i in range(n * 10, n * 10 + n)] + [(None, "a"), (3000, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
-    got = mixing.schedule(df, weights, block_docs=4, cycle=60).collect()
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["s0", "s0", "s0", "s1", "s2", "s3", None, ""])) for i in range(400)] + [(None, "s1"), (7, rng.choice(["s0", "s1"]))]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3).withColumn("n", F.lit(1)).withColumn("block", F.lit(1)).withColumn("_deal", F.lit(1))
+    got = mixing.schedule(df, weights, block_docs=4).collect()
     counts = Counter(s for _, s in rows)
-    parts, q, order = scheduled(counts, weights, 60)
-    for t in range(q + 1):
-        for s in parts:
-            assert abs(order[:t].count(s) - t * parts[s] / q) < 1
-    turns = {s: [t for t, x in enumerate(order) if x == s] for s in parts}
+    sources = sorted(counts, key=lambda s: (s is None, s or ""))
+    raw = [math.sqrt(counts[s]) if weights is None else max(0.0, weights.get(s, 0.0) if s is not None else 0.0) for s in sources]
+    raw = [0.0 if math.isnan(x) else x for x in raw]
+    exact = [mixing.PRECISION * x / sum(raw) if sum(raw) else 0.0 for x in raw]
+    parts = [math.floor(x) for x in exact]
+    for k in sorted(range(len(raw)), key=lambda k: parts[k] - exact[k])[: mixing.PRECISION - sum(parts) if sum(raw) else 0]:
+        parts[k] += 1
+    blocks = [-(-counts[s] // 4) for s in sources]
+    plan = {(i, b): (slot, release, due) for i, b, slot, release, due in earliest_deadline_first(parts, blocks)}
+    assert all(release <= slot < due for slot, release, due in plan.values())
     want = Counter()
-    for s, n in counts.items():
+    for k, s in enumerate(sources):
         ids = sorted((i for i, x in rows if x == s), key=lambda i: (hashlib.md5(str("" if i is None else i).encode()).hexdigest(), i or 0))
         for rank, i in enumerate(ids):
-            block = rank // 4
-            turn = block % parts[s]
-            base = block // parts[s] * q
-            want[i, s, block, rank % 4, base + turn * q // parts[s], base - (-(turn + 1) * q // parts[s]), base + turns[s][turn]] += 1
+            slot, release, due = plan[k, rank // 4]
+            want[i, s, rank // 4, rank % 4, release, due, slot] += 1
     assert Counter(map(tuple, got)) == want
+    # against the weights themselves, until a source is used up
+    order = [i for (i, _), _ in sorted(plan.items(), key=lambda x: x[1])]
+    for t in range(len(order)):
+        if any(order[:t].count(i) >= blocks[i] for i in range(len(sources)) if raw[i]) or not sum(raw):
+            break
+        assert all(abs(order[:t].count(i) - t * x / sum(raw)) < 1 for i, x in enumerate(raw))
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
+def test_many_sources_keep_their_shares(spark):
+    """150 sources, of which one has half of the weight, over a schedule of several strides."""
+    counts = spark.range(150).select(F.concat(F.lit("s"), F.col("id")).alias("source"), F.when(F.col("id") == 0, 300).otherwise(4).alias("n")).coalesce(1)
+    weights = {"s0": 0.5} | {f"s{k}": 0.5 / 149 for k in range(1, 150)}
+    rows = mixing.pattern(mixing.shares(counts, weights, block_docs=1)).collect()
+    order = [r.source for r in sorted(rows, key=lambda r: r.slot)]
+    assert [r.slot for r in sorted(rows, key=lambda r: r.slot)] == list(range(896))
+    seen = Counter()
+    for t, s in enumerate(order[:590], 1):  # no source is used up before
+        seen[s] += 1
+        assert abs(seen["s0"] - t * 0.5) < 1 and abs(seen["s7"] - t * weights["s7"]) < 1
+    larger = mixing.shares(counts, weights, block_docs=1, most_blocks=100).collect()
+    assert {r.block_docs for r in larger} == {9} and sum(r.blocks for r in larger) <= 100 + 150
+
+
 def test_mixed_keeps_rows_and_columns(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.lit(1).alias("turns"), F.lit(2).alias("_row"))
     out = mixing.mixed(df, block_docs=8)
@@ -194,15 +224,14 @@ def test_pipeline(spark):
         at = after
 
 
-def test_pipeline_ends_in_the_order_of_the_mix(spark, tmp_path):
-    """However many files the mix is read from: slot and place are in the result, which is in their order."""
+def test_pipeline_result_has_the_mix(spark, tmp_path):
+    """However many files the mix is read from, slot and place are in the result."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10_000))
     corpus_pipeline.mix(spark, docs, "").repartition(7).write.parquet(str(tmp_path / "mix"))
     got = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mix")), "").collect()
     want = {r.doc_id: (r.source, r.slot, r.place) for r in mixing.schedule(docs).collect()}
     assert {r.doc_id: (r.source, r.slot, r.place) for r in got} == want and len(got) == len(want)
-    order = [(r.slot, r.place) for r in got]
-    assert order == sorted(order) and len({r.slot for r in got}) > 3
+    assert len({(r.slot, r.place) for r in got}) == len(got)
 
 
 def test_packed_sets_and_similarity():
