@@ -41,7 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.tables import crc_split, documents, narrow, stored
+from webloom.llm.tables import crc_split, discard, documents, narrow, release, stored
+from webloom.llm.tally import SCHEMA, Sender, bucket_count, merged, trim
 from webloom.llm.textarrays import Words, as_long, mix, slices, words_of
 
 SMOOTHING = 0.1
@@ -52,7 +53,7 @@ PAIR_WEIGHT = 0.5
 GUARD = 2
 BITS_PER_ENTRY = 12
 PROBES = 6
-FLUSH = 3 << 20
+PAIR_BITS = 48
 SLICE_BYTES = 1 << 20
 END = np.uint64(0x5EED0E4D)  # the end token's hash; no word's is known to be it
 
@@ -95,14 +96,21 @@ class LogFrequencyFilter:
         return (h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(self.size - 1)
 
     def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
-        level = 1
-        while len(keys):
-            for k in range(self.probes):
-                at = self._places(keys, level, k)
-                np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-            self.highest = max(self.highest, level)
-            more = levels > level
-            keys, levels, level = keys[more], levels[more], level + 1
+        # a byte a bit while bits are set, a part of the filter at a time
+        part = min(self.size, 1 << 26)
+        for first in range(0, self.size, part):
+            flags = np.unpackbits(self.bits[first >> 3 : (first + part) >> 3], bitorder="little").view(bool)
+            some, left, level = keys, levels, 1
+            while len(some):
+                for k in range(self.probes):
+                    at = self._places(some, level, k)
+                    if part < self.size:
+                        at = at[(at >= np.uint64(first)) & (at < np.uint64(first + part))] - np.uint64(first)
+                    flags[at.astype(np.int64)] = True
+                self.highest = max(self.highest, level)
+                more = left > level
+                some, left, level = some[more], left[more], level + 1
+            self.bits[first >> 3 : (first + part) >> 3] = np.packbits(flags, bitorder="little")
 
     def _has(self, keys: np.ndarray, level: int) -> np.ndarray:
         alive = np.arange(len(keys))
@@ -124,7 +132,7 @@ class LogFrequencyFilter:
 
 
 def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * np.uint64(0xD1342543DE82EF95) + right)
+    return mix(left * np.uint64(0xD1342543DE82EF95) + right) >> np.uint64(64 - PAIR_BITS)
 
 
 def filter_of(pairs: np.ndarray, levels: np.ndarray) -> LogFrequencyFilter:
@@ -209,69 +217,38 @@ def _tally(rows: DataFrame, shards: int, most_pairs: int) -> DataFrame:
     """(kind, key, n, highest, bits): kind 0 words and ends, 1 filters (``key`` the shard, ``n`` its pairs that are not of kind 2), 2 frequent pairs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-
-        def flush():
-            for kind, parts in enumerate(held):
-                if parts:
-                    key, n = np.unique(np.concatenate(parts), return_counts=True)
-                    parts.clear()
-                    for a in range(0, len(key), 1 << 18):
-                        k = key[a : a + (1 << 18)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(k % np.uint64(shards), pa.int32()), pa.array(as_long(k)), pa.array(n[a : a + (1 << 18)], pa.int64())], names=["kind", "shard", "key", "n"])
-
-        size = 0
+        words, pairs = Sender(shards), Sender(shards, shards)
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 tokens, starts = tokens_with_ends(words_of(batch.column(0), lower=True))
-                held[0].append(tokens)
-                if len(tokens) > 1:
-                    inner = np.ones(len(tokens) - 1, dtype=bool)
-                    inner[starts[1:] - 1] = False
-                    held[1].append(pair_key(tokens[:-1], tokens[1:])[inner])
-                size += len(tokens)
-                if size > FLUSH:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    def counts(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(key), 1 << 18):
-            k = key[a : a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind), pa.int32()), pa.array(as_long(k)), pa.array(n[a : a + (1 << 18)], pa.int64()), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())], names=["kind", "key", "n", "highest", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        for batch in batches:
-            kind, key, n = (_numbers(batch.column(c)) for c in (0, 2, 3))
-            for k in (0, 1):
-                if (kind == k).any():
-                    parts[k].append((key[kind == k].view(np.uint64), n[kind == k].astype(np.int32)))
-        for kind, part in enumerate(parts):
-            if not part:
-                continue
-            key, n = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
-            part.clear()
-            order = np.argsort(key)
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            key, n = key[first], np.add.reduceat(n, first, dtype=np.int64)
-            if kind == 0:
-                yield from counts(0, key, n)
-                continue
-            of = (key % np.uint64(shards)).astype(np.int64)
-            for shard in np.unique(of).tolist():
-                k, m = key[of == shard], n[of == shard]
-                level = level_of(m)
-                held = filter_of(k, level)
-                # the most frequent levels that have no more than this shard's part of most_pairs
-                above = np.cumsum(np.bincount(level)[::-1])[::-1]
-                often = level >= int((above > most_pairs // shards).sum())
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), pa.array([int((~often).sum())], pa.int64()), pa.array([held.highest], pa.int32()), pa.array([held.bits.tobytes()], pa.binary())], names=["kind", "key", "n", "highest", "bits"])
-                yield from counts(2, k[often], m[often])
-
-    dealt = rows.mapInArrow(each, "kind int, shard int, key long, n long").repartition(shards, "shard")
-    return dealt.mapInArrow(merge, "kind int, key long, n long, highest int, bits binary")
+                inner = np.ones(max(len(tokens) - 1, 0), dtype=bool)
+                inner[starts[1:] - 1] = False
+                yield from pairs.add(pair_key(tokens[:-1], tokens[1:])[inner])
+                yield from words.add(tokens)
+        yield from pairs.flush()
+        yield from words.flush()
+        trim()
+
+    def counts(kind: int, key: np.ndarray, n: np.ndarray) -> pa.Table:
+        k = len(key)
+        return pa.table([pa.array(np.full(k, kind), pa.int32()), pa.array(as_long(key)), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["kind", "key", "n", "highest", "bits"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        """All of one bucket: its words, or its pairs' filter and the most frequent of its pairs."""
+        bucket = group["bucket"][0].as_py()
+        key, n = merged(group, shards)
+        if bucket < shards:
+            return counts(0, key, n)
+        level = level_of(n)
+        held = filter_of(key, level)
+        # the most frequent levels that have no more than this shard's part of most_pairs
+        above = np.cumsum(np.bincount(level)[::-1])[::-1]
+        often = level >= int((above > most_pairs // shards).sum())
+        row = [[1], [bucket - shards], [int((~often).sum())], [held.highest], [held.bits.tobytes()]]
+        one = pa.table([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["kind", "key", "n", "highest", "bits"])
+        return pa.concat_tables([one, counts(2, key[often], n[often])])
+
+    return rows.mapInArrow(each, SCHEMA).groupBy("bucket").applyInArrow(merge, "kind int, key long, n long, highest int, bits binary")
 
 
 def _cut(counts: DataFrame, most: int) -> int:
@@ -294,8 +271,9 @@ def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def train(docs: DataFrame, text_column: str = "text", most_words: int = MOST_WORDS, most_pairs: int = MOST_PAIRS, weight: float = PAIR_WEIGHT) -> tuple[Model, DataFrame]:
     """Count all rows. Gives the model and the stored table of all words' counts (key, n)."""
     rows = docs.select(F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = bucket_count(rows, "text")
     all_counts = stored(_tally(rows, shards, most_pairs), "lm-counts")
+    release(docs.sparkSession)
     words = all_counts.where("kind = 0").select("key", "n")
     sharded = all_counts.where("kind = 1").select(F.col("key").cast("int").alias("shard"), "highest", "bits")
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -329,8 +307,28 @@ def _gain(model: Model, pair: Column, left: Column, right: Column) -> Column:
     return F.log10(1 + model.weight * share * model.total / ((1 - model.weight) * (_least(right) + SMOOTHING)))
 
 
+def _packed_keys(key: np.ndarray, shards: int) -> np.ndarray:
+    """Keys of one shard each, without the bits that tell the shard, in as few bytes as PAIR_BITS leave."""
+    width = (PAIR_BITS - shards.bit_length() + 8) // 8
+    return (key // np.uint64(shards)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _unpacked(raw: bytes, shard: int, shards: int) -> np.ndarray:
+    width = (PAIR_BITS - shards.bit_length() + 8) // 8
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return wide.reshape(-1).view("<u8") * np.uint64(shards) + np.uint64(shard)
+
+
+def _rows_of(raw: bytes, entries: int) -> np.ndarray:
+    """Row numbers of two or four bytes."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * entries else np.uint32)
+
+
 def _told(asked: DataFrame, model: Model, schema: str, answer) -> DataFrame:
     """Rows of ``asked`` (``_shard``, ``_keys`` and more) beside the filter of their shard: ``answer`` makes a batch of each batch and its rows' pair levels."""
+    model_shards = model.shards
+    partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filters = model.sharded.select(F.col("shard").alias("_shard"), "highest", "bits")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,11 +343,11 @@ def _told(asked: DataFrame, model: Model, schema: str, answer) -> DataFrame:
         for batch in waiting:
             levels = []
             for shard, keys in zip(batch.column("_shard").to_pylist(), batch.column("_keys").to_pylist(), strict=True):
-                key = np.frombuffer(keys or b"", np.uint64)
+                key = _unpacked(keys or b"", shard, model_shards)
                 levels.append(pair_level(held[shard], key) if shard in held and len(key) else np.zeros(len(key), np.int64))
             yield answer(batch, levels)
 
-    return asked.unionByName(filters, allowMissingColumns=True).repartition(model.shards, "_shard").mapInArrow(each, schema)
+    return asked.unionByName(filters, allowMissingColumns=True).repartition(partitions, "_shard").mapInArrow(each, schema)
 
 
 def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -388,7 +386,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                 level, pair = m.levels(tokens, starts)
                 before = np.concatenate(([0], level[:-1]))
                 left = np.concatenate(([END], tokens[:-1]))
-                row = np.repeat(np.arange(k), n).astype(np.uint32)
+                row = np.repeat(np.arange(k), n).astype(np.uint16 if k <= 1 << 16 else np.uint32)
                 whole_words = (before >= 0) & (level >= 0)
                 for places, is_open in ((np.flatnonzero((pair < 0) & whole_words), False), (np.flatnonzero((pair != 0) & ~whole_words), True)):
                     key = pair_key(left[places], tokens[places])
@@ -403,7 +401,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                         lr = (packed(left[places]), packed(tokens[places])) if is_open else (pa.nulls(j, pa.binary()), pa.nulls(j, pa.binary()))
                         both = np.stack([before[places], level[places]], axis=1).astype(np.uint8)
                         empty = [pa.nulls(j, c.type) for c in batch.columns[1:]] + [pa.nulls(j, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))]
-                        yield pa.RecordBatch.from_arrays([*empty, pa.array(of[cuts], pa.int32()), pa.array(np.full(j, at), pa.int64()), packed(key), packed(row[places]), packed(both), *lr], names=names)
+                        yield pa.RecordBatch.from_arrays([*empty, pa.array(of[cuts], pa.int32()), pa.array(np.full(j, at), pa.int64()), packed(_packed_keys(key, m.shards)), packed(row[places]), packed(both), *lr], names=names)
                 at += k
 
     result = f"{carried}, n_tokens long, n_known long, base_score double, score double, _at long"
@@ -417,7 +415,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
         for row, level in zip(batch.select(["_base", "_rows", "_levels"]).to_pylist(), levels, strict=True):
             if (level > 0).any():
                 both = np.frombuffer(row["_levels"], np.uint8).reshape(-1, 2).astype(np.int64)
-                of, back = np.unique(np.frombuffer(row["_rows"], np.uint32)[level > 0], return_inverse=True)
+                of, back = np.unique(_rows_of(row["_rows"], len(level))[level > 0], return_inverse=True)
                 at.append(row["_base"] + of.astype(np.int64))
                 gain.append(np.bincount(back, m.gain(level, both[:, 0], both[:, 1])[level > 0]))
         texts = batch.filter(is_text).select([*keep, *figures, "_at"])
@@ -430,7 +428,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
         parts = [[np.zeros(0, np.int64)] * 4]
         for row, level in zip(batch.select(["_base", "_rows", "_left", "_right"]).to_pylist(), levels, strict=True):
             seen = level > 0
-            parts.append([row["_base"] + np.frombuffer(row["_rows"], np.uint32)[seen].astype(np.int64), level[seen], np.frombuffer(row["_left"], np.int64)[seen], np.frombuffer(row["_right"], np.int64)[seen]])
+            parts.append([row["_base"] + _rows_of(row["_rows"], len(level))[seen].astype(np.int64), level[seen], np.frombuffer(row["_left"], np.int64)[seen], np.frombuffer(row["_right"], np.int64)[seen]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["_at", "level", "left", "right"])
 
     if all_words and model.all_pairs:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 BUCKET_CHARS = 4 << 20
 FLUSH = 1 << 21
 
-_ROW = [("bucket", pa.int32()), ("codes", pa.binary()), ("at", pa.binary()), ("more", pa.binary())]
-_SCHEMA = "bucket int, codes binary, at binary, more binary"
+ROW = [("bucket", pa.int32()), ("codes", pa.binary()), ("at", pa.binary()), ("more", pa.binary())]
+SCHEMA = "bucket int, codes binary, at binary, more binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -61,42 +61,44 @@ def bucket_count(docs: DataFrame, text_column: str, bucket_chars: int = BUCKET_C
     return 1 << max(5, int(np.ceil(np.log2(max(chars, 1) / bucket_chars))))
 
 
-def sent(batches: Iterator[np.ndarray], buckets: int, flush_at: int = FLUSH) -> Iterator[pa.RecordBatch]:
-    """Arrays of keys as packed rows (bucket, codes, at, more): counts other than 1 are listed by place."""
-    held: list[np.ndarray] = []
-    shift = np.uint64(buckets.bit_length() - 1)
+class Sender:
+    """Holds keys up to ``flush_at`` and gives them as packed rows (bucket, codes, at, more); counts other than 1 are listed by place."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate(held)
-        held.clear()
+    def __init__(self, buckets: int, first_bucket: int = 0, flush_at: int = FLUSH):
+        self.buckets, self.first, self.flush_at = buckets, first_bucket, flush_at
+        self.shift = np.uint64(buckets.bit_length() - 1)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys):
+            self.held.append(keys)
+            self.size += len(keys)
+        if self.size > self.flush_at:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        keys, shift = np.concatenate(self.held), self.shift
+        self.held.clear()
+        self.size = 0
         # the bucket's bits go to the front: one sort deals out and orders
-        keys = (keys >> shift) | ((keys & np.uint64(buckets - 1)) << (np.uint64(64) - shift))
+        keys = (keys >> shift) | ((keys & np.uint64(self.buckets - 1)) << (np.uint64(64) - shift))
         key, count = runs(keys)
         del keys
-        cuts = np.searchsorted(key, np.arange(buckets, dtype=np.uint64) << (np.uint64(64) - shift))
+        cuts = np.searchsorted(key, np.arange(self.buckets, dtype=np.uint64) << (np.uint64(64) - shift))
         code = key & np.uint64((1 << (64 - int(shift))) - 1)
         out = []
         for b, (x, y) in enumerate(zip(cuts, np.append(cuts[1:], len(key)), strict=True)):
             if y > x:
                 often = np.flatnonzero(count[x:y] > 1)
-                out.append((b, pack(code[x:y]), often.astype("<u4").tobytes(), count[x:y][often].astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _ROW, strict=True)], names=[n for n, _ in _ROW])
-
-    size = 0
-    for keys in batches:
-        if len(keys):
-            held.append(keys)
-            size += len(keys)
-        if size > flush_at:
-            yield from flush()
-            size = 0
-    if held:
-        yield from flush()
-    trim()
+                out.append((self.first + b, pack(code[x:y]), often.astype("<u4").tobytes(), count[x:y][often].astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), ROW, strict=True)], names=[n for n, _ in ROW])
 
 
 def merged(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) of a bucket's rows, keys ascending by their code."""
+    """(key, count) of a bucket's rows, keys ascending by their code. A bucket's number counts modulo ``buckets``."""
     codes, counts = [], []
     for row in range(group.num_rows):
         code = unpack(group["codes"][row].as_py())
@@ -108,18 +110,22 @@ def merged(group: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(code, kind="stable")
     code = code[order]
     first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    return code[first] * np.uint64(buckets) + np.uint64(group["bucket"][0].as_py()), np.add.reduceat(count[order], first)
+    return code[first] * np.uint64(buckets) + np.uint64(group["bucket"][0].as_py() % buckets), np.add.reduceat(count[order], first)
 
 
 def counted(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], buckets: int, least: int = 1) -> DataFrame:
     """(key, n) of the keys that ``keys_of`` finds in all rows at least ``least`` times."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return sent(keys_of(batches), buckets)
+        sender = Sender(buckets)
+        for keys in keys_of(batches):
+            yield from sender.add(keys)
+        yield from sender.flush()
+        trim()
 
     def add(group: pa.Table) -> pa.Table:
         key, n = merged(group, buckets)
         key, n = key[n >= least], n[n >= least]
         return pa.table({"key": key.view(np.int64), "n": n})
 
-    return rows.mapInArrow(send, _SCHEMA).groupBy("bucket").applyInArrow(add, "key long, n long")
+    return rows.mapInArrow(send, SCHEMA).groupBy("bucket").applyInArrow(add, "key long, n long")

@@ -78,8 +78,9 @@ def words_of(column: pa.Array, lower: bool = False, of: np.ndarray | None = None
     n = len(data)
     inside = ~((data == 0x20) | ((data - np.uint8(9)) < 5)) if of is None else of[data]
     first = np.zeros(n + 1, dtype=bool)
-    first[:1] = inside[:1]
-    first[1:n] = inside[1:] > inside[:-1]
+    if n:
+        first[0] = inside[0]
+        first[1:n] = inside[1:] > inside[:-1]
     # a text's first byte starts a word even if the text before it ends in one
     cut = offsets[:-1][offsets[:-1] < n]
     first[cut] |= inside[cut] if n else False
