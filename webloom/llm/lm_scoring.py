@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.tables import crc_split, discard, documents, narrow, release, stored
+from webloom.llm.tables import crc_split, documents, narrow, release, stored
 from webloom.llm.tally import SCHEMA, Sender, bucket_count, merged, trim
 from webloom.llm.textarrays import Words, as_long, mix, slices, words_of
 
@@ -54,7 +54,8 @@ GUARD = 2
 BITS_PER_ENTRY = 12
 PROBES = 6
 PAIR_BITS = 48
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
+SLICE_ROWS = 1 << 16
 END = np.uint64(0x5EED0E4D)  # the end token's hash; no word's is known to be it
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,9 +92,10 @@ class LogFrequencyFilter:
         out.bits, out.size, out.highest = np.frombuffer(bits, np.uint8), len(bits) * 8, highest
         return out
 
-    def _places(self, key: np.ndarray, level: int, k: int) -> np.ndarray:
+    def _start(self, key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key's first place on a level (modulo the size) and the step to its others."""
         h = mix(key + np.uint64(level * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
-        return (h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(self.size - 1)
+        return h, (h >> np.uint64(32)) | np.uint64(1)
 
     def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
         # a byte a bit while bits are set, a part of the filter at a time
@@ -102,8 +104,10 @@ class LogFrequencyFilter:
             flags = np.unpackbits(self.bits[first >> 3 : (first + part) >> 3], bitorder="little").view(bool)
             some, left, level = keys, levels, 1
             while len(some):
-                for k in range(self.probes):
-                    at = self._places(some, level, k)
+                place, step = self._start(some, level)
+                for _ in range(self.probes):
+                    at = place & np.uint64(self.size - 1)
+                    place = place + step
                     if part < self.size:
                         at = at[(at >= np.uint64(first)) & (at < np.uint64(first + part))] - np.uint64(first)
                     flags[at.astype(np.int64)] = True
@@ -114,9 +118,12 @@ class LogFrequencyFilter:
 
     def _has(self, keys: np.ndarray, level: int) -> np.ndarray:
         alive = np.arange(len(keys))
-        for k in range(self.probes):
-            at = self._places(keys[alive], level, k)
-            alive = alive[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        place, step = self._start(keys, level)
+        for _ in range(self.probes):
+            at = place & np.uint64(self.size - 1)
+            some = np.flatnonzero((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+            alive, step = alive[some], step[some]
+            place = place[some] + step
         return alive
 
     def level(self, keys: np.ndarray) -> np.ndarray:
@@ -320,32 +327,56 @@ def _unpacked(raw: bytes, shard: int, shards: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8") * np.uint64(shards) + np.uint64(shard)
 
 
-def _rows_of(raw: bytes, entries: int) -> np.ndarray:
-    """Row numbers of two or four bytes."""
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * entries else np.uint32)
+def _told(asked: DataFrame, model: Model, sent, names: list[str], schema: str) -> DataFrame:
+    """Rows of texts as they are, what pairs add to each text, and pairs of which a word's count is still open.
 
-
-def _told(asked: DataFrame, model: Model, schema: str, answer) -> DataFrame:
-    """Rows of ``asked`` (``_shard``, ``_keys`` and more) beside the filter of their shard: ``answer`` makes a batch of each batch and its rows' pair levels."""
-    model_shards = model.shards
+    Rows of ``asked`` with ``_keys`` meet the filter of their shard. What a partition's
+    shards add to a text becomes one row.
+    """
+    shards = model.shards
     partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filters = model.sharded.select(F.col("shard").alias("_shard"), "highest", "bits")
 
+    def rows_of(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], batch.schema.field(c).type if c in batch.schema.names else pa.int64()) if c in columns else pa.nulls(n, batch.schema.field(c).type if c in batch.schema.names else pa.int64()) for c in names], names=names)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = {}, []  # a shard's part of all texts is as large as the shard's part of the tally
+        held, waiting, m = {}, [], sent.value  # a shard's part of all texts is as large as the shard's part of the tally
         for batch in batches:
-            is_filter = batch.column("bits").is_valid()
-            for row in batch.filter(is_filter).select(["_shard", "highest", "bits"]).to_pylist():
+            for row in batch.filter(batch.column("bits").is_valid()).select(["_shard", "highest", "bits"]).to_pylist():
                 held[row["_shard"]] = LogFrequencyFilter.of(row["bits"], row["highest"])
-            rest = batch.filter(pa.compute.invert(is_filter)).drop_columns(["highest", "bits"])
+            texts = batch.filter(batch.column("_at").is_valid())
+            yield rows_of(texts, **{c: texts.column(c) for c in names if c in texts.schema.names})
+            rest = batch.filter(batch.column("_keys").is_valid()).select(["_shard", "_base", "_keys", "_rows", "_levels", "_left", "_right"])
             if rest.num_rows:
-                waiting.append(rest)
-        for batch in waiting:
-            levels = []
-            for shard, keys in zip(batch.column("_shard").to_pylist(), batch.column("_keys").to_pylist(), strict=True):
-                key = _unpacked(keys or b"", shard, model_shards)
-                levels.append(pair_level(held[shard], key) if shard in held and len(key) else np.zeros(len(key), np.int64))
-            yield answer(batch, levels)
+                waiting.append((rest, texts.slice(0, 0)))
+        # all that asks a shard is asked at once
+        asks: dict[tuple[int, bool], list[dict]] = {}
+        for batch, _ in waiting:
+            for row in batch.to_pylist():
+                asks.setdefault((row["_shard"], row["_left"] is not None), []).append(row)
+        at, gain = [], []
+        for (shard, is_open), some in asks.items():
+            joined = lambda c: b"".join([r[c] for r in some])  # noqa: E731, B023
+            key = _unpacked(joined("_keys"), shard, shards)
+            level = pair_level(held[shard], key) if shard in held else np.zeros(len(key), np.int64)
+            seen = np.flatnonzero(level)
+            if not len(seen):
+                continue
+            base = np.repeat([r["_base"] for r in some], [len(r["_rows"]) // 2 for r in some])
+            of = (base + np.frombuffer(joined("_rows"), np.uint16).astype(np.int64))[seen]
+            if is_open:
+                yield rows_of(waiting[0][1], _at=of, level=level[seen], left=np.frombuffer(joined("_left"), np.int64)[seen], right=np.frombuffer(joined("_right"), np.int64)[seen])
+                continue
+            both = np.frombuffer(joined("_levels"), np.uint8).reshape(-1, 2)[seen].astype(np.int64)
+            texts, back = np.unique(of, return_inverse=True)
+            at.append(texts)
+            gain.append(np.bincount(back, m.gain(level[seen], both[:, 0], both[:, 1])))
+        if at:
+            texts, back = np.unique(np.concatenate(at), return_inverse=True)
+            yield rows_of(waiting[0][1], _at=texts, score=np.bincount(back, np.concatenate(gain)))
+        trim()
 
     return asked.unionByName(filters, allowMissingColumns=True).repartition(partitions, "_shard").mapInArrow(each, schema)
 
@@ -368,7 +399,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
         floor = np.log10(SMOOTHING / (m.n_tokens + SMOOTHING * (m.n_distinct + 1)))
         at = TaskContext.get().partitionId() << 33  # rows are numbered by task, then by place
         for whole in batches:
-            for batch in slices(whole, "_text", SLICE_BYTES):
+            for batch in (x.slice(a, SLICE_ROWS) for x in slices(whole, "_text", SLICE_BYTES) for a in range(0, x.num_rows, SLICE_ROWS)):
                 tokens, starts = tokens_with_ends(words_of(batch.column(0), lower=True))
                 n = np.diff(np.append(starts, len(tokens)))
                 count, known = m.exact(tokens)
@@ -386,7 +417,7 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                 level, pair = m.levels(tokens, starts)
                 before = np.concatenate(([0], level[:-1]))
                 left = np.concatenate(([END], tokens[:-1]))
-                row = np.repeat(np.arange(k), n).astype(np.uint16 if k <= 1 << 16 else np.uint32)
+                row = np.repeat(np.arange(k), n).astype(np.uint16)
                 whole_words = (before >= 0) & (level >= 0)
                 for places, is_open in ((np.flatnonzero((pair < 0) & whole_words), False), (np.flatnonzero((pair != 0) & ~whole_words), True)):
                     key = pair_key(left[places], tokens[places])
@@ -404,45 +435,19 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                         yield pa.RecordBatch.from_arrays([*empty, pa.array(of[cuts], pa.int32()), pa.array(np.full(j, at), pa.int64()), packed(_packed_keys(key, m.shards)), packed(row[places]), packed(both), *lr], names=names)
                 at += k
 
-    result = f"{carried}, n_tokens long, n_known long, base_score double, score double, _at long"
-    first = rows.mapInArrow(each, f"{result}, _rare array<long>, _shard int, _base long, _keys binary, _rows binary, _levels binary, _left binary, _right binary")
-
-    def add(batch: pa.RecordBatch, levels: list[np.ndarray]) -> pa.RecordBatch:
-        """Rows of texts as they are, and one for each text that a row of ``_keys`` asks for."""
-        m = sent.value
-        is_text = batch.column("_keys").is_null()
-        at, gain = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for row, level in zip(batch.select(["_base", "_rows", "_levels"]).to_pylist(), levels, strict=True):
-            if (level > 0).any():
-                both = np.frombuffer(row["_levels"], np.uint8).reshape(-1, 2).astype(np.int64)
-                of, back = np.unique(_rows_of(row["_rows"], len(level))[level > 0], return_inverse=True)
-                at.append(row["_base"] + of.astype(np.int64))
-                gain.append(np.bincount(back, m.gain(level, both[:, 0], both[:, 1])[level > 0]))
-        texts = batch.filter(is_text).select([*keep, *figures, "_at"])
-        at, gain = np.concatenate(at), np.concatenate(gain)
-        zero = pa.array(np.zeros(len(at), np.int64))
-        more = [*[pa.nulls(len(at), texts.column(c).type) for c in keep], zero, zero, pa.array(np.zeros(len(at))), pa.array(gain), pa.array(at)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(texts.columns, more, strict=True)], names=texts.schema.names)
-
-    def opened(batch: pa.RecordBatch, levels: list[np.ndarray]) -> pa.RecordBatch:
-        parts = [[np.zeros(0, np.int64)] * 4]
-        for row, level in zip(batch.select(["_base", "_rows", "_left", "_right"]).to_pylist(), levels, strict=True):
-            seen = level > 0
-            parts.append([row["_base"] + _rows_of(row["_rows"], len(level))[seen].astype(np.int64), level[seen], np.frombuffer(row["_left"], np.int64)[seen], np.frombuffer(row["_right"], np.int64)[seen]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["_at", "level", "left", "right"])
-
+    result = f"{carried}, n_tokens long, n_known long, base_score double, score double, _at long, _rare array<long>"
+    first = rows.mapInArrow(each, f"{result}, _shard int, _base long, _keys binary, _rows binary, _levels binary, _left binary, _right binary")
     if all_words and model.all_pairs:
         return first.select(*[F.col(f"`{c}`") for c in keep], *figures)
-    if all_words:
-        found = _told(first, model, result, add)
-    else:
+    told = stored(_told(first, model, sent, [*keep, *figures, "_at", "_rare", "level", "left", "right"], f"{result}, level long, left long, right long"), "lm-told")
+    release(spark)
+    found = told.where("level IS NULL").drop("_rare", "level", "left", "right")
+    if not all_words:
         # words that are in no bounded table, and pairs with one, are counted by joins on the word
-        first = stored(first, "lm-first")
-        found = _told(first.where("_left IS NULL"), model, result, add)
-        pairs = _told(first.where("_left IS NOT NULL").select("_shard", "_base", "_keys", "_rows", "_left", "_right"), model, "_at long, level long, left long, right long", opened)
+        pairs = told.where("level IS NOT NULL").select("_at", "level", "left", "right")
         for side in ("left", "right"):
             pairs = pairs.join(words.select(F.col("key").alias(side), _level(F.col("n")).alias(f"{side}_level")), side)
-        single = first.where(F.size("_rare") > 0).select("_at", F.explode("_rare").alias("key")).join(words, "key", "left")
+        single = told.where(F.size("_rare") > 0).select("_at", F.explode("_rare").alias("key")).join(words, "key", "left")
         got, seen = F.coalesce(F.col("n"), F.lit(0)), F.col("n").isNotNull()
         floor = float(np.log10(SMOOTHING / (model.n_tokens + SMOOTHING * (model.n_distinct + 1))))
         followed = F.when(seen & (F.col("key") != int(END)), float(np.log10(1 - model.weight))).otherwise(0.0)
