@@ -60,6 +60,8 @@ def _netpbm(raw: bytes) -> np.ndarray:
     n = width * height * planes
     if kind == 1:
         digits = re.sub(rb"#[^\n\r]*|\s", b"", raw[at:])
+        if digits[:n].strip(b"01"):
+            raise ValueError("samples other than 0 and 1")
         samples = 1 - (np.frombuffer(digits[:n], np.uint8) - ord("0"))
     elif kind in (2, 3):
         samples = np.array(re.sub(rb"#[^\n\r]*", b"", raw[at:]).split()[:n], dtype=np.int64)
@@ -76,6 +78,8 @@ def _netpbm(raw: bytes) -> np.ndarray:
         samples = np.frombuffer(raw, unit, count=n, offset=at + 1)
     if len(samples) < n:
         raise ValueError("samples are missing")
+    if len(samples) and not 0 <= int(samples.min()) <= int(samples.max()) <= max(top, 1):
+        raise ValueError("samples beyond the largest value")
     if top != 255:
         samples = (samples.astype(np.int64) * 255 + top // 2) // max(top, 1)
     return samples.astype(np.uint8, copy=False).reshape((height, width) if planes == 1 else (height, width, 3))
@@ -210,7 +214,7 @@ def image_features(images: DataFrame, id_column: str, image_column: str, height:
                     pixels = decode(raw or b"")
                     if not pixels.size:
                         raise ValueError("no samples")
-                except ValueError:
+                except (ValueError, IndexError, OverflowError):
                     out.append((None, None, None, None))
                     continue
                 small = np.clip(np.rint(area_resize(grey(pixels), height, width)), 0, 255).astype(np.uint8)
