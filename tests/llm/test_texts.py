@@ -1,13 +1,16 @@
 """Operators on single texts: rules, language, BPE, quality, personal data, language model, media."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from webloom.llm import bpe, language_id, lm_scoring, media, pii, quality_mil, quality_rules
-from webloom.llm.textarrays import words_of
+from webloom.llm.textarrays import LETTERS, as_long, words_of
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +211,29 @@ def test_terms_that_disclose_go_wherever_they_stand(spark):
     assert spans[522] == ("term:12:20,term:22:24", 2) and spans[520][1] == 5  # "or" stands by the number in both texts
 
 
+def test_disclosure_against_brute_force(spark):
+    """Figures of every value, group and kind; a term of a group goes where no value repeats."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["oak", "elm", "fir", "ash", "yew"]) for _ in range(12)) for _ in range(60)]
+    texts += [f"{rng.choice(['oak', 'elm'])} desk kestrel x{k}@aviary.example fir" for k in range(4)] + [f"ring +4930 {k}555 1234 lantern {rng.choice(['ash', 'yew'])}" for k in range(3)] + ["lantern", "kestrel oak", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = pii.found(df).cache()
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosing(found, pii.term_counts(df), len(texts), generalise_from=-9.0).collect()}
+    near, mentioned, rows, names = defaultdict(set), defaultdict(set), Counter(), {}
+    for i, t in enumerate(texts):
+        words = {w.lower() for w in re.findall("[A-Za-z\x80-\U0010ffff]+", t or "")}
+        rows.update(words)
+        for e, _, a, b in pii.nearby(t or "", spans_of(t or "")):
+            near[e, t[a:b].lower()].add(i)
+            mentioned[e].add(i)
+    code = lambda w: int(as_long(words_of(pa.array([w]), lower=True, of=LETTERS).hashes)[0])
+    want = {(e, code(w)): 1 + math.log(len(x) / rows[w]) / -math.log(len(mentioned[e]) / len(texts)) for (e, w), x in near.items() if len({texts[i] for i in x}) >= 2}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    shown = {r.doc_id: r for r in pii.detected(df).collect()}
+    assert shown[len(texts) - 3].n_term == 1 and "term:0:7" in shown[len(texts) - 3].spans
+    assert "EMAIL TERM" in pii.redact("kestrel", [{"start": 0, "end": 7, "removed": False, "kind": 0}])
+
+
 @pytest.mark.parametrize("most_words", [1 << 20, 100])
 def test_language_model(docs, rows, most_words):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -298,6 +324,16 @@ def test_images():
     assert np.allclose(media.area_resize(g, 4, 3), brute)
 
 
+def test_odd_images_give_nulls(spark):
+    bmp = bytearray(media.encode_bmp(np.zeros((2, 2, 3), np.uint8)))
+    palette = b"BM" + (54 + 4 + 4).to_bytes(4, "little") + bytes(4) + (58).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") * 2 + b"\1\0\x08\0" + bytes(16) + (1).to_bytes(4, "little") + bytes(4) + bytes(4) + b"\7\0\0\0"
+    odd = [b"P2 1 1 255 " + b"9" * 23, b"P2 1 1 255 300", b"P1 1 1 7", palette, bytes(bmp[:40]), b"P5 9", b"", None, b"P5 99999999999 9 255 x"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "image_id long, image binary")
+    got = media.image_features(df, "image_id", "image").collect()
+    assert len(got) == len(odd) and all(r.feature is None and r.tiles is None for r in got)
+    assert media.image_features(df.limit(0), "image_id", "image").count() == 0
+
+
 def test_image_table(spark):
     good = media.encode_pgm(np.arange(64, dtype=np.uint8).reshape(8, 8))
     df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"x")), (3, None)], "id long, image binary")

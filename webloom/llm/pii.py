@@ -1,15 +1,18 @@
 """Personal data: patterns, and terms that give protected values away.
 
-Patterns find e-mail and IP addresses, card and phone numbers. Each value is a
-protected entity. Terms near a mention reveal it as far as the corpus ties
-them to it: with p(c) the share of documents that mention entity c, and p(c | t)
+Patterns find e-mail and IP addresses, card and phone numbers. Protected entities
+are each value, the group that it belongs to (mail domain, address block, card issuer,
+dialling area) and its kind: a term may give away whose address follows, or that
+one does. Terms near a mention reveal its entities as far as the corpus ties
+them together: with p(c) the share of documents that mention entity c, and p(c | t)
 the share of documents with term t that have it near c,
 
     disclosure(t, c) = 1 + log p(c | t) / -log p(c)
 
 is the part of c's information that t carries (pointwise mutual information over
 information content). From ``remove_from`` on a term is removed, from
-``generalise_from`` on it is generalised, if at least ``support`` different texts
+``generalise_from`` on it is generalised to the category that the corpus puts it in, that of terms
+beside the kind of value that it reveals most, if at least ``support`` different texts
 tie the two. All figures are counts over the whole corpus, and so is what follows
 from them: a term that reveals any entity goes wherever it stands, in all texts.
 
@@ -43,7 +46,7 @@ TERM = KINDS.index("term")
 AROUND = 8
 SUPPORT = 2
 REMOVE_FROM = 0.9
-GENERALISE_FROM = 0.75
+GENERALISE_FROM = 0.5
 FLUSH = 3 << 20
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -98,10 +101,12 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def entity_of(kind: int, value: str) -> int:
-    """A protected value's number: alike however the value is written."""
+def entities_of(kind: int, value: str) -> list[int]:
+    """Numbers of a protected value, of its group and of its kind: alike however the value is written."""
     plain = value.lower() if kind < 2 else re.sub("[^0-9]", "", value)
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "big", signed=True)
+    group = plain.rpartition("@")[2] if kind == 0 else ".".join(plain.split(".")[:2]) if kind == 1 else plain[: 6 if kind == 2 else 4]
+    names = (f"{kind}:{plain}", f"group {kind}:{group}", f"kind {kind}")
+    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in names]
 
 
 def words_and_cover(text: str, spans: list[Span]) -> tuple[list[tuple[int, int]], np.ndarray, list[tuple[int, int]]]:
@@ -120,21 +125,21 @@ def words_and_cover(text: str, spans: list[Span]) -> tuple[list[tuple[int, int]]
     return words, covered, reach
 
 
-def nearby(text: str, spans: list[Span], around: int = AROUND) -> list[tuple[int, int, int]]:
-    """(entity, start, end) of each term within ``around`` words of a mention and outside of all spans."""
+def nearby(text: str, spans: list[Span], around: int = AROUND) -> list[tuple[int, int, int, int]]:
+    """(entity, kind, start, end) of each term within ``around`` words of a mention and outside of all spans."""
     words, covered, reach = words_and_cover(text, spans)
     out = {}
     for (kind, a, b), (first, last) in zip(spans, reach, strict=True):
-        entity = entity_of(kind, text[a:b])
+        entities = entities_of(kind, text[a:b])
         for k in [*range(max(0, first - around), first), *range(last, min(len(words), last + around))]:
             if not covered[k]:
-                out[entity, words[k]] = None
-    return [(entity, a, b) for entity, (a, b) in out]
+                out |= {(entity, kind, words[k]): None for entity in entities}
+    return [(entity, kind, a, b) for entity, kind, (a, b) in out]
 
 
-_FOUND = "_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int,first:int>>"
+_FOUND = "_key long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:long,kind:int,term:long,start:int,end:int,first:int>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.int32())])
+_NEAR = pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.int32())])
 
 
 def found(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", around: int = AROUND) -> DataFrame:
@@ -149,15 +154,15 @@ def found(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 for text in batch.column(1).to_pylist():
                     spans.append(base_spans(text))
                     near.append(nearby(text, spans[-1], around) if spans[-1] else [])
-                    terms += [text[a:b] for _, a, b in near[-1]]
+                    terms += [text[a:b] for _, _, a, b in near[-1]]
                 codes = iter(as_long(words_of(pa.array(terms, pa.string()), lower=True, of=LETTERS).hashes).tolist())
                 lists = []
                 for row in near:
                     seen: set = set()
                     out = []
-                    for entity, a, b in row:
+                    for entity, of, a, b in row:
                         pair = (entity, next(codes))
-                        out.append({"entity": entity, "term": pair[1], "start": a, "end": b, "first": int(pair not in seen)})
+                        out.append({"entity": entity, "kind": of, "term": pair[1], "start": a, "end": b, "first": int(pair not in seen)})
                         seen.add(pair)
                     lists.append(out)
                 counts = [pa.array([sum(s[0] == k for s in row) for row in spans], pa.int64()) for k in range(4)]
@@ -201,15 +206,15 @@ def term_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def disclosing(mentions: DataFrame, terms: DataFrame, n_rows: int, support: int = SUPPORT, generalise_from: float = GENERALISE_FROM) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that reach the threshold. ``mentions`` is stored output of ``found``."""
-    near = mentions.select("_key", F.explode("near").alias("x")).where("x.first = 1").groupBy("_key", "x.entity", "x.term").agg(F.count(F.lit(1)).alias("rows"))
-    pairs = near.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    """(entity, kind, term, disclosure) of the pairs that reach the threshold. ``mentions`` is stored output of ``found``."""
+    near = mentions.select("_key", F.explode("near").alias("x")).where("x.first = 1").groupBy("_key", "x.entity", "x.kind", "x.term").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = near.groupBy("entity", "kind", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
     # an entity without terms around it needs no figure
     entities = mentions.select(F.explode(F.array_distinct(F.transform("near", lambda x: x.entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("mentioned"))
     joined = pairs.join(terms, "term").join(entities, "entity")
     information = -F.log(F.col("mentioned") / F.lit(float(max(n_rows, 1))))
     part = F.when(information > 0, 1 + F.log(F.least(F.col("both") / F.col("rows"), F.lit(1.0))) / information).otherwise(0.0)
-    return joined.withColumn("disclosure", part).where(F.col("disclosure") >= generalise_from).select("entity", "term", "disclosure")
+    return joined.withColumn("disclosure", part).where(F.col("disclosure") >= generalise_from).select("entity", "kind", "term", "disclosure")
 
 
 _PLACE = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -244,10 +249,11 @@ def places(docs: DataFrame, terms: DataFrame, text_column: str = "text") -> Data
 
 def term_spans(docs: DataFrame, revealing: DataFrame, text_column: str = "text", remove_from: float = REMOVE_FROM) -> DataFrame:
     """(_key, terms): the spans of revealing terms in each text that has any, near a mention or not; ``removed`` else generalised."""
-    terms = stored(revealing.groupBy("term").agg(F.max("disclosure").alias("d")), "pii-revealing")
+    most = F.max(F.struct("disclosure", (-F.col("kind")).alias("first"))).alias("x")
+    terms = stored(revealing.groupBy("term").agg(most).select("term", F.col("x.disclosure").alias("d"), (-F.col("x.first")).alias("kind")), "pii-revealing")
     once = places(docs, terms, text_column).groupBy("_key").agg(F.first("places").alias("places"))
     found = once.select("_key", F.explode("places").alias("x")).select("_key", "x.*").join(terms, "term")
-    return found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("d") >= remove_from).alias("removed")))).alias("terms"))
+    return found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("d") >= remove_from).alias("removed"), "kind"))).alias("terms"))
 
 
 def _figures(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +293,7 @@ def detected(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def redact(text: str, terms: list[dict]) -> str:
     """A text with pattern spans replaced by their kind (overlaps as one), revealing terms removed or generalised."""
-    marks = [(a, b, f"<{KINDS[kind].upper()}>") for kind, a, b in base_spans(text)] + [(t["start"], t["end"], "" if t["removed"] else "<TERM>") for t in terms]
+    marks = [(a, b, f"<{KINDS[kind].upper()}>") for kind, a, b in base_spans(text)] + [(t["start"], t["end"], "" if t["removed"] else f"<{KINDS[t['kind']].upper()} TERM>") for t in terms]
     out, at = [], 0
     for a, b, mark in sorted(marks):
         if a >= at:
