@@ -3,9 +3,9 @@ from webloom.functions.selectors import SelectorError, select
 
 import pytest
 
-SHOP = """<main><ul><li class=product><h2 class=name>Widget</h2><span class=price>$9.99</span><a class=buy href=/p/1 data-sku=W-1>b</a>
-<li class=product><h2 class=name>Gadget</h2><span class=price>$19.99</span><a class=buy data-sku=G-2 href=/p/2>b</a>
-<li class=product><h2 class=name>Gizmo</h2></ul></main>"""
+BEACH = """<main><div class=huts><article class=hut><h3 class=title>Dune</h3><em class=rate>12 crowns</em><button class=ask data-key=north-3 type=button>?</button></article>
+<article class=hut><h3 class=title>Heron</h3><em class=rate>47 crowns</em><button class=ask type=button data-key=pier-8>?</button></article>
+<article class=hut><h3 class=title>Kelp</h3></article><article class=hut><em class=rate>5 crowns</em></article></div></main>"""
 
 
 def test_unclosed_formatting_goes_on():
@@ -32,36 +32,49 @@ def test_selectors():
 
 
 def test_records_leave_out_what_is_missing():
-    found = extract.records(dom.parse(SHOP), "li.product", {"name": ".name", "price": ".price", "sku": "a.buy@data-sku"})
-    assert found == [{"name": "Widget", "price": "$9.99", "sku": "W-1"}, {"name": "Gadget", "price": "$19.99", "sku": "G-2"}, {"name": "Gizmo"}]
+    found = extract.records(dom.parse(BEACH), "article.hut", {"title": ".title", "rate": ".rate", "key": "button.ask@data-key"})
+    assert found == [{"title": "Dune", "rate": "12 crowns", "key": "north-3"}, {"title": "Heron", "rate": "47 crowns", "key": "pier-8"}, {"title": "Kelp"}, {"rate": "5 crowns"}]
 
 
 def test_collections_round_trip():
-    root = dom.parse(SHOP)
+    rows = "".join(f"<div class=berth><h4 class=boat>Boat number {k}</h4><span class=length>{k + 4} metres</span><a class=book href=/b{k}>reserve</a></div>" for k in range(5))
+    root = dom.parse(f"<main><section>{rows}</section></main>")
     found = extract.collections(root)
-    assert len(found) == 1 and found[0]["region"] == "main" and found[0]["count"] == len(select(root, found[0]["root"])) == 3
-    assert {"name", "price", "sku"} <= set(found[0]["fields"])
-    assert extract.collections(dom.parse("<nav><ul>" + "<li><a href=/x>some link text that is long</a>" * 5 + "</ul></nav>")) == []
-    assert extract.collections(dom.parse("<main><div class=a><h2>x</h2></div><div class=a><h2>y</h2></div></main>")) == []
+    assert len(found) == 1 and found[0]["region"] == "main" and found[0]["count"] == len(select(root, found[0]["root"])) == 5
+    assert len(found[0]["fields"]) >= 2
+    assert extract.collections(dom.parse("<nav><ol>" + "<li><a href=/tide>tables of the tide for each harbour</a>" * 4 + "</ol></nav>")) == []
+    assert extract.collections(dom.parse("<main><p class=q><b>one</b></p><p class=q><b>two</b></p></main>")) == []
 
 
 def test_tables():
     t = lambda html: extract.tables(dom.parse(html))
-    span = t("<table><tr><th>R<th>C<th>P<tr><td rowspan=2>West<td>SF<td>800k<tr><td>LA<td>4m<tr><td>East<td>NYC<td>8m</table>")[0]
-    assert span["headers"] == ["R", "C", "P"] and span["rows"] == [["West", "SF", "800k"], ["West", "LA", "4m"], ["East", "NYC", "8m"]]
-    assert t("<table><tr><td colspan=2 rowspan=2>A<td>B<tr><td>C</table>")[0]["rows"] == [["A", "A", "B"], ["A", "A", "C"]]
-    assert t("<table><tr><td>a<td>b<td rowspan=2>note<tr><td>c</table>")[0]["rows"][1] == ["c", "", "note"]
-    assert len(t("<table><tr><td>x<table><tr><td>y</table></table>")) == 1
-    assert t("<table></table>") == []
+    down = t("<table><tr><th>river<th>mouth<tr><td>Ems<td rowspan=3>sea<tr><td>Elbe<tr><td>Eider<tr><td>Inn<td>Danube</table>")[0]
+    assert down["headers"] == ["river", "mouth"] and down["rows"] == [["Ems", "sea"], ["Elbe", "sea"], ["Eider", "sea"], ["Inn", "Danube"]]
+    both = t("<table><tr><td>1<td colspan=3 rowspan=2>wide<tr><td>2<tr><td>3<td>4<td>5<td>6</table>")[0]
+    assert both["rows"] == [["1", "wide", "wide", "wide"], ["2", "wide", "wide", "wide"], ["3", "4", "5", "6"]]
+    assert t("<table><tr><td>p<td>q<td>r<td rowspan=2>down<tr><td>s<td>t</table>")[0]["rows"][1] == ["s", "t", "", "down"]
+    assert len(t("<table><tr><td><table><tr><td>inner<td>one</table><td>outer</table>")) == 1
+    assert t("<p>none</p>") == []
 
 
 def test_structured_data():
     ld = '<script type="application/ld+json">'
-    root = dom.parse(f'{ld}{{"a":1}}</script>{ld}[1,2]</script>{ld}{{"@graph":[3,4]}}</script>{ld}{{</script><script>5</script>')
-    assert extract.json_ld(root) == [{"a": 1}, 1, 2, 3, 4]
-    md = extract.microdata(dom.parse('<div itemscope itemtype=P><b itemprop=name>Ada</b><a itemprop="url homepage" href=/ada></a><p itemprop=address itemscope><i itemprop=city>London</i></div>'), "https://example.com/")
-    assert len(md) == 1 and md[0]["properties"]["name"] == ["Ada"] and md[0]["properties"]["url"] == md[0]["properties"]["homepage"] == ["https://example.com/ada"]
-    assert md[0]["properties"]["address"][0]["properties"]["city"] == ["London"]
+    root = dom.parse(f'{ld}["x",{{"y":0}}]</script>{ld}not json</script>{ld}{{"@graph":[{{"z":true}}],"k":1}}</script><script>{{"no":1}}</script>{ld}7</script>')
+    assert extract.json_ld(root) == ["x", {"y": 0}, {"z": True}, 7]
+    html = '<section itemscope itemtype=Ferry><h2 itemprop=title>Night boat</h2><div itemprop=port itemscope itemtype=Harbour><span itemprop=quay>4b</span></div><img itemprop="photo cover" src=deck.png></section>'
+    md = extract.microdata(dom.parse(html), "https://boats.test/line/")
+    assert len(md) == 1 and md[0]["properties"]["title"] == ["Night boat"]
+    assert md[0]["properties"]["photo"] == md[0]["properties"]["cover"] == ["https://boats.test/line/deck.png"]
+    assert md[0]["properties"]["port"][0]["properties"]["quay"] == ["4b"]
+
+
+def test_deep_pages_are_read():
+    root = dom.parse("<div>" * 5000 + "<p>end of it</p>" + "</div>" * 5000 + "<p>after")
+    assert max(e.depth for e in root.elements()) <= dom.MOST_DEPTH + 1 and sum(e.tag == "div" for e in root.elements()) == 5000
+    assert "end of it" in dom.visible(root) and "after" in dom.visible(root)
+    for mode in ("article", "full"):
+        assert "end of it" in reduce.read(root, "https://e.org/", mode=mode)["content"]
+    extract.regions(root), extract.find(root, "end"), extract.duplicate_blocks(root), dom.serialise(root)
 
 
 def test_landmarks_and_names():
@@ -81,7 +94,7 @@ def test_controls_and_ids():
 
 
 def test_selector_of_every_element_finds_just_it():
-    root = dom.parse(SHOP + "<p class='a b'>x<p class=a>y<div id=d><i>z</i></div>")
+    root = dom.parse(BEACH + "<p class='a b'>x<p class=a>y<div id=d><i>z</i></div>")
     for e in root.elements():
         assert select(root, extract.selector_of(root, e)) == [e]
 

@@ -74,3 +74,24 @@ def test_content_security():
 
 def test_hiding_selectors():
     assert policy.hiding_selectors("/* .no{display:none} */ .a, .b{display : none} @media x{.c{visibility:hidden}} .d{color:red} @font-face{display:none} .a{display:none}") == [".a", ".b", ".c"]
+
+
+def test_odd_texts_end_no_job(spark):
+    from webloom.sources import tables
+
+    odd = [(1, None), (2, ""), (3, "<html></html>"), (4, "[1]"), (5, '{"web":3}'), (6, '{"results":[1]}'), (7, '{"items":3}'), (8, "<urlset><url><loc>https://a.test/</loc></url>")]
+    df = spark.createDataFrame(odd, "id long, raw string")
+    got = tables.sitemap_locs(df, "id", "raw").collect()
+    assert [r.id for r in got if r.error] == [1, 2, 3, 4, 5, 6, 7] and [r.loc for r in got if not r.error] == ["https://a.test/"]
+    assert tables.search_results(df, "id", "raw").count() == 0
+    assert all(r.error or r.id for r in tables.feed_items(df, "id", "raw").collect())
+
+
+def test_rules_of_equal_priority(spark):
+    """Blocking, redirecting and upgrading are one class: priority, then place; allowing wins ties."""
+    rule = "rule_id string, place int, priority int, action string, regex string, types array<string>, domains array<string>, third_party boolean, methods array<string>, request_domains array<string>, excluded_domains array<string>"
+    rules = [("r", 0, 2, "redirect", "/x", [], [], None, [], [], []), ("b", 1, 2, "block", "/x", [], [], None, [], [], []), ("a", 2, 1, "allow", "/x", [], [], None, [], [], [])]
+    rules += [("u", 3, 5, "upgradeScheme", "/y", [], [], None, ["post"], [], []), ("aa", 4, 5, "allowAllRequests", "/y/open", [], [], None, [], ["cdn.test"], []), ("c", 5, 1, "block", "/z", [], [], None, [], [], ["own.test"])]
+    asked = [(1, "http://cdn.test/x", "", "main", "GET"), (2, "http://cdn.test/y/1", "", "main", "POST"), (3, "http://cdn.test/y/1", "", "main", "GET"), (4, "http://a.cdn.test/y/open", "", "main", "POST"), (5, "http://e.test/z", "https://www.own.test/", "main", "GET"), (6, "http://e.test/z", "https://other.test/", "main", "GET")]
+    got = policy.decide(spark.createDataFrame(asked, "request_id long, url string, initiator string, type string, method string"), spark.createDataFrame(rules, rule))
+    assert {r.request_id: (r.action, r.rule_id) for r in got.collect()} == {1: ("redirect", "r"), 2: ("upgradeScheme", "u"), 3: ("none", None), 4: ("allow", "aa"), 5: ("none", None), 6: ("block", "c")}

@@ -74,6 +74,10 @@ class Element:
         return self.pre <= other.pre <= self.last
 
 
+#: So deep do elements nest at most; all walks over a tree rely on it.
+MOST_DEPTH = 400
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -92,6 +96,9 @@ class _Builder(HTMLParser):
             self.open = [self.root, self.body]
 
     def _push(self, tag: str, attrs: dict[str, str]) -> Element:
+        if len(self.open) > MOST_DEPTH:
+            # browsers do not nest deeper either: what comes is beside, not within
+            del self.open[MOST_DEPTH:]
         e = Element(tag, attrs, self.open[-1])
         self.open[-1].children.append(e)
         if tag not in VOID:

@@ -42,34 +42,57 @@ def match_pattern_regex(pattern: str) -> str:
         raise ValueError(f"no match pattern: {pattern!r}")
     scheme = r"(?:https?|wss?)" if m[1] == "*" else re.escape(m[1])
     name = r"[^/?#]*" if m[2] == "*" else r"(?:[^/?#]+\.)?" + re.escape(m[2][2:]) if m[2].startswith("*.") else re.escape(m[2])
-    return f"(?i)^{scheme}://{name}(?::[0-9]+)?(?-i:{'.*'.join(map(re.escape, m[3].split('*')))})$"
+    return f"(?i)^{scheme}://{name}(?::[0-9]+)?(?-i:{'.*'.join(map(re.escape, m[3].split('*')))})(?:#.*)?$"
+
+
+MOST_SENT_RULES = 1 << 17
+
+
+def _of_domains(name: Column, domains: str) -> Column:
+    """Whether a host is one of the listed domains or below one."""
+    return F.exists(domains, lambda d: (name == d) | F.endswith(name, F.concat(F.lit("."), d)))
 
 
 def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule that wins for each request: request_id, action, rule_id.
 
-    ``requests``: request_id, url, initiator, type. ``rules``: rule_id, place (their
+    ``requests``: request_id, url, initiator, type, and method if rules ask for it. ``rules``: rule_id, place (their
     order), priority, action, regex, types (empty: all), domains (of the initiator; empty: all),
-    third_party (null: either). A rule set is a small table that is sent along; its
-    size is that of the rules, whatever the number of requests.
+    third_party (null: either); if they are there, also excluded_types, excluded_domains,
+    request_domains, excluded_request_domains and methods (lists as well).
+
+    Blocking, redirecting and upgrading rules are one class: the highest priority wins, then
+    the first. A rule that allows (allow, allowAllRequests) wins over it from the same priority on.
+    A rule set of up to MOST_SENT_RULES rules is sent along; a larger one is left to Spark's
+    own choice of a join.
     """
     party = (F.col("initiator") != "") & (registrable_column(host(F.col("initiator"))) != registrable_column(host(F.col("url"))))
-    req = requests.withColumn("_third", party).withColumn("_from", host(F.col("initiator")))
+    req = requests.withColumn("_third", party).withColumn("_from", host(F.col("initiator"))).withColumn("_to", host(F.col("url")))
     hit = (
         F.expr("url RLIKE regex")
         & ((F.size("types") == 0) | F.array_contains("types", F.col("type")))
-        & ((F.size("domains") == 0) | F.exists("domains", lambda d: (F.col("_from") == d) | F.endswith(F.col("_from"), F.concat(F.lit("."), d))))
+        & ((F.size("domains") == 0) | _of_domains(F.col("_from"), "domains"))
         & (F.col("third_party").isNull() | (F.col("third_party") == F.col("_third")))
     )
-    found = req.join(F.broadcast(rules), hit, "left")
-    best = lambda action: F.max(F.when(action, F.struct(F.greatest("priority", F.lit(1)).alias("p"), (-F.col("place")).alias("o"), F.col("rule_id"))))
-    each = found.groupBy("request_id").agg(best(F.col("action") == "allow").alias("a"), best(F.col("action") == "redirect").alias("r"), best(F.col("action").isin("block")).alias("b"))
-    allow = F.col("a.p") >= F.coalesce(F.greatest("b.p", "r.p"), F.lit(0))
-    block = F.col("b").isNotNull() & (F.coalesce(F.col("b.p"), F.lit(0)) >= F.coalesce(F.col("r.p"), F.lit(0)))
+    more = {
+        "excluded_types": lambda: ~F.array_contains("excluded_types", F.col("type")),
+        "excluded_domains": lambda: ~_of_domains(F.col("_from"), "excluded_domains"),
+        "request_domains": lambda: (F.size("request_domains") == 0) | _of_domains(F.col("_to"), "request_domains"),
+        "excluded_request_domains": lambda: ~_of_domains(F.col("_to"), "excluded_request_domains"),
+        "methods": lambda: (F.size("methods") == 0) | F.array_contains("methods", F.lower("method")),
+    }
+    for name, holds in more.items():
+        if name in rules.columns:
+            hit = hit & F.coalesce(holds(), F.lit(True))
+    few = rules.limit(MOST_SENT_RULES + 1).count() <= MOST_SENT_RULES
+    found = req.join(F.broadcast(rules) if few else rules, hit, "left")
+    best = lambda *actions: F.max(F.when(F.col("action").isin(*actions), F.struct(F.greatest("priority", F.lit(1)).alias("p"), (-F.col("place")).alias("o"), "rule_id", "action")))
+    each = found.groupBy("request_id").agg(best("allow", "allowAllRequests").alias("a"), best("block", "redirect", "upgradeScheme").alias("b"))
+    allow = F.col("a").isNotNull() & (F.col("a.p") >= F.coalesce(F.col("b.p"), F.lit(0)))
     return each.select(
         "request_id",
-        F.when(F.coalesce(allow, F.lit(False)), "allow").when(block, "block").when(F.col("r").isNotNull(), "redirect").otherwise("none").alias("action"),
-        F.when(F.coalesce(allow, F.lit(False)), F.col("a.rule_id")).when(block, F.col("b.rule_id")).otherwise(F.col("r.rule_id")).alias("rule_id"),
+        F.when(allow, "allow").otherwise(F.coalesce("b.action", F.lit("none"))).alias("action"),
+        F.when(allow, F.col("a.rule_id")).otherwise(F.col("b.rule_id")).alias("rule_id"),
     )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
 import html
 import json
 import re
 import xml.etree.ElementTree as ET
+import zlib
 from email.utils import parsedate_to_datetime
 
 from webloom.functions.dom import squeeze, truncated
@@ -114,7 +114,8 @@ def feed_markdown(f: dict) -> str:
 def sitemap(raw: bytes, most: int = 50_000) -> tuple[str, list[tuple[str, str]]]:
     """(urlset or sitemapindex, [(loc, lastmod)]); a broken tail is ignored, an unknown root is an error."""
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)[: 32 << 20]
+        # no more is inflated than is read
+        raw = zlib.decompressobj(zlib.MAX_WBITS | 16).decompress(raw, 32 << 20)
     parser = ET.XMLPullParser(events=("start", "end"))
     kind, out = "", []
     try:
@@ -211,6 +212,9 @@ def search_results(raw: str, count: int = 10) -> list[dict[str, str]]:
         d = json.loads(raw)
     except ValueError:
         return []
-    found = d.get("results") if isinstance(d.get("results"), list) else (d.get("web") or {}).get("results") or []
+    d = d if isinstance(d, dict) else {}
+    web = d.get("web") if isinstance(d.get("web"), dict) else {}
+    found = d.get("results") if isinstance(d.get("results"), list) else web.get("results")
+    found = [r for r in found if isinstance(r, dict)] if isinstance(found, list) else []
     out = [{"title": squeeze(str(r.get("title") or "")), "url": r.get("url") or "", "snippet": plain(str(r.get("content") or r.get("description") or ""))} for r in found]
     return [r for r in out if r["url"]][: min(count, 20)]

@@ -9,16 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from webloom.functions.dom import truncated
 from webloom.sources import content
 
+MOST_ERROR = 300
+
 
 def per_text(df: DataFrame, kernel: Callable[..., list[dict]], columns: str, key: str, *inputs: str) -> DataFrame:
+    """What the kernel makes of each row, with ``error``: null, or why a row's text cannot be read (then nothing else is there). One bad text ends no job."""
+    columns += ", error string"
     kind = df.schema[key].dataType.simpleString()
     arrow = to_arrow_schema(_parse_datatype_string(f"`{key}` {kind}, {columns}"))
 
+    def told(values: list) -> list[dict]:
+        try:
+            return kernel(*values)
+        except (ValueError, TypeError, AttributeError, LookupError, ArithmeticError, OSError, EOFError, RecursionError) as e:
+            return [{"error": truncated(f"{type(e).__name__}: {e}", MOST_ERROR)}]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{key: ident, **row} for ident, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in kernel(*values)]
+            rows = [{key: ident, **row} for ident, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in told(values)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return df.select(key, *inputs).mapInArrow(each, f"`{key}` {kind}, {columns}")
