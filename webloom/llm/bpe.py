@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from webloom.llm.tables import documents, narrow
+from webloom.llm.tally import trim
 from webloom.llm.textarrays import slices
 
-CACHED_WORDS = 300_000
-SLICE_BYTES = 4 << 20
+CACHED_WORDS = 150_000
+SLICE_BYTES = 1 << 20
 
 # The public tokenizer's split pattern, with Unicode white space spelled out.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -231,6 +232,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value)
+        trim()  # of what other operators' tasks have left in this worker
         for whole in batches:
             for batch in slices(whole, whole.schema.names[1], SLICE_BYTES):
                 counts, digests, shown, lists = [], [], [], []
@@ -239,9 +241,10 @@ def encoded(docs: DataFrame, path: str | None = None, id_column: str = "doc_id",
                     digests.append(hashlib.sha256(line.encode()).hexdigest())
                     shown.append(hashlib.sha256(tokens.encode()).hexdigest())
                     if ids:
-                        lists.append([int(x) for x in line.split()])
+                        lists.append(np.array(line.split(), dtype=np.int32))
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(shown, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(lists, pa.list_(pa.int32()))] if ids else []), names=fields)
+        trim()
 
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return narrow(docs, id_column, text_column).mapInArrow(each, schema)
