@@ -57,4 +57,4 @@ def search_results(df: DataFrame, key: str, raw: str, count: int = 10) -> DataFr
 
 
 def kinds(df: DataFrame, key: str, content_type: str, raw: str) -> DataFrame:
-    return per_text(df, lambda c, r: [{"kind": content.classify(c or "", r.encode() if isinstance(r, str) else bytes(r or b""))}], "kind string", key, content_type, raw)
+    return per_text(df, lambda c, r: [{"kind": content.classify(c or "", r.encode() if isinstance(r, str) else bytes(r or b""))}], "kind string", key, content_type, raw).drop("error")  # any bytes have a kind
