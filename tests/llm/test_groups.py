@@ -109,6 +109,15 @@ def test_representatives(spark):
     assert ngram_join.representatives(df.limit(0)).count() == 0
 
 
+def test_representatives_go_by_row_not_by_id(spark):
+    """Unlike documents stay whatever their ids, null or equal; of copies one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near_a = a.replace("a30", "z")
+    rows = [(None, a), (None, b), (7, near_a), (7, c), (3, a), (7, c), (None, b), (9, ""), (9, None)]
+    kept = [tuple(r) for r in ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (None, b), (7, c), (9, ""), (9, None)], key=str)
+
+
 def test_prefix_lengths_lose_no_pair():
     import numpy as np
 
