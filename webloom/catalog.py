@@ -95,6 +95,12 @@ def links_per_page(spark, d):
     return P.links(read(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
+@query(f"""SELECT page_id, text, href, total, total > 3 AS truncated FROM (
+SELECT *, count(*) OVER (PARTITION BY page_id) AS total, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM ({SQL_RESOLVED})) WHERE k <= 3""")
+def links_limited(spark, d):
+    return P.limited(P.links(read(spark, d, "pages")), "links", 3).select("page_id", "text", "href", "total", "truncated")
+
+
 @query(f"SELECT page_id, text, href FROM ({SQL_RESOLVED}) WHERE contains(lower(text), 'th') OR contains(lower(href), 'th')")
 def link_filter(spark, d):
     return P.filtered_links(P.links(read(spark, d, "pages")), "TH", internal_only=True).select("page_id", "text", "href")

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.functions import dom, extract, reduce, text
 from webloom.plans.nodes import per_page
@@ -29,6 +30,22 @@ def filtered_links(found: DataFrame, query: str = "", internal_only: bool = Fals
     return found.where(keep & (F.col("internal") | F.lit(not internal_only)))
 
 
+#: Rows of a page by default and at most, by what they are. Fixed values.
+LIMITS = {"links": (200, 1000), "forms": (100, 100), "controls": (300, 300), "records": (50, 200)}
+
+
+def limited(found: DataFrame, what: str, limit: int | None = None, order: str = "pre") -> DataFrame:
+    """The first rows of each page, with ``total`` (rows before the cut) and ``truncated``.
+
+    A limit below 1 or none is the default, one above the ceiling the ceiling. One shuffle by page serves both.
+    """
+    usual, most = LIMITS[what]
+    n = min(limit, most) if limit and limit > 0 else usual
+    page = Window.partitionBy("page_id")
+    rows = found.withColumn("total", F.count(F.lit(1)).over(page)).withColumn("_place", F.row_number().over(page.orderBy(order)))
+    return rows.where(F.col("_place") <= n).withColumn("truncated", F.col("total") > n).drop("_place")
+
+
 def images(pages: DataFrame) -> DataFrame:
     return per_page(pages, extract.images, "pre int, alt string, src string")
 
