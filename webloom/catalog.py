@@ -14,9 +14,12 @@ from pyspark.sql.window import Window
 
 from webloom.functions import text as T
 from webloom.functions import urls as U
+from webloom.operators import crawl
 from webloom.operators import pages as P
 from webloom.operators import policy
+from webloom.operators import requests as Q
 from webloom.plans import nodes as N
+from webloom.sources import resources as R
 from webloom.sources import tables as S
 from webloom.streaming import state
 
@@ -495,3 +498,223 @@ def smoke_top_k(spark, d):
 def smoke_except(spark, d):
     rich = read(spark, d, "supplier").where("s_acctbal > 9000").select("s_nationkey")
     return read(spark, d, "customer").select(F.col("c_nationkey").alias("key")).subtract(rich)
+
+
+# Resources and sites ----------------------------------------------------------------------------------
+
+_TYPES = ("text/html; charset=utf-8", "text/css", "image/png", "video/mp4", "font/woff2", "application/mjs", "application/json", "text/plain")
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'websocket' WHEN event_id % 5 = 0 THEN 'js'
+  ELSE coalesce(['html', 'css', 'images', 'media', 'fonts', 'js'][(event_id % 8 + 1)::INT], CASE WHEN event_id % 5 = 1 THEN 'xhr' ELSE 'other' END) END AS label FROM events""")
+def resource_labels(spark, d):
+    i = F.col("event_id")
+    kind = F.when(i % 5 == 0, "script").when(i % 5 == 1, "xmlhttprequest").otherwise("other")
+    sent = F.element_at(F.array(*map(F.lit, _TYPES)), (i % 8 + 1).cast("int"))
+    return read(spark, d, "events").select(i, R.resource_label(kind, sent, F.when(i % 11 == 0, "WSS://a.b/x").otherwise("https://a.b/x")).alias("label"))
+
+
+@query("""SELECT event_id, event_id % 4 < 2 AND event_id % 6 <> 5 AS again, CASE WHEN event_id % 3 = 1 THEN least(event_id % 50, 30) * 1000
+  ELSE least(300 * 2 ** (event_id % 7), 5000)::BIGINT END AS delay_ms FROM events""")
+def retry_plan(spark, d):
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, (429, 500, 502, 503, 504, 404))), (i % 6 + 1).cast("int"))
+    after = F.when(i % 3 == 1, (i % 50).cast("string")).when(i % 3 == 2, "Mon, 01 Jan 2001 00:00:00 GMT")
+    return read(spark, d, "events").select(i, R.may_retry(status, i % 4).alias("again"), R.retry_delay_ms(F.when(i % 3 == 1, 0).otherwise(i % 7), after, F.lit("2024-01-01").cast("timestamp")).alias("delay_ms"))
+
+
+@query("SELECT doc_id, text, NULL::VARCHAR AS error FROM documents WHERE text IS NOT NULL")
+def charset_decoded(spark, d):
+    docs = read(spark, d, "documents").where("text IS NOT NULL")
+    even = F.col("doc_id") % 2 == 0
+    raw = F.when(even, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    bodies = docs.select("doc_id", F.when(even, "text/plain; charset=utf-8").otherwise("text/plain").alias("kind"), R.inflated(F.lit("identity"), raw).alias("b"))
+    return bodies.select("doc_id", R.decoded(F.col("kind"), F.col("b.body")).alias("text"), F.col("b.error").alias("error"))
+
+
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) > 2000 THEN 'response exceeds 2000 bytes' END AS error FROM documents""")
+def size_capped(spark, d):
+    return read(spark, d, "documents").select("doc_id", R.size_error(F.encode("text", "UTF-8"), 2000).alias("error"))
+
+
+@query("""SELECT r.event_id, coalesce(r.event_id % 3 = c.n_nationkey % 3, false) AS not_modified FROM events r LEFT JOIN nation c ON r.user_id = c.n_nationkey""")
+def conditional_fetch(spark, d):
+    url = lambda c: F.concat(F.lit("https://x/"), F.col(c))
+    cache = read(spark, d, "nation").select(url("n_nationkey").alias("url"), (F.col("n_nationkey") % 3).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    asked = read(spark, d, "events").select("event_id", url("user_id").alias("url"), (F.col("event_id") % 3).cast("string").alias("etag"), F.lit("any").alias("last_modified"))
+    return R.conditional(asked, cache).select("event_id", "not_modified")
+
+
+@query("""SELECT 'https://' || n_nationkey AS origin, n_nationkey % 3 <> 0 AS robots, CASE WHEN n_nationkey % 3 <> 0 THEN 'https://' || n_nationkey || '/a.xml' ELSE '' END AS sitemaps,
+  n_nationkey % 2 = 0 AS llms, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS llms_title, false AS llms_truncated FROM nation""")
+def site_overview(spark, d):
+    n, k = read(spark, d, "nation"), F.col("n_nationkey")
+    origin = F.concat(F.lit("https://"), k)
+    robots = F.when(k % 3 == 0, "<!DOCTYPE html><title>app</title>").otherwise(F.concat(F.lit("User-agent: *\nDisallow:\nSitemap: "), origin, F.lit("/a.xml\n")))
+    llms = F.when(k % 2 == 1, " <HTML>").otherwise(F.concat(F.lit("> about\n# "), "n_name", F.lit("\n- [a](/a)\n")))
+    rows = [n.select(origin.alias("origin"), F.lit(p).alias("path"), F.lit(200).alias("status"), F.lit("").alias("content_type"), b.alias("body")) for p, b in (("/robots.txt", robots), ("/llms.txt", llms))]
+    return R.site(rows[0].unionByName(rows[1])).select("origin", "robots", F.array_join("sitemaps", " ").alias("sitemaps"), "llms", "llms_title", "llms_truncated")
+
+
+SQL_NORMAL = "regexp_replace({x}, '#.*$', '')"
+SQL_SITE = "regexp_extract({x}, '^([a-z]+://[^/?#]+)', 1)"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT {SQL_NORMAL.format(x="p.url")} AS a, {SQL_NORMAL.format(x="l.href")} AS b FROM ({SQL_RESOLVED}) l JOIN pages p USING (page_id) WHERE {SQL_SITE.format(x="l.href")} = {SQL_SITE.format(x="p.url")}),
+seeds AS (SELECT {SQL_SITE.format(x="url")} AS origin, min({SQL_NORMAL.format(x="url")}) AS url FROM pages GROUP BY 1),
+one AS (SELECT DISTINCT origin, b AS url FROM seeds JOIN e ON a = url), two AS (SELECT DISTINCT origin, b AS url FROM one JOIN e ON a = url),
+listed AS (SELECT {SQL_SITE.format(x="url")} AS origin, {SQL_NORMAL.format(x="url")} AS url FROM pages),
+found AS (SELECT origin, url, 0 AS r, 'crawl' AS source, 0 AS depth FROM seeds UNION ALL SELECT origin, url, 1, 'sitemap', 0 FROM listed UNION ALL SELECT origin, url, 2, 'crawl', 1 FROM one UNION ALL SELECT origin, url, 3, 'crawl', 2 FROM two)
+SELECT origin, url, arg_min(source, r) AS source, arg_min(depth, r) AS depth, false AS truncated FROM found GROUP BY origin, url""")
+def site_map(spark, d):
+    pages = read(spark, d, "pages")
+    own = pages.select(U.normalised(F.col("url")).alias("url"), F.col("page_id").alias("place"))
+    seeds = own.groupBy(crawl.site_of(F.col("url")).alias("origin")).agg(F.min("url").alias("url"))
+    return crawl.site_map(seeds, crawl.edges(pages), own, crawl.MOST_URLS).select("origin", "url", "source", "depth", "truncated")
+
+
+# Requests ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  CASE WHEN c_custkey % 2 = 0 THEN 'https://x/f?old=1' ELSE 'https://x/f?given=yes&id=' || c_custkey || '&seg=' || c_mktsegment END AS target,
+  CASE WHEN c_custkey % 2 = 0 THEN 'given=yes&id=' || c_custkey || '&seg=' || c_mktsegment ELSE '' END AS body FROM customer""")
+def form_submit(spark, d):
+    c = read(spark, d, "customer")
+    method = F.when(F.col("c_custkey") % 2 == 0, "post").otherwise("")
+    html = F.concat(F.lit("<form id=a></form><form name=f action='/f?old=1' method='"), method, F.lit("'><input name=id value="), F.col("c_custkey"), F.lit("><input type=checkbox name=no value=1><input name=given value=no><input name=off disabled value=2><select name=seg><option value=z>Z<option selected>"), "c_mktsegment", F.lit("</select><button name=go value=1>Go</button></form>"))
+    return Q.form_requests(c.select(F.col("c_custkey").alias("page_id"), F.lit("https://x/p").alias("url"), html.alias("html")), "f", values={"given": "yes"}).select(F.col("page_id").alias("id"), "method", "target", "body")
+
+
+@query(f"SELECT page_id, text, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM ({SQL_RESOLVED})) WHERE k = 2")
+def link_chosen(spark, d):
+    return Q.pick_link(P.links(read(spark, d, "pages")), 1).select("page_id", "text", "href")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")
+def request_types(spark, d):
+    return Q.of_types(read(spark, d, "events"), ["Click", " view"], "event_type").select("event_id", "event_type")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error'")
+def console_level(spark, d):
+    return Q.of_level(read(spark, d, "events"), "error", "event_type").select("event_id")
+
+
+@query("""SELECT event_id, coalesce(sum(round(value * 100)::BIGINT) OVER w, 0) < 50000 AND count(*) OVER w < 40 AS allowed FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def budget_guard(spark, d):
+    asked = read(spark, d, "events").withColumn("bytes", F.round(F.col("value") * 100).cast("long"))
+    return Q.within_budget(asked, ["user_id"], ["ts", "event_id"], "bytes", 50_000, 40).select("event_id", "allowed")
+
+
+@query("""SELECT user_id, count(*) AS changes, least(min(CASE WHEN nxt IS NULL OR nxt - t > 3600000 THEN t END) + 3600000 - min(t), 86400000) AS settled_ms,
+  min(CASE WHEN nxt IS NULL OR nxt - t > 3600000 THEN t END) + 3600000 - min(t) > 86400000 AS timed_out
+  FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM (SELECT user_id, epoch_ms(ts) AS t FROM events)) GROUP BY user_id""")
+def settle_times(spark, d):
+    return state.settled_at(read(spark, d, "events"), ["user_id"], quiet_ms=3_600_000, deadline_ms=86_400_000)
+
+
+@query("""SELECT user_id, CASE WHEN n > 5 THEN list_slice(e, 1, 5) || ['… (' || (n - 5) || ' more)'] ELSE e END::VARCHAR[] AS errors
+  FROM (SELECT user_id, count(*) AS n, list(event_type || event_id ORDER BY event_id) AS e FROM events GROUP BY user_id)""")
+def errors_capped(spark, d):
+    rows = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat("event_type", F.col("event_id")).alias("e")))).alias("s"))
+    return rows.select("user_id", R.capped_errors(F.col("s.e")).alias("errors"))
+
+
+@query("""SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'browse read' WHEN 1 THEN 'browse links' ELSE 'read' END AS tools FROM nation""")
+def tools_offered(spark, d):
+    k = F.col("n_nationkey")
+    none, words = F.array().cast("array<string>"), lambda s: F.split(F.lit(s), " ")
+    allow = F.when(k % 3 == 0, words("reading click")).when(k % 3 == 1, none).otherwise(words("read find"))
+    deny = F.when(k % 3 == 1, words("read click")).otherwise(none)
+    tools = Q.offered_tools(words("read browse links click find"), allow, deny, words("click find"), {"reading": ["read", "browse"]})
+    return read(spark, d, "nation").select(k.alias("id"), F.array_join(tools, " ").alias("tools"))
+
+
+@query("""SELECT count(*) AS cases, avg(quality::DOUBLE) AS overall, count(*) FILTER (quality = 1 AND toxic = 0) AS passed,
+  count(*) FILTER (toxic = 1 OR (doc_id % 10 = 0 AND quality <> 1)) AS failures, false AS gate FROM labels""")
+def evaluation_gate(spark, d):
+    cases = read(spark, d, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("double").alias("mean"), (F.col("quality") == 1).alias("passed"), (F.col("doc_id") % 10 == 0).alias("must_pass"), F.when(F.col("toxic") == 1, "failed").alias("run_error"))
+    return Q.scorecard(cases, 0.5)
+
+
+# More decisions ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, event_id % 5 IN (0, 1) AS applies FROM events""")
+def content_script_matches(spark, d):
+    tails = F.array(*[F.lit(t) for t in ("https://a.shop.x/p/1", "http://shop.x/p/22?q", "https://shop.x/p/admin", "https://shop.x/other", "https://shop.y/p/1")])
+    url = F.element_at(tails, (F.col("event_id") % 5 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", policy.script_applies(url, ["*://*.shop.x/*"], ["*://shop.x/p/admin"], ["*/p/?*"], ["ftp*"]).alias("applies"))
+
+
+@query("""SELECT event_id, event_id % 4 = 0 AS simple, event_id % 4 = 0 OR (event_id % 3 <> 2 AND event_id % 2 = 0) OR (event_id % 4 = 3 AND event_id % 3 = 0) AS allowed FROM events""")
+def preflight_decision(spark, d):
+    i = F.col("event_id")
+    method = F.when(i % 4 == 0, "GET").when(i % 2 == 0, "PUT").when(i % 4 == 1, "PATCH").otherwise("delete")
+    head = F.when(i % 4 == 0, F.create_map(F.lit("accept"), F.lit("*/*"))).otherwise(F.create_map(F.lit("content-type"), F.lit("application/json"), F.lit("x-own"), F.lit("1")))
+    star = F.when(i % 3 == 0, F.when(i % 2 == 0, "put").otherwise(F.when(i % 4 == 3, "*").otherwise("get"))).otherwise("put")
+    names = F.when((i % 3 == 2) & (i % 4 != 0), "x-own").otherwise("X-Own , Content-Type")
+    told = F.create_map(F.lit("access-control-allow-origin"), F.lit("https://A.b"), F.lit("access-control-allow-methods"), star, F.lit("access-control-allow-headers"), names)
+    return read(spark, d, "events").select(i, policy.is_simple(method, head).alias("simple"), policy.preflight_allows(F.lit("https://a.b"), method, head, F.lit(204), told, F.lit(False)).alias("allowed"))
+
+
+@query("""SELECT event_id, [true, false, true, false, true][(event_id % 5 + 1)::INT] AS allowed FROM events""")
+def csp_decisions(spark, d):
+    i = F.col("event_id")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (i % 5 + 1).cast("int"))
+    header = pick("script-src 'self'", "default-src 'none'", "script-src 'nonce-n1' 'strict-dynamic'", "script-src 'unsafe-inline' 'nonce-n2'", "connect-src *.x; script-src 'none'")
+    kind, inline = pick("script", "script", "script", "script", "connect"), F.when(i % 5 == 3, "run()")
+    return read(spark, d, "events").select(i, policy.csp_decision(F.array(header, F.lit("")), kind, F.lit("https://a.x/"), pick("https://a.x/j", "https://a.x/j", "https://b.y/j", "", "https://c.x/d"), pick("", "", "n1", "", ""), inline).alias("allowed"))
+
+
+@query("SELECT supplier.s_suppkey::BIGINT AS id, 'p' || s_name AS kept, 2 AS removed FROM supplier")
+def cosmetic_removed(spark, d):
+    html = F.concat(F.lit("<div class=ad>x<i class=ad>y</i></div><p>p"), "s_name", F.lit("</p><aside data-ad=1>z</aside>"))
+    pages = read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    out = policy.without_matches(pages, policy.hiding_selectors(".ad, [data-ad] { display: none } p { color: red } :bad( { visibility: hidden }"))
+    return P.visible_text(out.withColumn("url", F.lit(""))).join(out, "page_id").select(F.col("page_id").alias("id"), F.trim("text").alias("kept"), "removed")
+
+
+@query("SELECT n_nationkey AS id, 0 AS place, n_nationkey + 7 AS rule_id, 1 AS priority, 'block' AS action, 'shop.x old.x' AS domains, '||' || n_name AS url_filter FROM nation")
+def rules_read(spark, d):
+    raw = F.concat(F.lit('[{"id":'), F.col("n_nationkey") + 7, F.lit(',"action":{"type":"block"},"condition":{"urlFilter":"||'), "n_name", F.lit('","initiatorDomains":["shop.x"],"domains":["old.x"]}},{"id":1}]'))
+    rows = policy.rules_from_json(read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), raw.alias("raw")))
+    return rows.select("id", "place", "rule_id", "priority", "action", F.array_join("domains", " ").alias("domains"), "url_filter")
+
+
+@query("""SELECT event_id, event_id % 4 <> 3 AS blocked FROM events""")
+def blocked_hosts(spark, d):
+    hosts = F.array(*[F.lit(h) for h in ("::1", "fe80::1%eth0", "::ffff:10.0.0.1", "2606:4700::1111")])
+    return read(spark, d, "events").select("event_id", policy.blocked_host(F.element_at(hosts, (F.col("event_id") % 4 + 1).cast("int"))).alias("blocked"))
+
+
+# Reading with arguments -------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey::BIGINT AS id, '<b class=\"n\">' || p_name || '</b>' AS content, 1 AS chunks FROM part")
+def read_selected_html(spark, d):
+    html = F.concat(F.lit("<title>t</title><p>other</p><b class=n>"), "p_name", F.lit("</b>"))
+    pages = read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("page_id"), F.lit("https://x/").alias("url"), html.alias("html"))
+    return P.read_chunk(pages, form="raw_html", selector="b.n").select(F.col("page_id").alias("id"), "content", "chunks")
+
+
+@query("SELECT s_suppkey::BIGINT AS id, s_suppkey % 3 <> 2 AS has_hidden FROM supplier")
+def pages_hide(spark, d):
+    k = F.col("s_suppkey") % 3
+    html = F.when(k == 0, "<p>a<b hidden>c</b>").when(k == 1, "<p style='color:red; display : none'>a").otherwise("<p style='display:block'>hidden")
+    return P.has_hidden(read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit("").alias("url"), html.alias("html"))).select(F.col("page_id").alias("id"), "has_hidden")
+
+
+@query("SELECT s_suppkey::BIGINT AS id, CASE s_suppkey % 4 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' WHEN 2 THEN 'svelte' ELSE '' END AS framework FROM supplier")
+def framework_marks(spark, d):
+    k = F.col("s_suppkey") % 4
+    html = F.when(k == 0, "<div id=__next data-v-app>").when(k == 1, "<div data-v-app>").when(k == 2, "<p class='a svelte-1x'>").otherwise("<p>")
+    return Q.frameworks(read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit("").alias("url"), html.alias("html"))).select(F.col("page_id").alias("id"), "framework")
+
+
+@query()
+def session_uses(spark, d):
+    """Sessions of each type of event, 20 at a time: created, used or expired."""
+    return state.session_labels(read(spark, d, "events"), "event_type", "user_id", most=20, ttl=86_400.0)

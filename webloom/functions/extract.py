@@ -237,6 +237,16 @@ def outline(root: Element) -> str:
     return "\n".join("  " * (h["level"] - low) + "- " + h["text"] for h in found)
 
 
+def capped_outline(text: str, most: int = 8 << 10) -> str:
+    """An outline of at most ``most`` bytes, cut after a line."""
+    raw = text.encode()
+    if len(raw) <= most:
+        return text
+    head = raw[:most]
+    at = head.rfind(b"\n")
+    return head[: at if at > 0 else most].decode(errors="ignore") + "\n… (outline truncated)"
+
+
 def excerpt(root: Element) -> str:
     return next((truncated(t, 300) for t in (collapsed(e) for e in root.elements() if e.tag == "p") if t), "")
 

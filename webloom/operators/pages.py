@@ -55,7 +55,12 @@ def headings(pages: DataFrame) -> DataFrame:
 
 
 def outline(pages: DataFrame) -> DataFrame:
-    return per_page(pages, lambda r, u: [{"outline": extract.outline(r)}], "outline string")
+    return per_page(pages, lambda r, u: [{"outline": extract.capped_outline(extract.outline(r))}], "outline string")
+
+
+def has_hidden(pages: DataFrame) -> DataFrame:
+    """Whether a page has an element that is hidden; ends at the first one."""
+    return per_page(pages, lambda r, u: [{"has_hidden": any(dom.is_hidden(e) for e in r.elements())}], "has_hidden boolean")
 
 
 def forms(pages: DataFrame) -> DataFrame:
@@ -135,6 +140,49 @@ def read(pages: DataFrame, mode: str = "article", form: str = "markdown", safe:
     return out.withColumn("tokens", text.estimate_column(F.col("content")))
 
 
+#: Tokens of a chunk by default and at most. Fixed values.
+READ_TOKENS, MOST_READ_TOKENS = 6000, 24_000
+
+
+def read_chunk(pages: DataFrame, mode: str = "article", form: str = "markdown", selector: str = "", max_tokens: int = 0, cursor: str = "") -> DataFrame:
+    """One chunk of each page as a reader asks for it: title, chunk, chunks, content, next_cursor, error.
+
+    ``form`` is markdown, text or raw_html; a selector limits the reading to what it finds. A cursor names a chunk of one content:
+    where the page's content is another one, or has no such chunk, ``error`` says so and nothing else is there.
+    """
+    from webloom.functions.selectors import compile_selector
+    from webloom.functions.selectors import select as matches
+
+    budget = min(max_tokens, MOST_READ_TOKENS) if max_tokens > 0 else READ_TOKENS
+    at = text.decode_cursor(cursor) if cursor else None
+    if cursor and at is None:
+        raise ValueError("no cursor")
+    if selector:
+        compile_selector(selector)
+
+    def kernel(root: dom.Element, url: str) -> list[dict]:
+        title = extract.metadata(root, url)["title"]
+        if selector:
+            found = matches(root, selector)
+            top = [e for e in found if not any(a in found for a in e.above())]
+            if not top:
+                return [{"error": "nothing matches the selector"}]
+            markup = "\n".join(dom.serialise(e) for e in top)
+            inner = dom.parse(markup)
+        else:
+            markup, inner = dom.serialise(root), root
+        content = markup if form == "raw_html" else reduce.read(inner, url, "full" if selector else mode, form)["content"]
+        parts, mark = text.paginate(content, budget), text.fingerprint(content)
+        if at and at[0] != mark:
+            return [{"error": "the page has changed since the cursor was given"}]
+        index = at[1] if at else 0
+        if index >= len(parts):
+            return [{"error": "no such chunk"}]
+        return [{"title": title, "chunk": index, "chunks": len(parts), "content": parts[index], "next_cursor": text.encode_cursor(mark, index + 1) if index + 1 < len(parts) else None}]
+
+    return per_page(pages, kernel, "title string, chunk int, chunks int, content string, next_cursor string, error string")
+
+
 def paginated(texts: DataFrame, budget: int, key: str = "page_id", column: str = "content") -> DataFrame:
     """Chunks within a token budget, each with the cursor of the next."""
     kind = texts.schema[key].dataType.simpleString()

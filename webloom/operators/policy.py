@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import ipaddress
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.functions.urls import host, registrable_column
+from webloom.functions import dom
+from webloom.functions.selectors import SelectorError, compile_selector
+from webloom.functions.selectors import select as matches
+from webloom.functions.urls import blocked_address, host, registrable_column
+from webloom.plans.nodes import per_page
 
 SEPARATOR = r"(?:[^A-Za-z0-9_\-.%]|$)"
 
@@ -214,3 +221,124 @@ def hiding_selectors(css: str) -> list[str]:
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+
+def glob_regex(pattern: str, one: bool = True) -> str:
+    """A glob over a whole address: ``*`` is any run, ``?`` one character (or itself, if ``one`` is false)."""
+    return "^(?s:" + "".join(".*" if c == "*" else "." if c == "?" and one else re.escape(c) for c in pattern) + ")$"
+
+
+def script_applies(url: Column, matches: list[str], exclude_matches: list[str] = (), include_globs: list[str] = (), exclude_globs: list[str] = ()) -> Column:
+    """Whether a content script runs on a URL: in a match, in no excluded one, in an include glob if there are any, in no excluded glob."""
+
+    def any_of(patterns: list[str]) -> Column:
+        return url.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+    matched = any_of([match_pattern_regex(p) for p in matches]) & ~any_of([match_pattern_regex(p) for p in exclude_matches])
+    return matched & (any_of([glob_regex(g) for g in include_globs]) | F.lit(not include_globs)) & ~any_of([glob_regex(g) for g in exclude_globs])
+
+
+_RULE = "array<struct<id:int,priority:int,action:struct<type:string>,condition:struct<urlFilter:string,regexFilter:string,isUrlFilterCaseSensitive:boolean,resourceTypes:array<string>,excludedResourceTypes:array<string>,requestMethods:array<string>,initiatorDomains:array<string>,excludedInitiatorDomains:array<string>,domains:array<string>,requestDomains:array<string>,excludedRequestDomains:array<string>,domainType:string>>>"
+
+
+def rules_from_json(texts: DataFrame, column: str = "raw") -> DataFrame:
+    """Rule sets (JSON arrays) as rows, in order; the older ``domains`` are initiator domains too. A text that is no rule set gives none."""
+    rows = texts.select(*[c for c in texts.columns if c != column], F.posexplode(F.from_json(F.col(column), _RULE)).alias("place", "_r"))
+    c, empty = F.col("_r.condition"), F.array().cast("array<string>")
+    listed = lambda name: F.coalesce(c[name], empty)
+    out = rows.select(
+        *[x for x in rows.columns if x != "_r"], F.col("_r.id").alias("rule_id"), F.coalesce("_r.priority", F.lit(1)).alias("priority"), F.col("_r.action.type").alias("action"),
+        c["urlFilter"].alias("url_filter"), c["regexFilter"].alias("regex_filter"), F.coalesce(c["isUrlFilterCaseSensitive"], F.lit(False)).alias("case_sensitive"),
+        listed("resourceTypes").alias("types"), listed("excludedResourceTypes").alias("excluded_types"), F.transform(listed("requestMethods"), F.lower).alias("methods"),
+        F.array_union(listed("initiatorDomains"), listed("domains")).alias("domains"), listed("excludedInitiatorDomains").alias("excluded_domains"),
+        listed("requestDomains").alias("request_domains"), listed("excludedRequestDomains").alias("excluded_request_domains"), F.coalesce(c["domainType"], F.lit("")).alias("domain_type"),
+    )
+    return out.where(F.col("action").isNotNull())
+
+
+# Cross-origin requests; headers are maps with lower-case names --------------------------------------
+
+#: Methods, headers and body types that need no preflight. Fixed values.
+SIMPLE_METHODS = ("GET", "HEAD", "POST")
+SIMPLE_HEADERS = ("accept", "accept-language", "content-language")
+SIMPLE_TYPES = ("application/x-www-form-urlencoded", "multipart/form-data", "text/plain")
+
+
+def unsafe_headers(headers: Column) -> Column:
+    """Names of headers that a preflight has to allow, sorted."""
+    safe = lambda k, v: k.isin(*SIMPLE_HEADERS) | ((k == "content-type") & F.lower(F.trim(F.substring_index(v, ";", 1))).isin(*SIMPLE_TYPES))
+    return F.array_sort(F.map_keys(F.map_filter(F.coalesce(headers, F.create_map().cast("map<string,string>")), lambda k, v: ~safe(k, v))))
+
+
+def is_simple(method: Column, headers: Column) -> Column:
+    return F.upper(method).isin(*SIMPLE_METHODS) & (F.size(unsafe_headers(headers)) == 0)
+
+
+def _header(answer: Column, name: str) -> Column:
+    return F.trim(F.coalesce(F.try_element_at(answer, F.lit(name)), F.lit("")))
+
+
+def readable(origin: Column, answer: Column, credentials: Column) -> Column:
+    """Whether a page may read a cross-origin answer, by the answer's headers."""
+    allowed, same = _header(answer, "access-control-allow-origin"), F.lower(_header(answer, "access-control-allow-origin")) == F.lower(origin)
+    return F.when(credentials, same & (allowed != "*") & (F.lower(_header(answer, "access-control-allow-credentials")) == "true")).otherwise((allowed == "*") | same)
+
+
+def preflight_allows(origin: Column, method: Column, headers: Column, status: Column, answer: Column, credentials: Column) -> Column:
+    """Whether the answer to a preflight lets the request go: its origin, its method and each header that is not simple. ``*`` counts without credentials only."""
+    told = lambda name: F.filter(F.transform(F.split(F.lower(_header(answer, name)), ","), lambda t: F.trim(t)), lambda t: t != "")
+    methods, names = told("access-control-allow-methods"), told("access-control-allow-headers")
+    star = lambda found: ~credentials & F.array_contains(found, "*")
+    method_ok = F.upper(method).isin(*SIMPLE_METHODS) | star(methods) | F.array_contains(methods, F.lower(method))
+    asked = F.filter(unsafe_headers(headers), lambda h: h != "origin")
+    return (status < 400) & readable(origin, answer, credentials) & method_ok & (star(names) | (F.size(F.array_except(asked, names)) == 0))
+
+
+def csp_decision(policies: Column, kind: Column, own: Column, url: Column, nonce: Column, inline: Column) -> Column:
+    """Whether all policies (array of header values) allow a script or connection; ``inline`` is the script's text, null for one with an address."""
+
+    @F.pandas_udf("boolean")
+    def each(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([csp_allows([x for x in (p if p is not None else []) if x], k, o or "", u or "", n or "", None if b is None else b.encode()) for p, k, o, u, n, b in zip(*columns, strict=True)], dtype=object)
+
+    return each(policies, kind, own, url, nonce, inline)
+
+
+def blocked_host(address: Column) -> Column:
+    """Addresses of either family that a crawler must not reach; IPv4 within IPv6 counts as what it holds. What is no address is blocked."""
+    shared = ipaddress.ip_network("100.64.0.0/10")
+
+    def closed(text: str | None) -> bool:
+        try:
+            ip = ipaddress.ip_address((text or "").strip("[]").partition("%")[0])
+        except ValueError:
+            return True
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return ip.is_loopback or ip.is_private or ip.is_link_local or ip.is_unspecified or ip.is_multicast or (ip.version == 4 and (ip in shared or int(ip) in (0xFFFFFFFF,) or ip.packed[0] == 0))
+
+    @F.pandas_udf("boolean")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            yield pd.Series([closed(x) for x in column], dtype=bool)
+
+    return F.when(address.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), blocked_address(address)).otherwise(each(address))
+
+
+def without_matches(pages: DataFrame, selectors: list[str]) -> DataFrame:
+    """Pages without what hiding selectors match: html, and removed (outermost elements). Selectors that cannot be read hide nothing."""
+    fit = []
+    for css in selectors:
+        try:
+            compile_selector(css)
+            fit.append(css)
+        except SelectorError:
+            continue
+
+    def kernel(root: dom.Element, url: str) -> list[dict]:
+        hit = {id(e) for css in fit for e in matches(root, css)}
+        top = [e for e in root.elements() if id(e) in hit and not any(id(a) in hit for a in e.above())]
+        gone = {e.pre for e in top}
+        return [{"html": dom.serialise(dom.without(root, lambda e: e.pre in gone)), "removed": len(top)}]
+
+    return per_page(pages, kernel, "html string, removed int")

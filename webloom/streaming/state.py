@@ -111,3 +111,119 @@ def history(events: DataFrame, key: str = "user_id", ts: str = "ts", most: int =
         return pd.DataFrame({key: [frame[key].iloc[0]], "entries": [len(stack)], "place": [at], "current": [stack[at] if stack else -1]})
 
     return events.select("event_id", key, ts, "move").groupBy(key).applyInPandas(fold, schema)
+
+
+def settled_at(changes: DataFrame, group: list[str], ts: str = "ts", quiet_ms: int = 60, deadline_ms: int = 5000) -> DataFrame:
+    """When each group comes to rest: ``quiet_ms`` after the first change that none follows within that time, at the latest ``deadline_ms`` after its start."""
+    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(*group).orderBy("_at")
+    gaps = changes.select(*group, at.alias("_at")).withColumn("_next", F.lead("_at").over(w))
+    rest = F.min(F.when(F.coalesce(F.col("_next") - F.col("_at") > quiet_ms, F.lit(True)), F.col("_at")))
+    out = gaps.groupBy(*group).agg(F.min("_at").alias("_start"), rest.alias("_rest"), F.count(F.lit(1)).alias("changes"))
+    settled = F.col("_rest") + quiet_ms - F.col("_start")
+    return out.select(*group, "changes", F.least(settled, F.lit(deadline_ms).cast("long")).alias("settled_ms"), (settled > deadline_ms).alias("timed_out"))
+
+
+def _batches_by(df: DataFrame, group: str, fold_type: type, schema: str, order: list[str], *inputs: str) -> DataFrame:
+    """A fold over each group's rows in order. Rows are sorted, then stream through in Arrow batches; only the fold's own state is held, so a hot group costs no memory."""
+    sorted_rows = df.select(group, *inputs).repartition(group).sortWithinPartitions(group, *order)
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unset = object()
+        now, fold = unset, None
+        for frame in frames:
+            labels = []
+            for row in frame.itertuples(index=False):
+                own = None if pd.isna(row[0]) else row[0]
+                if now is unset or own != now:
+                    now, fold = own, fold_type()
+                labels.append(fold.take(*row[1:]))
+            yield frame.assign(label=labels)
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (group, *inputs))
+    return sorted_rows.mapInPandas(each, f"{kinds}, {schema}")
+
+
+def throttled(events: DataFrame, group: str, ts: str = "ts", order: str = "event_id", every_ms: int = 500) -> DataFrame:
+    """Which progress notes get through (label sent or held): none within ``every_ms`` of the last one that did."""
+
+    class Throttle:
+        last = None
+
+        def take(self, at, _ident) -> str:
+            if self.last is not None and (at - self.last).total_seconds() * 1000 < every_ms:
+                return "held"
+            self.last = at
+            return "sent"
+
+    return _batches_by(events, group, Throttle, "label string", [ts, order], ts, order)
+
+
+class Store:
+    """Entries with a time to live and a capacity; the oldest goes first. What was evicted leaves a tombstone for a while, what was closed does not."""
+
+    def __init__(self, most: int = 256, ttl: float = 1800.0, remembered: float = 86_400.0, most_tombstones: int = 4096):
+        self.most, self.ttl, self.remembered, self.most_tombstones = most, ttl, remembered, most_tombstones
+        self.at: dict = {}  # in order of last use
+        self.gone: dict = {}  # in order of eviction: (time, reason)
+
+    def _bury(self, key, now: float, reason: str) -> None:
+        self.at.pop(key)
+        self.gone.pop(key, None)
+        self.gone[key] = (now, reason)
+        while len(self.gone) > self.most_tombstones:
+            self.gone.pop(next(iter(self.gone)))
+
+    def take(self, now: float, key, close: bool = False) -> str:
+        """created, used, closed, absent, expired (idle) or expired (capacity)."""
+        while self.at and now - next(iter(self.at.values())) >= self.ttl:
+            self._bury(next(iter(self.at)), now, "idle")
+        if key in self.at:
+            self.at.pop(key)
+            if not close:
+                self.at[key] = now
+            return "closed" if close else "used"
+        if close:
+            return "absent"
+        if key in self.gone:
+            when, reason = self.gone[key]
+            if now - when < self.remembered:
+                return f"expired ({reason})"
+            self.gone.pop(key)
+        while len(self.at) >= self.most:
+            self._bury(next(iter(self.at)), now, "capacity")
+        self.at[key] = now
+        return "created"
+
+
+def session_labels(events: DataFrame, owner: str, key: str, ts: str = "ts", order: str = "event_id", close: str | None = None, most: int = 256, ttl: float = 1800.0) -> DataFrame:
+    """What becomes of each use of a session, by owner of the store: see ``Store.take``. Holds ``most`` entries and the tombstones, however many rows an owner has."""
+
+    class Sessions(Store):
+        def __init__(self):
+            super().__init__(most, ttl)
+
+        def take(self, at, _ident, name, *closing) -> str:
+            return super().take(at.timestamp(), name, bool(closing and closing[0]))
+
+    return _batches_by(events, owner, Sessions, "label string", [ts, order], ts, order, key, *([close] if close else []))
+
+
+def site_cache_labels(lookups: DataFrame, owner: str, key: str, found: str, ts: str = "ts", order: str = "event_id", most: int = 128, ttl: float = 600.0) -> DataFrame:
+    """miss, hit or negative hit (absence is kept as well) for each lookup; ``found`` is what a fetch would bring. An entry ages from its fetch; the oldest fetch goes first."""
+
+    class Cache:
+        def __init__(self):
+            self.held: dict = {}
+
+        def take(self, at, _ident, name, there) -> str:
+            now = at.timestamp()
+            if name in self.held and now - self.held[name][0] < ttl:
+                return "hit" if self.held[name][1] else "negative hit"
+            self.held.pop(name, None)
+            while len(self.held) >= most:
+                self.held.pop(next(iter(self.held)))
+            self.held[name] = (now, bool(there))
+            return "miss"
+
+    return _batches_by(lookups, owner, Cache, "label string", [ts, order], ts, order, key, found)
