@@ -234,6 +234,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             v = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
             yield batch.filter(pa.array(sieve.value.passes(v)))
+            del batch
+        trim()
 
     near = sets.mapInArrow(asked_for, "v long, grams binary").groupBy("v").agg(F.first("grams").alias("grams"))
     a = near.select(F.col("v").alias("a"), F.col("grams").alias("ga"))
@@ -242,7 +244,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = [similar(unpack(x.as_buffer()), unpack(y.as_buffer()), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            ends_of = pa.RecordBatch.from_arrays([pa.array(c.to_numpy(zero_copy_only=False)) for c in batch.columns[:2]], names=["a", "b"])
+            del batch  # whole sets: they go before the next ones come
+            yield ends_of.filter(pa.array(fine, pa.bool_()))
+        trim()
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(each, "a long, b long")
 

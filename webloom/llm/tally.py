@@ -126,6 +126,7 @@ def counted(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Itera
     def add(group: pa.Table) -> pa.Table:
         key, n = merged(group, buckets)
         key, n = key[n >= least], n[n >= least]
+        trim()
         return pa.table({"key": key.view(np.int64), "n": n})
 
     return rows.mapInArrow(send, SCHEMA).groupBy("bucket").applyInArrow(add, "key long, n long")
