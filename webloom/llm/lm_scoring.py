@@ -197,9 +197,9 @@ class Model:
         share = np.where(pair > 0, np.minimum(least_of(pair) / np.maximum(most_of(left), 1), 1.0), 0.0)
         return np.log10(1 + self.weight * share / ((1 - self.weight) * self.chance(right)))
 
-    def levels(self, tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels of tokens and of the pairs that end at them (0 at a text's first); -1: the stored counts have to tell."""
-        count, known = self.exact(tokens)
+    def levels(self, tokens: np.ndarray, starts: np.ndarray, exact: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of tokens and of the pairs that end at them (0 at a text's first); -1: the stored counts have to tell. ``exact``: what ``exact`` gave, if it was asked."""
+        count, known = exact or self.exact(tokens)
         word = np.where(known, level_of(count), 0 if len(self.hot) == self.n_distinct else -1)
         pair = np.zeros(len(tokens), dtype=np.int64)
         inner = np.ones(len(tokens), dtype=bool)
@@ -211,9 +211,9 @@ class Model:
         pair[at[(word[at - 1] == 0) | (word[at] == 0)]] = 0
         return word, pair
 
-    def log10(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def log10(self, tokens: np.ndarray, starts: np.ndarray, levels: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 of P(token | token before it, if any) for each token, of what is broadcast; without a level a summand is left out."""
-        word, pair = self.levels(tokens, starts)
+        word, pair = levels or self.levels(tokens, starts)
         before = np.concatenate(([0], word[:-1])) if len(word) else word
         before[starts] = 0
         out = np.where(word >= 0, np.log10(self.chance(word)), 0.0) + np.where(before > 0, np.log10(1 - self.weight), 0.0)
@@ -406,7 +406,9 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                 sure = np.log10((count + SMOOTHING) / (m.n_tokens + SMOOTHING * (m.n_distinct + 1)))
                 base = np.add.reduceat(np.where(known, sure, floor if all_words else 0.0), starts)
                 n_known = np.add.reduceat(known.astype(np.int64), starts)
-                score = np.add.reduceat(m.log10(tokens, starts), starts)
+                # words and pairs are looked up once for all that asks for them
+                level, pair = m.levels(tokens, starts, (count, known))
+                score = np.add.reduceat(m.log10(tokens, starts, (level, pair)), starts)
                 other = np.flatnonzero(~known) if not all_words else np.zeros(0, np.int64)
                 rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(other, np.append(starts, len(tokens))), pa.int32()), pa.array(as_long(tokens[other])))
                 k = batch.num_rows
@@ -414,7 +416,6 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                 none = [pa.nulls(k, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(ids), rare, pa.array(ids % m.shards, pa.int32()), *none], names=names)
 
-                level, pair = m.levels(tokens, starts)
                 before = np.concatenate(([0], level[:-1]))
                 left = np.concatenate(([END], tokens[:-1]))
                 row = np.repeat(np.arange(k), n).astype(np.uint16)
@@ -422,7 +423,8 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, id_column: str = "do
                 for places, is_open in ((np.flatnonzero((pair < 0) & whole_words), False), (np.flatnonzero((pair != 0) & ~whole_words), True)):
                     key = pair_key(left[places], tokens[places])
                     of = (key % shards).astype(np.int64)
-                    order = np.argsort(of, kind="stable")
+                    # numbers of 16 bits are sorted by their digits
+                    order = np.argsort(of.astype(np.uint16) if m.shards <= 1 << 16 else of, kind="stable")
                     places, key, of = places[order], key[order], of[order]
                     cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist() if len(of) else []
                     ends = [*cuts[1:], len(of)]
