@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, language_id, lm_scoring, media, mixing, ngram_join, pii, quality_mil, quality_rules, substring_dedup, vector_codes
+from webloom.llm import bpe, language_id, lm_scoring, media, mixing, ngram_join, pii, quality_mil, quality_rules, spelling, substring_dedup, vector_codes
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_ngram_join": ngram_join.query,
     "op10_mixing": mixing.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_spelling": spelling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_mixing": mixing.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }

@@ -163,7 +163,7 @@ def usable(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
 def first_entries(kept: DataFrame, id_column: str, column: str, width: int, entries: int) -> np.ndarray:
     """The vectors of the smallest ids (null ids last; of equal ids the smaller vector first), at most ``entries``."""
     rows = kept.select(F.col(f"`{id_column}`").alias("i"), F.col(f"`{column}`").alias("v")).orderBy(F.col("i").asc_nulls_last(), "v").limit(entries).collect()
-    return np.floor(np.array([r["v"] for r in rows], dtype=np.float64).reshape(-1, width) * SCALE).astype(np.int64)
+    return np.floor(np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), width) * SCALE).astype(np.int64)
 
 
 def learned(kept: DataFrame, column: str, books: list[np.ndarray], cuts: list[int], rounds: int) -> list[np.ndarray]:
