@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, language_id, lm_scoring, media, mixing, ngram_join, pii, quality_mil, quality_rules, spelling, substring_dedup, vector_codes
+from webloom.llm import bpe, language_id, lm_scoring, media, mixing, ngram_join, pii, quality_mil, quality_rules, spelling, substring_dedup, vector_codes, wrappers
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_vector_codes": vector_codes.query,
     "op12_spelling": spelling.query,
+    "op13_wrappers": wrappers.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
