@@ -1,250 +1,29 @@
-"""HTML into a labelled tree, in pure Python: parsing, text, hiding and serialising.
-
-The tree has ``html``, ``head`` and ``body`` whatever the source has. Void and
-raw-text elements, implied end tags and the reopening of unclosed formatting follow the
-HTML standard; foster parenting out of tables is left out.
-"""
+"""Trees of pages: text, hiding and serialising. A tree has ``html``, ``head`` and ``body`` whatever the source has."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from html import escape
-from html.parser import HTMLParser
-
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEAD_ONLY = frozenset("title meta link style script base noscript template".split())
-SILENT = frozenset("script style head noscript template".split())
-FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
-BLOCK = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-_CLOSES_P = BLOCK - frozenset("li dd dt td th tr tbody thead tfoot".split()) | {"center"}
-_WALL = frozenset("html table td th caption template button object".split())
-_CLOSED_BY = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-}
-_HEADING = re.compile(r"h[1-6]\Z")
-
-
-class Comment(str):
-    __slots__ = ()
-
-
-class Element:
-    __slots__ = ("attrs", "children", "depth", "last", "parent", "pre", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Element | str | Comment] = []
-        self.pre = self.last = self.depth = 0
-
-    def elements(self) -> Iterator[Element]:
-        """This element and those below it, in document order."""
-        todo = [self]
-        while todo:
-            e = todo.pop()
-            yield e
-            todo += [c for c in reversed(e.children) if isinstance(c, Element)]
-
-    def above(self) -> Iterator[Element]:
-        e = self.parent
-        while e is not None:
-            yield e
-            e = e.parent
-
-    def kids(self) -> list[Element]:
-        return [c for c in self.children if isinstance(c, Element)]
-
-    def get(self, name: str) -> str:
-        return self.attrs.get(name, "")
-
-    def classes(self) -> list[str]:
-        return self.get("class").split()
-
-    def __contains__(self, other: Element) -> bool:
-        return self.pre <= other.pre <= self.last
-
-
-#: So deep do elements nest at most; all walks over a tree rely on it.
-MOST_DEPTH = 400
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("html", {}, None)
-        self.head = Element("head", {}, self.root)
-        self.body = Element("body", {}, self.root)
-        self.root.children = [self.head, self.body]
-        self.open: list[Element] = [self.root, self.head]
-        self.lost: list[Element] = []  # formatting that was closed along with something else
 
-    def _in_head(self) -> bool:
-        return self.body not in self.open
+from webloom.functions.parsing import MOST_DEPTH, RAW, VOID, tree
+from webloom.functions.tree import Comment, Element, number
 
-    def _to_body(self) -> None:
-        if self._in_head():
-            self.open = [self.root, self.body]
+__all__ = ["BLOCK", "MOST_DEPTH", "SILENT", "VOID", "Comment", "Element", "collapsed", "is_hidden", "number", "parse", "serialise", "squeeze", "texts", "truncated", "visible", "without"]
 
-    def _push(self, tag: str, attrs: dict[str, str]) -> Element:
-        if len(self.open) > MOST_DEPTH:
-            # browsers do not nest deeper either: what comes is beside, not within
-            del self.open[MOST_DEPTH:]
-        e = Element(tag, attrs, self.open[-1])
-        self.open[-1].children.append(e)
-        if tag not in VOID:
-            self.open.append(e)
-        return e
-
-    def _pop_to(self, at: int) -> None:
-        gone = [e for e in self.open[at + 1 :] if e.tag in FORMATTING]
-        del self.open[at:]
-        for e in gone:
-            if sum(x.tag == e.tag and x.attrs == e.attrs for x in self.lost) < 3:
-                self.lost.append(e)
-
-    def _reopen(self) -> None:
-        for e in self.lost:
-            self._push(e.tag, dict(e.attrs))
-        self.lost = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        own: dict[str, str] = {}
-        for k, v in attrs:
-            own.setdefault(k, v or "")
-        if tag in ("html", "head", "body"):
-            if tag == "body":
-                self._to_body()
-            target = {"html": self.root, "head": self.head, "body": self.body}[tag]
-            for k, v in own.items():
-                target.attrs.setdefault(k, v)
-            return
-        if self._in_head() and tag not in HEAD_ONLY:
-            self._to_body()
-        if tag in _CLOSES_P:
-            self._close("p", _WALL)
-        if _HEADING.match(tag) and _HEADING.match(self.open[-1].tag):
-            self._pop_to(len(self.open) - 1)
-        if tag in _CLOSED_BY:
-            what, wall = _CLOSED_BY[tag]
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at].tag in wall:
-                    break
-                if self.open[at].tag in what:
-                    self._pop_to(at)
-                    if tag in ("li", "dt", "dd", "option", "td", "th"):
-                        break
-        if tag == "a":
-            self._close("a", _WALL)
-            self.lost = [e for e in self.lost if e.tag != "a"]
-        if self.lost and tag not in BLOCK and not self._in_head() and tag not in ("script", "style"):
-            self._reopen()
-        self._push(tag, own)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def _close(self, tag: str, wall: frozenset | set) -> bool:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                inner = self.open[at].tag in FORMATTING
-                self._pop_to(at) if not inner else self._pop_formatting(at)
-                return True
-            if self.open[at].tag in wall:
-                return False
-        return False
-
-    def _pop_formatting(self, at: int) -> None:
-        self._pop_to(at)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("html", "body", "head"):
-            if tag == "head":
-                self._to_body()
-            return
-        if tag == "br":
-            self.handle_starttag("br", [])
-            return
-        if tag in VOID:
-            return
-        if tag in FORMATTING and any(e.tag == tag for e in self.lost):
-            k = max(i for i, e in enumerate(self.lost) if e.tag == tag)
-            del self.lost[k]
-            return
-        if _HEADING.match(tag):
-            for at in range(len(self.open) - 1, 0, -1):
-                if _HEADING.match(self.open[at].tag):
-                    self._pop_to(at)
-                    return
-            return
-        wall = {"table", "html"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else {"html"} if tag == "table" else _WALL if tag in FORMATTING or tag == "p" else {"html", "table", "td", "th"}
-        if not self._close(tag, wall - {tag}) and tag == "p":
-            self._to_body()
-            self._push("p", {})
-            self.open.pop()
-
-    def handle_data(self, data: str) -> None:
-        raw = self.open[-1].tag in ("script", "style", "title", "noscript", "template")
-        if not raw and not data.strip():
-            if self._in_head() or self.open[-1].tag in ("html", "table", "tr", "tbody", "thead", "tfoot"):
-                return
-        elif not raw:
-            self._to_body()
-            self._reopen()
-        kids = self.open[-1].children
-        if kids and type(kids[-1]) is str:
-            kids[-1] += data
-        else:
-            kids.append(data)
-
-    def handle_comment(self, data: str) -> None:
-        self.open[-1].children.append(Comment(data))
-
-
-def number(root: Element) -> Element:
-    """Give each element its place in document order, its last descendant's place and its depth."""
-    at = 0
-    todo: list[tuple[Element, bool]] = [(root, False)]
-    while todo:
-        e, done = todo.pop()
-        if done:
-            e.last = at - 1
-            continue
-        e.pre = at
-        e.depth = e.parent.depth + 1 if e.parent else 0
-        at += 1
-        todo.append((e, True))
-        todo += [(c, False) for c in reversed(e.children) if isinstance(c, Element)]
-    return root
+SILENT = frozenset("script style head noscript template".split())
+BLOCK = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 
 
 def parse(html: str) -> Element:
     """The ``html`` element of a document; never fails."""
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return number(builder.root)
+    return number(tree(html or ""))
 
 
-def texts(e: Element) -> Iterator[str]:
-    todo: list[Element | str] = [e]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, Comment):
-            continue
-        if isinstance(x, str):
-            yield x
-        else:
-            todo += reversed(x.children)
+def texts(e: Element) -> list[str]:
+    """All texts below an element of a numbered tree."""
+    a, b = e.texts
+    return e.order.texts[a:b]
 
 
 def squeeze(text: str) -> str:
@@ -312,5 +91,5 @@ def serialise(e: Element | str) -> str:
     attrs = "".join(f' {k}="{escape(v)}"' for k, v in e.attrs.items())
     if e.tag in VOID:
         return f"<{e.tag}{attrs}>"
-    inner = "".join(c if isinstance(c, str) and not isinstance(c, Comment) and e.tag in ("script", "style") else serialise(c) for c in e.children)
+    inner = "".join(c if isinstance(c, str) and not isinstance(c, Comment) and e.tag in RAW else serialise(c) for c in e.children)
     return f"<{e.tag}{attrs}>{inner}</{e.tag}>"
