@@ -34,8 +34,11 @@ TIMES = 2
 #: Letters of the words of a shard, and bytes of the shards that are sent at once.
 SHARD_CHARS = 2 << 20
 SENT_BYTES = 96 << 20
+#: Words of a task that asks, and of a file.
+TASK_WORDS = 1 << 14
+FILE_WORDS = 1 << 18
 #: Words of a block, and states that are followed at once.
-BLOCK_WORDS = 8192
+BLOCK_WORDS = 4096
 STATES = 1 << 17
 
 #: Letters by their place in a bitmap: a to z, then the accented ones.
@@ -194,6 +197,11 @@ def neighbours(shard: Trie, strings: list[str]) -> Iterator[tuple[np.ndarray, np
             stack.append((w, n, j, True))
 
 
+def _few(df: DataFrame, each: int, rows: int | None = None) -> DataFrame:
+    """A frame in no more partitions than its rows need, so that small tables make few files."""
+    return df.coalesce(-(-(df.count() if rows is None else rows) // each) or 1)
+
+
 def shards(counted: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """A row (size, parts) a trie of neighbouring words; words are dealt by ranges, and a task cuts what it gets into tries of ``shard_chars`` letters."""
 
@@ -221,7 +229,10 @@ def shards(counted: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
         if strings:
             yield built()
 
-    return counted.select("word", "n").repartitionByRange("word").sortWithinPartitions("word").mapInArrow(each, "size long, parts array<binary>")
+    chars = counted.agg(F.sum(F.length("word")).alias("c")).first()["c"] or 0
+    k = -(-chars // shard_chars) or 1
+    ranges = counted.select("word", "n").repartitionByRange(k, "word").coalesce(k)  # if the session deals out more, its ranges are joined again
+    return ranges.sortWithinPartitions("word").mapInArrow(each, "size long, parts array<binary>")
 
 
 def answers(counted: DataFrame, sent: list[list[bytes]]) -> DataFrame:
@@ -255,7 +266,7 @@ def answers(counted: DataFrame, sent: list[list[bytes]]) -> DataFrame:
                     "best_n": pa.array([-best[k][0] for k in keep], pa.int64()), "best": pa.array([best[k][1] for k in keep], pa.string()),
                 })
 
-    return counted.select("word", "n").mapInArrow(each, "word string, n long, n_near long, best_n long, best string")
+    return _few(counted, TASK_WORDS).select("word", "n").mapInArrow(each, "word string, n long, n_near long, best_n long, best string")
 
 
 def near_words(counted: DataFrame, shard_chars: int = SHARD_CHARS, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -286,19 +297,21 @@ def grouped(counted: DataFrame, times: int = TIMES, shard_chars: int = SHARD_CHA
     rows = counted.join(near, "word", "left").select(
         "word", F.when(good, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(good, F.col("form_n")).alias("form_n"),
     )
-    rows = stored(rows, "forms")
+    n = counted.count()
+    rows = stored(_few(rows, FILE_WORDS, n), "forms")
     # where each word with a form leads; what has none ends the way
     way = rows.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
     while True:
         further = way.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = stored(way.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        step = way.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = stored(_few(step, FILE_WORDS, n), "roots")
         more = not step.where("moved").isEmpty()
         discard(way)
         way = step.drop("moved")
         way._webloom_path = step._webloom_path
         if not more:
             break
-    return rows.join(way, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _few(rows.join(way, "word", "left"), FILE_WORDS, n).select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
