@@ -72,8 +72,7 @@ FROM ({SQL_LINKS}) GROUP BY ALL"""
 FROM (SELECT {SQL_HOST} AS host, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {TITLE} AS title,
   (SELECT count(*) FROM ({SQL_RESOLVED}) l WHERE l.page_id = pages.page_id) AS links FROM pages) GROUP BY host""")
 def pages_by_host(spark, d):
-    pages = read(spark, d, "pages")
-    found = P.summary(pages).join(pages.select("page_id", U.host(F.col("url")).alias("host")), "page_id")
+    found = P.summary(read(spark, d, "pages"), "title", "lang", "links", "url").withColumn("host", U.host(F.col("url")))
     return found.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("links").alias("links"), F.countDistinct("lang").alias("langs"), F.max("title").alias("last_title"))
 
 
@@ -84,8 +83,7 @@ def page_titles(spark, d):
 
 @query(f"SELECT page_id, 1 AS level, {H1} AS text, '- ' || {H1} AS outline FROM pages")
 def heading_outline(spark, d):
-    pages = read(spark, d, "pages")
-    return P.headings(pages).select("page_id", "level", "text").join(P.outline(pages), "page_id")
+    return P.outlined(read(spark, d, "pages")).select("page_id", "level", "text", "outline")
 
 
 @query(f"SELECT page_id, text, href, true AS internal FROM ({SQL_RESOLVED})")
@@ -148,7 +146,7 @@ def hidden_stripped(spark, d):
 @query(f"""WITH t AS (SELECT page_id, {_clean("regexp_replace(regexp_extract(html, '<p>(.*?)(</p>|<p>|</article>)', 1, 's'), '<[^>]*>', ' ', 'g')")} AS x FROM pages)
 SELECT page_id, CASE WHEN length(x) <= 300 THEN x ELSE trim(substring(x, 1, 300)) || '…' END AS excerpt FROM t""")
 def first_paragraph(spark, d):
-    return P.summary(read(spark, d, "pages")).select("page_id", "excerpt")
+    return P.summary(read(spark, d, "pages"), "excerpt")
 
 
 @query(f"""SELECT page_id, 'navigation' AS role, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href'))::INT AS links, 0 AS headings FROM pages
@@ -167,11 +165,9 @@ def nth_of_type(spark, d):
 
 @query("SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href')) AS links FROM pages")
 def links_in_nav(spark, d):
-    """The innermost region of each link by a range join over node intervals."""
-    n = N.nodes(read(spark, d, "pages"))
-    found = N.within(n.where("tag = 'a'"), n.where("tag IN ('nav', 'article', 'footer')"))
-    nav = n.where("tag = 'nav'").select("page_id", F.col("pre").alias("outer_pre"))
-    return found.join(nav, ["page_id", "outer_pre"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    """The innermost region of each link by one sweep over a page's nodes."""
+    found = N.innermost(read(spark, d, "pages"), "a", "nav, article, footer").where("outer_tag = 'nav'")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
 @query("SELECT page_id, 'a' AS tag, 'ul' AS parent, len(regexp_extract_all(html, '<li><a href')) AS n FROM pages")
@@ -298,10 +294,26 @@ def forms_roundtrip(spark, d):
     return found.select(f(0, "value").alias("orderkey"), f(1, "value").alias("status"), f(1, "checked").alias("checked"), F.get(f(2, "options"), 0).alias("priority"))
 
 
-@query("SELECT n_name AS text, CASE WHEN n_nationkey % 2 = 0 THEN 'tab' ELSE 'button' END AS kind, n_nationkey % 3 = 0 AS disabled FROM nation")
+_CONTROLS = ("<button{a}>{t}</button>", "<span role=button{a}>{t}</span>", "<input type=submit value='{t}'{a}>", "<input type=button value='{t}'{a}>", "<input type=reset value='{t}'{a}>", "<i onclick=go(){a}>{t}</i>", "<p tabindex=0{a}>{t}</p>", "<summary{a}>{t}</summary>", "<li role=tab{a}>{t}</li>")
+_CONTROL_KINDS = ("button", "role-button", "submit", "button", "reset", "interactive", "interactive", "summary", "tab")
+_CONTROL_TAGS = ("button", "span", "input", "input", "input", "i", "p", "summary", "li")
+
+
+@query(f"""WITH c AS (SELECT *, (c_custkey % 9 + 1)::INT AS k FROM customer)
+SELECT floor(c_custkey / 500)::BIGINT AS page_id, c_name AS text, {list(_CONTROL_KINDS)}[k] AS kind,
+  CASE WHEN c_custkey % 2 = 0 THEN '#c' || c_custkey ELSE {list(_CONTROL_TAGS)}[k] || '.u' || c_custkey || '.k' END AS selector, c_custkey % 5 = 0 AS disabled,
+  CASE c_custkey % 4 WHEN 0 THEN 'mixed' WHEN 1 THEN 'true' ELSE '' END AS pressed, CASE c_custkey % 3 WHEN 0 THEN 'false' ELSE '' END AS expanded FROM c""")
 def controls_roundtrip(spark, d):
-    item = F.concat(F.lit("<button"), F.when(F.col("n_nationkey") % 2 == 0, ' role="tab"').otherwise(""), F.when(F.col("n_nationkey") % 3 == 0, " disabled").otherwise(""), F.lit(">"), "n_name", F.lit("</button>"))
-    return P.controls(_rendered(read(spark, d, "nation"), "n_regionkey", "n_nationkey", item)).select("text", "kind", "disabled")
+    """All nine kinds of controls with their states; an id or a class of its own makes each selector."""
+    c, key = read(spark, d, "customer"), F.col("c_custkey")
+    states = F.concat(
+        F.when(key % 2 == 0, F.concat(F.lit(" id=c"), key)).otherwise(F.concat(F.lit(" class='u"), key, F.lit(" k'"))), F.when(key % 5 == 0, " disabled").otherwise(""),
+        F.when(key % 4 == 0, " aria-pressed=MIXED").when(key % 4 == 1, " aria-pressed=true").when(key % 4 == 2, " aria-pressed=none").otherwise(""), F.when(key % 3 == 0, " aria-expanded=false").when(key % 3 == 1, " aria-expanded=mixed").otherwise(""),
+    )
+    shapes = F.element_at(F.array(*map(F.lit, _CONTROLS)), (key % 9 + 1).cast("int"))
+    item = F.replace(F.replace(shapes, F.lit("{t}"), F.col("c_name")), F.lit("{a}"), states)
+    page = _rendered(c.withColumn("page", F.floor(key / 500)), "page", "c_custkey", item, "<a href=/x>no control</a><input type=text><b class=k>k</b>")
+    return P.controls(page).select("page_id", "text", "kind", "selector", "disabled", "pressed", "expanded")
 
 
 @query("SELECT p_partkey::BIGINT AS page_id, 'https://shop.example.com/i/' || p_partkey AS src, p_name AS alt FROM part")
@@ -353,19 +365,6 @@ def robots_allowed(spark, d):
     return policy.robots_decision(paths, S.robots_rules(files, "site", "robots"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON b.page_id IN (a.page_id * 2, a.page_id * 2 + 1) AND b.page_id <> a.page_id),
-r AS (SELECT 1::BIGINT AS page_id, 0 AS depth UNION ALL SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.page_id WHERE r.depth < 4)
-SELECT page_id, min(depth)::INT AS depth FROM r GROUP BY page_id""")
-def site_map_bfs(spark, d):
-    """The frontier of a crawl, level by level: a recursive join that stops at a depth."""
-    p = read(spark, d, "pages").select("page_id")
-    p.select(F.col("page_id").alias("a")).createOrReplaceTempView("_vertices")
-    return spark.sql("""
-      WITH RECURSIVE edges AS (SELECT v.a AS a, w.a AS b FROM _vertices v JOIN _vertices w ON v.a = w.a DIV 2 AND v.a <> w.a),
-      reached(page_id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT e.b, r.depth + 1 FROM reached r JOIN edges e ON e.a = r.page_id WHERE r.depth < 4)
-      SELECT page_id, min(depth) AS depth FROM reached GROUP BY page_id""")
-
-
 @query("SELECT n_nationkey::BIGINT AS id, 0 AS place, n_name AS title, 'https://x/' || n_nationkey AS url FROM nation")
 def search_results(spark, d):
     n = read(spark, d, "nation")
@@ -390,7 +389,7 @@ def classify_kind(spark, d):
 
 
 def _rules(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame([(i, i, p, a, policy.filter_regex(f), t, dom, third) for i, (p, a, f, t, dom, third) in enumerate(rows)], "rule_id long, place long, priority int, action string, regex string, types array<string>, domains array<string>, third_party boolean")
+    return spark.createDataFrame([(i, i, p, a, f, t, dom, third) for i, (p, a, f, t, dom, third) in enumerate(rows)], "rule_id long, place long, priority int, action string, url_filter string, types array<string>, domains array<string>, third_party boolean")
 
 
 @query("""SELECT page_id AS request_id,
@@ -610,7 +609,7 @@ def budget_guard(spark, d):
 
 @query("""SELECT user_id, count(*) AS changes, least(min(CASE WHEN nxt IS NULL OR nxt - t > 3600000 THEN t END) + 3600000 - min(t), 86400000) AS settled_ms,
   min(CASE WHEN nxt IS NULL OR nxt - t > 3600000 THEN t END) + 3600000 - min(t) > 86400000 AS timed_out
-  FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM (SELECT user_id, epoch_ms(ts) AS t FROM events)) GROUP BY user_id""")
+  FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events)) GROUP BY user_id""")
 def settle_times(spark, d):
     return state.settled_at(read(spark, d, "events"), ["user_id"], quiet_ms=3_600_000, deadline_ms=86_400_000)
 
@@ -677,7 +676,8 @@ def cosmetic_removed(spark, d):
     return P.visible_text(out.withColumn("url", F.lit(""))).join(out, "page_id").select(F.col("page_id").alias("id"), F.trim("text").alias("kept"), "removed")
 
 
-@query("SELECT n_nationkey AS id, 0 AS place, n_nationkey + 7 AS rule_id, 1 AS priority, 'block' AS action, 'shop.x old.x' AS domains, '||' || n_name AS url_filter FROM nation")
+@query("""SELECT n_nationkey AS id, 0 AS place, n_nationkey + 7 AS rule_id, 1 AS priority, 'block' AS action, 'shop.x old.x' AS domains, '||' || n_name AS url_filter FROM nation
+UNION ALL SELECT n_nationkey, 1, 1, 1, 'block', '', NULL FROM nation""")
 def rules_read(spark, d):
     raw = F.concat(F.lit('[{"id":'), F.col("n_nationkey") + 7, F.lit(',"action":{"type":"block"},"condition":{"urlFilter":"||'), "n_name", F.lit('","initiatorDomains":["shop.x"],"domains":["old.x"]}},{"id":1}]'))
     rows = policy.rules_from_json(read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), raw.alias("raw")))

@@ -21,9 +21,19 @@ def parse(html: str) -> Element:
 
 
 def texts(e: Element) -> list[str]:
-    """All texts below an element of a numbered tree."""
-    a, b = e.texts
-    return e.order.texts[a:b]
+    """All texts below an element; of a numbered tree they are a slice."""
+    if e.order is not None:
+        a, b = e.texts
+        return e.order.texts[a:b]
+    out: list[str] = []
+    todo: list = [e]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Element):
+            todo += reversed(x.children)
+        elif not isinstance(x, Comment):
+            out.append(x)
+    return out
 
 
 def squeeze(text: str) -> str:

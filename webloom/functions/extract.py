@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 from webloom.functions.dom import SILENT, Comment, Element, collapsed, squeeze, truncated
+from webloom.functions.index import SAFE, Page
 from webloom.functions.selectors import first, select
 from webloom.functions.text import fnv1a64
 from webloom.functions.urls import is_internal, resolve
@@ -16,13 +17,28 @@ LANDMARK_ROLES = ("banner", "navigation", "main", "complementary", "contentinfo"
 _ANCHORS = ("main", "nav", "header", "footer", "aside", "section", "article", "form")
 
 
+_HEADING = re.compile("h[1-6]")
+
+
+def is_heading(e: Element) -> bool:
+    return _HEADING.fullmatch(e.tag) is not None
+
+
 def _first(*values: str) -> str:
     return next((v for v in values if v), "")
 
 
 def base_url(root: Element, url: str) -> str:
-    found = next((e for e in root.elements() if e.tag == "base" and "href" in e.attrs), None)
-    return _first(resolve(url, found.get("href")) if found else "", url)
+    return Page(root, url).base
+
+
+def title_of(root: Element) -> str:
+    """The first title's text, else what og:title says last."""
+    title = next((collapsed(e) for e in root.elements() if e.tag == "title"), "")
+    if title:
+        return title
+    said = [e.get("content").strip() for e in root.elements() if e.tag == "meta" and _first(e.get("name"), e.get("property")).strip().lower() == "og:title" and "content" in e.attrs]
+    return said[-1] if said else ""
 
 
 def metadata(root: Element, url: str) -> dict[str, str]:
@@ -116,10 +132,9 @@ class Names:
         return _first(squeeze(" ".join(parts)), squeeze(e.get("aria-label")), value, label, squeeze(e.get("alt")), collapsed(e), squeeze(e.get("title")), squeeze(e.get("placeholder")))
 
 
-def forms(root: Element, url: str) -> list[dict]:
-    base, ids, out = base_url(root, url), Ids(), []
-    names = Names(root)
-    for e in root.elements():
+def _forms(page: Page, names: Names, ids: Ids) -> list[dict]:
+    base, url, out = page.base, page.url, []
+    for e in page.elements:
         if e.tag != "form":
             continue
         fields = []
@@ -136,10 +151,10 @@ def forms(root: Element, url: str) -> list[dict]:
     return out
 
 
-def headings(root: Element) -> list[dict]:
-    ids, out = Ids(), []
-    for e in root.elements():
-        if re.fullmatch("h[1-6]", e.tag):
+def _headings(page: Page, ids: Ids) -> list[dict]:
+    out = []
+    for e in page.elements:
+        if is_heading(e):
             text = collapsed(e)
             out.append({"pre": e.pre, "level": int(e.tag[1]), "text": text, "id": e.get("id") or ids.mint(e, "h", "heading", text)})
     return out
@@ -150,27 +165,69 @@ def _tristate(value: str, mixed: bool) -> str:
     return value if value in ("true", "false") or (mixed and value == "mixed") else ""
 
 
+def is_control(e: Element) -> bool:
+    """One of the nine kinds that take part in a page's work but are no plain links."""
+    a = e.attrs
+    return e.tag in ("button", "summary") or (e.tag == "input" and a.get("type") in ("submit", "button", "reset")) or a.get("role") in ("button", "tab") or "onclick" in a or "tabindex" in a
+
+
+def _control_kind(e: Element) -> str:
+    if e.tag in ("button", "summary"):
+        return e.tag
+    if e.tag == "input":
+        kind = e.get("type").lower()
+        return kind if kind in ("submit", "reset") else "button"
+    return {"button": "role-button", "tab": "tab"}.get(e.get("role").lower(), "interactive")
+
+
+def _truth(e: Element, name: str) -> bool:
+    return e.get(name).strip().lower() == "true"
+
+
+def _control(e: Element, page: Page, text: str, ident: str) -> dict:
+    checkable = e.tag == "input" and e.get("type").lower() in ("checkbox", "radio")
+    href = e.get("href").strip()
+    return {
+        "pre": e.pre, "text": text, "kind": _control_kind(e), "role": e.get("role"), "id": ident, "selector": page.selector(e),
+        "disabled": "disabled" in e.attrs or _truth(e, "aria-disabled"), "required": "required" in e.attrs or _truth(e, "aria-required"),
+        "checked": _tristate(e.get("aria-checked"), True) or ("true" if checkable and "checked" in e.attrs else ""), "expanded": _tristate(e.get("aria-expanded"), False),
+        "pressed": _tristate(e.get("aria-pressed"), True), "selected": _tristate(e.get("aria-selected"), False), "invalid": "aria-invalid" in e.attrs and e.get("aria-invalid").strip().lower() != "false",
+        "value": e.get("value").strip(), "placeholder": e.get("placeholder").strip(), "href": resolve(page.base, href) if href else "",
+    }
+
+
+class Minted:
+    """Forms, headings, controls and regions of a page with ids of one counter: twins are numbered in this order of kinds."""
+
+    def __init__(self, root: Element, url: str = ""):
+        self.page, self.names, self.ids = Page(root, url), Names(root), Ids()
+        self.forms = _forms(self.page, self.names, self.ids)
+        self.headings = _headings(self.page, self.ids)
+        self.controls = []
+        for e in self.page.elements:
+            if is_control(e):
+                text, kind = self.names.of(e), _control_kind(e)
+                prefix = {"summary": "sum", "tab": "tab", "interactive": "el"}.get(kind, "btn")
+                self.controls.append(_control(e, self.page, text, self.ids.mint(e, prefix, e.get("role"), text)))
+
+    def regions(self) -> list[dict]:
+        return _regions(self.page, self.names, self.ids, {c["pre"] for c in self.controls})
+
+
+def forms(root: Element, url: str) -> list[dict]:
+    return _forms(Page(root, url), Names(root), Ids())
+
+
+def headings(root: Element, url: str = "") -> list[dict]:
+    return Minted(root, url).headings
+
+
 def controls(root: Element, url: str) -> list[dict]:
-    base, ids, names, out = base_url(root, url), Ids(), Names(root), []
-    for e in root.elements():
-        role, kind = e.get("role").strip().lower(), e.get("type").strip().lower()
-        if not (e.tag in ("button", "summary") or (e.tag == "input" and kind in ("submit", "button", "reset", "image")) or role in ("button", "tab", "switch", "menuitem", "checkbox") or "onclick" in e.attrs):
-            continue
-        if e.tag == "a" and "href" in e.attrs and role not in ("button", "tab") and "onclick" not in e.attrs:
-            continue
-        shape = "button" if e.tag == "button" else "summary" if e.tag == "summary" else (kind if kind in ("submit", "reset") else "button") if e.tag == "input" else "role-button" if role == "button" else "tab" if role == "tab" else "interactive"
-        if role == "tab":
-            shape = "tab"
-        text = names.of(e)
-        native = str("checked" in e.attrs).lower() if e.tag == "input" and kind in ("checkbox", "radio") and "checked" in e.attrs else ""
-        prefix = "sum" if e.tag == "summary" else "tab" if shape == "tab" else "btn" if shape in ("button", "submit", "reset", "role-button") else "el"
-        out.append({
-            "pre": e.pre, "text": text, "kind": shape, "role": role, "id": ids.mint(e, prefix, role, text), "selector": selector_of(root, e),
-            "disabled": "disabled" in e.attrs or e.get("aria-disabled").strip().lower() == "true", "required": "required" in e.attrs or e.get("aria-required").strip().lower() == "true",
-            "checked": _tristate(e.get("aria-checked"), True) or native, "expanded": _tristate(e.get("aria-expanded"), False), "pressed": _tristate(e.get("aria-pressed"), True), "selected": _tristate(e.get("aria-selected"), False),
-            "invalid": "aria-invalid" in e.attrs and e.get("aria-invalid").strip().lower() != "false", "href": resolve(base, e.get("href")),
-        })
-    return out
+    return Minted(root, url).controls
+
+
+def regions(root: Element, url: str = "") -> list[dict]:
+    return Minted(root, url).regions()
 
 
 def role_of(e: Element, names: Names) -> str:
@@ -187,52 +244,34 @@ def role_of(e: Element, names: Names) -> str:
     return ""
 
 
-def regions(root: Element, url: str = "") -> list[dict]:
-    ids, names = Ids(), Names(root)
+def _regions(page: Page, names: Names, ids: Ids, own_controls: set[int]) -> list[dict]:
+    """Landmarks, each with what it holds and no region within holds; one walk, innermost region at hand."""
     out: dict[int, dict] = {}
-    own_controls = {c["pre"] for c in controls(root, url)}
 
     def walk(e: Element, inner: dict | None) -> None:
         role = role_of(e, names)
         if role:
-            label = names.explicit(e) or next((collapsed(x) for x in e.elements() if re.fullmatch("h[1-6]", x.tag)), "")
+            label = names.explicit(e) or next((collapsed(x) for x in e.elements() if is_heading(x)), "")
             out[e.pre] = {"pre": e.pre, "last": e.last, "role": role, "label": label, "id": ids.mint(e, "rgn", role, label), "links": 0, "forms": 0, "headings": 0, "controls": 0}
         if inner is not None:
             inner["links"] += e.tag == "a" and "href" in e.attrs
             inner["forms"] += e.tag == "form"
-            inner["headings"] += bool(re.fullmatch("h[1-6]", e.tag))
+            inner["headings"] += bool(is_heading(e))
             inner["controls"] += e.pre in own_controls
         for c in e.kids():
             walk(c, out.get(e.pre, inner))
 
-    walk(root, None)
+    walk(page.root, None)
     return list(out.values())
 
 
-_SAFE = re.compile(r"-?[A-Za-z_][\w-]*\Z", re.ASCII)
-
-
 def selector_of(root: Element, e: Element) -> str:
     """A selector of just this element: its id, its tag and classes, or its path."""
-    ident = e.get("id").strip()
-    if ident and ident == e.get("id") and _SAFE.match(ident) and sum(x.get("id") == ident for x in root.elements()) == 1:
-        return "#" + ident
-    classes = [c for c in e.classes() if _SAFE.match(c)]
-    named = e.tag + "".join("." + c for c in classes)
-    if len(classes) == len(e.classes()) and select(root, named) == [e]:
-        return named
-    parts, x = [], e
-    while x is not None:
-        if x is not e and x.get("id").strip():
-            return " > ".join(["#" + x.get("id").strip(), *reversed(parts)])
-        kin = [k for k in x.parent.kids() if k.tag == x.tag] if x.parent else [x]
-        parts.append(f"{x.tag}:nth-of-type({next(i for i, k in enumerate(kin, 1) if k is x)})")
-        x = x.parent
-    return " > ".join(reversed(parts))
+    return Page(root).selector(e)
 
 
 def outline(root: Element) -> str:
-    found = [h for h in headings(root) if h["text"]]
+    found = [{"level": int(e.tag[1]), "text": t} for e in root.elements() if is_heading(e) and (t := collapsed(e))]
     low = min((h["level"] for h in found), default=1)
     return "\n".join("  " * (h["level"] - low) + "- " + h["text"] for h in found)
 
@@ -353,17 +392,18 @@ def microdata(root: Element, url: str, most: int = 128) -> list[dict]:
 def records(root: Element, selector: str, fields: dict[str, str], limit: int = 50) -> list[dict[str, str]]:
     """A record for each match of ``selector`` ("": the document); a field is ``css`` (text) or ``css@attr``."""
     limit = limit if 0 < limit <= 200 else 200
-    out = []
-    for e in (select(root, selector) if selector.strip() else [root])[:limit]:
-        row = {}
-        for name in sorted(fields):
-            css, _, attr = fields[name].partition("@")
-            hit = first(e, css) if css.strip() else e
-            if hit is None or (attr and attr not in hit.attrs):
-                continue
-            row[name] = truncated(hit.get(attr).strip() if attr else collapsed(hit), 1000)
-        out.append(row)
-    return out
+    return [_record(e, sorted(fields), fields) for e in (select(root, selector) if selector.strip() else [root])[:limit]]
+
+
+def _record(e: Element, names: list[str], fields: dict[str, str]) -> dict[str, str]:
+    row = {}
+    for name in names:
+        css, _, attr = fields[name].partition("@")
+        hit = first(e, css) if css.strip() else e
+        if hit is None or (attr and attr not in hit.attrs):
+            continue
+        row[name] = truncated(hit.get(attr).strip() if attr else collapsed(hit), 1000)
+    return row
 
 
 def find(root: Element, query: str, most: int = 100, around: int = 80) -> list[dict]:
@@ -375,7 +415,7 @@ def find(root: Element, query: str, most: int = 100, around: int = 80) -> list[d
     def walk(e: Element) -> None:
         if e.tag in SILENT:
             return
-        if re.fullmatch("h[1-6]", e.tag):
+        if is_heading(e):
             level = int(e.tag[1])
             while path and path[-1][0] >= level:
                 path.pop()
@@ -392,33 +432,39 @@ def find(root: Element, query: str, most: int = 100, around: int = 80) -> list[d
 
 
 def duplicate_blocks(root: Element, least_chars: int = 200, least_links: int = 3) -> list[Element]:
-    """Later copies of a block with as much text and as many links as that; a copy within the first is none."""
+    """Later copies of a block with as much text and as many links as that; a copy within the first is none. Only blocks that are large enough are read at all."""
+    page = Page(root)
     kept: dict[tuple, Element] = {}
     out: list[Element] = []
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if e.tag in ("script", "style", "template", "noscript") or page.chars(e) < least_chars or page.links(e) < least_links:
+            continue
+        block = (collapsed(e), tuple(x.get("href") for x in e.elements() if x.tag == "a"))
+        before = kept.setdefault(block, e)
+        if before is not e and e not in before:
+            out.append(e)
+        else:
+            todo += reversed(e.kids())
+    return out
 
-    def walk(e: Element) -> None:
-        if e.tag in ("script", "style", "template", "noscript"):
-            return
-        text, hrefs = collapsed(e), tuple(x.get("href") for x in e.elements() if x.tag == "a")
-        if len(text) >= least_chars and len(hrefs) >= least_links:
-            before = kept.setdefault((text, hrefs), e)
-            if before is not e and e not in before:
-                out.append(e)
-                return
-        for c in e.kids():
-            walk(c)
 
-    walk(root)
-    return out
+# How repeating groups are weighed ------------------------------------------------------------
+LEAST_RECORDS, MOST_GROUPS, SAMPLE, SHAPE_KIDS, MOST_FIELDS = 3, 512, 24, 16, 8
+LEAST_MEDIAN, MEDIAN_STEP, MOST_MEDIAN = 24, 40, 8
+REGION_BIAS = {"main": 20, "article": 20, "region": 5, "complementary": 5, "search": 5, "navigation": -20, "contentinfo": -20, "banner": -20}
+NO_CONTENT = 4
+# -----------------------------------------------------------------------------------------------------------
 
 
 def collections(root: Element, most: int = 8) -> list[dict]:
     """Repeating records that a page shows, each with a selector of its members and selectors of their fields."""
-    names = Names(root)
+    names, page = Names(root), Page(root)
 
     def shape(e: Element, depth: int = 2) -> str:
         kids = e.kids()
-        inner = ",".join(shape(k, depth - 1) for k in kids[:16]) + "+" * (len(kids) > 16) if depth else ""
+        inner = ",".join(shape(k, depth - 1) for k in kids[:SHAPE_KIDS]) + "+" * (len(kids) > SHAPE_KIDS) if depth else ""
         return f"{e.tag}({inner})"
 
     def region(e: Element) -> str:
@@ -430,15 +476,15 @@ def collections(root: Element, most: int = 8) -> list[dict]:
         for k in parent.kids():
             sign = k.tag + "".join("." + c for c in sorted(set(k.classes()))) if k.classes() else shape(k)
             groups.setdefault(sign, []).append(k)
-        found += [(parent, g) for g in groups.values() if len(g) >= 3]
+        found += [(parent, g) for g in groups.values() if len(g) >= LEAST_RECORDS]
     scored = []
-    for at, (parent, group) in enumerate(found[:512]):
+    for at, (parent, group) in enumerate(found[:MOST_GROUPS]):
         fields = []
         for e in list(group[0].elements())[1:256]:
             data = next((a for a in e.attrs if a.startswith("data-")), "")
             if data:
                 fields.append((e, data, "data"))
-            if re.fullmatch("h[1-6]", e.tag):
+            if is_heading(e):
                 fields.append((e, "", "heading"))
             elif e.tag == "a" and "href" in e.attrs:
                 fields += [(e, "", "link"), (e, "href", "link")]
@@ -449,26 +495,30 @@ def collections(root: Element, most: int = 8) -> list[dict]:
             elif e.classes() and squeeze(" ".join(c for c in e.children if type(c) is str)):
                 fields.append((e, "", "classtext"))
         kinds, where = {k for _, _, k in fields}, region(group[0])
-        sizes = sorted(len(collapsed(g)) for g in group[:24])
+        sizes = sorted(page.chars(g) for g in group[:SAMPLE])
         median, content = sizes[len(sizes) // 2], bool(kinds & {"heading", "image", "time", "classtext"})
-        if not content and (median < 24 or where in ("navigation", "contentinfo", "banner")):
+        bias = REGION_BIAS.get(where, 0)
+        if not content and (median < LEAST_MEDIAN or bias < 0):
             continue
-        bias = 20 if where in ("main", "article") else 5 if where in ("region", "complementary", "search") else -20 if where in ("navigation", "contentinfo", "banner") else 0
-        scored.append((-(bias + 2 * (len(group).bit_length() - 1) + min(median // 40, 8) + 2 * len(kinds) - 4 * (not content)), at, parent, group, fields[:32], where))
+        scored.append((-(bias + 2 * (len(group).bit_length() - 1) + min(median // MEDIAN_STEP, MOST_MEDIAN) + 2 * len(kinds) - NO_CONTENT * (not content)), at, parent, group, fields[:32], where))
     out: list[dict] = []
     taken: list[Element] = []
     for _, _, parent, group, fields, where in sorted(scored, key=lambda s: s[:2]):
         if len(out) == most or any(parent in t or t in parent for t in taken):
             continue
         lead = group[0]
-        css = lead.tag + "".join("." + c for c in lead.classes() if _SAFE.match(c))
-        above = selector_of(root, parent)
-        selector = next((s for s in (css, f"{above} > {css}", f"{above} > {lead.tag}") if select(root, s) == group), "")
+        named = {c for c in lead.classes() if SAFE.match(c)}
+        css = lead.tag + "".join("." + c for c in lead.classes() if SAFE.match(c))
+        above, own = page.selector(parent), [k for k in parent.kids() if k.tag == lead.tag]
+        if page.matching(lead.tag, named) == [g.pre for g in group]:
+            selector = css
+        else:  # of the parent's children those of these classes, or of this tag
+            selector = f"{above} > {css}" if [k for k in own if named <= set(k.classes())] == group else f"{above} > {lead.tag}" if own == group else ""
         if not selector:
             continue
         chosen: dict[str, str] = {}
         for e, attr, kind in fields[:16]:
-            tries = [e.tag + "".join("." + c for c in e.classes() if _SAFE.match(c)), f"[{attr}]" if kind == "data" else "", e.tag]
+            tries = [e.tag + "".join("." + c for c in e.classes() if SAFE.match(c)), f"[{attr}]" if kind == "data" else "", e.tag]
             field = next((t for t in tries if t and first(lead, t) is e), "")
             name = attr[5:] if kind == "data" else next(iter(e.classes()), "") or {"link": "url" if attr else "link", "image": "image", "time": "date", "heading": "title"}.get(kind, "field")
             name = re.sub("[^a-z0-9_]+", "_", name.lower()).strip("_")[:32] or "field"
@@ -480,9 +530,9 @@ def collections(root: Element, most: int = 8) -> list[dict]:
             while name in chosen:
                 name, k = f"{plain}_{k}", k + 1
             chosen[name] = spec
-        sample = records(root, selector, chosen, 24)
+        sample = [_record(g, sorted(chosen), chosen) for g in group[:SAMPLE]]
         full = {n: s for n, s in chosen.items() if 2 * sum(bool(r.get(n)) for r in sample) >= len(sample)}
         if full:
             taken.append(parent)
-            out.append({"root": selector, "count": len(group), "region": where, "fields": dict(list(full.items())[:8])})
+            out.append({"root": selector, "count": len(group), "region": where, "fields": dict(list(full.items())[:MOST_FIELDS])})
     return out

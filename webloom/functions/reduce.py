@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 
-from webloom.functions.dom import BLOCK, SILENT, Comment, Element, collapsed, is_hidden, number, squeeze, visible, without
-from webloom.functions.extract import base_url, duplicate_blocks, metadata
+from webloom.functions.dom import BLOCK, SILENT, Comment, Element, collapsed, is_hidden, squeeze, visible, without
+from webloom.functions.extract import duplicate_blocks, title_of
+from webloom.functions.index import Page
 from webloom.functions.text import defang
 from webloom.functions.urls import resolve
 
@@ -21,7 +22,8 @@ _JUNK = re.compile(r"\b(?:ad|ads|advert|banner|breadcrumb|comment|cookie|footer|
 
 
 def absolutised(root: Element, url: str) -> Element:
-    base = base_url(root, url)
+    """Addresses of links and images in full, in place."""
+    base = Page(root, url).base
     for e in root.elements():
         for attr in ("href",) if e.tag == "a" else ("src",) if e.tag == "img" else ():
             if attr in e.attrs:
@@ -29,70 +31,99 @@ def absolutised(root: Element, url: str) -> Element:
     return root
 
 
-def sanitised(root: Element) -> Element:
-    """Only allowed elements and attributes; what is not allowed gives way to what it holds, unless that is no text."""
+_NO_TEXT = SILENT | {"iframe", "object", "embed", "form", "input", "button", "select", "textarea"}
+_RUNS = re.compile(r"\s*(?:javascript|vbscript|data):", re.I)
+
+
+def sanitised(root: Element, base: str = "", drop=lambda e: False) -> Element:
+    """A copy of only allowed elements and attributes, addresses in full if there is a base.
+
+    What is not allowed gives way to what it holds, unless that is no text; what ``drop`` holds for goes, below the root. The copy is not numbered.
+    """
 
     def clean(e: Element, parent: Element | None) -> list:
-        if e.tag in SILENT or e.tag in ("iframe", "object", "embed", "form", "input", "button", "select", "textarea"):
+        if e.tag in _NO_TEXT or (e is not root and drop(e)):
             return []
-        if e.tag not in ALLOWED:
-            return [x for c in e.children if not isinstance(c, Comment) for x in (clean(c, parent) if isinstance(c, Element) else [c])]
-        attrs = {k: e.attrs[k] for k in _KEPT_ATTRS.get(e.tag, ()) if k in e.attrs}
-        if re.match(r"\s*(?:javascript|vbscript|data):", attrs.get("href", "") + attrs.get("src", ""), re.I):
-            attrs.pop("href", attrs.pop("src", None))
-        twin = Element(e.tag, attrs, parent)
+        twin = parent
+        if e.tag in ALLOWED:
+            attrs = {k: e.attrs[k] for k in _KEPT_ATTRS.get(e.tag, ()) if k in e.attrs}
+            for k in ("href", "src"):
+                if k in attrs:
+                    if base:
+                        attrs[k] = resolve(base, attrs[k])
+                    if _RUNS.match(attrs[k]):
+                        del attrs[k]
+            twin = Element(e.tag, attrs, parent)
+        inner: list = []
         for c in e.children:
-            if not isinstance(c, Comment):
-                twin.children += clean(c, twin) if isinstance(c, Element) else [c]
+            if isinstance(c, Element):
+                inner += clean(c, twin)
+            elif not isinstance(c, Comment):
+                inner.append(c)
+        if twin is parent:
+            return inner
+        twin.children = inner
         return [twin]
 
     found = clean(root, None)
-    return number(found[0] if found else Element("html", {}, None))
+    if len(found) == 1 and isinstance(found[0], Element):
+        return found[0]
+    whole = Element("html", {}, None)
+    whole.children = found
+    return whole
+
+
+# How blocks are scored -----------------------------------------------------------------------
+CANDIDATES = frozenset(("article", "main", "section", "div", "body", "td"))
+PROSE = frozenset(("p", "pre", "blockquote"))
+LEAST_TEXT, LEAST_PROSE, MOST_PROSE = 140, 25, 400
+FAVOUR = {"article": 1.3, "main": 1.2, "body": 0.9}
+INNER_BETTER, INNER_AS_GOOD = 1.1, 0.95
+# -----------------------------------------------------------------------------------------------------------
 
 
 def article_of(root: Element) -> Element | None:
-    """The densest block, or None if there is too little text."""
+    """The densest block, or None if there is too little text. All that a block holds is a difference of prefix sums."""
+    page = Page(root)
+    prose = page.sums(lambda e: min(n, MOST_PROSE) if e.tag in PROSE and (n := page.chars(e)) >= LEAST_PROSE else 0)
     best, best_score = None, 0.0
-    for e in root.elements():
-        if e.tag not in ("article", "main", "section", "div", "body", "td"):
+    for e in page.elements:
+        if e.tag not in CANDIDATES:
             continue
-        if e.tag != "body" and (_JUNK.search(e.get("class")) or _JUNK.search(e.get("id"))):
+        text = page.chars(e)
+        linked = page.linked(e) if text >= LEAST_TEXT else 0
+        if text < LEAST_TEXT or linked * 2 > text:
             continue
-        text = len(collapsed(e))
-        linked = sum(len(collapsed(a)) for a in e.elements() if a.tag == "a")
-        paragraphs = [len(collapsed(p)) for p in e.elements() if p.tag in ("p", "pre", "blockquote")]
-        inner = sum(1 for _ in e.elements())
-        if text < 140 or linked * 2 > text:
+        if e.tag != "body" and e.attrs and (_JUNK.search(e.get("class")) or _JUNK.search(e.get("id"))):
             continue
-        score = sum(min(n, 400) for n in paragraphs if n >= 25) * (1 - linked / text) + (text - linked) / inner
-        score *= {"article": 1.3, "main": 1.2, "body": 0.9}.get(e.tag, 1.0)
+        score = (prose[e.last + 1] - prose[e.pre]) * (1 - linked / text) + (text - linked) / (e.last + 1 - e.pre)
+        score *= FAVOUR.get(e.tag, 1.0)
         # a wrapper is as good as what it wraps; the inner one has less around it
-        if score > best_score * (1.1 if best is not None and e in best else 1.0) or (best is not None and e in best and score >= 0.95 * best_score):
+        if score > best_score * (INNER_BETTER if best is not None and e in best else 1.0) or (best is not None and e in best and score >= INNER_AS_GOOD * best_score):
             best, best_score = e, score
     return best
 
 
+def shown(root: Element) -> Element:
+    """The page without what is hidden; the page itself if nothing is."""
+    return without(root, is_hidden) if any(e.attrs and is_hidden(e) for e in root.elements()) else root
+
+
 def full(root: Element, url: str) -> dict[str, str]:
     """The whole page, without hidden parts and repeated blocks."""
-    page = absolutised(without(root, is_hidden), url)
+    page = shown(root)
     again = {id(e) for e in duplicate_blocks(page)}
-    return {"title": metadata(root, url)["title"], "source": "full", "markdown": markdown(sanitised(without_ids(page, again)))}
-
-
-def without_ids(root: Element, gone: set[int]) -> Element:
-    return without(root, lambda e: id(e) in gone)
+    return {"title": title_of(root), "source": "full", "markdown": markdown(sanitised(page, Page(root, url).base, lambda e: id(e) in again))}
 
 
 def article(root: Element, url: str) -> dict[str, str]:
     """The main content, hidden parts removed before it is looked for; the full page if there is none."""
-    page = absolutised(without(root, is_hidden), url)
-    found = article_of(page)
+    found = article_of(shown(root))
     if found is None:
         return full(root, url)
-    copy = without(found, lambda e: e.tag in ("nav", "aside", "footer", "form") or bool(_JUNK.search(e.get("class"))))
-    meta = metadata(root, url)
-    title = meta["title"] or next((collapsed(e) for e in found.elements() if e.tag == "h1"), "")
-    return {"title": title, "source": "readability", "markdown": markdown(sanitised(copy))}
+    title = title_of(root) or next((collapsed(e) for e in found.elements() if e.tag == "h1"), "")
+    copy = sanitised(found, Page(root, url).base, lambda e: e.tag in ("nav", "aside", "footer", "form") or bool(e.attrs and _JUNK.search(e.get("class"))))
+    return {"title": title, "source": "readability", "markdown": markdown(copy)}
 
 
 _SPECIAL = re.compile(r"([\\`*_\[\]])")
@@ -184,7 +215,7 @@ def read(root: Element, url: str, mode: str = "article", form: str = "markdown",
     if form not in ("markdown", "text"):
         raise ValueError(f"format is markdown or text, not {form!r}")
     if form == "text":
-        return {"title": metadata(root, url)["title"], "source": "text", "content": visible(root, skip_hidden=True)}
+        return {"title": title_of(root), "source": "text", "content": visible(root, skip_hidden=True)}
     found = article(root, url) if mode == "article" else full(root, url)
     head = f"# {found['title']}\n\n" if found["title"] else ""
     body = found["markdown"].strip()

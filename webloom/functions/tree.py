@@ -81,11 +81,17 @@ def number(root: Element) -> Element:
             x.texts = (len(texts), 0)
             elements.append(x)
             todo.append((x,))
-            seen: dict[str, int] = {}
-            for c in x.children:
-                if isinstance(c, Element):
-                    c.nth = seen[c.tag] = seen.get(c.tag, 0) + 1
-            todo += reversed(x.children)
+            kids = x.children
+            if len(kids) == 1:
+                if isinstance(kids[0], Element):
+                    kids[0].nth = 1
+                todo.append(kids[0])
+            elif kids:
+                seen: dict[str, int] = {}
+                for c in kids:
+                    if isinstance(c, Element):
+                        c.nth = seen[c.tag] = seen.get(c.tag, 0) + 1
+                todo += reversed(kids)
         elif type(x) is tuple:
             (e,) = x
             e.last = len(elements) - 1

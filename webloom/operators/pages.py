@@ -68,7 +68,7 @@ def forms(pages: DataFrame) -> DataFrame:
 
 
 def controls(pages: DataFrame) -> DataFrame:
-    return per_page(pages, extract.controls, "pre int, text string, kind string, role string, id string, selector string, disabled boolean, required boolean, checked string, expanded string, pressed string, selected string, invalid boolean, href string")
+    return per_page(pages, extract.controls, "pre int, text string, kind string, role string, id string, selector string, disabled boolean, required boolean, checked string, expanded string, pressed string, selected string, invalid boolean, value string, placeholder string, href string")
 
 
 def regions(pages: DataFrame) -> DataFrame:
@@ -206,14 +206,57 @@ def paginated(texts: DataFrame, budget: int, key: str = "page_id", column: str =
     return texts.select(key, column).mapInArrow(each, f"`{key}` {kind}, chunk int, chunks int, content string, next_cursor string")
 
 
-def summary(pages: DataFrame) -> DataFrame:
-    """What browsing shows: counts of each kind beside title and excerpt, one parse a page."""
+#: What browsing counts, each by what has to be found out for it alone.
+COUNTS = {
+    "links": lambda r, u: len(extract.links(r, u)), "headings": lambda r, u: sum(1 for e in r.elements() if extract.is_heading(e)), "forms": lambda r, u: sum(e.tag == "form" for e in r.elements()),
+    "controls": lambda r, u: sum(1 for e in r.elements() if extract.is_control(e)), "images": lambda r, u: len(extract.images(r, u)), "tables": lambda r, u: len(extract.tables(r)),
+    "regions": lambda r, u: len(extract.regions(r, u)), "structured": lambda r, u: len(extract.json_ld(r)) + len(extract.microdata(r, u)),
+}
+_SAID = {
+    "title": lambda r, u: extract.title_of(r), "lang": lambda r, u: r.get("lang").strip(), "url": lambda r, u: u,
+    "excerpt": lambda r, u: extract.metadata(r, u)["description"] or extract.excerpt(r),
+}
+
+
+def summary(pages: DataFrame, *columns: str) -> DataFrame:
+    """What browsing shows: counts of each kind beside title and excerpt (or only the columns asked for), one parse a page, nothing found out that no column needs."""
+    made = _SAID | COUNTS
+    asked = columns or tuple(c for c in made if c != "url")
+    return per_page(pages, lambda r, u: [{c: made[c](r, u) for c in asked}], ", ".join(f"{c} {'int' if c in COUNTS else 'string'}" for c in asked))
+
+
+#: Rows of the lists that browsing shows at most. Fixed values.
+MOST_REGIONS, MOST_HEADINGS, MOST_COLLECTIONS = 64, 200, 4
+_HEAD = ("canonical", "image", "author", "published", "modified", "favicon", "theme_color", "twitter_card", "twitter_site")
+
+
+def browse(pages: DataFrame) -> DataFrame:
+    """One row a page for finding one's way: title, metadata (null if there is none at all), counts, and the first regions, headings and collections as lists."""
 
     def kernel(r: dom.Element, u: str) -> list[dict]:
-        meta = extract.metadata(r, u)
+        meta, found = extract.metadata(r, u), extract.Minted(r, u)
+        head = {k: meta[k] for k in _HEAD}
+        regions = [{k: v for k, v in x.items() if k not in ("pre", "last")} for x in found.regions()[:MOST_REGIONS]]
+        groups = [{**x, "fields": list(x["fields"].items())} for x in extract.collections(r, MOST_COLLECTIONS)]
+        counts = {"links": len(extract.links(r, u)), "forms": len(found.forms), "images": len(extract.images(r, u)), "headings": len(found.headings), "controls": len(found.controls)}
         return [{
-            "title": meta["title"], "lang": meta["lang"], "excerpt": meta["description"] or extract.excerpt(r), "links": len(extract.links(r, u)), "headings": len(extract.headings(r)),
-            "forms": len(extract.forms(r, u)), "controls": len(extract.controls(r, u)), "images": len(extract.images(r, u)), "tables": len(extract.tables(r)), "regions": len(extract.regions(r, u)), "structured": len(extract.json_ld(r)) + len(extract.microdata(r, u)),
+            "title": meta["title"], "description": meta["description"], "site_name": meta["site_name"], "lang": meta["lang"], "metadata": head if any(head.values()) else None, "counts": counts, "regions": regions,
+            "headings": [{k: h[k] for k in ("level", "text", "id")} for h in found.headings[:MOST_HEADINGS]], "collections": groups, "excerpt": meta["description"] or extract.excerpt(r), "outline": extract.capped_outline(extract.outline(r)),
         }]
 
-    return per_page(pages, kernel, "title string, lang string, excerpt string, links int, headings int, forms int, controls int, images int, tables int, regions int, structured int")
+    counts = ",".join(f"{c}:int" for c in ("links", "forms", "images", "headings", "controls"))
+    return per_page(
+        pages, kernel, "title string, description string, site_name string, lang string, metadata struct<" + ",".join(f"{c}:string" for c in _HEAD) + f">, counts struct<{counts}>, "
+        "regions array<struct<role:string,label:string,id:string,links:int,forms:int,headings:int,controls:int>>, headings array<struct<level:int,text:string,id:string>>, "
+        "collections array<struct<root:string,count:int,region:string,fields:map<string,string>>>, excerpt string, outline string",
+    )
+
+
+def outlined(pages: DataFrame) -> DataFrame:
+    """Headings, each beside its page's outline; one parse a page."""
+
+    def kernel(r: dom.Element, u: str) -> list[dict]:
+        whole = extract.capped_outline(extract.outline(r))
+        return [{**h, "outline": whole} for h in extract.headings(r, u)]
+
+    return per_page(pages, kernel, "pre int, level int, text string, id string, outline string")

@@ -17,11 +17,10 @@ from pyspark.sql.window import Window
 from webloom.functions import dom
 from webloom.functions.selectors import SelectorError, compile_selector
 from webloom.functions.selectors import select as matches
-from webloom.functions.urls import blocked_address, host, registrable_column
+from webloom.functions.urls import blocked_address
+from webloom.operators import rules as R
 from webloom.plans.nodes import per_page
 
-SEPARATOR = r"(?:[^A-Za-z0-9_\-.%]|$)"
-
 
 def filter_regex(pattern: str, case_sensitive: bool = False) -> str:
     """A URL filter (``||`` host anchor, ``|`` anchors, ``^`` separator, ``*``) as a regular expression."""
@@ -36,7 +35,7 @@ def filter_regex(pattern: str, case_sensitive: bool = False) -> str:
         head = ""
     if pattern.endswith("*"):
         tail = ""
-    body = ".*".join("".join(SEPARATOR if c == "^" else re.escape(c) for c in part) for part in pattern.strip("*").split("*"))
+    body = ".*".join("".join(R.SEPARATOR if c == "^" else re.escape(c) for c in part) for part in pattern.strip("*").split("*"))
     return ("" if case_sensitive else "(?i)") + head + body + tail
 
 
@@ -52,55 +51,16 @@ def match_pattern_regex(pattern: str) -> str:
     return f"(?i)^{scheme}://{name}(?::[0-9]+)?(?-i:{'.*'.join(map(re.escape, m[3].split('*')))})(?:#.*)?$"
 
 
-MOST_SENT_RULES = 1 << 17
-
-
-def _of_domains(name: Column, domains: str) -> Column:
-    """Whether a host is one of the listed domains or below one."""
-    return F.exists(domains, lambda d: (name == d) | F.endswith(name, F.concat(F.lit("."), d)))
-
-
 def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule that wins for each request: request_id, action, rule_id.
 
     ``requests``: request_id, url, initiator, type, and method if rules ask for it. ``rules``: rule_id, place (their
-    order), priority, action, regex, types (empty: all), domains (of the initiator; empty: all),
-    third_party (null: either); if they are there, also excluded_types, excluded_domains,
-    request_domains, excluded_request_domains and methods (lists as well).
-
-    Blocking, redirecting and upgrading rules are one class: the highest priority wins, then
-    the first. A rule that allows (allow, allowAllRequests) wins over it from the same priority on.
-    A rule set of up to MOST_SENT_RULES rules is sent along; a larger one is left to Spark's
-    own choice of a join.
+    order), priority, action, and url_filter, regex_filter and case_sensitive, or a ready ``regex``; types (empty: all), domains (of the
+    initiator; empty: all), third_party (null: either) or domain_type; if they are there, also excluded_types, excluded_domains,
+    request_domains, excluded_request_domains, methods and excluded_methods (lists as well), as ``rules_from_json`` gives them.
+    ``rules.decisions`` tells how rules are found and which of them wins.
     """
-    party = (F.col("initiator") != "") & (registrable_column(host(F.col("initiator"))) != registrable_column(host(F.col("url"))))
-    req = requests.withColumn("_third", party).withColumn("_from", host(F.col("initiator"))).withColumn("_to", host(F.col("url")))
-    hit = (
-        F.expr("url RLIKE regex")
-        & ((F.size("types") == 0) | F.array_contains("types", F.col("type")))
-        & ((F.size("domains") == 0) | _of_domains(F.col("_from"), "domains"))
-        & (F.col("third_party").isNull() | (F.col("third_party") == F.col("_third")))
-    )
-    more = {
-        "excluded_types": lambda: ~F.array_contains("excluded_types", F.col("type")),
-        "excluded_domains": lambda: ~_of_domains(F.col("_from"), "excluded_domains"),
-        "request_domains": lambda: (F.size("request_domains") == 0) | _of_domains(F.col("_to"), "request_domains"),
-        "excluded_request_domains": lambda: ~_of_domains(F.col("_to"), "excluded_request_domains"),
-        "methods": lambda: (F.size("methods") == 0) | F.array_contains("methods", F.lower("method")),
-    }
-    for name, holds in more.items():
-        if name in rules.columns:
-            hit = hit & F.coalesce(holds(), F.lit(True))
-    few = rules.limit(MOST_SENT_RULES + 1).count() <= MOST_SENT_RULES
-    found = req.join(F.broadcast(rules) if few else rules, hit, "left")
-    best = lambda *actions: F.max(F.when(F.col("action").isin(*actions), F.struct(F.greatest("priority", F.lit(1)).alias("p"), (-F.col("place")).alias("o"), "rule_id", "action")))
-    each = found.groupBy("request_id").agg(best("allow", "allowAllRequests").alias("a"), best("block", "redirect", "upgradeScheme").alias("b"))
-    allow = F.col("a").isNotNull() & (F.col("a.p") >= F.coalesce(F.col("b.p"), F.lit(0)))
-    return each.select(
-        "request_id",
-        F.when(allow, "allow").otherwise(F.coalesce("b.action", F.lit("none"))).alias("action"),
-        F.when(allow, F.col("a.rule_id")).otherwise(F.col("b.rule_id")).alias("rule_id"),
-    )
+    return R.decisions(requests, R.compiled(rules)).select("request_id", "action", "rule_id")
 
 
 def robots_decision(paths: DataFrame, rules: DataFrame) -> DataFrame:
@@ -238,22 +198,27 @@ def script_applies(url: Column, matches: list[str], exclude_matches: list[str] =
     return matched & (any_of([glob_regex(g) for g in include_globs]) | F.lit(not include_globs)) & ~any_of([glob_regex(g) for g in exclude_globs])
 
 
-_RULE = "array<struct<id:int,priority:int,action:struct<type:string>,condition:struct<urlFilter:string,regexFilter:string,isUrlFilterCaseSensitive:boolean,resourceTypes:array<string>,excludedResourceTypes:array<string>,requestMethods:array<string>,initiatorDomains:array<string>,excludedInitiatorDomains:array<string>,domains:array<string>,requestDomains:array<string>,excludedRequestDomains:array<string>,domainType:string>>>"
+_LISTED = {
+    "types": ("resourceTypes",), "excluded_types": ("excludedResourceTypes",), "methods": ("requestMethods",), "excluded_methods": ("excludedRequestMethods",), "domains": ("initiatorDomains", "domains"),
+    "excluded_domains": ("excludedInitiatorDomains", "excludedDomains"), "request_domains": ("requestDomains",), "excluded_request_domains": ("excludedRequestDomains",),
+}
+_RULE = "array<struct<id:int,priority:int,action:struct<type:string,redirect:struct<url:string>>,condition:struct<urlFilter:string,regexFilter:string,isUrlFilterCaseSensitive:boolean,domainType:string," + ",".join(f"{n}:array<string>" for names in _LISTED.values() for n in names) + ">>>"
 
 
 def rules_from_json(texts: DataFrame, column: str = "raw") -> DataFrame:
-    """Rule sets (JSON arrays) as rows, in order; the older ``domains`` are initiator domains too. A text that is no rule set gives none."""
+    """Rule sets (JSON arrays) as rows, in order, as ``decide`` takes them; the older ``domains`` are initiator domains too, a rule without an action blocks. A text that is no rule set gives none."""
     rows = texts.select(*[c for c in texts.columns if c != column], F.posexplode(F.from_json(F.col(column), _RULE)).alias("place", "_r"))
     c, empty = F.col("_r.condition"), F.array().cast("array<string>")
-    listed = lambda name: F.coalesce(c[name], empty)
-    out = rows.select(
-        *[x for x in rows.columns if x != "_r"], F.col("_r.id").alias("rule_id"), F.coalesce("_r.priority", F.lit(1)).alias("priority"), F.col("_r.action.type").alias("action"),
-        c["urlFilter"].alias("url_filter"), c["regexFilter"].alias("regex_filter"), F.coalesce(c["isUrlFilterCaseSensitive"], F.lit(False)).alias("case_sensitive"),
-        listed("resourceTypes").alias("types"), listed("excludedResourceTypes").alias("excluded_types"), F.transform(listed("requestMethods"), F.lower).alias("methods"),
-        F.array_union(listed("initiatorDomains"), listed("domains")).alias("domains"), listed("excludedInitiatorDomains").alias("excluded_domains"),
-        listed("requestDomains").alias("request_domains"), listed("excludedRequestDomains").alias("excluded_request_domains"), F.coalesce(c["domainType"], F.lit("")).alias("domain_type"),
+
+    def listed(names: tuple[str, ...]) -> Column:
+        whole = F.concat(*[F.coalesce(c[n], empty) for n in names])
+        return F.transform(whole, F.lower)
+
+    return rows.select(
+        *[x for x in rows.columns if x != "_r"], F.col("_r.id").alias("rule_id"), F.greatest(F.coalesce("_r.priority", F.lit(1)), F.lit(1)).alias("priority"),
+        F.coalesce(F.nullif(F.col("_r.action.type"), F.lit("")), F.lit("block")).alias("action"), F.coalesce("_r.action.redirect.url", F.lit("")).alias("redirect"), c["urlFilter"].alias("url_filter"), c["regexFilter"].alias("regex_filter"),
+        F.coalesce(c["isUrlFilterCaseSensitive"], F.lit(False)).alias("case_sensitive"), F.coalesce(c["domainType"], F.lit("")).alias("domain_type"), *[listed(names).alias(out) for out, names in _LISTED.items()],
     )
-    return out.where(F.col("action").isNotNull())
 
 
 # Cross-origin requests; headers are maps with lower-case names --------------------------------------

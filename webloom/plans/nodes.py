@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from webloom.functions.dom import Element, collapsed, is_hidden, parse
+from webloom.functions.selectors import compile_selector
 
 NODES = "page_id long, pre int, last int, parent int, depth int, tag string, attrs map<string,string>, text string, hidden boolean"
 #: Elements whose collapsed text is kept with their row; that of a container repeats what its parts hold.
@@ -61,7 +62,51 @@ def nth_of_type(n: DataFrame) -> DataFrame:
 
 
 def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """(page_id, pre, outer_pre): the innermost node of ``outer`` around each of ``inner``; a range join within a page, and one maximum."""
-    o = outer.select("page_id", F.col("pre").alias("opre"), F.col("last").alias("olast"))
-    hit = inner.join(o, (inner.page_id == o.page_id) & (inner.pre > o.opre) & (inner.pre <= o.olast))
-    return hit.groupBy(inner.page_id, inner.pre).agg(F.max("opre").alias("outer_pre"))
+    """(page_id, pre, outer_pre): the innermost node of ``outer`` around each of ``inner`` (those without one are left out).
+
+    One shuffle by page and one sorted pass over both: intervals nest, so a stack of the outer ones that are still open has
+    the innermost on top. A task holds that stack only.
+    """
+    kind = inner.schema["page_id"].dataType.simpleString()
+    # an outer node opens behind an inner one of the same place: nothing is within itself
+    events = inner.select("page_id", "pre", F.lit(-1).alias("last")).union(outer.select("page_id", "pre", "last"))
+    order = events.repartition("page_id").sortWithinPartitions("page_id", "pre", "last")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, stack = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for ident, pre, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ident != page:
+                    page, stack = ident, []
+                while stack and stack[-1][1] < pre:
+                    stack.pop()
+                if last >= 0:
+                    stack.append((pre, last))
+                elif stack:
+                    out.append((ident, pre, stack[-1][0]))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["page_id", "pre", "outer_pre"])
+
+    return order.mapInArrow(each, f"page_id {kind}, pre int, outer_pre int")
+
+
+def innermost(pages: DataFrame, inner: str, outer: str) -> DataFrame:
+    """(page_id, pre, tag, outer_pre, outer_tag) of all elements that one selector finds, with the innermost one that another finds around it (null: none).
+
+    Each page is parsed once and swept once, in document order; nothing is shuffled.
+    """
+    compile_selector(inner), compile_selector(outer)  # a selector that cannot be read is an error before any page is
+
+    def kernel(root: Element, url: str) -> list[dict]:
+        is_inner, is_outer, stack, out = compile_selector(inner), compile_selector(outer), [], []
+        for e in root.elements():
+            while stack and stack[-1].last < e.pre:
+                stack.pop()
+            if is_inner(e):
+                out.append({"pre": e.pre, "tag": e.tag, "outer_pre": stack[-1].pre if stack else None, "outer_tag": stack[-1].tag if stack else None})
+            if is_outer(e):
+                stack.append(e)
+        return out
+
+    return per_page(pages, kernel, "pre int, tag string, outer_pre int, outer_tag string")
