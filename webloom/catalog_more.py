@@ -60,3 +60,220 @@ def rules_hit(spark, d):
     """How often rules of each action match, and how many of them do at all."""
     found = rules.hits(_requests(spark, d), rules.compiled(_order_rules(spark, d)))
     return found.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rule_id").alias("rules"))
+
+
+# Shadow trees ----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey::BIGINT AS id, s_name || ' | ' || CASE WHEN s_suppkey % 3 = 0 THEN 'no address' ELSE s_suppkey::VARCHAR END || ' | of ' || s_nationkey AS shown FROM supplier""")
+def shadow_composed(spark, d):
+    """Cards rendered by templates with named, default and empty slots, one host within another's slot."""
+    s = read(spark, d, "supplier")
+    inner = F.concat(F.lit('<x-of><template shadowrootmode=closed>of <slot name=n>nobody</slot></template><i slot=n>'), "s_nationkey", F.lit("</i></x-of>"))
+    place = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("<b slot=place>"), F.col("s_suppkey"), F.lit("</b>")))
+    html = F.concat(F.lit("<x-card><template shadowrootmode=open><p><slot name=name></slot> | <slot name=place><i>no address</i></slot> | <slot></slot></p></template><template>not shown</template>"), inner, place, F.lit("<u slot=name>"), "s_name", F.lit("</u><s slot=none>lost</s></x-card>"))
+    pages = s.select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    return P.visible_text(pages).select(F.col("page_id").alias("id"), F.col("text").alias("shown"))
+
+
+@query("SELECT n_regionkey::BIGINT AS page_id, n_name AS nation, 'note ' || n_nationkey AS note FROM nation")
+def foster_parented(spark, d):
+    """Rows of a table beside texts that tables can't hold: both are found, apart from each other."""
+    item = F.concat(F.lit("<p class=note>note "), F.col("n_nationkey"), F.lit("<tr><td>"), "n_name", F.lit("<td><b>"), F.col("n_nationkey"), F.lit("</tr>"))
+    page = _rendered(read(spark, d, "nation"), "n_regionkey", "n_nationkey", item, "<table>", "</table>")
+    rows = P.tables(page).select("page_id", F.explode("rows").alias("r")).select("page_id", F.get("r", 0).alias("nation"), F.concat(F.lit("note "), F.get("r", 1)).alias("key"))
+    notes = P.records(page, "body > p.note", {"note": ""}).select("page_id", F.try_element_at("record", F.lit("note")).alias("note"))
+    return rows.join(notes, (rows.page_id == notes.page_id) & (rows.key == notes.note)).select(rows.page_id, "nation", "note")
+
+
+# Domains ---------------------------------------------------------------------------------------------------
+
+_SUFFIXES = ("com", "net", "org", "*.example.com", "!blog.x.example.com", "example.org", "// a comment", "")
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {SQL_HOST} AS host FROM pages), l AS (SELECT host, string_split(host, '.') AS l FROM h),
+x AS (SELECT DISTINCT host FROM h JOIN (SELECT {SQL_HOST} AS e FROM pages WHERE page_id % 5 = 0) ON host = e OR host LIKE '%.' || e WHERE host LIKE '%.example.com')
+SELECT host, array_to_string(list_slice(l, -k, -1), '.') AS suffix, CASE WHEN len(l) > k THEN array_to_string(list_slice(l, -k - 1, -1), '.') ELSE '' END AS domain
+FROM (SELECT host, l, CASE WHEN host LIKE '%.example.com' THEN CASE WHEN x.host IS NOT NULL THEN (SELECT max(len(string_split(e, '.'))) - 1 FROM (SELECT {SQL_HOST} AS e FROM pages WHERE page_id % 5 = 0) WHERE e LIKE '%.example.com' AND (l.host = e OR l.host LIKE '%.' || e)) ELSE 3 END
+  WHEN host LIKE '%example.org' THEN 2 ELSE 1 END AS k FROM l LEFT JOIN x USING (host))""")
+def registrable_domains(spark, d):
+    """Hosts by a table of suffixes with wildcards; every fifth page's host is an exception."""
+    from webloom.functions import urls as U
+    from webloom.operators import domains
+
+    pages = read(spark, d, "pages").withColumn("host", U.host(F.col("url")))
+    fixed = spark.createDataFrame([(x,) for x in _SUFFIXES], "rule string")
+    own = pages.where("page_id % 5 = 0 AND host LIKE '%.example.com'").select(F.concat(F.lit("!"), "host").alias("rule"))
+    return domains.registrable(pages, domains.suffix_rules(fixed.union(own)))
+
+
+# Versions --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'error'), v AS (SELECT user_id AS u, ts AS t, max(event_id) AS version FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+j AS (SELECT r.*, v.version FROM r ASOF LEFT JOIN v ON r.user_id = v.u AND r.ts >= v.t)
+SELECT event_id, version, coalesce(version, -1) <> lag(coalesce(version, -1)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS refreshed FROM j""")
+def live_refresh(spark, d):
+    """Each read with the version that it saw, and whether that is another one than before."""
+    from webloom.operators import versions
+
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    told = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("version"))
+    reads = e.where("event_type <> 'error'").drop("event_type").withColumn("reader", F.col("user_id"))
+    return versions.refreshed(reads, told, "user_id", "ts", "version", "reader", "event_id").select("event_id", "version", "refreshed")
+
+
+# Sitemap indexes -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {SQL_HOST} AS host, page_id, regexp_replace(url, '#.*$', '') AS url FROM pages)
+SELECT 'https://' || host AS origin, 'https://' || host || '/p' || page_id AS url, page_id::VARCHAR AS lastmod FROM p WHERE page_id % 4 <> 3""")
+def sitemap_indexes(spark, d):
+    """A site's index names two maps and another index, which names a third map, the first index again and a map of another site; the last map is one level too deep."""
+    from webloom.functions import urls as U
+    from webloom.operators import crawl
+
+    pages = read(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"))
+    hosts = pages.select("host").distinct()
+    at = lambda name: F.concat(F.lit("https://"), "host", F.lit(f"/{name}"))
+    index = lambda *names: F.concat(F.lit("<sitemapindex>"), *[x for n in names for x in (F.lit("<sitemap><loc>"), n if not isinstance(n, str) else at(n), F.lit("</loc></sitemap>"))], F.lit("</sitemapindex>"))
+    indexes = [("sitemap.xml", index("m0.xml", "m1.xml.gz", "more.xml")), ("more.xml", index("sitemap.xml", "m2.xml", F.lit("https://elsewhere.example/m.xml"), "deep1.xml")), ("deep1.xml", index("deep2.xml")), ("deep2.xml", index("m3.xml"))]
+    files = [hosts.select(at(n).alias("url"), body.alias("text")) for n, body in indexes]
+    item = F.concat(F.lit("<url><loc>https://"), "host", F.lit("/p"), "page_id", F.lit("</loc><lastmod>"), "page_id", F.lit("</lastmod></url>"))
+    alien = F.lit("<url><loc>https://elsewhere.example/x</loc></url>")
+    name = F.concat(F.lit("https://"), "host", F.lit("/m"), F.col("page_id") % 4, F.when(F.col("page_id") % 4 == 1, ".xml.gz").otherwise(".xml"))
+    maps = pages.groupBy(name.alias("url")).agg(F.concat(F.lit("<?xml version='1.0'?><urlset>"), alien, F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</urlset>")).alias("text"))
+    texts = files[0].union(files[1]).union(files[2]).union(files[3]).union(maps)
+    resources = texts.select("url", F.lit(200).alias("status"), _packed(F.col("url"), F.col("text")).alias("body"))
+    starts = hosts.select(F.concat(F.lit("https://"), "host").alias("origin"), F.lit(0).alias("place"), at("sitemap.xml").alias("url"))
+    return crawl.expanded(starts, resources)[0].select("origin", "url", "lastmod")
+
+
+def _packed(url, text):
+    """Bytes of a text, gzipped if its address says so."""
+    import gzip
+
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def pack(u, t):
+        return t.str.encode("utf-8").where(~u.str.endswith(".gz"), [gzip.compress(x.encode()) for x in t])
+
+    return pack(url, text)
+
+
+# Archives --------------------------------------------------------------------------------------------------
+
+
+def _bundles(spark, d):
+    """A packed extension a supplier: some with the newer header, some cut off, some with an entry too large, some leading out of themselves."""
+    import io
+    import struct
+    import zipfile
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for batch in batches:
+            paths, raws = [], []
+            for key, name, nation in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    manifest = {"manifest_version": 2 + key % 2, "name": "__MSG_title__ by __msg__", "version": f"1.{key}", "description": "a __MSG_Title__ and __MSG_none__.", "content_scripts": [{"matches": ["<all_urls>"], "js": ["a.js"], "run_at": "document_start" if key % 2 else "soon"}],
+                                "web_accessible_resources": ["*.png"] if key % 2 == 0 else [{"resources": ["b/*"], "matches": ["*://x/*"]}], "declarative_net_request": {"rule_resources": [{"id": "on", "path": "r.json"}, {"id": "off", "enabled": False, "path": "q.json"}]}}
+                    if key % 3:
+                        manifest["default_locale"] = "de"
+                    z.writestr("manifest.json", json.dumps(manifest))
+                    for lang in ("de", "en") if key % 6 else ("en",):
+                        z.writestr(f"_locales/{lang}/messages.json", json.dumps({"TITLE": {"message": f"$who$ {lang} costs $$5 at $x", "placeholders": {"WHO": {"content": name}}}}))
+                    z.writestr("a.js", "x" * nation)
+                    if key % 10 == 7:
+                        z.writestr("../../out.txt", "no")
+                    if key % 10 == 8:
+                        z.writestr("big.bin", b"\0" * 50_000)
+                raw = out.getvalue()
+                if key % 10 == 5:
+                    raw = b"Cr24" + struct.pack("<II", 3, 9) + b"signature" + raw
+                paths.append(f"/ext/{key}.zip")
+                raws.append(raw[: len(raw) // 2] if key % 10 == 9 else raw)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], names=["path", "content"])
+
+    return read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").mapInArrow(each, "path string, content binary")
+
+
+@query("""SELECT '/ext/' || s_suppkey || '.zip' AS path, CASE WHEN s_suppkey % 10 IN (8, 9) THEN 0 ELSE 3 + (s_suppkey % 6 <> 0)::INT END::BIGINT AS files, CASE WHEN s_suppkey % 10 IN (8, 9) THEN NULL ELSE s_nationkey END::BIGINT AS script_bytes,
+  CASE s_suppkey % 10 WHEN 8 THEN 'an entry is too large' WHEN 9 THEN 'no archive' END AS error FROM supplier""")
+def archive_entries(spark, d):
+    from webloom.sources import archives
+
+    found = archives.entries(_bundles(spark, d), most_entry=40_000)
+    return found.groupBy("path").agg(F.count("name").alias("files"), F.max(F.when(F.col("name") == "a.js", F.col("size"))).alias("script_bytes"), F.max(F.regexp_extract("error", "^[^:]*", 0)).alias("error"))
+
+
+@query("""SELECT '/ext/' || s_suppkey || '.zip' AS path, (2 + s_suppkey % 2)::INT AS manifest_version, '1.' || s_suppkey AS version, CASE WHEN s_suppkey % 2 = 1 THEN 'document_start' ELSE 'document_idle' END AS run_at,
+  CASE WHEN s_suppkey % 2 = 0 THEN '*.png' ELSE 'b/* for *://x/*' END AS resources, 'on' AS rules FROM supplier WHERE s_suppkey % 10 NOT IN (8, 9)""")
+def manifest_fields(spark, d):
+    from webloom.sources import archives
+
+    m = archives.manifests(archives.entries(_bundles(spark, d), most_entry=40_000))
+    w = F.get("web_accessible", 0)
+    resources = F.concat(F.get(w.resources, 0), F.when(F.size(w.matches) > 0, F.concat(F.lit(" for "), F.get(w.matches, 0))).otherwise(""))
+    return m.select("path", "manifest_version", "version", F.get("content_scripts", 0).run_at.alias("run_at"), resources.alias("resources"), F.array_join(F.transform("rule_files", lambda r: r.id), " ").alias("rules"))
+
+
+@query("""SELECT '/ext/' || s_suppkey || '.zip' AS path, t || ' by __msg__' AS name, 'a ' || t || ' and .' AS description, lang AS locale
+FROM (SELECT *, s_name || ' ' || lang || ' costs $5 at $x' AS t FROM (SELECT *, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 6 <> 0 THEN 'de' ELSE 'en' END AS lang FROM supplier WHERE s_suppkey % 10 NOT IN (8, 9)))""")
+def locale_messages(spark, d):
+    """Manifest texts in the language that an archive has: its default, else English."""
+    from webloom.sources import archives
+    from webloom.sources.shared import stored
+
+    found = stored(archives.entries(_bundles(spark, d), most_entry=40_000).where("name = 'manifest.json' OR name LIKE '_locales/%'"), "entries")
+    m = archives.manifests(found)
+    told = archives.messages(found, m)
+    texts = archives.translated(archives.translated(m.select("path", "name", "description"), "name", told), "description", told)
+    return texts.join(told.select("path", "locale").distinct(), "path")
+
+
+# Data sources ----------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT {SQL_HOST} AS host, count(*) AS pages, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages
+WHERE {SQL_HOST} IN (SELECT max({SQL_HOST}) FROM pages UNION SELECT min({SQL_HOST}) FROM pages) AND page_id % 4 <> 0 GROUP BY 1""")
+def fetch_log(spark, d):
+    """Pages stored as a fetch log and read back by its format; host and status are filters that the source takes."""
+    import uuid
+
+    from webloom.functions import urls as U
+    from webloom.sources import stores
+    from webloom.sources.shared import shared_folder
+
+    pages = read(spark, d, "pages")
+    path = f"{shared_folder(spark)}/webloom/log-{uuid.uuid4().hex}"
+    status = F.when(F.col("page_id") % 4 == 0, 404).otherwise(200)
+    stores.write_log(pages.select("url", status.alias("status"), F.lit("text/html").alias("content_type"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.encode("html", "UTF-8").alias("body")), path)
+    ends = pages.select(U.host(F.col("url")).alias("h")).agg(F.min("h").alias("a"), F.max("h").alias("b")).first()
+    log = stores.registered(spark).read.format("fetchlog").load(path)
+    return log.where(F.col("host").isin(ends["a"], ends["b"]) & (F.col("status") == 200)).groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length("body")).alias("bytes"))
+
+
+@query("""SELECT n_name AS query, 0 AS place, c_name AS title, 'https://x/' || c_custkey AS url FROM (SELECT n_name, c_name, c_custkey, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE k = 1 AND n_name < 'NATION_2'
+UNION ALL SELECT n_name, 1, c_name, 'https://x/' || c_custkey FROM (SELECT n_name, c_name, c_custkey, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE k = 2 AND n_name < 'NATION_2'""")
+def search_answers(spark, d):
+    """Answers of two services, stored as JSON lines and read back by their format: two results of each query."""
+    import uuid
+
+    from webloom.sources import stores
+    from webloom.sources.shared import shared_folder
+
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    results = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name", "n_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.col("c_name").alias("title"), F.concat(F.lit("https://x/"), "c_custkey").alias("url")))).alias("r"))
+    plain = F.transform("r", lambda x: F.struct(x.title.alias("title"), x.url.alias("url")))
+    body = F.when(F.col("n_nationkey") % 2 == 0, F.to_json(F.struct(plain.alias("results")))).otherwise(F.to_json(F.struct(F.struct(plain.alias("results")).alias("web"))))
+    path = f"{shared_folder(spark)}/webloom/answers-{uuid.uuid4().hex}"
+    results.select(F.col("n_name").alias("query"), body.alias("body")).write.json(path)
+    found = stores.registered(spark).read.format("searchanswers").option("count", "2").load(path)
+    return found.where("query < 'NATION_2'").select("query", "place", "title", "url")

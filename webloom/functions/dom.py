@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html import escape
 
 from webloom.functions.parsing import MOST_DEPTH, RAW, VOID, tree
+from webloom.functions.shadow import composed
 from webloom.functions.tree import Comment, Element, number
 
 __all__ = ["BLOCK", "MOST_DEPTH", "SILENT", "VOID", "Comment", "Element", "collapsed", "is_hidden", "number", "parse", "serialise", "squeeze", "texts", "truncated", "visible", "without"]
@@ -15,9 +16,13 @@ SILENT = frozenset("script style head noscript template".split())
 BLOCK = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 
 
+_HAS_SHADOW = re.compile("shadowroot", re.I)
+
+
 def parse(html: str) -> Element:
-    """The ``html`` element of a document; never fails."""
-    return number(tree(html or ""))
+    """The ``html`` element of a document, declarative shadow trees composed; never fails."""
+    root = tree(html or "")
+    return number(composed(root) if html and _HAS_SHADOW.search(html) else root)
 
 
 def texts(e: Element) -> list[str]:

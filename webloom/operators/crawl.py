@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions import urls as U
 from webloom.operators.pages import links
+from webloom.sources import content
+from webloom.sources.shared import stored
+from webloom.sources.tables import per_text
 
 # URLs and depth by default and at most.
 URLS, MOST_URLS = 200, 2000
 DEPTH, MOST_DEPTH = 2, 5
+#: Sitemap files that a site reads at most, and how deep indexes may name others. Fixed values.
+MOST_FILES, MOST_FILE_DEPTH = 50, 3
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Cut lineage in the session's checkpoint folder, so that a level is computed once. Only a local master may go without one."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crawl"))
-    return df.checkpoint()
+    """Cut lineage in the shared folder, so that a level is computed once."""
+    return stored(df, "crawl")
 
 
 def site_of(url: Column) -> Column:
@@ -69,3 +66,44 @@ def site_map(seeds: DataFrame, edges: DataFrame, listed: DataFrame | None = None
     ranked = best.withColumn("_at", F.row_number().over(Window.partitionBy("origin").orderBy(*order))).where(F.col("_at") <= n + 1)
     whole = ranked.withColumn("truncated", F.max("_at").over(Window.partitionBy("origin")) > n)
     return whole.where(F.col("_at") <= n).select("origin", F.col("_at").alias("place"), "url", "source", "depth", "truncated")
+
+
+def expanded(starts: DataFrame, resources: DataFrame, most_files: int = MOST_FILES, most_depth: int = MOST_FILE_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(locs, files) of sites by their sitemap files, indexes followed.
+
+    ``starts``: origin, place, url of the first files (as robots files name them, and the usual one). ``resources``: url, status, body (bytes, gzipped or not).
+    A level is one equi-join of the files to read with the resources, one parse, and one anti join with what was queued before, which
+    ends loops. A site reads ``most_files`` files in the order of its queue (level by level; what can't be fetched counts too); the
+    group limit by site runs before the shuffle. ``locs``: origin, file, place, url, lastmod, of the own site only; ``files``: origin, place, url, depth, kind (null: not read), error, truncated.
+    """
+    page = Window.partitionBy("origin")
+    queued = starts.select("origin", U.normalised(F.col("url")).alias("url"), "place").where("url <> ''").groupBy("origin", "url").agg(F.min("place").alias("place"))
+    known, levels, found = None, [], []
+    for depth in range(most_depth + 1):
+        have = known.groupBy("origin").agg(F.count(F.lit(1)).alias("_have")) if known is not None else None
+        ranked = queued.join(have, "origin", "left") if have is not None else queued.withColumn("_have", F.lit(0))
+        ranked = ranked.withColumn("_at", F.coalesce("_have", F.lit(0)) + F.row_number().over(page.orderBy("place", "url")))
+        # one file beyond the cut tells that there are more
+        level = ranked.where(F.col("_at") <= most_files + 1).select("origin", "url", F.col("_at").alias("place"), F.lit(depth).alias("depth"))
+        level = level.where(F.col("place") <= most_files + 1)
+        read = level.where(F.col("place") <= most_files).join(resources.where("status BETWEEN 200 AND 299").select("url", F.col("body").cast("binary").alias("body")), "url", "left")
+
+        def kernel(body: bytes | None) -> list[dict]:
+            if body is None:
+                return [{}]
+            kind, entries = content.sitemap(bytes(body))
+            return [{"kind": kind}] + [{"kind": kind, "at": i, "loc": loc, "lastmod": mod} for i, (loc, mod) in enumerate(entries)]
+
+        rows = stored(per_text(read.select(F.struct("origin", "url", "place", "depth").alias("file"), "body"), kernel, "kind string, at int, loc string, lastmod string", "file", "body"), "sitemaps")
+        over = level.where(F.col("place") > most_files)
+        levels.append(rows.where("at IS NULL").select("file.origin", "file.place", "file.url", "file.depth", "kind", "error").unionByName(over.select("origin", "place", "url", "depth", F.lit(None).cast("string").alias("kind"), F.lit("beyond the limit of files").alias("error"))))
+        found.append(rows.where("kind = 'urlset' AND at IS NOT NULL").select("file.origin", F.col("file.place").alias("file"), F.col("at").alias("place"), F.col("loc").alias("url"), "lastmod"))
+        known = levels[-1] if known is None else known.unionByName(levels[-1])
+        below = rows.where("kind = 'sitemapindex' AND at IS NOT NULL").select("file.origin", U.normalised(F.col("loc")).alias("url"), F.struct("file.place", "at").alias("p")).where("url <> ''").groupBy("origin", "url").agg(F.min("p").alias("p"))
+        fresh = below.join(known.select("origin", "url"), ["origin", "url"], "left_anti")
+        queued = fresh.select("origin", "url", F.row_number().over(page.orderBy("p", "url")).alias("place"))
+    locs, files = found[0], levels[0]
+    for x, y in zip(found[1:], levels[1:], strict=True):
+        locs, files = locs.unionByName(x), files.unionByName(y)
+    files = files.withColumn("truncated", F.max("place").over(page) > most_files)
+    return locs.where(site_of(F.col("url")) == F.col("origin")), files.where(F.col("place") <= most_files)
