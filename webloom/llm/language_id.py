@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.tables import crc_split, documents, narrow
+from webloom.llm.tables import crc_split, documents, last_code, narrow
 from webloom.llm.textarrays import mix, slices
 
 NONE = "und"
@@ -163,9 +163,13 @@ class BitmaskFilter:
 
 
 def train(labelled: DataFrame, text_column: str = "text", language_column: str = "lang", id_column: str = "doc_id", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, sizes: tuple[int, ...] = SIZES, least_count: int = LEAST_COUNT, ratio: float = RATIO) -> BitmaskFilter:
-    """Learn from rows with a text and a language, at most about ``train_docs`` of them and ``train_chars`` characters a language."""
+    """Learn from rows with a text and a language, at most about ``train_docs`` of them and ``train_chars`` characters a language.
+
+    Rows are chosen by a 63-bit hash of id and text; each language has at least the row of its smallest hash, however much there is.
+    """
     rows = labelled.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), F.col(f"`{language_column}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).limit(MOST_LANGUAGES + 1).collect()}
+    code = F.shiftrightunsigned(F.xxhash64("id", "text"), 1)
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(code).alias("least")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(counts)
@@ -173,9 +177,8 @@ def train(labelled: DataFrame, text_column: str = "text", language_column: str =
         return BitmaskFilter.build([], NONE, np.zeros(0, np.uint64), np.zeros(0, np.int64))
     default = max(languages, key=lambda x: (counts[x]["n"], x))
     index = {name: i for i, name in enumerate(languages)}
-    parts = {name: min(1.0, train_docs / r["n"], train_chars / max(r["chars"], 1)) for name, r in counts.items()}
-    limit = F.create_map(*[x for name, p in parts.items() for x in (F.lit(name), F.lit(int(p * 1_000_000)))])
-    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < limit[F.col("lang")]).select("text", "lang")
+    limit = F.create_map(*[x for name, r in counts.items() for x in (F.lit(name), F.lit(last_code(min(1.0, train_docs / r["n"], train_chars / max(r["chars"], 1)), r["least"])).cast("long"))])
+    sample = rows.where(code <= limit[F.col("lang")]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

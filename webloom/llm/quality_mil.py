@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.tables import crc_split, documents, narrow, table
+from webloom.llm.tables import crc_split, documents, last_code, narrow, table
 from webloom.llm.textarrays import slices, window_hashes, words_of
 
 PASSAGE = 64
@@ -201,11 +201,11 @@ def described(docs: DataFrame, keep: tuple[str, ...], text_column: str = "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, epochs: int = EPOCHS) -> GatedAttention:
-    """Learn from a sample of the rows that have a text and a label, of at most about ``train_docs`` texts and ``train_chars`` characters."""
+    """Learn from a sample of the rows that have a text and a label, of at most about ``train_docs`` texts and ``train_chars`` characters, and of one at least."""
     known = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label_column}`").cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label"))
-    sizes = docs.select(F.col(f"`{id_column}`").alias("id"), F.length(F.col(f"`{text_column}`")).alias("size")).join(known, "id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars")).first()
-    part = min(1.0, train_docs / max(sizes["n"], 1), train_chars / max(sizes["chars"] or 1, 1))
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000)
+    code = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    sizes = docs.select(F.col(f"`{id_column}`").alias("id"), F.length(F.col(f"`{text_column}`")).alias("size")).join(known, "id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.min(code).alias("least")).first()
+    chosen = code <= F.lit(last_code(min(1.0, train_docs / max(sizes["n"], 1), train_chars / max(sizes["chars"] or 1, 1)), sizes["least"] or 0)).cast("long")
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")).where(chosen).join(known.where(chosen), "id")
     got = described(rows, ("id", "label")).select("id", "label", "passages", "features").toArrow().sort_by([("id", "ascending")])
     if not got.num_rows:

@@ -75,6 +75,11 @@ def crc_split(column: str, parts: int):
 
 
 
+def last_code(part: float, least: int) -> int:
+    """The greatest 63-bit hash that belongs to a sample of about ``part`` of all rows; the row of the ``least`` hash always does."""
+    return max(int(part * (1 << 63)) - 1 if part < 1 else (1 << 63) - 1, least)
+
+
 def packed(docs: DataFrame, **columns) -> DataFrame:
     """Whole rows as one column ``_row`` beside the named ones, so that no column of theirs can clash; ``select("_row.*")`` gives them back."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[x.alias(name) for name, x in columns.items()])
