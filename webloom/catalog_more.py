@@ -277,3 +277,73 @@ def search_answers(spark, d):
     results.select(F.col("n_name").alias("query"), body.alias("body")).write.json(path)
     found = stores.registered(spark).read.format("searchanswers").option("count", "2").load(path)
     return found.where("query < 'NATION_2'").select("query", "place", "title", "url")
+
+
+# Browsing and limits ---------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, (SELECT count(*) FROM ({SQL_RESOLVED}) l WHERE l.page_id = pages.page_id)::INT AS links, 1 AS headings,
+  'navigation:' || len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href')) || ' contentinfo:0' AS regions, {H1} AS first_heading, 0 AS collections, true AS no_metadata FROM pages""")
+def browse_lists(spark, d):
+    """What browsing shows of each page in one row: counts, and regions, headings and collections as lists."""
+    b = P.browse(read(spark, d, "pages"))
+    regions = F.array_join(F.transform("regions", lambda r: F.concat(r.role, F.lit(":"), r.links)), " ")
+    return b.select("page_id", "title", "lang", F.col("counts.links").alias("links"), F.col("counts.headings").alias("headings"), regions.alias("regions"), F.get("headings", 0).text.alias("first_heading"), F.size("collections").alias("collections"), F.col("metadata").isNull().alias("no_metadata"))
+
+
+_META_COLUMNS = ("description", "site_name", "canonical", "image", "author", "published", "modified", "theme_color", "twitter_card", "twitter_site", "favicon")
+
+
+@query("""SELECT s_suppkey::BIGINT AS page_id, 'About ' || s_name AS description, 'Site ' || s_nationkey AS site_name, 'https://shop.example.com/base/p/' || s_suppkey AS canonical, 'https://img.example.com/' || s_suppkey || '.png' AS image,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'Desk' END AS author, '2024-01-0' || (s_suppkey % 9 + 1) AS published, '2024-02-01T00:00:00Z' AS modified, '#fff' AS theme_color, 'summary' AS twitter_card,
+  '@shop' AS twitter_site, 'https://shop.example.com/base/icon.ico' AS favicon FROM supplier""")
+def head_metadata(spark, d):
+    """All that a head tells: names and properties in any case, the last of a repeated one, fallbacks, and addresses against the page's base."""
+    s, key = read(spark, d, "supplier"), F.col("s_suppkey")
+    html = F.concat(
+        F.lit("<head><base href='/base/x'><meta name=Description content=old><meta name=' description ' content=' About "), "s_name", F.lit(" '><meta property=og:site_name content='Site "), F.col("s_nationkey"), F.lit("'><link rel='x CANONICAL' href='p/"), key,
+        F.lit("'><meta property='og:image' content='//img.example.com/"), key, F.lit(".png'>"), F.when(key % 2 == 0, F.concat(F.lit("<meta name=author content='"), "s_name", F.lit("'>"))).otherwise(""), F.lit("<meta property=article:author content=Desk><meta property=article:published_time content=2024-01-0"), key % 9 + 1,
+        F.lit("><meta property=article:modified_time content=2024-02-01T00:00:00Z><meta name=theme-color content='#fff'><meta name=twitter:card content=summary><meta name=twitter:site content=@shop><link rel='shortcut icon' href=icon.ico></head>"),
+    )
+    pages = s.select(key.cast("long").alias("page_id"), F.lit("https://shop.example.com/a/b").alias("url"), html.alias("html"))
+    return P.metadata(pages).select("page_id", *_META_COLUMNS)
+
+
+@query("""SELECT floor(o_orderkey / 500)::BIGINT AS page_id, 'f' || o_orderkey AS id, total, total > 100 AS truncated FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY floor(o_orderkey / 500)) AS total,
+  row_number() OVER (PARTITION BY floor(o_orderkey / 500) ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 100""")
+def forms_limited(spark, d):
+    """At most 100 forms a page, with how many there are."""
+    item = F.concat(F.lit("<form id=f"), F.col("o_orderkey"), F.lit("><input name=q></form>"))
+    page = _rendered(read(spark, d, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 500)), "page", "o_orderkey", item)
+    return P.limited(P.forms(page), "forms").select("page_id", "id", "total", "truncated")
+
+
+@query("""SELECT floor(o_orderkey / 1000)::BIGINT AS page_id, 'order ' || o_orderkey AS text, total, total > 300 AS truncated FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY floor(o_orderkey / 1000)) AS total,
+  row_number() OVER (PARTITION BY floor(o_orderkey / 1000) ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 300""")
+def controls_limited(spark, d):
+    """At most 300 controls a page, with how many there are; a thousand alike on one page."""
+    item = F.concat(F.lit("<div><button class='b c'>order "), F.col("o_orderkey"), F.lit("</button></div>"))
+    page = _rendered(read(spark, d, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 1000)), "page", "o_orderkey", item)
+    return P.limited(P.controls(page), "controls", 900).select("page_id", "text", "total", "truncated")
+
+
+@query("""SELECT floor(c_custkey / 300)::BIGINT AS page_id, c_custkey::VARCHAR AS k, total, total > 200 AS truncated FROM (SELECT c_custkey, count(*) OVER (PARTITION BY floor(c_custkey / 300)) AS total,
+  row_number() OVER (PARTITION BY floor(c_custkey / 300) ORDER BY c_custkey) AS r FROM customer) WHERE r <= 200""")
+def records_limited(spark, d):
+    """Records up to their ceiling, with the total before the cut."""
+    item = F.concat(F.lit("<tr class=row data-k="), F.col("c_custkey"), F.lit("><td>"), "c_name")
+    page = _rendered(read(spark, d, "customer").withColumn("page", F.floor(F.col("c_custkey") / 300)), "page", "c_custkey", item, "<table>", "</table>")
+    return P.limited_records(page, "tr.row", {"k": "@data-k"}, 1000).select("page_id", F.try_element_at("record", F.lit("k")).alias("k"), "total", "truncated")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name AS name, n_regionkey AS page_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth FROM nation)
+SELECT page_id::BIGINT AS page_id, name AS text, CASE k % 4 WHEN 0 THEN '#n' || k WHEN 1 THEN 'button.only' || k || '.b' ELSE 'html:nth-of-type(1) > body:nth-of-type(1) > div:nth-of-type(' || nth || ') > button:nth-of-type(1)' END AS selector FROM n""")
+def selectors_made(spark, d):
+    """The selector of each button: an id, a class of its own, or else its path; ids that two have and classes that all share prove nothing."""
+    k = F.col("n_nationkey")
+    attrs = F.when(k % 4 == 0, F.concat(F.lit("id=n"), k)).when(k % 4 == 1, F.concat(F.lit("class='only"), k, F.lit(" b'"))).when(k % 4 == 2, "id=same class='b a'").otherwise("class='a b c'")
+    item = F.concat(F.lit("<div><button "), attrs, F.lit(">"), "n_name", F.lit("</button></div>"))
+    tail = "<p><button id=same class='b a'>x</button><button class='c b a'>x</button></p>"
+    page = _rendered(read(spark, d, "nation"), "n_regionkey", "n_nationkey", item, "", tail)
+    return P.controls(page).where("text <> 'x'").select("page_id", "text", "selector")
+

@@ -98,6 +98,24 @@ def records(pages: DataFrame, root: str, fields: dict[str, str], limit: int = 50
     return per_page(pages, lambda r, u: [{"place": i, "record": list(x.items())} for i, x in enumerate(extract.records(r, root, fields, limit))], "place int, record map<string,string>")
 
 
+def limited_records(pages: DataFrame, root: str, fields: dict[str, str], limit: int = 0) -> DataFrame:
+    """The first records of each page with ``total`` (matches on the page) and ``truncated``; a page is cut as it is read, so no more rows leave it."""
+    from webloom.functions.selectors import compile_selector
+    from webloom.functions.selectors import select as matches
+
+    for css in [root, *(f.partition("@")[0] for f in fields.values())]:
+        if css.strip():
+            compile_selector(css)
+    usual, most = LIMITS["records"]
+    n = min(limit, most) if limit > 0 else usual
+
+    def kernel(r: dom.Element, u: str) -> list[dict]:
+        total = len(matches(r, root)) if root.strip() else 1
+        return [{"place": i, "record": list(x.items()), "total": total, "truncated": total > n} for i, x in enumerate(extract.records(r, root, fields, n))]
+
+    return per_page(pages, kernel, "place int, record map<string,string>, total long, truncated boolean")
+
+
 def collections(pages: DataFrame) -> DataFrame:
     return per_page(pages, lambda r, u: [{"place": i, "root": c["root"], "count": c["count"], "region": c["region"], "fields": list(c["fields"].items())} for i, c in enumerate(extract.collections(r))], "place int, root string, count int, region string, fields map<string,string>")
 
