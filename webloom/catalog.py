@@ -45,6 +45,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # SQL pieces ------------------------------------------------------------------------------------------
 
 ENTITIES = "replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+ALL_ENTITIES = "replace(replace(" + ENTITIES + ", '&copy;', '©'), '&middot;', '·')"
 SQUEEZE = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
 
@@ -176,7 +177,10 @@ def selector_match(spark, d):
     return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")).select("page_id", "tag", F.lit("ul").alias("parent"), "n")
 
 
-@query()
+@query(rf"""WITH n AS (SELECT page_id, x.part, row_number() OVER (PARTITION BY page_id) AS k, {ALL_ENTITIES.format(x="x.text")} AS t, head FROM (
+  SELECT page_id, head, part, unnest(string_split_regex(part, '<[^>]*>')) AS text FROM (SELECT page_id, {H1} AS head, unnest([regexp_extract(html, '<body>(.*?)<h1>', 1, 's'), '<h1>' || regexp_extract(html, '<h1>(.*)$', 1, 's')]) AS part FROM pages)) x),
+h AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS index, t, strpos(lower(t), 'the') - 1 AS p, CASE WHEN starts_with(part, '<h1>') THEN head ELSE '' END AS heading_path FROM n WHERE contains(lower(t), 'the'))
+SELECT page_id, index::INT AS index, CASE WHEN p > 80 THEN '… ' ELSE '' END || {SQUEEZE.format(x="t[greatest(p - 80, 0) + 1:least(length(t), p + 83)]")} || CASE WHEN p + 83 < length(t) THEN ' …' ELSE '' END AS snippet, heading_path FROM h WHERE index < 10""")
 def find_text(spark, d):
     return P.find(read(spark, d, "pages"), "the", 10)
 
@@ -186,7 +190,11 @@ def find_heading_path(spark, d):
     return P.find(read(spark, d, "pages"), "·", 10).select("page_id", "index", "heading_path")
 
 
-@query()
+#: The page's body, white space collapsed, without comments; blocks and line breaks as new lines, other tags as spaces.
+_SHOWN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<!--.*?-->', ' ', 'gs'), '\s+', ' ', 'g'), '<br>', chr(10), 'g'), '</?(nav|ul|li|div|article|h1|p|footer)[^>]*>', chr(10) || chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@query(rf"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({ALL_ENTITIES.format(x=_SHOWN)}, ' +', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM pages""")
 def visible_text(spark, d):
     return P.visible_text(read(spark, d, "pages"))
 
@@ -336,7 +344,18 @@ def defang_images(spark, d):
     return read(spark, d, "documents").select("doc_id", T.defang_column(added).alias("text"))
 
 
-@query()
+#: Pieces of each text in order: blocks within the budget, or the lines of a larger one; ``seg`` tells runs apart that chunks don't cross.
+_PIECES = r"""b AS (SELECT doc_id, k, trim(x, chr(10)) AS x, regexp_matches(x, '\S') AS fine FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10) || chr(10)), 1) AS k FROM documents)),
+g AS (SELECT doc_id, k, x, (length(x) + 3) // 4 > 200 AS big FROM b WHERE fine),
+s AS (SELECT *, sum(CASE WHEN big OR prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS seg FROM (SELECT *, coalesce(lag(big) OVER (PARTITION BY doc_id ORDER BY k), false) AS prev FROM g)),
+l AS (SELECT doc_id, seg, k, big, unnest(CASE WHEN big THEN string_split(x, chr(10)) ELSE [x] END) AS x, generate_subscripts(CASE WHEN big THEN string_split(x, chr(10)) ELSE [x] END, 1) AS j FROM s),
+p AS MATERIALIZED (SELECT doc_id, seg, big, x, (length(x) + 3) // 4 AS c, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i FROM l)"""
+
+
+@query(f"""WITH RECURSIVE {_PIECES}, r AS (SELECT doc_id, i, seg, c AS cost, 0 AS chunk FROM p WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, p.seg, CASE WHEN p.seg <> r.seg OR r.cost + p.c > 200 THEN p.c ELSE r.cost + p.c END, r.chunk + (p.seg <> r.seg OR r.cost + p.c > 200)::INT FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+m AS (SELECT doc_id, chunk, CASE WHEN bool_or(big) THEN string_agg(x, chr(10) ORDER BY i) ELSE string_agg(x, chr(10) || chr(10) ORDER BY i) END AS content FROM r JOIN p USING (doc_id, i) GROUP BY doc_id, chunk)
+SELECT doc_id, coalesce(chunk, 0) AS chunk, greatest(count(chunk) OVER (PARTITION BY doc_id), 1)::INT AS chunks, coalesce(content, '') AS content FROM documents LEFT JOIN m USING (doc_id)""")
 def paginate_docs(spark, d):
     return P.paginated(read(spark, d, "documents"), 200, "doc_id", "text").select("doc_id", "chunk", "chunks", "content")
 
@@ -455,7 +474,11 @@ def rate_limit(spark, d):
     return state.rate_limited(read(spark, d, "events"), rate=1 / 36000)
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'back' WHEN 'view' THEN 'forward' ELSE 'visit' END AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS s, -1 AS pos FROM events
+  UNION ALL SELECT user_id, k, s, CASE m WHEN 'back' THEN CASE WHEN len(s) > 0 THEN greatest(pos - 1, 0) ELSE -1 END WHEN 'forward' THEN least(pos + 1, len(s)::INT - 1) ELSE len(s)::INT - 1 END FROM (
+    SELECT r.user_id, n.k, n.m, r.pos, CASE WHEN n.m = 'visit' THEN list_slice(list_append(list_slice(r.s, 1, r.pos + 1), n.event_id), -50, -1) ELSE r.s END AS s FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1))
+SELECT user_id, len(s)::INT AS entries, pos AS place, coalesce(s[pos + 1], -1) AS current FROM r QUALIFY k = max(k) OVER (PARTITION BY user_id)""")
 def session_history(spark, d):
     move = F.when(F.col("event_type") == "error", "back").when(F.col("event_type") == "view", "forward").otherwise("visit")
     return state.history(read(spark, d, "events").withColumn("move", move))

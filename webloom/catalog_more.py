@@ -347,3 +347,37 @@ def selectors_made(spark, d):
     page = _rendered(read(spark, d, "nation"), "n_regionkey", "n_nationkey", item, "", tail)
     return P.controls(page).where("text <> 'x'").select("page_id", "text", "selector")
 
+
+
+# Pages rendered from documents, read back as Markdown ------------------------------------------------------
+
+#: A document's lines as paragraphs: letters and digits only, so that Markdown has nothing to escape; lines without any go.
+_LINES = "(SELECT doc_id, x, k FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '[^A-Za-z0-9]+', ' ', 'g')) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents) WHERE x <> '')"
+_LEAD = "Every page of this kind begins with a paragraph that says at some length what it is about so that there is always enough to read here and no page is too short to be an article at all"
+_MD = f"SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY k) AS body FROM {_LINES} GROUP BY doc_id"
+
+
+def _rendered_documents(spark, d):
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))), lambda x: x != "")
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), F.replace(x, F.lit(" "), F.lit("\n ")))), "")
+    html = F.concat(
+        F.lit("<html><head><title>Page "), "doc_id", F.lit("</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Menu one</a><li><a href='/b'>Menu two</a></ul></nav><main><article><h1>Head of "), "doc_id",
+        F.lit(f"</h1><p>{_LEAD} with <b>bold</b> words and <a href='x/"), "doc_id", F.lit("'>a link</a>."), body, F.lit("<ul><li>first<li>second</ul><p hidden>secret</p></article></main><footer>The end</footer>"),
+    )
+    return read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.lit("https://e.example/d/p").alias("url"), html.alias("html"))
+
+
+_OPENING = f"'# Page ' || doc_id || chr(10) || chr(10) || '# Head of ' || doc_id || chr(10) || chr(10) || '{_LEAD} with **bold** words and [a link](https://e.example/d/x/' || doc_id || ').' || chr(10) || chr(10) || CASE WHEN body IS NULL THEN '' ELSE body || chr(10) || chr(10) END || '- first' || chr(10) || '- second'"
+
+
+@query(f"SELECT documents.doc_id AS page_id, 'readability' AS source, {_OPENING.replace('|| doc_id', '|| documents.doc_id')} || chr(10) AS content FROM documents LEFT JOIN ({_MD}) m ON m.doc_id = documents.doc_id")
+def read_rendered(spark, d):
+    """Documents rendered as articles between menus and a footer, and read back as Markdown."""
+    return P.read(_rendered_documents(spark, d)).select("page_id", "source", "content")
+
+
+@query(f"""SELECT documents.doc_id AS page_id, 'full' AS source, '# Page ' || documents.doc_id || chr(10) || chr(10) || '- [Menu one](https://e.example/a)' || chr(10) || '- [Menu two](https://e.example/b)' || chr(10) || chr(10)
+  || substr({_OPENING.replace('|| doc_id', '|| documents.doc_id')}, length('# Page ' || documents.doc_id) + 3) || chr(10) || chr(10) || 'The end' || chr(10) AS content FROM documents LEFT JOIN ({_MD}) m ON m.doc_id = documents.doc_id""")
+def read_rendered_full(spark, d):
+    """The same pages in full: menus and footer too, hidden parts never."""
+    return P.read(_rendered_documents(spark, d), mode="full").select("page_id", "source", "content")
