@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators import policy
 from webloom.sources import content
@@ -95,3 +96,10 @@ def test_rules_of_equal_priority(spark):
     asked = [(1, "http://cdn.test/x", "", "main", "GET"), (2, "http://cdn.test/y/1", "", "main", "POST"), (3, "http://cdn.test/y/1", "", "main", "GET"), (4, "http://a.cdn.test/y/open", "", "main", "POST"), (5, "http://e.test/z", "https://www.own.test/", "main", "GET"), (6, "http://e.test/z", "https://other.test/", "main", "GET")]
     got = policy.decide(spark.createDataFrame(asked, "request_id long, url string, initiator string, type string, method string"), spark.createDataFrame(rules, rule))
     assert {r.request_id: (r.action, r.rule_id) for r in got.collect()} == {1: ("redirect", "r"), 2: ("upgradeScheme", "u"), 3: ("none", None), 4: ("allow", "aa"), 5: ("none", None), 6: ("block", "c")}
+
+
+def test_addresses_of_both_families(spark):
+    asked = ["::1", "fe80::1%eth0", "::ffff:10.0.0.1", "2606:4700::1111", "::", "[::1]", "fd00::1", "fc00::", "ff02::1", "::ffff:8.8.8.8", "::ffff:7f00:1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "1::2::3", "1:2:3", "12345::", "g::1", "", "10.0.0.1", "8.8.8.8",None,"host", "::ffff:999.1.1.1", "64:ff9b::8.8.8.8", "febf::1", "fec0::1", ":1", ":::"]
+    want = [True, True, True, False, True, True, True, True, True, False, True, False, False, True, True, True, True, True, True, False, True, True, True, False, True, False, True, True]
+    rows = spark.createDataFrame([(x,) for x in asked], "a string").coalesce(1).select(policy.blocked_host(F.col("a")).alias("b")).collect()
+    assert [r.b for r in rows] == want

@@ -137,10 +137,10 @@ def comments_stripped(spark, d):
     return P.stripped(read(spark, d, "pages")).select("page_id", "comments", "comments_kept")
 
 
-@query("SELECT page_id, 2 AS hidden_elements FROM pages")
+@query("SELECT page_id, (2 * len(regexp_extract_all(html, '<li>')) + (page_id % 2 = 0)::INT)::INT AS hidden_elements FROM pages")
 def hidden_stripped(spark, d):
-    pages = read(spark, d, "pages")
-    marked = pages.withColumn("html", F.regexp_replace("html", '<div class="ad">', '<div class="ad" style="display: none"><i>x</i>'))
+    """Menus' entries are hidden, with the link in each, and the advert of every other page."""
+    marked = read(spark, d, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<li>"), F.lit("<li style='Display : none'>")), F.lit('<div class="ad">'), F.when(F.col("page_id") % 2 == 0, '<div class="ad" aria-hidden=TRUE>').otherwise('<div class="ad" aria-hidden=false>')))
     return P.stripped(marked).select("page_id", (F.col("elements") - F.col("kept")).alias("hidden_elements"))
 
 
@@ -664,11 +664,12 @@ def evaluation_gate(spark, d):
 # More decisions ---------------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, event_id % 5 IN (0, 1) AS applies FROM events""")
+@query(f"""SELECT page_id, (({SQL_HOST} LIKE '%.example.com' OR {SQL_HOST} = 'example.com') OR ({SQL_HOST} LIKE '%.example.net' AND url LIKE 'https:%'))
+  AND NOT regexp_extract(url, '^[a-z]+://[^/]*([^#]*)', 1) LIKE '/fr/%' AND url LIKE '%/en/%' AND NOT url LIKE '%page=_&%' AS applies FROM pages""")
 def content_script_matches(spark, d):
-    tails = F.array(*[F.lit(t) for t in ("https://a.shop.x/p/1", "http://shop.x/p/22?q", "https://shop.x/p/admin", "https://shop.x/other", "https://shop.y/p/1")])
-    url = F.element_at(tails, (F.col("event_id") % 5 + 1).cast("int"))
-    return read(spark, d, "events").select("event_id", policy.script_applies(url, ["*://*.shop.x/*"], ["*://shop.x/p/admin"], ["*/p/?*"], ["ftp*"]).alias("applies"))
+    """Whether a content script runs on each page: patterns, excluded patterns, globs and excluded globs over its address."""
+    applies = policy.script_applies(F.col("url"), ["*://*.example.com/*", "https://*.example.net/*"], ["*://*/fr/*"], ["*/en/*"], ["*page=?&*"])
+    return read(spark, d, "pages").select("page_id", applies.alias("applies"))
 
 
 @query("""SELECT event_id, event_id % 4 = 0 AS simple, event_id % 4 = 0 OR (event_id % 3 <> 2 AND event_id % 2 = 0) OR (event_id % 4 = 3 AND event_id % 3 = 0) AS allowed FROM events""")
@@ -682,13 +683,19 @@ def preflight_decision(spark, d):
     return read(spark, d, "events").select(i, policy.is_simple(method, head).alias("simple"), policy.preflight_allows(F.lit("https://a.b"), method, head, F.lit(204), told, F.lit(False)).alias("allowed"))
 
 
-@query("""SELECT event_id, [true, false, true, false, true][(event_id % 5 + 1)::INT] AS allowed FROM events""")
+@query(f"""WITH p AS (SELECT page_id, url, {SQL_HOST} AS h, regexp_extract(url, '^([a-z]+)', 1) AS s FROM pages)
+SELECT a.page_id, CASE a.page_id % 6 WHEN 0 THEN a.s = b.s AND a.h = b.h WHEN 1 THEN b.h LIKE '%.example.com' WHEN 2 THEN b.s = 'https' WHEN 3 THEN true
+  WHEN 4 THEN b.h = a.h ELSE b.s = 'https' AND b.h LIKE '%.example.org' END AS allowed FROM p a JOIN p b ON b.page_id = a.page_id % 50 + 1""")
 def csp_decisions(spark, d):
-    i = F.col("event_id")
-    pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (i % 5 + 1).cast("int"))
-    header = pick("script-src 'self'", "default-src 'none'", "script-src 'nonce-n1' 'strict-dynamic'", "script-src 'unsafe-inline' 'nonce-n2'", "connect-src *.x; script-src 'none'")
-    kind, inline = pick("script", "script", "script", "script", "connect"), F.when(i % 5 == 3, "run()")
-    return read(spark, d, "events").select(i, policy.csp_decision(F.array(header, F.lit("")), kind, F.lit("https://a.x/"), pick("https://a.x/j", "https://a.x/j", "https://b.y/j", "", "https://c.x/d"), pick("", "", "n1", "", ""), inline).alias("allowed"))
+    """May a page run a script of another page's site, by policies made of its own address."""
+    p = read(spark, d, "pages").select("page_id", "url", U.host(F.col("url")).alias("h"))
+    other = p.where("page_id BETWEEN 1 AND 50").select(F.col("page_id").alias("k"), F.col("url").alias("target"))
+    pairs = p.join(F.broadcast(other), F.col("k") == F.col("page_id") % 50 + 1)
+    i, none = F.col("page_id") % 6, F.lit("")
+    header = F.when(i == 0, "script-src 'self'").when(i == 1, "default-src 'none'; script-src *.example.com").when(i == 2, "default-src HTTPS:").when(i == 3, "connect-src 'none'; img-src *").when(i == 4, F.concat(F.lit("script-src-elem "), "h", F.lit("; script-src *"))).otherwise("script-src *.example.org *.example.com")
+    second = F.when(i == 4, "script-src *:*").when(i == 5, "default-src https://*.example.org").otherwise("")
+    decided = policy.csp_decision(F.array(header, second), F.lit("script"), F.col("url"), F.col("target"), none, F.lit(None).cast("string"))
+    return pairs.select("page_id", decided.alias("allowed"))
 
 
 @query("SELECT supplier.s_suppkey::BIGINT AS id, 'p' || s_name AS kept, 2 AS removed FROM supplier")
@@ -707,10 +714,15 @@ def rules_read(spark, d):
     return rows.select("id", "place", "rule_id", "priority", "action", F.array_join("domains", " ").alias("domains"), "url_filter")
 
 
-@query("""SELECT event_id, event_id % 4 <> 3 AS blocked FROM events""")
+@query("""WITH a AS (SELECT event_id, (event_id * 7919 + user_id) % 65536 AS g, (event_id * 31) % 256 AS b, event_id % 3 AS form FROM events)
+SELECT event_id, CASE form WHEN 0 THEN g BETWEEN 64512 AND 65023 OR g BETWEEN 65152 AND 65215 OR g >= 65280
+  WHEN 1 THEN b IN (0, 10, 127) OR b BETWEEN 224 AND 239 ELSE g < 2 END AS blocked FROM a""")
 def blocked_hosts(spark, d):
-    hosts = F.array(*[F.lit(h) for h in ("::1", "fe80::1%eth0", "::ffff:10.0.0.1", "2606:4700::1111")])
-    return read(spark, d, "events").select("event_id", policy.blocked_host(F.element_at(hosts, (F.col("event_id") % 4 + 1).cast("int"))).alias("blocked"))
+    """Addresses made of events: any first group, IPv4 within IPv6 in decimal and in hexadecimal, and small numbers in full length."""
+    e = read(spark, d, "events").withColumn("g", (F.col("event_id") * 7919 + F.col("user_id")) % 65536).withColumn("b", F.col("event_id") * 31 % 256)
+    mapped = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("::ffff:"), F.col("b"), F.lit(".9.8.7"))).otherwise(F.concat(F.lit("0:0:0:0:0:FFFF:"), F.hex(F.col("b") * 256 + 9), F.lit(":807")))
+    address = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), F.hex("g"), F.lit("::1:2%eth0]"))).when(F.col("event_id") % 3 == 1, mapped).otherwise(F.concat(F.lit("0:0:0:0:0:0:0:"), F.hex("g")))
+    return e.select("event_id", policy.blocked_host(F.when(F.col("event_id") % 3 == 0, F.regexp_replace(address, "%eth0", "")).otherwise(address)).alias("blocked"))
 
 
 # Reading with arguments -------------------------------------------------------------------------------

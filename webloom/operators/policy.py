@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import ipaddress
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -270,24 +269,49 @@ def csp_decision(policies: Column, kind: Column, own: Column, url: Column, nonce
     return each(policies, kind, own, url, nonce, inline)
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def hextets(address: Column) -> Column:
+    """The eight numbers of an IPv6 address (brackets and zone aside), null if it is none."""
+    none = F.array().cast("array<string>")
+    groups = lambda x: F.when(x == "", none).otherwise(F.split(x, ":", -1))
+
+    def spelled(text: Column) -> Column:
+        """With its last four bytes as two groups, if they are written as those of IPv4."""
+        bytes_of = F.split(F.regexp_extract(text, r"(?:^|:)([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1), r"\.")
+        return _bound(bytes_of, lambda v: F.when(F.size(v) < 4, text).when(
+            F.forall(v, lambda x: x.cast("int") <= 255),
+            F.concat(F.regexp_extract(text, "^(.*:)[^:]*$", 1), F.concat_ws(":", *[F.hex(F.get(v, k).cast("int") * 256 + F.get(v, k + 1).cast("int")) for k in (0, 2)])),
+        ))
+
+    def filled(halves: Column) -> Column:
+        """Groups with zeros where the address leaves them out; another number than eight is an error."""
+        sides = F.struct(groups(F.get(halves, 0)).alias("a"), F.when(F.size(halves) == 2, groups(F.get(halves, 1))).otherwise(none).alias("b"), F.size(halves).alias("n"))
+        return _bound(sides, lambda s: F.when(s.n == 1, s.a).when((s.n == 2) & (F.size(s.a) + F.size(s.b) <= 7), F.concat(s.a, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(s.a) - F.size(s.b), F.lit(0))), s.b)))
+
+    text = F.lower(F.regexp_replace(F.regexp_replace(address, r"^\[|\]$", ""), "%.*$", ""))
+    whole = _bound(F.split(_bound(text, spelled), "::", -1), filled)
+    return _bound(whole, lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: x.rlike("(?i)^[0-9a-f]{1,4}$")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))
+
+
 def blocked_host(address: Column) -> Column:
-    """Addresses of either family that a crawler must not reach; IPv4 within IPv6 counts as what it holds. What is no address is blocked."""
-    shared = ipaddress.ip_network("100.64.0.0/10")
+    """Addresses of either family that a crawler must not reach, as a column; IPv4 within IPv6 counts as what it holds. What is no address is blocked.
 
-    def closed(text: str | None) -> bool:
-        try:
-            ip = ipaddress.ip_address((text or "").strip("[]").partition("%")[0])
-        except ValueError:
-            return True
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return ip.is_loopback or ip.is_private or ip.is_link_local or ip.is_unspecified or ip.is_multicast or (ip.version == 4 and (ip in shared or int(ip) in (0xFFFFFFFF,) or ip.packed[0] == 0))
+    Of IPv6: unspecified, loopback, unique local (fc00::/7), link-local (fe80::/10) and multicast (ff00::/8).
+    """
 
-    @F.pandas_udf("boolean")
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            yield pd.Series([closed(x) for x in column], dtype=bool)
+    def closed(n: Column) -> Column:
+        at = lambda k: F.get(n, k)
+        zeros = lambda k: F.forall(F.slice(n, 1, k), lambda x: x == 0)
+        own = (zeros(7) & (at(7) <= 1)) | at(0).between(0xFC00, 0xFDFF) | at(0).between(0xFE80, 0xFEBF) | (at(0) >= 0xFF00)
+        inner = F.concat_ws(".", F.shiftright(at(6), 8), at(6) % 256, F.shiftright(at(7), 8), at(7) % 256)
+        return F.when(n.isNull(), True).when(zeros(5) & (at(5) == 0xFFFF), _bound(inner, blocked_address)).otherwise(own)
 
-    return F.when(address.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), blocked_address(address)).otherwise(each(address))
+    four = address.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    return F.when(address.isNull(), True).when(four, _bound(address, blocked_address)).otherwise(_bound(hextets(address), closed))
 
 
 def without_matches(pages: DataFrame, selectors: list[str]) -> DataFrame:
