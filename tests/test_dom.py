@@ -61,11 +61,15 @@ def test_structured_data():
     ld = '<script type="application/ld+json">'
     root = dom.parse(f'{ld}["x",{{"y":0}}]</script>{ld}not json</script>{ld}{{"@graph":[{{"z":true}}],"k":1}}</script><script>{{"no":1}}</script>{ld}7</script>')
     assert extract.json_ld(root) == ["x", {"y": 0}, {"z": True}, 7]
-    html = '<section itemscope itemtype=Ferry><h2 itemprop=title>Night boat</h2><div itemprop=port itemscope itemtype=Harbour><span itemprop=quay>4b</span></div><img itemprop="photo cover" src=deck.png></section>'
-    md = extract.microdata(dom.parse(html), "https://boats.test/line/")
-    assert len(md) == 1 and md[0]["properties"]["title"] == ["Night boat"]
-    assert md[0]["properties"]["photo"] == md[0]["properties"]["cover"] == ["https://boats.test/line/deck.png"]
-    assert md[0]["properties"]["port"][0]["properties"]["quay"] == ["4b"]
+    # a list of measurements: values of many kinds of elements, a thing within a thing within a thing, one name three times
+    rows = "".join(f"<li itemprop=reading itemscope><data itemprop=level value={k}.5>{k} and a half</data><time itemprop=taken datetime=2024-0{k}-01>month {k}</time></li>" for k in (1, 2, 3))
+    html = f"<base href=/gauges/><ol itemscope itemid=urn:g7 itemtype=Gauge>{rows}<li><span itemprop=place itemscope itemtype=Weir><span itemprop=keeper itemscope><meta itemprop=phone content=' 12 '></span><object itemprop=plan data=plan.pdf></object></span></ol><p itemprop=stray>no item</p>"
+    md = extract.microdata(dom.parse(html), "https://water.test/a/b")
+    assert [(m["type"], m["id"]) for m in md] == [("Gauge", "urn:g7")]
+    assert [r["properties"] for r in md[0]["properties"]["reading"]] == [{"level": [f"{k}.5"], "taken": [f"2024-0{k}-01"]} for k in (1, 2, 3)]
+    place = md[0]["properties"]["place"][0]
+    assert place["type"] == "Weir" and place["properties"]["plan"] == ["https://water.test/gauges/plan.pdf"] and place["properties"]["keeper"][0]["properties"] == {"phone": ["12"]}
+    assert set(md[0]["properties"]) == {"reading", "place"}
 
 
 def test_deep_pages_are_read():

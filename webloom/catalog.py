@@ -259,20 +259,22 @@ def table_rowspan(spark, d):
     return P.tables(page).select("page_id", F.explode("rows").alias("r")).select(F.get("r", 0).alias("region"), F.get("r", 1).alias("nation"), "page_id")
 
 
-@query("SELECT s_suppkey::VARCHAR AS sku, s_name AS name, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE s_nationkey::VARCHAR END AS nation FROM supplier")
+@query("SELECT s_suppkey::VARCHAR AS berth, s_name AS keeper, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE s_nationkey::VARCHAR END AS flag FROM supplier")
 def records_roundtrip(spark, d):
+    """Rows of a harbour's list: a heading, an attribute of a control, and a flag that some don't show."""
     s = read(spark, d, "supplier").withColumn("page", F.floor(F.col("s_suppkey") / 50))
-    item = F.concat(F.lit('<li class="product"><h2 class="name">'), "s_name", F.lit('</h2><a class="buy" data-sku="'), F.col("s_suppkey"), F.lit('" href="/x">buy</a>'), F.when(F.col("s_nationkey") % 3 != 0, F.concat(F.lit('<span class="nation">'), F.col("s_nationkey"), F.lit("</span>"))).otherwise(""))
-    found = P.records(_rendered(s, "page", "s_suppkey", item, "<ul>", "</ul>"), "li.product", {"name": ".name", "sku": "a.buy@data-sku", "nation": ".nation"})
+    flag = F.when(F.col("s_nationkey") % 3 != 0, F.concat(F.lit("<dd class='flag tiny'>"), F.col("s_nationkey"), F.lit("</dd>"))).otherwise("")
+    item = F.concat(F.lit("<dl data-row><dt><strong>"), "s_name", F.lit("</strong></dt>"), flag, F.lit("<dd><button type=button value="), F.col("s_suppkey"), F.lit(">moor here</button></dd></dl>"))
+    found = P.records(_rendered(s, "page", "s_suppkey", item, "<section>", "</section>"), "dl[data-row]", {"keeper": "dt > strong", "berth": "button@value", "flag": "dd.flag"})
     r = lambda k: F.try_element_at("record", F.lit(k)).alias(k)
-    return found.select(r("sku"), r("name"), r("nation"))
+    return found.select(r("berth"), r("keeper"), r("flag"))
 
 
-@query("SELECT floor(s_suppkey / 50)::BIGINT AS page_id, 'li.product' AS root, count(*)::INT AS count, 'main' AS region FROM supplier GROUP BY ALL HAVING count(*) >= 3")
+@query("SELECT floor(s_suppkey / 50)::BIGINT AS page_id, 'div.berth' AS root, count(*)::INT AS count, 'main' AS region FROM supplier GROUP BY ALL HAVING count(*) >= 3")
 def collections_detect(spark, d):
     s = read(spark, d, "supplier").withColumn("page", F.floor(F.col("s_suppkey") / 50))
-    item = F.concat(F.lit('<li class="product"><h2 class="name">'), "s_name", F.lit('</h2><span class="balance">'), F.col("s_acctbal"), F.lit("</span></li>"))
-    return P.collections(_rendered(s, "page", "s_suppkey", item, "<main><ul>", "</ul></main>")).select("page_id", "root", "count", "region")
+    item = F.concat(F.lit('<div class="berth"><h4>'), "s_name", F.lit('</h4><em class="dues">'), F.col("s_acctbal"), F.lit("</em></div>"))
+    return P.collections(_rendered(s, "page", "s_suppkey", item, "<main><section>", "</section></main>")).select("page_id", "root", "count", "region")
 
 
 @query("SELECT p_partkey::BIGINT AS partkey, p_name AS name FROM part")
