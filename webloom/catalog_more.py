@@ -381,3 +381,32 @@ def read_rendered(spark, d):
 def read_rendered_full(spark, d):
     """The same pages in full: menus and footer too, hidden parts never."""
     return P.read(_rendered_documents(spark, d), mode="full").select("page_id", "source", "content")
+
+
+# Bodies of any kind ----------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, doc_id % 7 AS k, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'f' || doc_id END AS name FROM documents)
+SELECT doc_id, ['json', 'text', 'image', 'binary', 'pdf', 'feed', 'json'][(k + 1)::INT] AS kind, CASE WHEN k = 5 THEN 'News ' || lang ELSE name END AS title, CASE k
+  WHEN 0 THEN '```json' || chr(10) || '{' || chr(10) || '  "id": ' || doc_id || ',' || chr(10) || '  "n": [' || chr(10) || '    1.50,' || chr(10) || '    -2e+3' || chr(10) || '  ],' || chr(10) || '  "e": {},' || chr(10) || '  "id": "a\\u00e9:' || lang || '"' || chr(10) || '}' || chr(10) || '```' || chr(10)
+  WHEN 1 THEN '`````' || chr(10) || 'ticks ```` ' || lang || chr(10) || '`````' || chr(10)
+  WHEN 2 THEN '**Image**' || chr(10) || chr(10) || CASE WHEN name <> '' THEN '- filename: ' || name || chr(10) ELSE '' END || '- type: `image/png`' || chr(10) || '- dimensions: ' || (doc_id % 65536) || '×7' || chr(10) || '- bytes: ' || (24 + length(lang)) || chr(10) || chr(10) || '_Pass include_bytes=true to retrieve the raw image._' || chr(10)
+  WHEN 5 THEN '# News ' || lang || chr(10) || chr(10) || '## Items (1)' || chr(10) || chr(10) || '- [Item ' || doc_id || '](https://x/' || doc_id || ')' || chr(10)
+  WHEN 6 THEN '```' || chr(10) || '{"id":' || doc_id || ',}' || chr(10) || '```' || chr(10)
+  ELSE '**Binary content**' || chr(10) || chr(10) || CASE WHEN name <> '' THEN '- name: ' || name || chr(10) ELSE '' END || '- type: `application/x-' || lang || '`' || chr(10) || '- bytes: ' || (CASE k WHEN 3 THEN 4 ELSE 5 END + length(lang)) || chr(10) || chr(10) || '_This content is not text-extractable._' || chr(10) END AS content FROM d""")
+def converted_bodies(spark, d):
+    """Bodies of six kinds made of documents' ids and languages, each by the converter of its kind; JSON that is none is text."""
+    from webloom.sources import convert
+
+    k, lang, ident = F.col("doc_id") % 7, F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string")
+    text = lambda *parts: F.encode(F.concat(*parts), "UTF-8")
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(F.col("doc_id") % 65536), 8, "0")), F.unhex(F.lit("00000007")), text(lang))
+    body = (
+        F.when(k == 0, text(F.lit(' {"id" :'), ident, F.lit(', "n":[1.50, -2e+3 ],"e":{ },\n"id":"a\\u00e9:'), lang, F.lit('"}'))).when(k == 1, text(F.lit("ticks ```` "), lang)).when(k == 2, png)
+        .when(k == 3, F.concat(F.unhex(F.lit("504B0304")), text(lang))).when(k == 4, text(F.lit("%PDF-"), lang))
+        .when(k == 5, text(F.lit("<rss><channel><title>News "), lang, F.lit("</title><item><title>Item "), ident, F.lit("</title><link>https://x/"), ident, F.lit("</link></item></channel></rss>"))).otherwise(text(F.lit('{"id":'), ident, F.lit(",}")))
+    )
+    kind = F.when(k.isin(0, 6), "application/json").when(k == 1, "text/plain").when(k == 2, "image/png").when(k == 5, "text/xml").otherwise(F.concat(F.lit("application/x-"), lang))
+    url = F.concat(F.lit("https://x.example/a/"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("f"), ident)), F.lit("?q=1"))
+    url = F.when(F.col("doc_id") % 2 == 0, F.lit("https://x.example/?q=1")).otherwise(url)
+    return convert.converted(read(spark, d, "documents").select("doc_id", url.alias("url"), kind.alias("content_type"), body.alias("body")), "doc_id")
