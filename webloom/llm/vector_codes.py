@@ -150,7 +150,7 @@ def usable(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
 
     These are vectors without null, NaN or infinite components. If lengths differ, the
     most frequent one counts (of equally frequent ones the shortest) and others are dropped, empty vectors too;
-    so are vectors with components too large for distances in 64 bits (beyond 10^6 for vectors of 64).
+    so are vectors with components too large for distances in 64 bits (from 65,536 on for vectors of 64).
     """
     v = F.col(f"`{column}`")
     finite = vectors.where(v.isNotNull() & (F.size(v) > 0)).where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
