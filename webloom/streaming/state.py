@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,20 +23,23 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", ttl: float
     return df.groupBy(key, "session").agg(F.count(F.lit(1)).alias("events"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
 
 
-def cache_labels(events: DataFrame, key: str = "user_id", ts: str = "ts", ttl: float = 60.0, stale: float = 600.0) -> DataFrame:
-    """miss, hit or stale for each lookup of a key. What is not a hit dates the entry anew, so a chain of hits ages from the last that was none."""
-    schema = f"event_id long, `{key}` {events.schema[key].dataType.simpleString()}, label string"
+class Entry:
+    """A cache's entry of one key; ``take`` labels a lookup at a time."""
+
+    def __init__(self, ttl: float, stale: float):
+        self.ttl, self.stale, self.stored = ttl, stale, None
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ts, "event_id"])
-        stored, labels = None, []
-        for t in frame[ts]:
-            age = None if stored is None else (t - stored).total_seconds()
-            labels.append("miss" if age is None or age >= stale else "hit" if age < ttl else "stale")
-            stored = t if labels[-1] != "hit" else stored
-        return pd.DataFrame({"event_id": frame["event_id"], key: frame[key], "label": labels})
+    def take(self, now: pd.Timestamp, event: int) -> str:
+        age = None if self.stored is None else (now - self.stored).total_seconds()
+        label = "miss" if age is None or age >= self.stale else "hit" if age < self.ttl else "stale"
+        if label != "hit":
+            self.stored = now
+        return label
 
-    return events.select("event_id", key, ts).groupBy(key).applyInPandas(fold, schema)
+
+def cache_labels(events: DataFrame, key: str = "user_id", ts: str = "ts", ttl: float = 60.0, stale: float = 600.0) -> DataFrame:
+    """miss, hit or stale for each lookup of a key. What is not a hit dates the entry anew, so a chain of hits ages from the last that was none."""
+    return _batches_by(events, key, lambda: Entry(ttl, stale), "label string", [ts, "event_id"], ts, "event_id").select("event_id", key, "label")
 
 
 class Bucket:
@@ -54,15 +57,14 @@ class Bucket:
         return passes
 
 
-def rate_limited(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 1 / 3600, burst: float = 3) -> DataFrame:
-    """Whether each event passes its key's token bucket."""
+class _Timed(Bucket):
+    def take(self, now: pd.Timestamp, event: int) -> bool:
+        return super().take(now.timestamp())
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ts, "event_id"])
-        bucket = Bucket(rate, burst)
-        return pd.DataFrame({"event_id": frame["event_id"], key: frame[key], "passes": [bucket.take(t.timestamp()) for t in frame[ts]]})
 
-    return events.select("event_id", key, ts).groupBy(key).applyInPandas(fold, f"event_id long, `{key}` {events.schema[key].dataType.simpleString()}, passes boolean")
+def rate_limited(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 1 / 3600, burst: float = 3) -> DataFrame:
+    """Whether each event passes its key's token bucket. A task holds the bucket, not the key's history."""
+    return _batches_by(events, key, lambda: _Timed(rate, burst), "label boolean", [ts, "event_id"], ts, "event_id").select("event_id", key, F.col("label").alias("passes"))
 
 
 def rate_limited_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", rate: float = 1 / 3600, burst: float = 3, idle_ms: int | None = 3_600_000) -> DataFrame:
@@ -91,26 +93,46 @@ def windowed(events: DataFrame, ts: str = "ts", width: str = "1 hour", late: str
     return dated.groupBy(F.window(ts, width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("started"), "event_type", "n", "total")
 
 
+class Stack:
+    """Visits of a session: a visit cuts what lay ahead, and the oldest beyond ``most`` goes."""
+
+    def __init__(self, most: int):
+        self.most, self.entries, self.at = most, [], -1
+
+    def take(self, ts: pd.Timestamp, event: int, move: str) -> None:
+        if move == "back":
+            self.at = max(self.at - 1, 0) if self.entries else -1
+        elif move == "forward":
+            self.at = min(self.at + 1, len(self.entries) - 1)
+        else:
+            self.entries = [*self.entries[: self.at + 1], event][-self.most :]
+            self.at = len(self.entries) - 1
+
+    def result(self) -> tuple[int, int, int]:
+        return len(self.entries), self.at, self.entries[self.at] if self.entries else -1
+
+
 def history(events: DataFrame, key: str = "user_id", ts: str = "ts", most: int = 50) -> DataFrame:
-    """Where each session stands after its visits, backs and forwards: a visit cuts what lay ahead, the oldest beyond ``most`` goes."""
-    schema = f"`{key}` {events.schema[key].dataType.simpleString()}, entries int, place int, current long"
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        stack: list[int] = []
-        at = -1
-        for e in frame.sort_values([ts, "event_id"]).itertuples(index=False):
-            if e.move == "back":
-                at = max(at - 1, 0) if stack else -1
-            elif e.move == "forward":
-                at = min(at + 1, len(stack) - 1)
-            else:
-                del stack[at + 1 :]
-                stack.append(e.event_id)
-                del stack[: max(0, len(stack) - most)]
-                at = len(stack) - 1
-        return pd.DataFrame({key: [frame[key].iloc[0]], "entries": [len(stack)], "place": [at], "current": [stack[at] if stack else -1]})
-
-    return events.select("event_id", key, ts, "move").groupBy(key).applyInPandas(fold, schema)
+    """Where each session stands after its visits, backs and forwards. Rows are sorted and stream through; a task holds one stack of at most ``most`` visits."""
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(key, ts, "event_id", "move").repartition(key).sortWithinPartitions(key, ts, "event_id")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unset = object()
+        now, stack = unset, Stack(most)
+        for frame in frames:
+            done = []
+            for row in frame.itertuples(index=False):
+                own = None if pd.isna(row[0]) else row[0]
+                if own != now:
+                    done += [] if now is unset else [(now, *stack.result())]
+                    now, stack = own, Stack(most)
+                stack.take(*row[1:])
+            yield pd.DataFrame(done, columns=[key, "entries", "place", "current"])
+        if now is not unset:
+            yield pd.DataFrame([(now, *stack.result())], columns=[key, "entries", "place", "current"])
+
+    return rows.mapInPandas(each, f"`{key}` {kind}, entries int, place int, current long")
 
 
 def settled_at(changes: DataFrame, group: list[str], ts: str = "ts", quiet_ms: int = 60, deadline_ms: int = 5000) -> DataFrame:
@@ -124,7 +146,7 @@ def settled_at(changes: DataFrame, group: list[str], ts: str = "ts", quiet_ms: i
     return out.select(*group, "changes", F.least(settled, F.lit(deadline_ms).cast("long")).alias("settled_ms"), (settled > deadline_ms).alias("timed_out"))
 
 
-def _batches_by(df: DataFrame, group: str, fold_type: type, schema: str, order: list[str], *inputs: str) -> DataFrame:
+def _batches_by(df: DataFrame, group: str, fold_type: Callable[[], object], schema: str, order: list[str], *inputs: str) -> DataFrame:
     """A fold over each group's rows in order. Rows are sorted, then stream through in Arrow batches; only the fold's own state is held, so a hot group costs no memory."""
     sorted_rows = df.select(group, *inputs).repartition(group).sortWithinPartitions(group, *order)
 
