@@ -147,8 +147,12 @@ def upgraded_title(found: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(found), F.lit("")), F.nullif(last, F.lit("")), url)
 
 
+#: What is added to an error that may pass by itself. Fixed value.
+RETRY_HINT = "\n(transient: retrying the same call may succeed)"
+
+
 def error_line(code: Column, message: Column, retry: Column) -> Column:
-    return F.concat(F.format_string("error [%s]: %s", code, message), F.when(retry, F.lit(" (may succeed later)")).otherwise(F.lit("")))
+    return F.concat(F.format_string("error [%s]: %s", code, message), F.when(retry, F.lit(RETRY_HINT)).otherwise(F.lit("")))
 
 
 def capped_errors(errors: Column, most: int = 5, runes: int = 300) -> Column:
