@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.catalog import SQL_HOST, SQL_RESOLVED, TITLE, H1, _rendered, query, read
+from webloom.catalog import H1, ORACLE_SQL, SQL_HOST, SQL_RESOLVED, TITLE, _rendered, query, read
 from webloom.operators import pages as P
 from webloom.operators import policy, rules
 
@@ -488,3 +488,28 @@ def table_colspan(spark, d):
     page = _rendered(read(spark, d, "nation"), "n_regionkey", "n_nationkey", item, "<table>", "</table>")
     rows = P.tables(page).select("page_id", F.explode("rows").alias("r"))
     return rows.select("page_id", F.get("r", 0).alias("name"), F.get("r", 1).alias("again"), F.get("r", 2).alias("key"), (F.size("r") == 128).alias("wide"))
+
+
+@query("""SELECT s_suppkey::BIGINT AS page_id, kind, 0 AS place, CASE kind WHEN 'tables' THEN s_name WHEN 'jsonld' THEN s_nationkey::VARCHAR ELSE 'f' || s_suppkey END AS said
+FROM supplier, (SELECT unnest(['tables', 'jsonld', 'microdata']) AS kind)""")
+def structured_data(spark, d):
+    """Tables, linked data and microdata of one page by one operator."""
+    s = read(spark, d, "supplier")
+    html = F.concat(F.lit("<table><tr><td>"), "s_name", F.lit('</table><script type="application/ld+json">{"n":'), F.col("s_nationkey"), F.lit("}</script><p itemscope><b itemprop=x>f"), F.col("s_suppkey"), F.lit("</b>"))
+    pages = s.select(F.col("s_suppkey").cast("long").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
+    found = P.data(pages)
+    at = lambda path: F.get_json_object("item", path)
+    return found.select("page_id", "kind", "place", F.coalesce(at("$.rows[0][0]"), at("$.n"), at("$.properties.x[0]")).alias("said"))
+
+
+def _by_words(sql: str) -> str:
+    """The chunks' SQL with words for tokens."""
+    return sql.replace("(length(x) + 3) // 4", r"len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''))").replace("200", "40")
+
+
+@query(_by_words(ORACLE_SQL["paginate_docs"]))
+def paginate_by_words(spark, d):
+    """Chunks by another estimator of tokens: 40 words at most."""
+    from webloom.functions import text as T
+
+    return P.paginated(read(spark, d, "documents"), 40, "doc_id", "text", T.word_estimate).select("doc_id", "chunk", "chunks", "content")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,10 +31,15 @@ def fingerprint(text: str) -> str:
     return f"{fnv1a64(text.encode()):x}"
 
 
-def _fill(pieces: list[str], joiner: str, budget: int) -> list[str]:
+def word_estimate(text: str) -> int:
+    """Tokens of a text that a tokenizer of words would make."""
+    return len(text.split())
+
+
+def _fill(pieces: list[str], joiner: str, budget: int, cost_of: Callable[[str], int]) -> list[str]:
     out, now, cost = [], [], 0
     for p in pieces:
-        c = estimate(p)
+        c = cost_of(p)
         if now and cost + c > budget:
             out.append(joiner.join(now))
             now, cost = [], 0
@@ -44,8 +50,8 @@ def _fill(pieces: list[str], joiner: str, budget: int) -> list[str]:
     return out
 
 
-def paginate(text: str, budget: int) -> list[str]:
-    """Chunks of whole blocks within a token budget; a block beyond it goes line by line, a line is never cut."""
+def paginate(text: str, budget: int, cost_of: Callable[[str], int] = estimate) -> list[str]:
+    """Chunks of whole blocks within a token budget; a block beyond it goes line by line, a line is never cut. ``cost_of`` estimates the tokens of a text."""
     if budget <= 0:
         return [text]
     out: list[str] = []
@@ -53,12 +59,12 @@ def paginate(text: str, budget: int) -> list[str]:
     for block in (b.strip("\n") for b in text.split("\n\n")):
         if not block.strip():
             continue
-        if estimate(block) <= budget:
+        if cost_of(block) <= budget:
             held.append(block)
             continue
-        out += [*_fill(held, "\n\n", budget), *_fill(block.split("\n"), "\n", budget)]
+        out += [*_fill(held, "\n\n", budget, cost_of), *_fill(block.split("\n"), "\n", budget, cost_of)]
         held = []
-    return out + _fill(held, "\n\n", budget) or [""]
+    return out + _fill(held, "\n\n", budget, cost_of) or [""]
 
 
 def encode_cursor(mark: str, index: int) -> str:

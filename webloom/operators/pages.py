@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,21 @@ def microdata(pages: DataFrame) -> DataFrame:
     return per_page(pages, lambda r, u: [{"place": i, "type": x["type"], "properties": json.dumps(x["properties"], ensure_ascii=False)} for i, x in enumerate(extract.microdata(r, u))], "place int, type string, properties string")
 
 
+#: Structured data of a page by what it is, each a list of items.
+DATA = {
+    "tables": lambda r, u: [{k: v for k, v in t.items() if k != "pre"} for t in extract.tables(r)], "jsonld": lambda r, u: extract.json_ld(r),
+    "microdata": lambda r, u: extract.microdata(r, u),
+}
+
+
+def data(pages: DataFrame, kind: str = "") -> DataFrame:
+    """(page_id, kind, place, item): all structured data of pages as JSON, or that of one kind (tables, jsonld, microdata); one parse a page."""
+    if kind and kind not in DATA:
+        raise ValueError(f"kind is one of {', '.join(DATA)}, not {kind!r}")
+    asked = [kind] if kind else list(DATA)
+    return per_page(pages, lambda r, u: [{"kind": k, "place": i, "item": json.dumps(x, ensure_ascii=False)} for k in asked for i, x in enumerate(DATA[k](r, u))], "kind string, place int, item string")
+
+
 def records(pages: DataFrame, root: str, fields: dict[str, str], limit: int = 50) -> DataFrame:
     """Records by a caller's selectors; a field that has no match is missing from the map."""
     from webloom.functions.selectors import compile_selector
@@ -201,8 +217,8 @@ def read_chunk(pages: DataFrame, mode: str = "article", form: str = "markdown",
     return per_page(pages, kernel, "title string, chunk int, chunks int, content string, next_cursor string, error string")
 
 
-def paginated(texts: DataFrame, budget: int, key: str = "page_id", column: str = "content") -> DataFrame:
-    """Chunks within a token budget, each with the cursor of the next."""
+def paginated(texts: DataFrame, budget: int, key: str = "page_id", column: str = "content", cost_of: Callable[[str], int] = text.estimate) -> DataFrame:
+    """Chunks within a token budget, each with the cursor of the next. ``cost_of`` is the estimator of tokens, any function of a text."""
     kind = texts.schema[key].dataType.simpleString()
     from collections.abc import Iterator
 
@@ -212,7 +228,7 @@ def paginated(texts: DataFrame, budget: int, key: str = "page_id", column: str =
         for batch in batches:
             ids, index, chunks, total, cursor = [], [], [], [], []
             for ident, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts, mark = text.paginate(content or "", budget), text.fingerprint(content or "")
+                parts, mark = text.paginate(content or "", budget, cost_of), text.fingerprint(content or "")
                 for i, part in enumerate(parts):
                     ids.append(ident)
                     index.append(i)
