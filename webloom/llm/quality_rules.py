@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
+#: Bytes a character from which on a text is in another script than Latin.
+OTHER_SCRIPT = 1.5
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = """
@@ -44,13 +46,13 @@ class Rule:
 
 
 RULES = (
-    Rule("length", "n_words", least=20, most=1_000_000),
+    Rule("length", "n_words", least=20),
     Rule("word_length", "mean_word_length", least=2.0, most=15.0),
     Rule("symbols", "symbols_per_word", most=0.25),
     Rule("stop_words", "stop_word_ratio", least=0.02, from_words=50),
     Rule("repeated_lines", "dup_line_ratio", most=0.5),
     Rule("repeated_words", "repeat_word_ratio", most=0.3),
-    Rule("word_variety", "distinct_word_ratio", least=0.05, from_words=20),
+    Rule("word_variety", "distinct_per_root", least=1.0, from_words=20),
     Rule("runs", "same_as_next_ratio", most=0.3),
 )
 
@@ -93,10 +95,12 @@ def measures() -> dict[str, Column]:
         "n_repeat_words": _repeated("_found"),
         "mean_word_length": per(F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("double")),
         "symbols_per_word": per((F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("double")),
-        "stop_word_ratio": per(F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("double")),
+        # the listed languages are in Latin script, of little more than a byte a letter; others are not held to their words
+        "stop_word_ratio": F.when(F.octet_length("_text") > OTHER_SCRIPT * F.length("_text"), 1.0).otherwise(per(F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("double"))),
         "dup_line_ratio": F.when(n_lines > 0, dup_lines / n_lines).otherwise(F.lit(0.0)),
         "repeat_word_ratio": per(_repeated("_found").cast("double")),
-        "distinct_word_ratio": per(F.size(F.array_distinct("_hashes")).cast("double")),
+        # different words grow with about the root of a text's length, so that no natural text is too long for it
+        "distinct_per_root": F.when(n > 0, F.size(F.array_distinct("_hashes")) / F.sqrt(n.cast("double"))).otherwise(F.lit(0.0)),
         "same_as_next_ratio": per(F.size(F.filter(F.transform("_hashes", lambda h, i: h == F.get("_hashes", i + 1)), lambda x: x)).cast("double")),
     }
 
