@@ -513,3 +513,39 @@ def paginate_by_words(spark, d):
     from webloom.functions import text as T
 
     return P.paginated(read(spark, d, "documents"), 40, "doc_id", "text", T.word_estimate).select("doc_id", "chunk", "chunks", "content")
+
+
+@query("""SELECT floor(o_orderkey / 5000)::BIGINT AS page_id, least(count(*), 2000)::INT AS rows, count(*) > 2000 AS truncated, least(count(*), 256)::INT AS linked, least(count(*), 128)::INT AS items, 64 AS tables FROM orders GROUP BY 1""")
+def structure_bounds(spark, d):
+    """Pages with more tables, rows, linked data and items than are kept of a page: the first ones stay, and a cut table says so."""
+    o = read(spark, d, "orders").withColumn("page", F.floor(F.col("o_orderkey") / 5000))
+    k = F.col("o_orderkey")
+    row = F.concat(F.lit("<tr><td>"), k)
+    linked = F.concat(F.lit('<script type="application/ld+json">{"k":'), k, F.lit("}</script>"))
+    item = F.concat(F.lit("<p itemscope><b itemprop=k>"), k, F.lit("</b></p>"))
+    parts = [_rendered(o, "page", "o_orderkey", x, head, tail).select("page_id", F.col("html").alias(n)) for n, x, head, tail in (("a", row, "<table>", "</table>"), ("b", linked, "", ""), ("c", item, "", ""))]
+    more = "<table><tr><td>x</table>" * 80
+    pages = parts[0].join(parts[1], "page_id").join(parts[2], "page_id").select("page_id", F.lit("").alias("url"), F.concat("a", "b", "c", F.lit(more)).alias("html"))
+    found = P.data(pages)
+    size = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).cast("int")
+    first = F.from_json("item", "rows array<array<string>>, truncated boolean")
+    big = F.when((F.col("kind") == "tables") & (F.col("place") == 0), first)
+    return found.groupBy("page_id").agg(F.max(F.size(big.rows)).alias("rows"), F.max(big.truncated).alias("truncated"), size("jsonld").alias("linked"), size("microdata").alias("items"), size("tables").alias("tables"))
+
+
+@query("""SELECT doc_id, CASE WHEN (length(text) + 3) // 4 <= 60 THEN text WHEN contains(text[1:240], chr(10)) THEN text[1:240 - strpos(reverse(text[1:240]), chr(10))] ELSE text[1:240] END AS text FROM documents""")
+def truncated_texts(spark, d):
+    """Texts cut to 60 tokens, at the last line's end within them if there is one."""
+    from webloom.functions import text as T
+
+    return read(spark, d, "documents").select("doc_id", T.truncated_column(F.col("text"), 60).alias("text"))
+
+
+@query("""SELECT event_id, d + floor(d * 0.2 * (('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0))::BIGINT AS delay_ms
+FROM (SELECT event_id, least(300 * 2 ** (user_id % 7), 5000)::BIGINT AS d FROM events)""")
+def backoff_delays(spark, d):
+    """How long each event's user waits before its next attempt, with jitter by event."""
+    from webloom.sources import resources as R
+
+    none = F.lit(None).cast("string")
+    return read(spark, d, "events").select("event_id", R.retry_delay_ms(F.col("user_id") % 7, none, F.lit("2024-01-01").cast("timestamp"), F.col("event_id")).alias("delay_ms"))

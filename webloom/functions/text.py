@@ -124,6 +124,12 @@ def truncate_to_tokens(text: str, budget: int) -> str:
     return cut[: cut.rfind("\n")] if "\n" in cut else cut
 
 
+def truncated_column(text: Column, budget: int) -> Column:
+    """``truncate_to_tokens`` as a column."""
+    cut = F.substring(text, 1, budget * 4)
+    return F.when(estimate_column(text) <= budget, text).when(F.contains(cut, F.lit("\n")), F.regexp_extract(cut, "(?s)^(.*)\n", 1)).otherwise(cut)
+
+
 def fence(text: str, language: str = "") -> str:
     """A code fence longer than any run of backticks within."""
     longest = max((len(m) for m in re.findall("`+", text)), default=0)

@@ -44,18 +44,29 @@ def resource_label(kind: Column, content_type: Column, url: Column) -> Column:
     return out.when(kind == "xmlhttprequest", "xhr").otherwise("other")
 
 
+#: The largest part of a delay that is added to it. Fixed value.
+JITTER = 0.2
+
+
 def may_retry(status: Column, attempt: Column, most: int = 2) -> Column:
     """A null status is a network error, which is final."""
     return F.coalesce(status.isin(*RETRY_STATUS) & (attempt < most), F.lit(False))
 
 
-def retry_delay_ms(attempt: Column, retry_after: Column, now: Column) -> Column:
-    """What the server asks for (seconds or a date ahead), up to 30 s; else a doubling delay up to 5 s, without jitter."""
+def jitter_ms(delay: Column, seed: Column) -> Column:
+    """Up to a fifth of a delay, spread by the seed's hash, so that many clients do not come back at once; the same seed waits the same time."""
+    part = F.conv(F.substring(F.md5(seed.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.floor(delay * JITTER * part).cast("long")
+
+
+def retry_delay_ms(attempt: Column, retry_after: Column, now: Column, seed: Column | None = None) -> Column:
+    """What the server asks for (seconds or a date ahead), up to 30 s; else a doubling delay up to 5 s, and with a seed its jitter."""
     asked = F.trim(retry_after)
     whole = F.when(asked.rlike("^[0-9]{1,9}$"), asked.cast("long") * 1000)
     date = F.try_to_timestamp(F.regexp_extract(asked, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
     ahead = F.unix_millis(date) - F.unix_millis(now)
     own = F.least(F.lit(300).cast("long") * F.pow(F.lit(2), F.least(attempt, F.lit(20))).cast("long"), F.lit(MOST_BACKOFF_MS).cast("long"))
+    own = own if seed is None else own + jitter_ms(own, seed)
     return F.coalesce(F.when(whole.isNotNull(), F.least(whole, F.lit(MOST_RETRY_MS).cast("long"))), F.when(ahead > 0, F.least(ahead, F.lit(MOST_RETRY_MS).cast("long"))), own)
 
 
