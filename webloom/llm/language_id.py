@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.tables import crc_split, documents, last_code, narrow
+from webloom.llm.tally import trim
 from webloom.llm.textarrays import mix, slices
 
 NONE = "und"
@@ -103,7 +105,7 @@ def grams(texts: list[str], sizes: tuple[int, ...] = SIZES) -> tuple[list[np.nda
 
 @dataclass
 class BitmaskFilter:
-    """Cells of language bits; ``cells[p]`` is the plane of languages 64p to 64p+63."""
+    """Cells of language bits, as wide as there are languages, up to 64 a plane: ``cells[p]`` holds those from 64p on."""
 
     languages: list[str]
     default: str
@@ -114,10 +116,11 @@ class BitmaskFilter:
     def build(cls, languages: list[str], default: str, gram: np.ndarray, language: np.ndarray, probes: int = PROBES, bits: int = BITS_PER_GRAM) -> BitmaskFilter:
         largest = int(np.bincount(language, minlength=1).max()) if len(language) else 0
         size = 1 << max(10, int(np.ceil(np.log2(max(largest * bits, 1)))))
-        cells = np.zeros((-(-len(languages) // 64) or 1, size), dtype=np.uint64)
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(t).bits or t is np.uint64)
+        cells = np.zeros((-(-len(languages) // 64) or 1, size), dtype=kind)
         out = cls(languages, default, cells, probes)
         for k in range(probes):
-            np.bitwise_or.at(cells, (language // 64, out._cell(gram, k)), np.uint64(1) << (language % 64).astype(np.uint64))
+            np.bitwise_or.at(cells, (language // 64, out._cell(gram, k)), (np.uint64(1) << (language % 64).astype(np.uint64)).astype(kind))
         return out
 
     def _cell(self, gram: np.ndarray, k: int) -> np.ndarray:
@@ -130,9 +133,11 @@ class BitmaskFilter:
             found &= self.cells[plane][self._cell(gram, k)]
         return found
 
+    @cached_property
     def false_rate(self) -> np.ndarray:
-        """How often an n-gram that a language lacks is found there all the same."""
-        fill = [np.mean((self.cells[i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(self.languages))]
+        """How often an n-gram that a language lacks is found there all the same; worked out once a worker."""
+        one = self.cells.dtype.type
+        fill = [np.count_nonzero(self.cells[i // 64] & (one(1) << one(i % 64))) / self.cells.shape[1] for i in range(len(self.languages))]
         return np.array(fill) ** self.probes
 
     def shares(self, texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +145,14 @@ class BitmaskFilter:
         found, docs, has = grams(texts, sizes)
         hits = np.zeros((len(texts), len(self.languages)))
         total = np.zeros(len(texts))
+        one = self.cells.dtype.type
         for gram, doc in zip(found, docs, strict=True):
             total += np.bincount(doc, minlength=len(texts))[: len(texts)]
             for plane in range(len(self.cells)):
                 bits = self.probe(gram, plane)
                 for i in range(plane * 64, min(plane * 64 + 64, len(self.languages))):
-                    hits[:, i] += np.bincount(doc, weights=((bits >> np.uint64(i % 64)) & np.uint64(1)).astype(np.float64), minlength=len(texts))[: len(texts)]
-        wrong = self.false_rate()
+                    hits[:, i] += np.bincount(doc, weights=(bits & (one(1) << one(i % 64)) != 0).astype(np.float64), minlength=len(texts))[: len(texts)]
+        wrong = self.false_rate
         rate = hits / np.maximum(total, 1)[:, None]
         return np.clip((rate - wrong) / np.maximum(1 - wrong, 1e-9), 0, 1), has
 
@@ -189,6 +195,7 @@ def train(labelled: DataFrame, text_column: str = "text", language_column: str =
                 for i in np.unique(lang):
                     values, n = np.unique(gram[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i), pa.int32()), pa.array(values.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+        trim()
 
     tallied = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count).toArrow()
     lang, gram, n = (np.ascontiguousarray(tallied[c].to_numpy(), dtype=np.int64) for c in ("lang", "gram", "n"))
@@ -212,6 +219,7 @@ def predicted(docs: DataFrame, model: BitmaskFilter, sizes: tuple[int, ...] = SI
             for batch in slices(whole, text_column, SLICE_BYTES):
                 names, score, fit = sent.value.decide([t or "" for t in batch.column(0).to_pylist()], sizes)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(fit)], names=[*batch.schema.names[1:], "lang_pred", "score", "fit"])
+        trim()
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[1:])
     return rows.mapInArrow(each, f"{schema}, lang_pred string, score double, fit double")
@@ -227,6 +235,7 @@ def in_known_language(docs: DataFrame, model: BitmaskFilter, least_fit: float =
             for batch in slices(whole, whole.schema.names[place], SLICE_BYTES):
                 names, _, fit = sent.value.decide([t or "" for t in batch.column(place).to_pylist()], sizes)
                 yield batch.filter(pa.array([x != NONE and y >= least_fit for x, y in zip(names, fit, strict=True)], pa.bool_()))
+        trim()  # the worker goes on to other operators' tasks
 
     return docs.mapInArrow(each, docs.schema)
 
