@@ -36,8 +36,8 @@ def _order_rules(spark, d):
         .when(k % 4 == 2, shape(k.alias("id"), prio.alias("priority"), action("upgradeScheme").alias("action"), cond(None, F.array(F.concat(user, F.lit(".shop.test"))), "thirdParty").alias("condition")))
         .otherwise(shape(k.alias("id"), prio.alias("priority"), action("redirect").alias("action"), cond(F.concat(F.lit("://"), user, F.lit(".shop.test/view/*"))).alias("condition")))
     )
-    # one rule set a customer group, in order of keys; a rule's place counts within all sets
-    sets = o.select((k % 50).alias("file"), k.alias("o"), F.to_json(rule).alias("r")).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda s: s.r), ","), F.lit("]")).alias("raw"))
+    # rule sets of bounded size, in order of keys; a rule's place counts within all sets
+    sets = o.select(F.floor(k / 2000).alias("file"), k.alias("o"), F.to_json(rule).alias("r")).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "r"))), lambda s: s.r), ","), F.lit("]")).alias("raw"))
     return policy.rules_from_json(sets, "raw").withColumn("place", F.col("rule_id").cast("long"))
 
 
@@ -58,8 +58,7 @@ def rules_from_sets(spark, d):
 @query(f"{_HITS} SELECT action, count(*) AS n, count(DISTINCT id) AS rules FROM h GROUP BY action")
 def rules_hit(spark, d):
     """How often rules of each action match, and how many of them do at all."""
-    found = rules.hits(_requests(spark, d), rules.compiled(_order_rules(spark, d)))
-    return found.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rule_id").alias("rules"))
+    return rules.hits_by_action(_requests(spark, d), rules.compiled(_order_rules(spark, d)))
 
 
 # Shadow trees ----------------------------------------------------------------------------------------------
