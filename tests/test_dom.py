@@ -135,3 +135,12 @@ def test_paginate_and_cursor():
     assert text.paginate("w" * 1000, 10) == ["w" * 1000]
     assert text.decode_cursor(text.encode_cursor("abc", 7)) == ("abc", 7) and text.decode_cursor("!") is None
     assert text.fingerprint("") == f"{text.FNV_OFFSET:x}" and text.fingerprint("a") == "af63dc4c8601ec8c"
+
+
+def test_large_pages_are_read_whole():
+    """No row, item or table of a page is left out, however many it has, unless a caller limits them."""
+    root = dom.parse("<table>" + "<tr><td>x" * 2500 + "</table>" + "<table><tr><td>y</table>" * 70 + '<script type="application/ld+json">{"a":1}</script>' * 300 + "<div itemscope><b itemprop=n>z</b></div>" * 150)
+    found = extract.tables(root)
+    assert len(found) == 71 and len(found[0]["rows"]) == 2500 and not found[0]["truncated"]
+    assert len(extract.json_ld(root)) == 300 and len(extract.microdata(root, "")) == 150
+    assert extract.tables(root, 1, 7)[0]["truncated"] and len(extract.tables(root, 1, 7)[0]["rows"]) == 7 and len(extract.json_ld(root, 5)) == 5
