@@ -5,6 +5,7 @@ import zlib
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.functions import text as T
 from webloom.functions.dom import parse
@@ -68,6 +69,18 @@ def test_site_map_goes_breadth_first_and_stops(spark):
     assert found(most_urls=7, most_depth=2)[1] == {False}
 
 
+def test_whole_sites_are_mapped(spark):
+    """Without a limit no URL of a site is left out, and none is said to be."""
+    url = "https://x/{}".format
+    edges = spark.range(3000).select(F.lit(url("a")).alias("url"), F.col("id").cast("int").alias("pre"), F.format_string(url("%d"), "id").alias("target")).union(spark.range(1500).select(F.format_string(url("%d"), "id"), F.lit(0), F.format_string(url("n%d"), "id")))
+    seeds = spark.createDataFrame([(url("a"),)], "url string")
+    listed = spark.range(2500).select(F.format_string(url("s%d"), "id").alias("url"), F.col("id").cast("int").alias("place"))
+    rows = crawl.site_map(seeds, edges, listed, None).collect()
+    assert len(rows) == 1 + 2500 + 3000 + 1500 and not any(r.truncated for r in rows)
+    want = ["a", *[f"s{i}" for i in range(2500)], *[str(i) for i in range(3000)], *[f"n{i}" for i in range(1500)]]
+    assert [r.url[len("https://x/"):] for r in sorted(rows, key=lambda r: r.place)] == want
+
+
 def test_forms_tell_what_is_wrong(spark):
     html = "<form id=one action=/go><textarea name=t>a\nb</textarea><input type=radio name=r checked></form><form name=two method=post enctype='multipart/form-data'></form>"
     pages = spark.createDataFrame([(1, "https://x/p?q", html), (2, None, None)], "page_id long, url string, html string")

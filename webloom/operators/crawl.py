@@ -24,6 +24,11 @@ def _settled(df: DataFrame) -> DataFrame:
     return stored(df, "crawl")
 
 
+def _step(pre: Column, url: Column) -> Column:
+    """One step of the path that found a URL; paths of a level sort as the crawl goes."""
+    return F.array(F.struct(pre.cast("long").alias("pre"), url.alias("url")))
+
+
 def site_of(url: Column) -> Column:
     """Scheme and authority, as the address has them."""
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
@@ -36,34 +41,39 @@ def edges(pages: DataFrame) -> DataFrame:
     return out.where((F.col("target") != "") & (site_of(F.col("target")) == site_of(F.col("url"))))
 
 
-def site_map(seeds: DataFrame, edges: DataFrame, listed: DataFrame | None = None, most_urls: int = 0, most_depth: int = 0) -> DataFrame:
+def site_map(seeds: DataFrame, edges: DataFrame, listed: DataFrame | None = None, most_urls: int | None = 0, most_depth: int = 0) -> DataFrame:
     """origin, place, url, source, depth, truncated: the URLs of each seed's site, in the order found.
 
     ``seeds``: url, one an origin. ``edges``: url, pre, target. ``listed``: url, place of sitemap entries. The seed comes first, then
     sitemap entries of its origin, then what the crawl reaches, breadth first; the first source of a URL wins, and entries of a
     sitemap are crawled too. A level is one equi-join with the frontier and one anti join with what was reached. A site can use no
     more than ``2 * most_urls`` rows of a level (sitemap entries take no place again), so each level is cut there by a group limit
-    that runs before the shuffle: a hot site stays small.
+    that runs before the shuffle: a hot site stays small. With ``most_urls=None`` sites are mapped whole: a URL's place in its level
+    is the path that found it, so that no level is numbered by site; only who selects the final ``place`` pays for it.
     """
-    n = min(most_urls, MOST_URLS) if most_urls > 0 else URLS
+    n = None if most_urls is None else min(most_urls, MOST_URLS) if most_urls > 0 else URLS
     depths = min(most_depth, MOST_DEPTH) if most_depth > 0 else DEPTH
-    start = seeds.select(U.normalised(F.col("url")).alias("url")).where("url <> ''").distinct().select(site_of(F.col("url")).alias("origin"), "url", F.lit(0).alias("depth"), F.lit(1).alias("place"))
+    start = seeds.select(U.normalised(F.col("url")).alias("url")).where("url <> ''").distinct().select(site_of(F.col("url")).alias("origin"), "url", F.lit(0).alias("depth"), _step(F.lit(1), F.lit("")).alias("place"))
     frontier = reached = _settled(start)
     for depth in range(1, depths + 1):
-        first = F.min(F.struct("place", "pre")).alias("at")
+        first = F.min(F.concat("place", _step(F.col("pre"), F.col("target")))).alias("place")
         found = frontier.join(edges, "url").groupBy("origin", F.col("target").alias("url")).agg(first).join(reached.select("origin", "url"), ["origin", "url"], "left_anti")
-        ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("origin").orderBy("at", "url"))).where(F.col("place") <= 2 * n)
-        frontier = _settled(ranked.select("origin", "url", F.lit(depth).alias("depth"), "place"))
+        if n is not None:
+            found = found.withColumn("_at", F.row_number().over(Window.partitionBy("origin").orderBy("place"))).where(F.col("_at") <= 2 * n)
+        frontier = _settled(found.select("origin", "url", F.lit(depth).alias("depth"), "place"))
         reached = reached.unionByName(frontier)
     rows = reached.select("origin", "url", "depth", F.lit("crawl").alias("source"), F.when(F.col("depth") == 0, 0).otherwise(2).alias("_rank"), "place")
     if listed is not None:
         own = listed.select(U.normalised(F.col("url")).alias("url"), "place").withColumn("origin", site_of(F.col("url"))).where("url <> ''")
         own = own.join(start.select("origin").distinct(), "origin", "left_semi").groupBy("origin", "url").agg(F.min("place").alias("place"))
-        rows = rows.unionByName(own.select("origin", "url", F.lit(0).alias("depth"), F.lit("sitemap").alias("source"), F.lit(1).alias("_rank"), F.col("place").cast("int")))
+        rows = rows.unionByName(own.select("origin", "url", F.lit(0).alias("depth"), F.lit("sitemap").alias("source"), F.lit(1).alias("_rank"), _step(F.col("place"), F.lit("")).alias("place")))
     order = ["_rank", "depth", "place", "url"]
     best = rows.groupBy("origin", "url").agg(F.min(F.struct(*order[:3], "source")).alias("b")).select("origin", "url", "b.*")
+    ranked = best.withColumn("_at", F.row_number().over(Window.partitionBy("origin").orderBy(*order)))
+    if n is None:
+        return ranked.select("origin", F.col("_at").alias("place"), "url", "source", "depth", F.lit(False).alias("truncated"))
     # one row beyond the cut tells that there are more
-    ranked = best.withColumn("_at", F.row_number().over(Window.partitionBy("origin").orderBy(*order))).where(F.col("_at") <= n + 1)
+    ranked = ranked.where(F.col("_at") <= n + 1)
     whole = ranked.withColumn("truncated", F.max("_at").over(Window.partitionBy("origin")) > n)
     return whole.where(F.col("_at") <= n).select("origin", F.col("_at").alias("place"), "url", "source", "depth", "truncated")
 
