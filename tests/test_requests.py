@@ -155,3 +155,28 @@ def test_labels_over_a_table_equal_a_plain_fold(spark):
         cache[owner, user] = when if fresh else at
     assert got == want and sent == notes and cached == held
     assert state.throttled(df.limit(0), "owner").count() == 0
+
+
+def test_uploads_open_only_what_is_looked_at(spark):
+    """Files of a form with too many are not opened; the others give what ready files give."""
+    rows = [(1, ["a", "b64", "both", "a"]), (2, ["x"] * 9), (3, ["a", "bad"]), (4, ["", "a"]), (5, ["a", "b64"]), (6, []), (7, ["big"] * 3)]
+    forms = spark.createDataFrame(rows, "id long, files array<string>")
+
+    def opened(f):
+        text = F.when(f == "x", F.raise_error(F.lit("opened"))).when(f == "b64", "").when(f == "big", F.repeat(F.lit("x"), 3 << 19)).otherwise("aé")
+        return F.struct(F.when(f == "", " ").otherwise("file").alias("field"), F.lit("").alias("filename"), F.lit("m").alias("mime"), F.when(f == "bad", "").otherwise(text).alias("content"), F.when(f.isin("b64", "both"), "YWJjZA==").when(f == "bad", "!!").otherwise("").alias("content_base64"))
+
+    u = F.col("u")
+    got = {r.id: (r.error, r.n) for r in forms.withColumn("u", Q.uploaded(F.col("files"), opened)).select("id", u.error.alias("error"), F.transform(u.parts, lambda p: F.octet_length(p.data)).alias("n")).collect()}
+    assert got == {1: ("files[2]: give content or content_base64, not both", None), 2: ("too many files: 9 (max 8)", None), 3: ("files[1]: invalid base64", None), 4: ("files[0]: field is required", None), 5: (None, [3, 4]), 6: (None, []), 7: ("upload too large: over 4194304 bytes total", None)}
+
+
+def test_workers_hold_few_rows_at_once():
+    """A batch is read a few rows at a time, and what was made of them is handed on."""
+    import pyarrow as pa
+
+    from webloom.plans.nodes import PIECE_ROWS, pieces
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000)), "b": ["x"] * 1000})
+    found = list(pieces(batch))
+    assert max(p.num_rows for p in found) == PIECE_ROWS and [v for p in found for v in p.column(0).to_pylist()] == list(range(1000))

@@ -10,11 +10,12 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.text import estimate_column
+from webloom.plans.nodes import PIECE_ROWS
 
 MOST_BYTES = 10 << 20
 MOST_RETRY_MS = 30_000
@@ -95,13 +96,21 @@ def inflated_bytes(encoding: str | None, raw: bytes | None, most: int = MOST_BYT
     return None, f"{name} body cannot be read"
 
 
+def _pieces(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[list, ...]]:
+    """Columns as lists, a few rows at a time, whatever Spark sends at once."""
+    for columns in batches:
+        for at in range(0, len(columns[0]), PIECE_ROWS):
+            yield tuple(c.slice(at, PIECE_ROWS).to_pylist() for c in columns)
+
+
 def inflated(encoding: Column, raw: Column, most: int = MOST_BYTES) -> Column:
     """struct(body, error)."""
 
-    @F.pandas_udf("body binary, error string")
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for names, bodies in batches:
-            yield pd.DataFrame([inflated_bytes(n, b, most) for n, b in zip(names, bodies, strict=True)], columns=["body", "error"])
+    @F.arrow_udf("body binary, error string")
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, bodies in _pieces(batches):
+            made = [inflated_bytes(n, b, most) for n, b in zip(names, bodies, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.string())], ["body", "error"])
 
     return each(encoding, raw)
 
@@ -137,10 +146,10 @@ def decoded_text(content_type: str | None, raw: bytes | None) -> str | None:
 
 
 def decoded(content_type: Column, raw: Column) -> Column:
-    @F.pandas_udf("string")
-    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for kinds, bodies in batches:
-            yield pd.Series([decoded_text(k, b) for k, b in zip(kinds, bodies, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for kinds, bodies in _pieces(batches):
+            yield pa.array([decoded_text(k, b) for k, b in zip(kinds, bodies, strict=True)], pa.string())
 
     return each(content_type, raw)
 

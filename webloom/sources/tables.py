@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from webloom.functions.dom import truncated
+from webloom.plans.nodes import pieces
 from webloom.sources import content
 
 MOST_ERROR = 300
@@ -28,7 +29,7 @@ def per_text(df: DataFrame, kernel: Callable[..., list[dict]], columns: str, key
             return [{"error": truncated(f"{type(e).__name__}: {e}", MOST_ERROR)}]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             rows = [{key: ident, **row} for ident, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in told(values)]
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
