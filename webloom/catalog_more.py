@@ -423,11 +423,15 @@ def uploads_checked(spark, d):
     """Each customer's orders as files of a form: how many, how large, and what is wrong with the first bad one."""
     from webloom.operators import requests as Q
 
-    o, k = read(spark, d, "orders"), F.col("o_orderkey")
-    text = F.repeat(F.lit("x"), F.floor("o_totalprice").cast("int"))
-    coded = F.when((k % 97 != 0) & (k % 89 == 0), F.base64(F.encode(text, "UTF-8"))).when((k % 97 != 0) & (k % 83 == 0), "!!").otherwise("")
-    own = F.struct(k.alias("k"), F.when(k % 97 == 0, " ").otherwise("file").alias("field"), F.lit("").alias("filename"), F.lit("text/plain").alias("mime"), F.when((k % 97 != 0) & (k % 89 != 0) & (k % 83 == 0), "").otherwise(text).alias("content"), coded.alias("content_base64"))
-    forms = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(own)).alias("files")).withColumn("u", Q.uploaded(F.col("files")))
+    def opened(f):
+        k, text = f["k"], F.repeat(F.lit("x"), F.floor(f["price"]).cast("int"))
+        coded = F.when((k % 97 != 0) & (k % 89 == 0), F.base64(text.cast("binary"))).when((k % 97 != 0) & (k % 83 == 0), "!!").otherwise("")
+        content = F.when((k % 97 != 0) & (k % 89 != 0) & (k % 83 == 0), "").otherwise(text)
+        return F.struct(F.when(k % 97 == 0, " ").otherwise("file").alias("field"), F.lit("").alias("filename"), F.lit("text/plain").alias("mime"), content.alias("content"), coded.alias("content_base64"))
+
+    # keys and prices are grouped; a file's content is made when it is looked at
+    own = F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    forms = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(own)).alias("files")).withColumn("u", Q.uploaded(F.col("files"), opened))
     return forms.select(F.col("o_custkey").alias("id"), F.col("u.error").alias("error"), F.aggregate("u.parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p.data)).alias("bytes"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urlencode, urlsplit, urlunsplit
 
 from pyspark.sql import Column, DataFrame
@@ -81,34 +82,48 @@ def upload_error(files: Column) -> Column:
     return F.when(F.size(files) > MOST_FILES, F.lit(f"more than {MOST_FILES} files")).when(total > MOST_FILE_BYTES, F.lit(f"files exceed {MOST_FILE_BYTES} bytes"))
 
 
-def uploaded(files: Column) -> Column:
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def uploaded(files: Column, opened: Callable[[Column], Column] | None = None) -> Column:
     """struct(error, parts) of the files of a multipart form, as a column: array of struct(field, filename, mime, content, content_base64) in, array of struct(field, filename, mime, data) out.
 
     The first error in order of files counts: too many files, a file without a field, one with both contents, one whose base64
-    can't be read, and the file with which all are too large together. A null list is empty.
+    can't be read, and the file with which all are too large together. A null list is empty. ``opened`` makes such a struct of
+    what stands for a file in the array; each file is opened once, and none of a form with too many.
     """
     given = F.coalesce(files, F.slice(files, 1, 0))
-    text, coded = lambda f: F.coalesce(f["content"], F.lit("")), lambda f: F.coalesce(f["content_base64"], F.lit(""))
-    data = lambda f: F.when(coded(f) != "", F.try_to_binary(coded(f), F.lit("base64"))).otherwise(F.encode(text(f), "UTF-8"))
-    part = lambda f: F.struct(f["field"].alias("field"), F.coalesce(F.nullif(f["filename"], F.lit("")), F.lit("upload.bin")).alias("filename"), f["mime"].alias("mime"), data(f).alias("data"))
     at = lambda i: F.concat(F.lit("files["), i.cast("string"), F.lit("]: "))
 
-    def wrong(f: Column, i: Column) -> Column:
-        return (
-            F.when(F.trim(F.coalesce(f["field"], F.lit(""))) == "", F.concat(at(i), F.lit("field is required"))).when((text(f) != "") & (coded(f) != ""), F.concat(at(i), F.lit("give content or content_base64, not both")))
-            .when((coded(f) != "") & F.try_to_binary(coded(f), F.lit("base64")).isNull(), F.concat(at(i), F.lit("invalid base64")))
-        )
+    def part(f: Column) -> Column:
+        text, coded = F.coalesce(f["content"], F.lit("")), F.coalesce(f["content_base64"], F.lit(""))
+        data = F.when(coded != "", F.try_to_binary(coded, F.lit("base64"))).otherwise(text.cast("binary"))
+
+        def read(d: Column) -> Column:
+            bad = (
+                F.when(F.trim(F.coalesce(f["field"], F.lit(""))) == "", "field is required").when((text != "") & (coded != ""), "give content or content_base64, not both")
+                .when((coded != "") & d.isNull(), "invalid base64")
+            )
+            return F.struct(f["field"].alias("field"), F.coalesce(F.nullif(f["filename"], F.lit("")), F.lit("upload.bin")).alias("filename"), f["mime"].alias("mime"), d.alias("data"), bad.alias("bad"))
+
+        return _bound(data, read)
 
     # one pass: the first error, and bytes so far
     start = F.struct(F.lit(None).cast("string").alias("e"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("i"))
 
-    def step(a: Column, f: Column) -> Column:
-        n = a["n"] + F.coalesce(F.octet_length(data(f)), F.lit(0)).cast("long")
-        own = F.coalesce(wrong(f, a["i"]), F.when(n > MOST_FILE_BYTES, F.lit(f"upload too large: over {MOST_FILE_BYTES} bytes total")))
+    def step(a: Column, p: Column) -> Column:
+        n = a["n"] + F.coalesce(F.octet_length(p["data"]), F.lit(0)).cast("long")
+        own = F.coalesce(F.concat(at(a["i"]), p["bad"]), F.when(n > MOST_FILE_BYTES, F.lit(f"upload too large: over {MOST_FILE_BYTES} bytes total")))
         return F.struct(F.coalesce(a["e"], own).alias("e"), n.alias("n"), (a["i"] + 1).alias("i"))
 
-    error = F.when(F.size(given) > MOST_FILES, F.concat(F.lit("too many files: "), F.size(given), F.lit(f" (max {MOST_FILES})"))).otherwise(F.aggregate(given, start, step)["e"])
-    return F.struct(error.alias("error"), F.when(error.isNull(), F.transform(given, part)).alias("parts"))
+    def told(parts: Column) -> Column:
+        many = F.when(F.size(given) > MOST_FILES, F.concat(F.lit("too many files: "), F.size(given), F.lit(f" (max {MOST_FILES})")))
+        sent = lambda p: F.struct(*[p[c].alias(c) for c in ("field", "filename", "mime", "data")])
+        return _bound(F.coalesce(many, F.aggregate(parts, start, step)["e"]), lambda e: F.struct(e.alias("error"), F.when(e.isNull(), F.transform(parts, sent)).alias("parts")))
+
+    return _bound(F.when(F.size(given) <= MOST_FILES, F.transform(given, lambda f: _bound(opened(f), part) if opened else part(f))), told)
 
 
 def pick_link(found: DataFrame, index: int | None = None, match: str = "") -> DataFrame:
