@@ -81,3 +81,10 @@ def test_query_equals_sql(spark, sql, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["form_submit", "read_selected_html"])
+def test_pages_of_one_file_are_work_of_many_tasks(spark, name):
+    """A table that Spark reads as one task is dealt out before its rows become pages."""
+    assert spark.read.parquet(f"{DATA}/customer.parquet").rdd.getNumPartitions() == 1
+    assert __spark_entry__.queries()[name](spark, DATA).rdd.getNumPartitions() >= 8
