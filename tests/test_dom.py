@@ -144,3 +144,10 @@ def test_large_pages_are_read_whole():
     assert len(found) == 71 and len(found[0]["rows"]) == 2500 and not found[0]["truncated"]
     assert len(extract.json_ld(root)) == 300 and len(extract.microdata(root, "")) == 150
     assert extract.tables(root, 1, 7)[0]["truncated"] and len(extract.tables(root, 1, 7)[0]["rows"]) == 7 and len(extract.json_ld(root, 5)) == 5
+
+
+def test_ids_work_out_a_path_once_a_parent():
+    root = dom.parse("<main><form>" + "<input name=a>" * 50 + "</form></main>")
+    ids, fields = extract.Ids(), [e for e in root.elements() if e.tag == "input"]
+    made = [ids.mint(f, "inp", "", "") for f in fields]
+    assert len(set(made)) == 50 and made[1] == made[0] + "-2" and list(ids.paths) == [fields[0].parent] and ids.paths[fields[0].parent].endswith("form>")

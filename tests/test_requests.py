@@ -180,3 +180,15 @@ def test_workers_hold_few_rows_at_once():
     batch = pa.RecordBatch.from_pydict({"a": list(range(1000)), "b": ["x"] * 1000})
     found = list(pieces(batch))
     assert max(p.num_rows for p in found) == PIECE_ROWS and [v for p in found for v in p.column(0).to_pylist()] == list(range(1000))
+
+
+def test_forms_with_asked_fields_are_the_same(spark):
+    """What is asked for of each field is what all of it has; no form or field is left out."""
+    html = "<form name=a><input name=x value=1><input type=checkbox checked value=2><select><option>p<option value=q>r</select></form><form><textarea>t</textarea></form>"
+    pages = spark.createDataFrame([(1, "https://x/", html), (2, None, None)], "page_id long, url string, html string")
+    cut = F.transform("fields", lambda f: F.struct(f["value"].alias("value"), f["checked"].alias("checked"), f["options"].alias("options"), f["id"].alias("id")))
+    whole = P.forms(pages).withColumn("fields", cut)
+    assert [len(r.fields) for r in whole.orderBy("pre").collect()] == [3, 1]
+    for asked in (("value", "checked", "options", "id"), ("value", "options")):
+        want = whole.withColumn("fields", F.transform("fields", lambda f: F.struct(*[f[c].alias(c) for c in asked])))  # noqa: B023
+        assert sorted(map(str, P.forms(pages, *asked).collect())) == sorted(map(str, want.collect()))
