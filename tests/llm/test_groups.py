@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,23 @@ def test_prefix_lengths_lose_no_pair():
                     assert a - pa < need or b - pb < need
 
 
+def test_ngrams_of_one_document_go_first(spark):
+    """Without room in the table of frequent n-grams too: prefixes of n-grams that no other set has make no candidates."""
+    rows = [(k, " ".join([*(f"s{j}" for j in range(40)), *(f"own{k}-{j}" for j in range(40))])) for k in range(6)]
+    vertices = ngram_join.vertices_of(spark.createDataFrame(rows, "doc_id long, text string"), 3, "doc_id", "text")
+    sets = vertices.select("v", "grams").cache()
+    held = [ngram_join.unpack(r.grams) for r in sets.collect()]
+    often = {g for g, n in Counter(g for h in held for g in h.tolist()).items() if n > 1}
+    assert len(often) == 38
+    for most in (0, 10, 1 << 19):
+        order = ngram_join.order_of(sets, 32, most)
+        for h in held:
+            first = order.sort(h, np.zeros(len(h), np.int64)).tolist()
+            assert sorted(first) == h.tolist() and not often & set(first[: len(h) - len(often)])
+    order = ngram_join.order_of(sets, 32, 0, 0)
+    assert order.shared is None and order.sort(held[0], np.zeros(len(held[0]), np.int64)).tolist() == held[0].tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70)]
     got = {r.v: r.c for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,9 +4,10 @@
    are stored packed, each set of a task once. Equal sets are one vertex from here on,
    so copies cost nothing further.
 2. Order. Document frequencies of all n-grams are counted; the most frequent ones (a
-   bounded table) go last in every set, by the level of their frequency; all others
-   go first, by hash. Any one order gives the same links; this one keeps frequent
-   n-grams out of prefixes.
+   bounded table) go last in every set, by the level of their frequency; before them
+   go those that a filter of fixed size knows, of two documents or more if it has room
+   for them all; all others go first, by hash. Any one order gives the same links; this
+   one fills prefixes with n-grams of one document, which make no candidates.
 3. Prefixes. Two sets of similarity t share an n-gram among the first
    n - ceil(t n) + 1 of each. N-grams that are in one prefix only are dropped.
 4. Candidates. Sets that share a prefix n-gram are compared with hubs of its list: one hub, then 8, 64
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.llm.components import components
-from webloom.llm.sieve import sieve_of
+from webloom.llm.sieve import Sieve, sieve_of
 from webloom.llm.tables import discard, documents, narrow, packed, release, stored
 from webloom.llm.tally import bucket_count, counted, trim
 from webloom.llm.textarrays import Words, as_long, mix, slices, window_hashes, words_of
@@ -48,6 +49,7 @@ from webloom.llm.textarrays import Words, as_long, mix, slices, window_hashes, w
 WORDS = 3
 PERCENT = 90
 MOST_FREQUENT = 1 << 19
+MOST_SHARED = 1 << 24
 SLICE_BYTES = 2 << 20
 SLICE_ROWS = 1 << 12
 END_BITS = 24
@@ -146,9 +148,10 @@ def _sets(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[
 
 
 class Order:
-    """Frequent n-grams and the levels of their frequencies; sorts sets rare-first."""
+    """Frequent n-grams and the levels of their frequencies, and a filter of less frequent ones; sorts sets rare-first."""
 
-    def __init__(self, gram: np.ndarray, df: np.ndarray):
+    def __init__(self, gram: np.ndarray, df: np.ndarray, shared: Sieve | None = None):
+        self.shared = shared
         order = np.argsort(gram)
         self.gram = gram[order]
         self.level = np.minimum(1 + np.floor(np.log2(np.maximum(df[order], 1)) * 2), (1 << _LEVELS) - 1).astype(np.uint64)
@@ -157,12 +160,13 @@ class Order:
         self.may[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), dtype=np.uint64)
+        # what the filter takes for shared without being so is later in all sets alike
+        out = np.zeros(len(h), dtype=np.uint64) if self.shared is None else self.shared.passes(h).astype(np.uint64)
         if len(self.gram):
             maybe = np.flatnonzero(self.may[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             code = h[maybe]
             at = np.minimum(np.searchsorted(self.gram, code), len(self.gram) - 1)
-            out[maybe] = np.where(self.gram[at] == code, self.level[at], 0)
+            out[maybe] = np.where(self.gram[at] == code, self.level[at], out[maybe])
         return out
 
     def sort(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -172,8 +176,8 @@ class Order:
         return key & _MEMBER
 
 
-def order_of(sets: DataFrame, buckets: int, most: int = MOST_FREQUENT) -> Order:
-    """Count all n-grams of stored sets and keep the most frequent, at most ``most`` of them; a histogram finds the cut."""
+def order_of(sets: DataFrame, buckets: int, most: int = MOST_FREQUENT, most_shared: int = MOST_SHARED) -> Order:
+    """Count all n-grams of stored sets and keep the most frequent, at most ``most`` of them, and a filter of at most ``most_shared``; a histogram finds the cuts."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for h, *_ in _sets(batches):
@@ -181,17 +185,17 @@ def order_of(sets: DataFrame, buckets: int, most: int = MOST_FREQUENT) -> Order:
 
     frequent = stored(counted(sets, codes, buckets, least=2), "frequencies")
     level = F.floor(F.log2("n") * 4 + 1e-9)
-    total, cut = 0, None
+    total, cut, low = 0, None, None
     for row in sorted(frequent.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["l"]):
         total += row["k"]
-        if total > most:
-            break
-        cut = row["l"]
+        cut = row["l"] if total <= most else cut
+        low = row["l"] if total <= most_shared else low
+    shared = None if low is None else sieve_of(frequent.where(level >= low), "key")  # of fixed size
     if cut is None:
-        out = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        out = Order(np.zeros(0, np.uint64), np.zeros(0, np.int64), shared)
     else:
         kept = frequent.where(level >= cut).toArrow()
-        out = Order(np.ascontiguousarray(kept["key"].to_numpy(), np.int64).view(np.uint64), np.ascontiguousarray(kept["n"].to_numpy(), np.int64))
+        out = Order(np.ascontiguousarray(kept["key"].to_numpy(), np.int64).view(np.uint64), np.ascontiguousarray(kept["n"].to_numpy(), np.int64), shared)
     discard(frequent)
     return out
 
@@ -226,7 +230,7 @@ def similar(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar. Only sets of vertices that may be in a pair are dealt out, each once."""
+    """The pairs (a, b) that are similar, stored. Only sets of vertices that may be in a pair are dealt out, each once."""
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b"))
     sieve = pairs.sparkSession.sparkContext.broadcast(sieve_of(ends, "v", END_BITS))  # of fixed size
 
@@ -249,7 +253,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield ends_of.filter(pa.array(fine, pa.bool_()))
         trim()
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(each, "a long, b long")
+    fresh = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(each, "a long, b long"), "links")
+    sieve.unpersist()
+    return fresh
 
 
 def parities(h: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
@@ -317,11 +323,12 @@ def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
         pairs = stored(pairs, "pairs")
         done.append(pairs)
         if not pairs.isEmpty():
-            fresh = stored(_verified(pairs, sets, percent), "links")
+            fresh = _verified(pairs, sets, percent)
             if not fresh.isEmpty():
                 spent, labels = labels, _classes(labels, fresh)
                 discard(spent)
             discard(fresh)
+        release(lists.sparkSession)
         lists = lists.drop("c", "links")
         compared, hubs = hubs, hubs * HUB_GROWTH
 
@@ -351,7 +358,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
     shared = stored(counted(sets, prefix_grams, buckets, least=2), "shared")
     sieve = spark.sparkContext.broadcast(sieve_of(shared, "key"))  # of fixed size
     discard(shared)
-    release(spark)
+    release(spark)  # as each of the next steps: at any time files of one step's shuffles are there
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, d, vertex, size in _sets(batches):
@@ -365,6 +372,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
 
     found = sets.mapInArrow(candidates, f"v long, n long, {', '.join(f'{p} long' for p in _PARITIES)}, prefix array<long>, places array<long>")
     found = stored(found.groupBy("v").agg(F.first(F.struct("n", *_PARITIES, "prefix", "places")).alias("x")).select("v", "x.*"), "prefixes")
+    order.unpersist()
+    sieve.unpersist()
+    release(spark)
     lists = found.select("v", "n", *_PARITIES, F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), "v", "n", F.col("x.places").alias("place"), *_PARITIES)
     linked = links(lists, sets, percent)
     discard(vertices, found)
