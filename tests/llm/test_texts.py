@@ -211,6 +211,26 @@ def test_terms_that_disclose_go_wherever_they_stand(spark):
     assert spans[522] == ("term:12:20,term:22:24", 2) and spans[520][1] == 5  # "or" stands by the number in both texts
 
 
+def python_steps(node, above: bool = False) -> int:
+    """How many Python steps of a plan stand in one task with another above them."""
+    name = node.nodeName()
+    runs = name in ("MapInArrow", "ArrowEvalPython", "PythonMapInArrow")
+    below = False if "Exchange" in name else above or runs
+    kids = node.children()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [kids.apply(i) for i in range(kids.size())]
+    return int(runs and above) + sum(python_steps(x, below) for x in inner)
+
+
+def test_sanitising_takes_one_worker_a_task(spark):
+    """Two Python steps in a task hold two workers, and these live on through later stages."""
+    df = spark.createDataFrame([(0, "call Zanzibar at +1 415 555 0100 now"), (1, "write Zanzibar or +1-415-555-0100 maybe"), (2, None), (3, ""), (4, "x")] * 2, "doc_id long, text string")
+    out = pii.sanitised(df)
+    assert python_steps(out._jdf.queryExecution().executedPlan()) == 0
+    assert Counter(r.text for r in out.collect() if r.doc_id > 1) == {None: 2, "": 2, "x": 2} and out.count() == 10
+    chained = df.withColumn("s", F.pandas_udf(lambda x: x, "string")("text")).mapInArrow(lambda b: b, "doc_id long, text string, s string")
+    assert python_steps(chained._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_disclosure_against_brute_force(spark):
     """Figures of every value, group and kind; a term of a group goes where no value repeats."""
     rng = random.Random(4)
