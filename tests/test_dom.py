@@ -151,3 +151,13 @@ def test_ids_work_out_a_path_once_a_parent():
     ids, fields = extract.Ids(), [e for e in root.elements() if e.tag == "input"]
     made = [ids.mint(f, "inp", "", "") for f in fields]
     assert len(set(made)) == 50 and made[1] == made[0] + "-2" and list(ids.paths) == [fields[0].parent] and ids.paths[fields[0].parent].endswith("form>")
+
+
+def test_white_space_runs_become_one_space():
+    import random
+    import re
+
+    rng = random.Random(3)
+    for _ in range(2000):
+        t = "".join(rng.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u200bab") for _ in range(rng.randrange(7)))
+        assert reduce.spaced(t) == re.sub(r"\s+", " ", t) and reduce._GAPS.sub(" ", t) == re.sub(r"[ \t]+", " ", t)

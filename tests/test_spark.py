@@ -88,3 +88,12 @@ def test_pages_of_one_file_are_work_of_many_tasks(spark, name):
     """A table that Spark reads as one task is dealt out before its rows become pages."""
     assert spark.read.parquet(f"{DATA}/customer.parquet").rdd.getNumPartitions() == 1
     assert __spark_entry__.queries()[name](spark, DATA).rdd.getNumPartitions() >= 8
+
+
+def test_pages_are_made_without_a_look_at_each_letter(spark):
+    """A negated class in an expression over whole texts took more time than reading the pages; signs of all kinds still become single spaces."""
+    from webloom import catalog_more
+
+    pages = catalog_more._rendered_documents(spark, DATA)
+    assert "[^" not in pages._jdf.queryExecution().analyzed().toString()
+    assert P.read(pages, mode="full").where("content RLIKE '[\\\\x{80}-\\\\x{10FFFF}]'").isEmpty()

@@ -356,8 +356,14 @@ _LEAD = "Every page of this kind begins with a paragraph that says at some lengt
 _MD = f"SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY k) AS body FROM {_LINES} GROUP BY doc_id"
 
 
+#: ASCII's signs but for the line feed.
+_SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "\n")
+
+
 def _rendered_documents(spark, d):
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))), lambda x: x != "")
+    # signs become spaces by a table, and only what is left of them by expressions: a negated class would be asked for every letter
+    plain = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _SIGNS, " " * len(_SIGNS)), r"[\x{80}-\x{10FFFF}]+", " ")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(plain, "  +", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), F.replace(x, F.lit(" "), F.lit("\n ")))), "")
     html = F.concat(
         F.lit("<html><head><title>Page "), "doc_id", F.lit("</title><style>p{}</style></head><body><nav><ul><li><a href='/a'>Menu one</a><li><a href='/b'>Menu two</a></ul></nav><main><article><h1>Head of "), "doc_id",
