@@ -131,6 +131,43 @@ def test_prefix_lengths_lose_no_pair():
                     assert a - pa < need or b - pb < need
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_similar_sets_pass_at_their_first_shared_ngram(spark, percent):
+    """And the smaller one is early there, so that it is a hub."""
+    rng = random.Random(percent)
+    rows, want = [], 0
+    for _ in range(400):
+        n, size = rng.randrange(1, 80), rng.randrange(1, 80)
+        own = rng.sample(range(100), n)
+        other = rng.sample(own, min(n, size)) if rng.random() < 0.5 else [*own[: rng.randrange(n + 1)], *range(100, 100 + rng.randrange(12))]
+        a, b = sorted((sorted(own), sorted(other)), key=len)
+        both = set(a) & set(b)
+        if both and 100 * len(both) >= percent * len({*a, *b}):
+            want += 1
+            rows.append((len(a), a.index(min(both)), len(b), b.index(min(both)), *[0] * 16))
+    names = [f"{h}{p}" for h in ("", "h") for p in ngram_join._PARITIES]
+    df = spark.createDataFrame(rows, f"n long, place long, hn long, hplace long, {', '.join(f'{x} long' for x in names)}")
+    assert want > 50 and df.where(ngram_join._early(percent)).where(ngram_join._may_be_similar(percent)).count() == want
+
+
+def test_unlike_documents_of_one_template_make_no_pairs(spark, monkeypatch):
+    """Each shares 5-grams of its prefix with all others, but too late to be similar to any (0.79 of 0.8)."""
+    template = " ".join(f"t{k}" for k in range(200))
+    rows = [(i, template + "".join(f" own{i}-{k}" for k in range(26))) for i in range(60)]
+    made, stored = [], ngram_join.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    df = spark.createDataFrame([*rows, (100, rows[7][1] + " more")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.representatives(df, 5, 80).collect()) == list(range(60))
+    assert sum(made) < 5
+
+
 def test_ngrams_of_one_document_go_first(spark):
     """Without room in the table of frequent n-grams too: prefixes of n-grams that no other set has make no candidates."""
     rows = [(k, " ".join([*(f"s{j}" for j in range(40)), *(f"own{k}-{j}" for j in range(40))])) for k in range(6)]

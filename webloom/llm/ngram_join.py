@@ -12,7 +12,8 @@
    n - ceil(t n) + 1 of each. N-grams that are in one prefix only are dropped.
 4. Candidates. Sets that share a prefix n-gram are compared with hubs of its list: one hub, then 8, 64
    and so on, those with most links first, until all that are left belong together.
-   Length, positional and suffix filters come before a pair is made; the last bounds
+   Hubs are members whose n-gram is early enough to be the first that they share with
+   a set of their size or larger. Length, positional and suffix filters come before a pair is made; the last bounds
    what two sets do not share by the parities of their members in 512 ranges of
    hashes. No pair is verified twice. Pairs that are
    connected already need no verification, so no group is ever paired in full
@@ -31,6 +32,7 @@ Set sizes count n-grams by 48 bits of their hashes, links compare 40.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -154,10 +156,14 @@ class Order:
         self.shared = shared
         order = np.argsort(gram)
         self.gram = gram[order]
-        self.level = np.minimum(1 + np.floor(np.log2(np.maximum(df[order], 1)) * 2), (1 << _LEVELS) - 1).astype(np.uint64)
-        # most n-grams are told to be infrequent by one look at a small table
-        self.may = np.zeros(1 << 22, dtype=bool)
-        self.may[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.level = np.minimum(1 + np.floor(np.log2(np.maximum(df[order], 1)) * 2), (1 << _LEVELS) - 1).astype(np.uint8)
+
+    @cached_property
+    def may(self) -> np.ndarray:
+        """Most n-grams are told to be infrequent by one look at this small table; workers make it, so that it isn't sent."""
+        may = np.zeros(1 << 22, dtype=bool)
+        may[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        return may
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         # what the filter takes for shared without being so is later in all sets alike
@@ -254,7 +260,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         trim()
 
     fresh = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "ga", "gb").mapInArrow(each, "a long, b long"), "links")
-    sieve.unpersist()
+    sieve.destroy()  # on the driver too
     return fresh
 
 
@@ -267,14 +273,30 @@ def parities(h: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
 _PARITIES = [f"p{k}" for k in range(PARITY_BITS // 64)]
 
 
+def _need(both: Column, percent: int) -> Column:
+    """The least intersection of similar sets whose sizes add up to ``both``."""
+    return F.ceil(percent * both / F.lit(100 + percent))
+
+
+def _early(percent: int) -> Column:
+    """Whether a list's member has enough n-grams from the list's one on to be similar to a set of its size.
+
+    Of two similar sets the smaller one has, at the first n-gram that they share: all
+    that they share are there or later. So hubs need not be other members.
+    """
+    return _need(2 * F.col("n"), percent) <= F.col("n") - F.col("place")
+
+
 def _may_be_similar(percent: int) -> Column:
     """Length, positional and suffix filters of a list's member (n, place, p...) against a hub (hn, hplace, hp...).
 
-    A range in which one set has an odd number of members and the other an even one
+    The positional one takes the list's n-gram for the first that both share, with
+    none before it: similar sets pass at their first one, and need not at others. A
+    range in which one set has an odd number of members and the other an even one
     holds a member that they do not share; the suffix filter adds these up.
     """
-    need = F.ceil(percent * (F.col("n") + F.col("hn")) / F.lit(100 + percent))
-    most = F.least("place", "hplace") + 1 + F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hplace")) - 1
+    need = _need(F.col("n") + F.col("hn"), percent)
+    most = F.least(F.col("n") - F.col("place"), F.col("hn") - F.col("hplace"))
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"h{p}"))) for p in _PARITIES), F.lit(0))
     return (100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")) & (most >= need) & (apart <= F.col("n") + F.col("hn") - 2 * need)
 
@@ -302,9 +324,9 @@ def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
             now = lists.withColumn("c", F.col("v")).withColumn("links", F.lit(0).cast("long"))
         else:
             now = lists.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")).withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
-        # lists whose members are not all of one component yet, nor all compared with each other; sums, so that tasks send one row a list
-        entry = F.struct((-F.col("links")).alias("few"), "c", "v", "n", "place", *_PARITIES)
-        open_ = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"), *([F.min(entry).alias("h")] if hubs == 1 else []))
+        # lists whose members are not all of one component yet, nor all compared with each early one; sums, so that tasks send one row a list
+        entry = F.when(_early(percent), F.struct((-F.col("links")).alias("few"), "c", "v", "n", "place", *_PARITIES))
+        open_ = now.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(entry).alias("k"), *([F.min(entry).alias("h")] if hubs == 1 else []))
         open_ = open_.where((F.col("lo") != F.col("hi")) & (F.col("k") > compared))
         if hubs > 1:
             before, lists = lists, stored(now.join(open_.select("gram"), "gram", "left_semi"), "lists")
@@ -314,13 +336,13 @@ def links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
                 return None if labels is None else labels.select("v", "c")
             now = lists
             first = Window.partitionBy("gram").orderBy(F.desc("links"), "c", "v")
-            open_ = now.withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs).select("gram", F.struct("c", "v", "n", "place", *_PARITIES).alias("h"))
+            open_ = now.where(_early(percent)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs).select("gram", F.struct("c", "v", "n", "place", *_PARITIES).alias("h"))
         hub = open_.select("gram", F.col("h.v").alias("hub"), F.col("h.n").alias("hn"), F.col("h.place").alias("hplace"), F.col("h.c").alias("hc"), *[F.col(f"h.{p}").alias(f"h{p}") for p in _PARITIES])
         pairs = now.join(hub, (now["gram"] == hub["gram"]) & (F.col("c") != F.col("hc")) & _may_be_similar(percent))
-        pairs = pairs.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+        pairs = pairs.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b"), F.lit(False).alias("old"))
         for old in done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+            pairs = pairs.union(old.withColumn("old", F.lit(True)))
+        pairs = stored(pairs.groupBy("a", "b").agg(F.max("old").alias("old")).where("NOT old").select("a", "b"), "pairs")
         done.append(pairs)
         if not pairs.isEmpty():
             fresh = _verified(pairs, sets, percent)
@@ -372,8 +394,8 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
 
     found = sets.mapInArrow(candidates, f"v long, n long, {', '.join(f'{p} long' for p in _PARITIES)}, prefix array<long>, places array<long>")
     found = stored(found.groupBy("v").agg(F.first(F.struct("n", *_PARITIES, "prefix", "places")).alias("x")).select("v", "x.*"), "prefixes")
-    order.unpersist()
-    sieve.unpersist()
+    order.destroy()  # on the driver too
+    sieve.destroy()
     release(spark)
     lists = found.select("v", "n", *_PARITIES, F.explode(F.arrays_zip("prefix", "places")).alias("x")).select(F.col("x.prefix").alias("gram"), "v", "n", F.col("x.places").alias("place"), *_PARITIES)
     linked = links(lists, sets, percent)
