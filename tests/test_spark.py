@@ -97,3 +97,14 @@ def test_pages_are_made_without_a_look_at_each_letter(spark):
     pages = catalog_more._rendered_documents(spark, DATA)
     assert "[^" not in pages._jdf.queryExecution().analyzed().toString()
     assert P.read(pages, mode="full").where("content RLIKE '[\\\\x{80}-\\\\x{10FFFF}]'").isEmpty()
+
+
+def test_structured_data_is_whole_unless_an_answer_is_asked_for(spark):
+    """A caller's limits cut the first items and rows off; without them everything stays."""
+    html = "<table>" + "<tr><td>x" * 2100 + "</table>" + "<table><tr><td>y</table>" * 70 + '<script type="application/ld+json">{"a":1}</script>' * 300 + "<p itemscope><b itemprop=n>z</b></p>" * 150
+    pages = spark.createDataFrame([(1, "", html)], "page_id long, url string, html string")
+    sizes = lambda found: {r.kind: r["count"] for r in found.groupBy("kind").count().collect()}
+    first = lambda found: found.where("kind = 'tables' AND place = 0").selectExpr("from_json(item, 'rows array<array<string>>, truncated boolean') AS t").selectExpr("size(t.rows)", "t.truncated").first()
+    whole, answer = P.data(pages), P.data(pages, most=P.ANSWER)
+    assert sizes(whole) == {"tables": 71, "jsonld": 300, "microdata": 150} and tuple(first(whole)) == (2100, False)
+    assert sizes(answer) == {"tables": 64, "jsonld": 256, "microdata": 128} and tuple(first(answer)) == (2000, True)
