@@ -161,3 +161,17 @@ def test_white_space_runs_become_one_space():
     for _ in range(2000):
         t = "".join(rng.choice(" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u200bab") for _ in range(rng.randrange(7)))
         assert reduce.spaced(t) == re.sub(r"\s+", " ", t) and reduce._GAPS.sub(" ", t) == re.sub(r"[ \t]+", " ", t)
+
+
+def test_collections_weigh_every_group_member_and_field_of_a_page():
+    """Groups behind many others, records behind many that differ, fields behind many others and collections behind the best ones are all there."""
+    chrome = "<div><i>1</i><i>2</i><i>3</i></div>" * 600
+    shelf = lambda name, n: f"<section class=w{name}>" + "".join(f"<div class={name}><h4>{name} number {k}</h4></div>" for k in range(n)) + "</section>"
+    found = extract.collections(dom.parse(chrome + "".join(shelf(f"s{k}", 3) for k in range(12))))
+    assert [c["root"] for c in found] == [f"div.s{k}" for k in range(12)] and len(extract.collections(dom.parse(chrome + shelf("s", 3)), 1)) == 1
+    late = "".join(f"<div class=r><h4>name</h4>{'' if 0 < k < 30 else '<b class=rate>5</b>'}</div>" for k in range(90))
+    assert extract.collections(dom.parse(late))[0]["fields"] == {"title": "h4", "rate": "b.rate"}
+    wide = "<div class=w>" + "".join(f"<p><u></u><b class=c{k}>x</b></p>" for k in range(300)) + "</div>"
+    assert len(extract.collections(dom.parse(wide * 3))[0]["fields"]) == 300
+    odd = "<o:p class=q><b:c class=z>text</b:c><i class=z>more</i></o:p>" * 3 + "<p class=q><o:x class=n data-1=a>text</o:x><i class=m>more</i></p>" * 3
+    assert [c["root"] for c in extract.collections(dom.parse(odd))] == ["p.q"]

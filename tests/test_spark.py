@@ -108,3 +108,12 @@ def test_structured_data_is_whole_unless_an_answer_is_asked_for(spark):
     whole, answer = P.data(pages), P.data(pages, most=P.ANSWER)
     assert sizes(whole) == {"tables": 71, "jsonld": 300, "microdata": 150} and tuple(first(whole)) == (2100, False)
     assert sizes(answer) == {"tables": 64, "jsonld": 256, "microdata": 128} and tuple(first(answer)) == (2000, True)
+
+
+def test_browsing_lists_all_of_a_page(spark):
+    """Regions, headings and collections are whole lists; a caller's limits cut them."""
+    shelves = "".join(f"<section class=w{k}>" + f"<div class=s{k}><h4>{k} has a name that is no short one</h4></div>" * 3 + "</section>" for k in range(80))
+    pages = spark.createDataFrame([(1, "https://a.b/", "<nav>x</nav>" * 70 + shelves)], "page_id long, url string, html string")
+    sizes = lambda found: tuple(found.selectExpr("size(regions)", "size(headings)", "size(collections)", "counts.headings", "size(split(outline, '\n'))").first())
+    assert sizes(P.browse(pages)) == (70, 240, 80, 240, 240)
+    assert sizes(P.browse(pages, P.ANSWER)) == (64, 200, 4, 240, 240)
