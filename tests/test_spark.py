@@ -117,3 +117,15 @@ def test_browsing_lists_all_of_a_page(spark):
     sizes = lambda found: tuple(found.selectExpr("size(regions)", "size(headings)", "size(collections)", "counts.headings", "size(split(outline, '\n'))").first())
     assert sizes(P.browse(pages)) == (70, 240, 80, 240, 240)
     assert sizes(P.browse(pages, P.ANSWER)) == (64, 200, 4, 240, 240)
+
+
+def test_outlines_are_whole(spark):
+    """Each heading of a long page stands beside the outline of all headings; pages without headings give no rows."""
+    pages = spark.createDataFrame([(1, "", "".join(f"<h2 id=k{k}>Heading {k} é</h2>" for k in range(3000))), (2, "", "<p>x"), (3, "", None), (4, "", "<h1>a</h1><h3></h3>")], "page_id long, url string, html string")
+    whole = "\n".join(f"- Heading {k} é" for k in range(3000))
+    found = P.outlined(pages)
+    assert found.columns == ["page_id", "pre", "level", "text", "id", "outline"]
+    long = found.where("page_id = 1").orderBy("pre").collect()
+    assert [r.id for r in long] == [f"k{k}" for k in range(3000)] and {r.outline for r in long} == {whole}
+    assert [(r.page_id, r.level, r.text, r.outline) for r in found.where("page_id > 1").orderBy("pre").collect()] == [(4, 1, "a", "- a"), (4, 3, "", "- a")]
+    assert P.outline(pages).orderBy("page_id").first().outline == whole and len(P.outline(pages, 100).orderBy("page_id").first().outline) < 130
